@@ -17,15 +17,15 @@ _PATH = "regexp_replace(replace({0}, '\\', '/'), '^\\./', '')"
 ORACLES = {
     "p1_found": f"""
 WITH valid AS (
-  SELECT *, CAST(replace("timestamp", ' ', 'T') AS TIMESTAMPTZ) AS at
+  SELECT *, CAST(replace("timestamp", ' ', 'T') AS TIMESTAMPTZ) AS inst
   FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY delivered_at DESC) AS rn FROM snapshots)
   WHERE rn = 1 AND files IS NOT NULL),
 chain AS (
-  SELECT *, row_number() OVER (PARTITION BY repo, branch ORDER BY at, snapshot_id) AS seq FROM valid),
+  SELECT *, row_number() OVER (PARTITION BY repo, branch ORDER BY inst, snapshot_id) AS seq FROM valid),
 file_rows AS (
   SELECT repo, branch, seq, 'file' AS record_kind, {_PATH.format("f.p")} AS record_key, max(lower(f.h)) AS hash
   FROM (SELECT repo, branch, seq, unnest(files) AS p,
-          unnest(coalesce(hashes, list_transform(files, x -> CAST(NULL AS VARCHAR)))) AS h FROM chain) f
+          unnest(coalesce(hashes, list_transform(files, lambda x: CAST(NULL AS VARCHAR)))) AS h FROM chain) f
   WHERE f.p IS NOT NULL GROUP BY ALL),
 link_rows AS (
   SELECT DISTINCT repo, branch, seq, 'link' AS record_kind,
