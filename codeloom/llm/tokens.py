@@ -1,0 +1,48 @@
+"""Token counts by a public tokenizer's vocabulary file (a parameter; the file is never copied here)."""
+
+from __future__ import annotations
+
+import base64
+import functools
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Split pattern of byte-level BPE vocabularies (fixed value).
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts are encoded in slices of this length, cut after white space, so that memory stays bounded.
+SLICE = 1 << 20
+
+
+@functools.lru_cache(maxsize=2)
+def encoding(path: str):
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_count(text: str, path: str) -> int:
+    enc, n, at = encoding(path), 0, 0
+    while at < len(text):
+        end = at + SLICE
+        if end < len(text):
+            space = max(text.rfind("\n", at, end), text.rfind(" ", at, end))
+            end = space if space > at else end
+        n += len(enc.encode_ordinary(text[at:end]))
+        at = end
+    return n
+
+
+def count_tokens(df: DataFrame, vocab: str | None = None) -> DataFrame:
+    """Replace the column text by tokens; other columns stay."""
+    path = vocab or DEFAULT_VOCAB
+    keep = [f for f in df.schema.fields if f.name != "text"]
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({**{f.name: b[f.name] for f in keep}, "tokens": [token_count(t or "", path) for t in b["text"]]})
+
+    return df.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["tokens long"]))
