@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from codeloom.llm.credentials import find_credentials, redact_credentials
+from codeloom.llm.handwritten import classify
 from codeloom.llm.mixing import mix
 from codeloom.llm.packing import fill_report, pack
 from codeloom.llm.splitting import split_oversized
@@ -18,6 +19,14 @@ def _pieces(spark, sf_dir):
     return split_oversized(table(spark, sf_dir, "modules"), lim["max_tokens"], lim["overlap_tokens"])
 
 
+def p2_found(spark, sf_dir):
+    return classify(table(spark, sf_dir, "modules")).select("module_id")
+
+
+def p2_kinds(spark, sf_dir):
+    return classify(table(spark, sf_dir, "modules"))
+
+
 def p3_found(spark, sf_dir):
     return find_credentials(table(spark, sf_dir, "modules")).select("module_id", "line_no").distinct()
 
@@ -51,7 +60,7 @@ def p8_report(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_pieces, p5_batches, p5_fill, p8_mixture, p8_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_redacted, p4_found, p4_pieces, p5_batches, p5_fill, p8_mixture, p8_report)}
 
 ORACLES = {
     "p4_found": "SELECT module_id FROM modules WHERE length(content) // 4 > (SELECT max_tokens FROM size_limits WHERE purpose = 'piece')",
