@@ -209,12 +209,13 @@ def kinds(path: str | None, text: str) -> str | None:
         return "vendored"
     if _GEN_NAME.search(p):
         return "generated"
-    long_share, mean, blanks = line_stats(text)
-    code = re.search(r"(?i)\.(?:m?jsx?|c?js|tsx?|css|py|rb|go|java|rs|php|c|cc|h)$", p)
-    if code and (_MIN_NAME.search(p) and mean > 120 or long_share > 0.6 and blanks < 0.12):
-        return "minified"
-    if not re.search(r"(?i)\.(?:md|txt|ya?ml|toml|env|ini|rst|json)$|(?:^|/)\.env$", p) and data_share(text) > 0.6:
+    data = data_share(text)
+    if data > 0.8 and not re.search(r"(?i)\.(?:md|txt|ya?ml|toml|env|ini|rst|json)$|(?:^|/)\.env$", p):
         return "data"
+    if re.search(r"(?i)\.(?:[mc]?jsx?|tsx?|css)$", p) and data < 0.5:
+        long_share, mean, blanks = line_stats(text)
+        if _MIN_NAME.search(p) and mean > 120 or long_share > 0.6 and blanks < 0.12 and mean > 150:
+            return "minified"
     return None
 
 
@@ -229,7 +230,7 @@ def classify(df: DataFrame, min_repos: int = 3, share: float = 0.75, id_col: str
             yield pd.DataFrame({"id": b["id"], "repo": b["repo"], "kind": [kinds(p, t) for p, t in zip(b["path"], texts)], "fps": fingerprints(texts)})
 
     read = cut(src.mapInPandas(run, f"id {kind}, repo string, kind string, fps array<long>"))
-    grams = read.select("id", "kind", F.shiftleft(F.lit(1).cast("long"), F.pmod(F.xxhash64("repo"), F.lit(64)).cast("int")).alias("bit"), F.explode("fps").alias("fp"))
+    grams = read.select("id", "kind", F.expr("shiftleft(1L, cast(pmod(xxhash64(repo), 64) as int))").alias("bit"), F.explode("fps").alias("fp"))
     common = grams.groupBy("fp").agg(F.bit_or("bit").alias("repos")).where(F.bit_count("repos") >= min_repos).select("fp")
     copied = grams.where("kind is null").select("id", "fp").join(common, "fp", "left_semi").groupBy("id").agg(F.count("*").alias("n_common"))
     left = read.where("kind is null").select("id", F.size("fps").alias("n"))
