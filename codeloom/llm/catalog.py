@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from codeloom.llm.abuse import THRESHOLD, rates, score_documents
 from codeloom.llm.credentials import find_credentials, redact_credentials
 from codeloom.llm.handwritten import classify
 from codeloom.llm.mixing import mix
@@ -60,7 +63,23 @@ def p8_report(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_redacted, p4_found, p4_pieces, p5_batches, p5_fill, p8_mixture, p8_report)}
+def _scored(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"), keep=("source",))
+
+
+def p9_found(spark, sf_dir):
+    return _scored(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+
+
+def p9_scores(spark, sf_dir):
+    return _scored(spark, sf_dir)
+
+
+def p9_rates(spark, sf_dir):
+    return rates(_scored(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_redacted, p4_found, p4_pieces, p5_batches, p5_fill, p8_mixture, p8_report, p9_found, p9_scores, p9_rates)}
 
 ORACLES = {
     "p4_found": "SELECT module_id FROM modules WHERE length(content) // 4 > (SELECT max_tokens FROM size_limits WHERE purpose = 'piece')",
