@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.abuse import THRESHOLD, rates, score_documents
 from codeloom.llm.credentials import find_credentials, redact_credentials
 from codeloom.llm.handwritten import classify
+from codeloom.llm.leakage import find_passages, leak_report, leaks
 from codeloom.llm.mixing import mix
 from codeloom.llm.packing import fill_report, pack
 from codeloom.llm.splitting import split_oversized
@@ -55,6 +56,23 @@ def p5_fill(spark, sf_dir):
     return fill_report(pack(table(spark, sf_dir, "modules"), cap), cap)
 
 
+def _leaks(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark, sf_dir):
+    return _leaks(spark, sf_dir)
+
+
+def p7_near(spark, sf_dir):
+    near = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), max_edits=1)
+    return near.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.count("*").alias("windows"))
+
+
+def p7_suites(spark, sf_dir):
+    return leak_report(_leaks(spark, sf_dir), table(spark, sf_dir, "eval_items"))
+
+
 def p8_mixture(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
@@ -79,7 +97,7 @@ def p9_rates(spark, sf_dir):
     return rates(_scored(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_redacted, p4_found, p4_pieces, p5_batches, p5_fill, p8_mixture, p8_report, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_redacted, p4_found, p4_pieces, p5_batches, p5_fill, p7_found, p7_near, p7_suites, p8_mixture, p8_report, p9_found, p9_scores, p9_rates)}
 
 ORACLES = {
     "p4_found": "SELECT module_id FROM modules WHERE length(content) // 4 > (SELECT max_tokens FROM size_limits WHERE purpose = 'piece')",
