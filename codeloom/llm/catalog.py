@@ -11,6 +11,7 @@ from codeloom.llm.leakage import find_passages, leak_report, leaks
 from codeloom.llm.mixing import mix
 from codeloom.llm.packing import fill_report, pack
 from codeloom.llm.splitting import split_oversized
+from codeloom.llm.syntax import invalid_rates, judge
 from codeloom.session import table
 
 
@@ -56,6 +57,14 @@ def p5_fill(spark, sf_dir):
     return fill_report(pack(table(spark, sf_dir, "modules"), cap), cap)
 
 
+def p6_found(spark, sf_dir):
+    return judge(table(spark, sf_dir, "modules")).where("not valid").select("module_id").distinct()
+
+
+def p6_rates(spark, sf_dir):
+    return invalid_rates(judge(table(spark, sf_dir, "modules")))
+
+
 def _leaks(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -97,7 +106,7 @@ def p9_rates(spark, sf_dir):
     return rates(_scored(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_redacted, p4_found, p4_pieces, p5_batches, p5_fill, p7_found, p7_near, p7_suites, p8_mixture, p8_report, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p3_found, p3_redacted, p4_found, p4_pieces, p5_batches, p5_fill, p6_found, p6_rates, p7_found, p7_near, p7_suites, p8_mixture, p8_report, p9_found, p9_scores, p9_rates)}
 
 ORACLES = {
     "p4_found": "SELECT module_id FROM modules WHERE length(content) // 4 > (SELECT max_tokens FROM size_limits WHERE purpose = 'piece')",
