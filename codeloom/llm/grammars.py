@@ -11,6 +11,8 @@ POW = "\ue0f0"
 RET, CHN, DEF, RNG, OR2, AND2 = (chr(0xE010 + i) for i in range(6))
 BASE = {"NAME": "a", "POW": POW, "NUM": "0", "STR": STR, "TPL": TPL, "INC": INC, "ASG": ASG, "CMP": CMP, "=>": ARR, "...": ELL, "::": COL2, "LIFE": LIFE, "->": RET, "<-": CHN, ":=": DEF, "..": RNG, "||": OR2, "&&": AND2}
 _PAIR = {"(": ")", "[": "]", "{": "}"}
+# A long run of equal literals parses as a short one does, in every language here.
+_RUN = re.compile(f"((?:-?0|{STR}),)\n*(?:\\1\n*){{7,}}")
 _BRACKET = re.compile(r"[(){}\[\]]")
 GROUP = "\U000f0000-\U000fffff"
 
@@ -39,7 +41,7 @@ class Language:
         for a, b in self.ops:
             if a in s:
                 s = s.replace(a, b)
-        return s.translate(self.dropped)
+        return _RUN.sub(r"\1\1\1", s.translate(self.dropped))
 
     # bracket groups
     def brackets(self) -> dict[str, list]:
@@ -55,7 +57,10 @@ class Language:
             parts = s.split(",")
             if trailing and parts[-1] == "" and len(parts) > 1:
                 parts.pop()
-            if all((holes if p == "" else g.derives(nt, p)) for p in set(parts)):
+            parts = set(parts)
+            if "" in parts and not holes:
+                return False
+            if all(p == "" or g.derives(nt, p) for p in parts):
                 return True
             return whole is not None and g.derives(whole, s)
 
@@ -249,9 +254,10 @@ class JavaScript(Language):
         for name in ("Block", "ClassBody", "SwitchBody", "TObj", "Enum", "Object", "Names"):
             g.groups.setdefault(name, len(g.groups))
         self.blocky = sum(1 << g.groups[x] for x in ("Block", "ClassBody", "SwitchBody", "TObj", "Enum", "Object", "Names"))
+        comma = L("Assign", empty=False, trailing=False, whole="Expr")
         out = {
-            "(": [("Args", L("Arg", whole="ArgList")), ("Paren", W("Expr")), ("Params", L("Param", whole="ParamList")), ("ForHead", W("ForHead"))],
-            "[": [("Array", L("Elem", holes=True, whole="ArgList")), ("Index", W("Expr"))],
+            "(": [("Args", L("Arg", whole="ArgList")), ("Paren", comma), ("Params", L("Param", whole="ParamList")), ("ForHead", W("ForHead"))],
+            "[": [("Array", L("Elem", holes=True, whole="ArgList")), ("Index", comma)],
             "{": [("Block", self.pieces("Stmt", "Seq")), ("Object", L("Prop", whole="Props")), ("ClassBody", self.pieces("Member")), ("Names", L("NameItem")), ("SwitchBody", lambda s: g.derives("Switch", self.newline.sub(";", s).replace("\n", "")))],
         }
         if self.typed:
