@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,16 +39,44 @@ def ignored(path: F.Column, patterns: list[tuple[bool, str]]) -> F.Column:
     return got
 
 
-def scan(spark: SparkSession, root: str, gitignore: str | None = None, max_tokens: int = P.MAX_FILE_TOKENS) -> DataFrame:
-    """Files of a tree as the relation ``files``; path rules and the size cap apply before any content is decoded."""
+def _walk(root: str) -> list[tuple[str, int]]:
+    """(relative path, bytes) of every file below directories that are not pruned; names only, nothing is read."""
+    out = []
+    for folder, dirs, names in os.walk(root):
+        dirs[:] = sorted(x for x in dirs if x not in P.IGNORE_DIRS and not x.startswith("."))
+        for n in sorted(names):
+            full = os.path.join(folder, n)
+            if os.path.isfile(full):
+                out.append((os.path.relpath(full, root).replace(os.sep, "/"), os.path.getsize(full)))
+    return out
+
+
+def scan(spark: SparkSession, root: str, gitignore: str | None = None, max_tokens: int = P.MAX_FILE_TOKENS, partitions: int = 64) -> DataFrame:
+    """Files of a tree as the relation ``files``; path rules and the size cap apply before anything is read.
+
+    A local or mounted tree is listed by name on the driver (as Spark's own file index would, but that index hides names
+    starting with ``_`` or ``.``, such as ``__init__.py``) and read by the executors. Any other file system is
+    read with the binary file source.
+    """
     base = str(root).rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(F.col("length") <= P.MAX_FILE_SIZE_BYTES)
-    rel = F.regexp_replace(F.regexp_replace(F.col("path"), r"^file:/+", "/"), "^" + re.escape("/" + base.lstrip("/")) + "/", "")
-    files = raw.select(rel.alias("path"), F.regexp_replace("path", r"^file:/+", "/").alias("abs_path"), "content").where(
-        ~P.ignored_dir(F.col("path")) & ~P.suffix(F.col("path")).isin(P.IGNORE_EXTENSIONS))
+    if re.match(r"^(?!file:)[a-z][a-z0-9+.-]*:/", base):
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).withColumn("path", F.regexp_replace("path", "^" + re.escape(base) + "/", "")).select("path", "length", "content")
+    else:
+        base = re.sub(r"^file:/+", "/", base)
+        raw = spark.createDataFrame(_walk(base), "path string, length long").repartition(partitions)
+    files = raw.where((F.col("length") <= P.MAX_FILE_SIZE_BYTES) & ~P.ignored_dir(F.col("path")) & ~P.suffix(F.col("path")).isin(P.IGNORE_EXTENSIONS))
     if gitignore:
         files = files.where(~ignored(F.col("path"), gitignore_patterns(gitignore)))
-    text = files.select("path", "abs_path", P.suffix(F.col("path")).alias("ext"), F.decode("content", "UTF-8").alias("content"))
+    if "content" not in files.columns:
+
+        def read(batches):
+            for b in batches:
+                yield pd.DataFrame({"path": b["path"], "content": [Path(base, p).read_bytes().decode("utf-8", "ignore") for p in b["path"]]})
+
+        files = files.select("path").mapInPandas(read, "path string, content string")
+    else:
+        files = files.select("path", F.decode("content", "UTF-8").alias("content"))
+    text = files.select("path", F.concat(F.lit(base + "/"), "path").alias("abs_path"), P.suffix(F.col("path")).alias("ext"), "content")
     return text.withColumn("tokens", token_estimate(F.col("content"))).where(F.col("tokens") <= max_tokens).withColumn("content_hash", F.sha2("content", 256))
 
 
