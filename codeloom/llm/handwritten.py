@@ -176,23 +176,28 @@ def line_stats(text: str) -> tuple[float, float, float]:
     return sum(len(x) for x in lines if len(x) > 300) / n, n / max(len(lines), 1), blanks / n
 
 
-_STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
-_LETTERS = re.compile(r"(?<![\dA-Fa-f])(?!0[xX]|true|false|null|None|True|False|nil)[A-Za-z_]{2,}")
+_STRING = re.compile(r"(?:\b[rRbBuUfF]{1,2})?(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')")
+_NUMBERS = re.compile(r"[-+\d.,\s_xXa-fA-F]{100,}")
+_LETTERS = re.compile(r"(?<!\w)(?!(?:true|false|null|None|True|False|nil)\b)[A-Za-z_$]")
 _BASE64 = re.compile(r"\s*[A-Za-z0-9+/=]{40,}\s*\Z")
 
 
 def data_share(text: str) -> float:
-    """Share of the visible characters on lines of literals only, or in literals over 200 characters."""
+    """Share of the visible characters on lines of literals only, or in literals over 200 characters that are no prose."""
     total = inside = 0
     for line, rest in zip(text.split("\n"), _STRING.sub(lambda m: '"', text).split("\n")):
         n = len(line) - line.count(" ")
         total += n
         if n == 0:
             continue
-        if not _LETTERS.search(rest) and ('"' in rest or any(c.isdigit() for c in rest)) or _BASE64.match(line):
+        long_ = [x for x in map(re.Match.group, _STRING.finditer(line)) if len(x) > 200] if n > 200 else []
+        prose = any(x.count(" ") >= 0.05 * len(x) for x in long_)
+        if not prose and not _LETTERS.search(rest) and ('"' in rest or any(c.isdigit() for c in rest)) or _BASE64.match(line):
             inside += n
-        elif len(line) > 200:
-            inside += sum(len(m.group(0)) for m in _STRING.finditer(line) if len(m.group(0)) > 200)
+        else:
+            inside += sum(len(x) for x in long_ if x.count(" ") < 0.05 * len(x))
+            if n > 200:
+                inside += sum(len(x) - x.count(" ") for x in _NUMBERS.findall(line) if x.count(",") > 20)
     return inside / total if total else 0.0
 
 
@@ -222,17 +227,17 @@ def kinds(path: str | None, text: str) -> str | None:
 def classify(df: DataFrame, min_repos: int = 3, share: float = 0.75, id_col: str = "module_id") -> DataFrame:
     """(id, kind) of every file that was not written by hand."""
     kind = dict(df.dtypes)[id_col]
-    src = df.where(F.length("content") > 0).select(F.col(id_col).alias("id"), "repo", "path", "content")
+    src = df.where(F.length("content") > 0).select(F.col(id_col).cast("string").alias("id"), F.col("repo").cast("string"), F.col("path").cast("string"), "content")
 
     def run(batches):
         for b in batches:
             texts = b["content"].tolist()
             yield pd.DataFrame({"id": b["id"], "repo": b["repo"], "kind": [kinds(p, t) for p, t in zip(b["path"], texts)], "fps": fingerprints(texts)})
 
-    read = cut(src.mapInPandas(run, f"id {kind}, repo string, kind string, fps array<long>"))
+    read = cut(src.mapInPandas(run, "id string, repo string, kind string, fps array<long>"))
     grams = read.select("id", "kind", F.expr("shiftleft(1L, cast(pmod(xxhash64(repo), 64) as int))").alias("bit"), F.explode("fps").alias("fp"))
     common = grams.groupBy("fp").agg(F.bit_or("bit").alias("repos")).where(F.bit_count("repos") >= min_repos).select("fp")
     copied = grams.where("kind is null").select("id", "fp").join(common, "fp", "left_semi").groupBy("id").agg(F.count("*").alias("n_common"))
     left = read.where("kind is null").select("id", F.size("fps").alias("n"))
     vendored = left.join(copied, "id").where((F.col("n_common") >= share * F.col("n")) & (F.col("n_common") >= 2)).select("id", F.lit("copied").alias("kind")).distinct()
-    return read.where("kind is not null").select("id", "kind").distinct().unionByName(vendored).withColumnRenamed("id", id_col)
+    return read.where("kind is not null").select("id", "kind").distinct().unionByName(vendored).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
