@@ -200,7 +200,7 @@ def _judge(text: str, label: str, at: int, end: int, stop: int):
         span = _armor(text, at, end)
         return (*span, "private_key") if span else None
     if label == "url":
-        scheme = re.search(r"[A-Za-z][A-Za-z0-9+.\-]*$", text[max(0, at - 24) : at])
+        scheme = re.search(r"[A-Za-z][A-Za-z0-9+.\-]*\Z", text[max(0, at - 24) : at])
         colon = text.index(":", at + 3)
         v = text[colon + 1 : end - 2]
         if not scheme or placeholder(v) or v.startswith(("$", "<", "{", "%", "*", "#{")) or not v:
@@ -209,7 +209,7 @@ def _judge(text: str, label: str, at: int, end: int, stop: int):
             return None
         return colon + 1, end - 2, "connection_password"
     if label == "name":
-        left = re.search(r"[A-Za-z0-9_.\-]*$", text[max(0, at - 60) : at]).group(0)
+        left = re.search(r"[A-Za-z0-9_.\-]*\Z", text[max(0, at - 60) : at]).group(0)
         head = re.match(r"[A-Za-z0-9_]*", text[at:end]).group(0)
         name = (left + head).lstrip("-.")
         kind = _name_kind([w.lower() for w in _WORDS.findall(name)])
@@ -283,7 +283,7 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 def find_credentials(df: DataFrame, id_col: str = "module_id", text_col: str = "content") -> DataFrame:
     """(id, line_no, start_char, end_char, kind), one row per credential value."""
     kind = dict(df.dtypes)[id_col]
-    src = df.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    src = df.where(F.length(text_col) > 0).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
 
     def run(batches):
         for b in batches:
@@ -296,17 +296,17 @@ def find_credentials(df: DataFrame, id_col: str = "module_id", text_col: str = "
                     rows.append((i, line, s, e, k))
             yield pd.DataFrame(rows, columns=["id", "line_no", "start_char", "end_char", "kind"])
 
-    return src.mapInPandas(run, f"id {kind}, line_no long, start_char long, end_char long, kind string").withColumnRenamed("id", id_col)
+    return src.mapInPandas(run, "id string, line_no long, start_char long, end_char long, kind string").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def redact_credentials(df: DataFrame, id_col: str = "module_id", text_col: str = "content") -> DataFrame:
     """(id, n_found, text) with every credential replaced; texts without any come out unchanged."""
     kind = dict(df.dtypes)[id_col]
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    src = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
 
     def run(batches):
         for b in batches:
             found = [find_spans(t) if t else [] for t in b["t"]]
             yield pd.DataFrame({"id": b["id"], "n_found": [len(f) for f in found], "t": [redact(t, f) if f else t for t, f in zip(b["t"], found)]})
 
-    return src.mapInPandas(run, f"id {kind}, n_found int, t string").withColumnRenamed("id", id_col).withColumnRenamed("t", text_col)
+    return src.mapInPandas(run, "id string, n_found int, t string").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col).withColumnRenamed("t", text_col)
