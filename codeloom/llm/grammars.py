@@ -167,6 +167,7 @@ ParamList = Param (',' Param)* ','? ;
 ForHead = (Var | Expr)? ';' Expr? ';' Expr? | ('var' | 'let' | 'const')? Binding ('in' | 'of') Expr | Mem ('in' | 'of') Expr ;
 Switch = (('case' Expr | 'default') ':' Seq?)* ;
 Member = %DEC %MODS ('static' | 'async' | 'get' | 'set' | '*')* PropName %OPT %TP @Params %RT (@Block %NOBODY) | %DEC %MODS 'static'? PropName %OPT %NN %ANN ('=' Assign)? End | 'static' @Block | ';' %MEM ;
+Members = Member+ ;
 """
 _TS = {
     "%TP": "(TParams)?", "%RT": "(':' TypePred)?", "%AS": "(('as' | 'satisfies') (Type | 'const'))*", "%SUF": "| TArgs @Args | '!'", "%DEC": "('@' Mem)*", "%TA": "TArgs?", "%IMPL": "('implements' Type (',' Type)*)?",
@@ -176,7 +177,7 @@ _TS = {
 }
 _TS_ONLY = r"""
 Decls = 'declare'? ('interface' Id TParams? ('extends' Type (',' Type)*)? @TObj | 'type' Id TParams? '=' Type End | 'const'? 'enum' Id @Enum | 'abstract' Class | ('namespace' | 'module') (Id ('.' Id)* | STR) @Block) | 'declare' (Var End | 'function' Id TParams? @Params (':' TypePred)? End | Class) | 'function' Id TParams? @Params (':' TypePred)? End ;
-TypePred = ('asserts')? (Id | 'this') 'is' Type | Type ;
+TypePred = ('asserts')? (Id | 'this') 'is' Type | 'asserts' (Id | 'this') | Type ;
 Type = TUnion ('extends' TUnion '?' Type ':' Type)? | TParams? @Params '=>' TypePred | 'abstract'? 'new' TParams? @Params '=>' Type ;
 TUnion = ('|' | '&')? TPost (('|' | '&') TPost)* ;
 TPost = ('keyof' | 'readonly' | 'infer' | 'unique') TPost | TPrim (@TIndex)* ;
@@ -209,9 +210,10 @@ class JavaScript(Language):
             g = g.replace(k + " ", _TS[k] + " " if self.typed else "").replace(k + ")", _TS[k] + ")" if self.typed else ")")
         super().__init__(g)
         kw = self.kw
-        endable = "a0" + STR + TPL + INC + "!" * self.typed + GROUP + "".join(kw[w] for w in kw if w not in ("case", "const", "delete", "do", "else", "export", "extends", "for", "function", "if", "import", "in", "instanceof", "new", "switch", "throw", "try", "typeof", "var", "void", "while", "with", "class", "of", "let"))
-        follow = re.escape(".,)]}?:+-*/%&|^=<>") + CMP + ASG + ARR + TPL + GROUP + "".join(kw[w] for w in ("else", "catch", "finally", "in", "instanceof", "extends") + (("as", "satisfies", "implements") if self.typed else ()))
+        endable = "a0" + STR + TPL + INC + "!" * self.typed + GROUP + "".join(kw[w] for w in kw if w not in ("case", "const", "delete", "do", "else", "export", "extends", "for", "function", "if", "import", "in", "instanceof", "new", "switch", "throw", "try", "typeof", "var", "while", "with", "class", "of", "let") and (self.typed or w != "void"))
+        follow = re.escape(".,)]}?:+-*/%&|^=<>") + CMP + ASG + ARR + TPL + GROUP + "".join(kw[w] for w in ("catch", "finally", "in", "instanceof", "extends") + (("as", "satisfies", "implements") if self.typed else ()))
         self.newline = re.compile(f"(?<=[{endable}])\n+(?=[^{follow};\n])")
+        self.before_else = re.compile(f"([{GROUP}])\x01(?={kw['else']})")
 
     def token(self, m):
         i = m.lastindex
@@ -228,8 +230,14 @@ class JavaScript(Language):
             return (self.kw.get(head, head)) + STR
         return "\n" if "\n" in m.group() else " "
 
+    def semicolons(self, s: str) -> str:
+        """Line ends that end a statement as ``;``, the others dropped. A line end before ``else`` does so unless a block went before."""
+        s = self.newline.sub("\x01", s.strip("\n")).replace("\n", "")
+        s = self.before_else.sub(lambda m: m.group(1) if self.g.masks[m.group(1)] & self.blocky else m.group(), s)
+        return s.replace("\x01", ";")
+
     def split(self, s: str) -> list[str]:
-        s = self.newline.sub(";", s.strip("\n")).replace("\n", "")
+        s = self.semicolons(s)
         # Only brace groups end a statement; which groups are braces shows in their readings.
         out, at = [], 0
         blocky, masks, n = self.blocky, self.g.masks, len(s)
@@ -258,7 +266,7 @@ class JavaScript(Language):
         out = {
             "(": [("Args", L("Arg", whole="ArgList")), ("Paren", comma), ("Params", L("Param", whole="ParamList")), ("ForHead", W("ForHead"))],
             "[": [("Array", L("Elem", holes=True, whole="ArgList")), ("Index", comma)],
-            "{": [("Block", self.pieces("Stmt", "Seq")), ("Object", L("Prop", whole="Props")), ("ClassBody", self.pieces("Member")), ("Names", L("NameItem")), ("SwitchBody", lambda s: g.derives("Switch", self.newline.sub(";", s).replace("\n", "")))],
+            "{": [("Block", self.pieces("Stmt", "Seq")), ("Object", L("Prop", whole="Props")), ("ClassBody", self.pieces("Member", "Members")), ("Names", L("NameItem")), ("SwitchBody", lambda s: g.derives("Switch", self.semicolons(s)))],
         }
         if self.typed:
             out["("].append(("TParen", W("Type")))
@@ -267,7 +275,7 @@ class JavaScript(Language):
         return out
 
     def _members(self, s: str) -> bool:
-        s = self.newline.sub(";", s.strip("\n")).replace("\n", "")
+        s = self.semicolons(s)
         parts = re.findall(r"[^;,]*[;,]|[^;,]+$", s)
         return all(self.g.derives("TMember", p) for p in set(parts)) or self.g.derives("TMembers", s)
 

@@ -66,7 +66,7 @@ def judge(df: DataFrame, id_col: str = "module_id", text_col: str = "content") -
     kind = dict(df.dtypes)[id_col]
     src = (
         df.where(F.length(text_col) > 0)
-        .select(F.col(id_col).alias("id"), "repo", extension().alias("language"), F.col(text_col).alias("t"))
+        .select(F.col(id_col).cast("string").alias("id"), F.col("repo").cast("string"), extension().alias("language"), F.col(text_col).alias("t"))
         .where(F.col("language").isin(list(LANGUAGES)))
     )
 
@@ -74,7 +74,7 @@ def judge(df: DataFrame, id_col: str = "module_id", text_col: str = "content") -
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "repo": b["repo"], "language": b["language"], "valid": [parses(x, t) for x, t in zip(b["language"], b["t"])]})
 
-    return src.mapInPandas(run, f"id {kind}, repo string, language string, valid boolean").withColumnRenamed("id", id_col)
+    return src.mapInPandas(run, "id string, repo string, language string, valid boolean").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def invalid_rates(judged: DataFrame) -> DataFrame:
