@@ -256,7 +256,7 @@ def score_text(text: str | None) -> tuple[float, str]:
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, score, kind) per document; a score of at least 1 is a case."""
     types = dict(df.dtypes)
-    src = df.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("t"))
+    src = df.select(F.col(id_col).cast("string").alias("id"), *keep, F.col(text_col).alias("t"))
 
     def run(batches):
         for b in batches:
@@ -264,7 +264,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pd.DataFrame({"id": b["id"], **{k: b[k] for k in keep}, "score": [g[0] for g in got], "kind": [g[1] for g in got]})
 
     cols = "".join(f", `{k}` {types[k]}" for k in keep)
-    return src.mapInPandas(run, f"id {types[id_col]}{cols}, score double, kind string").withColumnRenamed("id", id_col)
+    return src.mapInPandas(run, f"id string{cols}, score double, kind string").withColumn("id", F.col("id").cast(types[id_col])).withColumnRenamed("id", id_col)
 
 
 def rates(scored: DataFrame) -> DataFrame:

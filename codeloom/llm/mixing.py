@@ -94,9 +94,9 @@ def mix(docs: DataFrame, targets: DataFrame, vocab: str | None = None, total_tok
                             F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("cap")).where("source is not null")
     wanted = wanted.groupBy("source").agg(F.sum("share").alias("target_share"), F.max("cap").alias("max_repeats"))
     goal = {r["source"]: (r["target_share"], r["max_repeats"]) for r in wanted.collect()}  # one row per listed source
-    listed = docs.select(F.col(id_col).alias("id"), fold_source(F.col(source_col)).alias("source"), F.col(text_col).alias("text")).where(
+    listed = docs.select(F.col(id_col).cast("string").alias("id"), fold_source(F.col(source_col)).alias("source"), F.col(text_col).alias("text")).where(
         F.col("source").isin(list(goal)) & (F.length("text") > 0)) if goal else docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("false")
+        F.col(id_col).cast("string").alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("false")
     sized = cut(count_tokens(listed, vocab).where("tokens > 0"))
     per_source = {r["source"]: (r["n"], r["t"]) for r in sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()}
     x = plan_totals({s: t for s, (_, t) in per_source.items()}, goal, total_tokens)
@@ -128,4 +128,4 @@ def mix(docs: DataFrame, targets: DataFrame, vocab: str | None = None, total_tok
     report = report.join(F.broadcast(whole), F.lit(True)).select(
         "source", "target_share", "max_repeats", "source_tokens", "records", "used_tokens", "most_copies",
         F.coalesce(F.col("used_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
-    return records.withColumnRenamed("id", id_col), report
+    return records.withColumn("id", F.col("id").cast(dict(docs.dtypes)[id_col])).withColumnRenamed("id", id_col), report

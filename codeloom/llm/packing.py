@@ -79,7 +79,7 @@ def pack(df: DataFrame, capacity: int, id_col: str = "module_id", text_col: str
         F.when((size % capacity > 0) | (size == 0), F.array((size % capacity).cast("long"))).otherwise(F.array().cast("array<bigint>")),
     )
     units = cut(
-        df.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.posexplode(parts).alias("part_no", "tokens"))
+        df.select(F.col(id_col).alias("id"), F.col(name_col).cast("string").alias("name"), F.posexplode(parts).alias("part_no", "tokens"))
         .withColumn("salt", F.pmod(F.xxhash64("id", "part_no", "name"), F.lit(salts)).cast("int"))
     )
     cells = cut(units.where("tokens > 0").groupBy("tokens", "salt").agg(F.count("*").alias("n")))
@@ -113,10 +113,10 @@ def pack(df: DataFrame, capacity: int, id_col: str = "module_id", text_col: str
         units.where("tokens > 0")
         .withColumn("k", F.row_number().over(Window.partitionBy("tokens", "salt").orderBy("id", "part_no")) - 1)
         .join(offsets, ["tokens", "salt"])
-        .select("id", "name", "part_no", "tokens", (F.col("off") + F.col("k")).alias("r"))
+        .select(F.col("id").cast("string").alias("id"), "name", "part_no", "tokens", (F.col("off") + F.col("k")).alias("r"))
     )
     kind = dict(df.dtypes)[id_col]
-    placed = ranked.mapInPandas(deal, f"id {kind}, name string, part_no int, tokens long, bin_id long")
+    placed = ranked.mapInPandas(deal, "id string, name string, part_no int, tokens long, bin_id long").withColumn("id", F.col("id").cast(kind))
     riders = units.where("tokens = 0").select("id", "name", "part_no", "tokens", F.pmod(F.xxhash64("id", "name"), F.lit(bins)).cast("long").alias("bin_id"))
     return placed.unionByName(riders).withColumnRenamed("id", id_col).withColumnRenamed("name", name_col)
 

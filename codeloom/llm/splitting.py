@@ -103,7 +103,7 @@ def split_oversized(df: DataFrame, max_tokens: int, overlap_tokens: int, id_col:
     limit, overlap = 4 * int(max_tokens), 4 * int(overlap_tokens or 0)
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be smaller than the limit")
-    big = df.where(F.floor(F.length(text_col) / 4) > int(max_tokens)).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    big = df.where(F.floor(F.length(text_col) / 4) > int(max_tokens)).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
 
     def cut(batches):
         for b in batches:
@@ -115,4 +115,4 @@ def split_oversized(df: DataFrame, max_tokens: int, overlap_tokens: int, id_col:
                 )
 
     kind = dict(df.dtypes)[id_col]
-    return big.mapInPandas(cut, f"id {kind}, piece_no int, start_char long, end_char long, tokens int, piece string").withColumnRenamed("id", id_col)
+    return big.mapInPandas(cut, "id string, piece_no int, start_char long, end_char long, tokens int, piece string").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
