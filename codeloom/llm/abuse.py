@@ -144,7 +144,10 @@ def clean(text: str) -> str:
         text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) not in ("Cf", "Mn") or c == "\n").translate(_CONFUSABLE)
 
     def join(m: re.Match) -> str:
-        return re.sub(r"[ .\-_]", "", m.group(0))
+        word = re.sub(r"[ .\-_]", "", m.group(0))
+        if word[0] in "aAiI" and match_word(word) is None and match_word(word[1:]):
+            return word[0] + " " + word[1:]  # "a m o r o n": the article is no part of the word
+        return word
 
     return re.sub(r"[ \t]{2,}", " ", _SPACED.sub(join, text))
 
