@@ -112,7 +112,7 @@ def _name_kind(words: list[str]) -> str | None:
     if not words:
         return None
     last, before = words[-1], words[-2] if len(words) > 1 else ""
-    if last in ("password", "passwd", "passphrase", "passwort", "pwd", "pass"):
+    if last in ("password", "passwd", "passphrase", "passwort", "pwd", "pass") or last.endswith(("password", "passwd", "passphrase")):
         return "password"
     if last in ("secret", "secrets", "credential", "credentials") or (last in ("bytes", "value", "hex") and before in ("secret", "key", "password", "token")):
         return "secret"
@@ -148,7 +148,7 @@ def _value(text: str, at: int, end: int, kind: str):
         if m.group(0)[0] in "\"`'" and ("#{" in v or "${" in v):
             return None
         return m.span(g) if _good(kind, v) else None
-    call = re.compile(r"[A-Za-z_][\w.:]*(?:\[[\"'][^\"']*[\"']\])?(?:[(]|[ \t]*(?:\|\||\?\?|or)[ \t]*|\.)").match(text, at, line_end)
+    call = re.compile(r"[A-Za-z_][\w.:]*(?:\[[\"'][^\"']*[\"']\])?(?:[(]|[ \t]*(?:\|\||\?\?)[ \t]*|[ \t]+or[ \t]+|\.)").match(text, at, line_end)
     if call or first in "({[|" and first:
         found = list(_QUOTED.finditer(text, at, line_end))
         if call and re.search(r"(?i)env|get|fetch|config|lookup|read|setting|option|argv|arg", call.group(0)) and "(" in call.group(0):
@@ -166,7 +166,7 @@ def _value(text: str, at: int, end: int, kind: str):
     if not m:
         return None
     v = m.group(0).rstrip(".,")
-    rest = text[m.end() : line_end]
+    rest = text[m.end() : line_end].rstrip("\r")
     if rest.startswith(("(", "[")) or re.match(r"[ \t]*[;]?[ \t]*$|[ \t]*[#,\"'`\\]|[ \t]", rest) is None:
         return None
     if re.fullmatch(r"[A-Za-z_$][\w$]*(?:[.:]+[A-Za-z_$][\w$]*)+(?:\(\))?", v) and not strong(v):

@@ -37,6 +37,7 @@ def test_found():
         'k = os.getenv("PROVIDER_KEY", "AIza' + "Ezjinb5gYkZvQuFK16EmuEHG2n6pPiuag" + '")', "SECRET_BYTES = bytes.fromhex('e2ff10c44949e54c46d199a0dde9b21c')", "Set `API_KEY` to `" + KEY + "` first", 'CHAIN = "groq:m-8b:gsk_7gKEwkSFgqtK6ImcC3e8vRsQ9G1FMKEL"',
     ):
         assert lines(text), text
+    assert lines("a=1\r\nSMTP_PWD=voucher-merge-journal-331\r\nb=1\r\n") == [2] and lines("# mysqldump --password=Cursor!Parcel55 x") and lines("PGPASSWORD=R0KGNZmfoP4uKQ psql")
     assert lines("a\n" + PEM + "\nb") == [2]
     assert lines('k = "' + PEM.replace("\n", "\\n") + '"') == [1]
 
