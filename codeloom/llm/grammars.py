@@ -744,12 +744,11 @@ class Python(Language):
             stack[-1][1].append("B")
         return ok
 
-    _UNITS = re.compile(r"[silt]|d*h|m")
+    _UNITS = re.compile(r"s|m.?|[ilt][^silthdm]*|d*h.?|d+")
 
     def suite(self, s: str) -> bool:
-        if s and not self._UNITS.match(s):
-            return False
-        return all(self.g.derives("Unit", u) for u in set(re.findall(r"s|m.?|[ilt][^silthdm]*|d*(?:h.?)?", s)) if u)
+        units = self._UNITS.findall(s)
+        return sum(map(len, units)) == len(s) and all(self.g.derives("Unit", u) for u in set(units))
 
 
 RUBY_GRAMMAR = r"""

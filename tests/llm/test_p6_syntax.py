@@ -43,7 +43,7 @@ GOOD = {
     "rs": ["use std::{a::b, c as d};\n#[derive(Debug)]\npub struct A<'a, T: B + 'a> where T: C { pub x: &'a [T], y: Vec<Vec<u8>> }\nimpl<'a, T> D for A<'a, T> { fn f(&mut self, g: impl Fn(u32) -> u32) -> Result<(), Box<dyn E>> { let x = match self.y { Some(ref a) if *a > 1 => a?, K::L { m, .. } | N(_) => { return Err(x.into()) } _ => 0..=5, }; for (i, v) in x.iter().enumerate() { v.z += 1; } if let Some(q) = r { } else if s { } loop { break 'o; } Ok(()) } }\nconst S: &str = r#\"<<<<<<< \"#;\nenum F { A, B(u8), C { d: i32 } }\nfn m() -> u8 { println!(\"{}\", 'c'); let t = A { x: &[1, 2; ][..], ..d }; t.0 as u8 }\n".replace("[1, 2; ]", "[1, 2]")],
 }
 BAD = {
-    "py": ["def f(:\n", "x = (1\n", "x = 1\n  y = 2\n", "if x:\n", "print 'a'\n", "<<<<<<< HEAD\nx = 1\n", "try:\n    pass\n", "x = “a”\n", "def f():\nreturn 1\n", "class A\n    pass\n", "a = = 1\n", "except E, e:\n  pass\n", "x = 'a\n", "for x y:\n  pass\n"],
+    "py": ["def f(:\n", "x = (1\n", "x = 1\n  y = 2\n", "if x:\n", "print 'a'\n", "<<<<<<< HEAD\nx = 1\n", "try:\n    pass\n", "x = “a”\n", "def f():\nreturn 1\n", "class A\n    pass\n", "a = = 1\n", "except E, e:\n  pass\n", "x = 'a\n", "for x y:\n  pass\n", "def f():\n    a = 1\n    else:\n        pass\n", "elif x:\n  pass\n", "@d\nx = 1\n", "try:\n  pass\nelse:\n  pass\n"],
     "json": ["", "{'a': 1}", "{\"a\": 1,}", "[1 2]", "{\"a\" 1}", "01", "// c\n{}", "[1", "nan"],
     "js": ["const = 1;", "function (a { }", "a = = b;", "if (a {", "class A { x( }", "<<<<<<< HEAD\na\n=======\nb\n>>>>>>> x\n", "let a = 'x", "}", "def f(x):\n    return 1\n", "x = [1, 2", "return [x for x in y]", "const a = “b”;", "interface A { x: string }", "for (a of) {}", "foo(a b)"],
     "ts": ["const x: = 1;", "interface A { b: ; }", "function f(a: number {", "let a: string = ;", "class { x: number", "type A = ;"],
