@@ -123,6 +123,42 @@ def call_pairs(parsed: DataFrame, scope: list[str]) -> DataFrame:
     return parsed.select(*scope, F.explode("calls").alias("caller", "to")).select(*scope, "caller", F.explode("to").alias("callee")).distinct()
 
 
+_BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Assert, ast.comprehension)
+_OTHER_BRANCH = re.compile(r"\b(?:if|for|while|case|catch|elsif|when|rescue|unless)\b|&&|\|\||\?(?![.?:])")
+
+
+def cyclomatic(ext: str, text: str | None) -> int:
+    """Sum over functions of one plus their branches: exact for Python, by keywords for other languages, 0 if unparsed."""
+    if not text:
+        return 0
+    if PARSED.get(ext or "") == "py":
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                tree = ast.parse(text.lstrip("\ufeff"))
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return 0
+        n = sum(isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)) for x in ast.walk(tree))
+        inside = [x for f in ast.walk(tree) if isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)) for x in f.body]
+        seen = {id(y): y for x in inside for y in ast.walk(x)}
+        return n + sum(isinstance(y, _BRANCH) for y in seen.values()) + sum(len(y.values) - 1 for y in seen.values() if isinstance(y, ast.BoolOp))
+    got = parse(ext, text)
+    return len(got["functions"]) + len(_OTHER_BRANCH.findall(text)) if got["functions"] else 0
+
+
+def complexity(parsed: DataFrame, files: DataFrame, key: list[str], text: str = "content") -> DataFrame:
+    """(key..., complexity): tokens + 10 per import + 5 per function + 3 per cyclomatic unit (the heat map's score)."""
+    types = dict(files.dtypes)
+    src = files.select(*key, F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("_ext"), F.col(text).alias("_text"))
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({**{k: b[k] for k in key}, "cc": [cyclomatic(e, t) for e, t in zip(b["_ext"], b["_text"])]})
+
+    cc = src.mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in key) + ", cc long")
+    return parsed.join(files.select(*key, "tokens"), key).join(cc, key).select(*key, (F.coalesce("tokens", F.lit(0)) + 10 * F.size("imports") + 5 * F.size("functions") + 3 * F.col("cc")).alias("complexity"))
+
+
 def resolve_imports(parsed: DataFrame, known: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, path, position, target): each import's first candidate file that exists in its scope."""
     from codeloom.functions.text import js_candidates, js_import, python_candidates, python_import

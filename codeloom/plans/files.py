@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import paths as P
 from codeloom.functions import scoring as S
 from codeloom.functions import text as T
-from codeloom.operators import batching, cache, context, parse, reports, search, symbols
+from codeloom.operators import batching, cache, context, parse, reports, search, summarize, symbols
 from codeloom.operators.graph import clean_links, clean_nodes, degrees, directed
 from codeloom.plans import files_sql
 from codeloom.session import table
@@ -291,8 +291,57 @@ def repo_snapshot(spark, d):
     return s.select("repo", "timestamp", F.size("files").alias("files"), F.size("links").alias("links"))
 
 
+def complexity_heatmap(spark, d):
+    m = _modules(spark, d)
+    return parse.complexity(parse.parse_files(m, ["module_id"]), m, ["module_id"])
+
+
+def import_graph(spark, d):
+    """Import edges of each repository, resolved from its own sources."""
+    p = _parsed(spark, d)
+    n = p.select("repo", "path", F.col("module_id").alias("id"))
+    return parse.import_links(parse.resolve_imports(p, n, ["repo"]), n, ["repo"])
+
+
+def file_analyses(spark, d):
+    """Analyses by content hash where a document has one, else by the stub model, poor ones asked again."""
+    p = _parsed(spark, d).drop("imports", "exports", "calls").join(_modules(spark, d).select("module_id", "tokens", "content", "content_hash"), "module_id")
+    prompt = reports.analysis_prompt(F.col("path"), F.col("functions"), F.col("classes"), F.array().cast("array<string>"), F.substring("content", 1, 3000))
+    seen = _docs(spark, d).where("source = 'file_analysis'").select("repo", P.slashes(F.col("path")).alias("path"), F.col("text").alias("analysis")).join(p.select("repo", "path", "content_hash"), ["repo", "path"])
+    return summarize.analyse(p.withColumn("prompt", prompt), seen.select("content_hash", "analysis")).select("repo", "path", "from_cache", F.round("quality", 6).alias("quality"))
+
+
+def repo_synthesis(spark, d):
+    a = _docs(spark, d).where("source = 'file_analysis' and text is not null").select("repo", F.concat("path", F.lit("#"), "doc_id").alias("path"), F.col("text").alias("analysis"))
+    return summarize.synthesis(a).select("repo", "batches")
+
+
+def well_documented(spark, d):
+    n = clean_nodes(table(spark, d, "nodes")).join(_texts(spark, d), ["repo", "path"])
+    return n.where(summarize.well_documented(P.suffix(F.col("path")), F.col("content"), F.col("functions"))).select("id")
+
+
+def scaffold_prompts(spark, d):
+    s = summarize.scaffold_prompts(coverage_gap(spark, d), _texts(spark, d), ["repo", "path"])
+    return s.groupBy("repo", summarize.scaffold_name(F.col("path")).alias("name")).agg(F.count("*").alias("files"), F.max("path").alias("last"))
+
+
+def executive_report(spark, d):
+    n = clean_nodes(table(spark, d, "nodes"))
+    links = clean_links(table(spark, d, "links")).join(n.select(F.col("id").alias("source"), "repo"), "source")
+    return summarize.executive(n, links)
+
+
+def tail_lines(spark, d):
+    """The last 200 lines of the longest text of each source."""
+    t = _docs(spark, d).where("source is not null and text is not null").groupBy("source").agg(F.max_by("text", F.struct(F.length("text"), F.col("doc_id"))).alias("text"))
+    lines = F.split("text", "\n")
+    return t.select("source", F.size(lines).alias("lines"), F.sha2(F.array_join(F.slice(lines, F.greatest(F.size(lines) - 199, F.lit(1)), F.lit(200)), "\n"), 256).alias("tail_hash"))
+
+
 QUERIES = {f.__name__: f for f in (
     scan_filter, code_files, token_totals, content_hash_dedup, cache_lookup, cache_upsert, cache_latest, path_roles, file_tier, refactor_eligible, refactor_batches, chunk_batches, merge_refactored, symbol_refs,
     dead_symbols, dead_totals, coverage_gap, coverage_pct, parse_structure, coverage_with_calls, import_resolve, python_imports, context_score, context_budget, context_ranked, tokens_share, vector_topk, vector_topk_batch,
-    embed_documents, answer_quality, think_strip, fence_strip, marker_blocks, md_line_class, url_parse, url_redact, chain_parse, provider_of, severity_lines, node_substring, repo_json, dead_report, gap_report, analysis_prompts, repo_snapshot)}
+    embed_documents, answer_quality, think_strip, fence_strip, marker_blocks, md_line_class, url_parse, url_redact, chain_parse, provider_of, severity_lines, node_substring, repo_json, dead_report, gap_report, analysis_prompts, repo_snapshot,
+    complexity_heatmap, import_graph, file_analyses, repo_synthesis, well_documented, scaffold_prompts, executive_report, tail_lines)}
 ORACLES = files_sql.ORACLES

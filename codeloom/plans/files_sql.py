@@ -102,4 +102,13 @@ FROM (SELECT line, trim(line, ' ') AS s FROM (SELECT unnest(string_split(text, c
     "repo_snapshot": _M + _N + """, l AS (SELECT DISTINCT source, target FROM links WHERE target IS NOT NULL AND source <> target),
 p AS (SELECT n.repo, count(DISTINCT (n.path, t.path)) AS links FROM l JOIN n ON n.id = l.source JOIN n t ON t.id = l.target GROUP BY n.repo)
 SELECT n.repo, '2026-01-01T00:00:00Z' AS timestamp, count(DISTINCT path) AS files, coalesce(any_value(p.links), 0) AS links FROM n LEFT JOIN p ON p.repo = n.repo GROUP BY n.repo""",
+    "repo_synthesis": "SELECT repo, CAST(ceil(count(*) / 10.0) AS BIGINT) AS batches FROM documents WHERE source = 'file_analysis' AND text IS NOT NULL GROUP BY repo",
+    "scaffold_prompts": _M + _COV + r""", g AS (SELECT DISTINCT repo, path FROM cov WHERE status = 'gap' AND (repo, path) IN (SELECT (repo, path) FROM m))
+SELECT repo, 'tests_generated/test_' || regexp_replace(regexp_extract(path, '[^/]*$'), '\.\w+$', '') || '.py' AS name, count(*) AS files, max(path) AS "last" FROM g GROUP BY 1, 2""",
+    "executive_report": _M + _N + """, l AS (SELECT DISTINCT source, target FROM links WHERE target IS NOT NULL AND source <> target),
+f AS (SELECT repo, count(*) AS files, sum(tokens) AS tokens FROM n GROUP BY repo), e AS (SELECT n.repo, count(*) AS edges FROM l JOIN n ON n.id = l.source GROUP BY n.repo),
+r AS (SELECT f.*, coalesce(e.edges, 0) AS edges, CASE WHEN tokens >= 50000 THEN 'large' ELSE 'standard' END AS size_class FROM f LEFT JOIN e USING (repo))
+SELECT *, repo || ': ' || files || ' files, ' || tokens || ' tokens, ' || edges || ' import edges (' || size_class || ')' AS prompt FROM r""",
+    "tail_lines": """WITH t AS (SELECT source, arg_max(text, (length(text), doc_id)) AS text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY source), s AS (SELECT source, string_split(text, chr(10)) AS l FROM t)
+SELECT source, len(l) AS lines, sha256(array_to_string(l[greatest(len(l) - 199, 1):len(l)], chr(10))) AS tail_hash FROM s""",
 }
