@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
+
 THRESHOLD = 1.0
 
 # The lexicon (fixed values): term -> class. INS insult noun, ADJ demeaning adjective, SEX sexual, HATE group slur, VUL vulgarity.
@@ -182,8 +184,28 @@ PHRASES = [re.compile(p, re.I) for p in (
 _BENIGN_PHRASE = re.compile(r"(?i)\b(?:keep the column|in the census|women in tech|meetup|explicit (?:\w+ ){0,2}(?:cast|conversion|flag|check|import|type|error|images get)|adult flag|sex and|age, sex|get removed within|the moderation|blocklist|\"shut up)\b")
 
 
+# Every phrase above holds one of these words (checked in the tests); a sentence without them and without a term scores 0.
+TRIGGERS = set(
+    "you your yourself urself ur u kys die dies hang ditch truck bus car train without piece fuck off stfu hell trash garbage monkey parents nobody asked brain braindamaged damaged job our naked nude nudes sex xxx adult horny wet suck sexy bed lap undress "
+    "fresse klappe maul schnauze verpiss fick hau bring mist cállate callate lárgate mierda puta mátate dégage gueule faire merde pute vaffanculo morire vermin send rid subhuman gaskammer raus watch porn nud pics those these typical "
+    "women men girls gays gay lesbians trans transgender immigrants migrants refugees foreigners disabled old poor fat muslims jews christians hindus blacks black white asians africans mexicans arabs gypsies homosexuals believers people "
+    "ausländer flüchtlinge frauen juden muslime schwule behinderte extranjeros inmigrantes mujeres refugiados étrangers immigrés femmes réfugiés life throat wrists breathing".split()
+)
+_ALPHA = re.compile(r"[^\W\d_]+")
+
+
+@functools.lru_cache(maxsize=400_000)
+def interesting(token: str) -> bool:
+    """Whether a blank-separated token can matter to the score at all."""
+    if any(w in TRIGGERS for w in _ALPHA.findall(token.lower())) or "*" in token:
+        return True
+    return any(match_word(m.group(0)) or "." in m.group(0) and any(match_word(p) for p in m.group(0).split(".") if len(p) > 4) for m in _WORDISH.finditer(token))
+
+
 def score_sentence(sentence: str) -> tuple[float, str]:
     """(weight, class) of one canonicalised sentence."""
+    if not any(map(interesting, sentence.split())):
+        return 0.0, ""
     s = _LINE_HEAD.sub("", sentence.strip())
     if len(s) < 3:
         return 0.0, ""
@@ -267,7 +289,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pd.DataFrame({"id": b["id"], **{k: b[k] for k in keep}, "score": [g[0] for g in got], "kind": [g[1] for g in got]})
 
     cols = "".join(f", `{k}` {types[k]}" for k in keep)
-    return src.mapInPandas(run, f"id string{cols}, score double, kind string").withColumn("id", F.col("id").cast(types[id_col])).withColumnRenamed("id", id_col)
+    return spread(src).mapInPandas(run, f"id string{cols}, score double, kind string").withColumn("id", F.col("id").cast(types[id_col])).withColumnRenamed("id", id_col)
 
 
 def rates(scored: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import cut
+from codeloom.session import cut, spread
 
 GRAM, WINDOW, BLOCK = 64, 32, 1 << 20
 
@@ -234,7 +234,7 @@ def classify(df: DataFrame, min_repos: int = 3, share: float = 0.75, id_col: str
             texts = b["content"].tolist()
             yield pd.DataFrame({"id": b["id"], "repo": b["repo"], "kind": [kinds(p, t) for p, t in zip(b["path"], texts)], "fps": fingerprints(texts)})
 
-    read = cut(src.mapInPandas(run, "id string, repo string, kind string, fps array<long>"))
+    read = cut(spread(src).mapInPandas(run, "id string, repo string, kind string, fps array<long>"))
     grams = read.select("id", "kind", F.expr("shiftleft(1L, cast(pmod(xxhash64(repo), 64) as int))").alias("bit"), F.explode("fps").alias("fp"))
     common = grams.groupBy("fp").agg(F.bit_or("bit").alias("repos")).where(F.bit_count("repos") >= min_repos).select("fp")
     copied = grams.where("kind is null").select("id", "fp").join(common, "fp", "left_semi").groupBy("id").agg(F.count("*").alias("n_common"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.tokens import count_tokens
-from codeloom.session import cut
+from codeloom.session import cut, spread
 
 GROUP = 20_000
 FAN_IN = 4_096
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, targets: DataFrame, vocab: str | None = None, total_tok
     listed = docs.select(F.col(id_col).cast("string").alias("id"), fold_source(F.col(source_col)).alias("source"), F.col(text_col).alias("text")).where(
         F.col("source").isin(list(goal)) & (F.length("text") > 0)) if goal else docs.select(
         F.col(id_col).cast("string").alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("false")
-    sized = cut(count_tokens(listed, vocab).where("tokens > 0"))
+    sized = cut(count_tokens(spread(listed), vocab).where("tokens > 0"))
     per_source = {r["source"]: (r["n"], r["t"]) for r in sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()}
     x = plan_totals({s: t for s, (_, t) in per_source.items()}, goal, total_tokens)
     rates = F.create_map(*[F.lit(v) for s, q in x.items() for v in (s, float(q))]) if x else None

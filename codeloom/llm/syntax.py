@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
+
 LANGUAGES = {"py": "Python", "js": "JavaScript", "ts": "TypeScript", "go": "Go", "java": "Java", "rb": "Ruby", "rs": "Rust", "json": "Json"}
 
 
@@ -74,7 +76,7 @@ def judge(df: DataFrame, id_col: str = "module_id", text_col: str = "content") -
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "repo": b["repo"], "language": b["language"], "valid": [parses(x, t) for x, t in zip(b["language"], b["t"])]})
 
-    return src.mapInPandas(run, "id string, repo string, language string, valid boolean").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    return spread(src).mapInPandas(run, "id string, repo string, language string, valid boolean").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def invalid_rates(judged: DataFrame) -> DataFrame:

@@ -48,3 +48,9 @@ def test_operator_and_rates(spark):
     assert rows(df.where("score >= 1").select("doc_id").distinct()) == [(1,), (2**60 + 1,), (5,)]
     assert {r["source"]: (r["documents"], r["abusive"]) for r in A.rates(df).collect()} == {"review_comment": (3, 2), "unknown": (2, 1), "x": (3, 1)}
     assert A.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_quick_way_out_changes_nothing(monkeypatch):
+    quick = [A.score_text(s) for s in ABUSE + FINE]
+    monkeypatch.setattr(A, "interesting", lambda token: True)
+    assert [A.score_text(s) for s in ABUSE + FINE] == quick
