@@ -192,14 +192,35 @@ TRIGGERS = set(
     "ausländer flüchtlinge frauen juden muslime schwule behinderte extranjeros inmigrantes mujeres refugiados étrangers immigrés femmes réfugiés life throat wrists breathing".split()
 )
 _ALPHA = re.compile(r"[^\W\d_]+")
+# Words too common to tell phrases apart; a phrase is only searched if the sentence holds another of its words.
+_COMMON = set("a am an and are at b be better by d die du end every from g get go going have i in is it live ll made make me must my no not of off on one or our out s send so some spec that the them they this to too u ur was we who will with you your".split())
+_PHRASE_WORDS = [frozenset(_ALPHA.findall(re.sub(r"\\[A-Za-z]", " ", p.pattern.lower()))) - _COMMON for p in PHRASES]
+_ALWAYS = [k for k, p in enumerate(PHRASES) if re.search(r"\\bf\(\?:uck|so are you|i know where|go\|just|get out of our|die in a|send them|out of\\b|you look so|stfu|kys", p.pattern)]
+
+
+def find_phrase(text: str) -> re.Pattern | None:
+    have = set(_ALPHA.findall(text.lower()))
+    return next((p for k, p in enumerate(PHRASES) if (k in _ALWAYS or not have.isdisjoint(_PHRASE_WORDS[k])) and p.search(text)), None)
+
+
+_MIXED = re.compile(r"[^\W\d_][0134578@$*]|[0134578@$*][^\W\d_]|\*")
+_KNOWN: dict[str, bool] = {}
+
+
+@functools.lru_cache(maxsize=200_000)
+def word_matters(word: str) -> bool:
+    return word in TRIGGERS or match_word(word) is not None
 
 
-@functools.lru_cache(maxsize=400_000)
 def interesting(token: str) -> bool:
     """Whether a blank-separated token can matter to the score at all."""
-    if any(w in TRIGGERS for w in _ALPHA.findall(token.lower())) or "*" in token:
-        return True
-    return any(match_word(m.group(0)) or "." in m.group(0) and any(match_word(p) for p in m.group(0).split(".") if len(p) > 4) for m in _WORDISH.finditer(token))
+    got = _KNOWN.get(token)
+    if got is None:
+        got = any(map(word_matters, _ALPHA.findall(token.lower()))) or (
+            _MIXED.search(token) is not None and ("*" in token or any(match_word(m.group(0)) for m in _WORDISH.finditer(token))))
+        if "_" not in token and "/" not in token and len(_KNOWN) < 400_000:  # names and paths hardly recur
+            _KNOWN[token] = got
+    return got
 
 
 def score_sentence(sentence: str) -> tuple[float, str]:
@@ -229,7 +250,7 @@ def score_sentence(sentence: str) -> tuple[float, str]:
             hits.append((sum(map(len, canon)) - len(got[0]), *got))
     canon.append(s[at:])
     text = "".join(canon)
-    phrase = next((p for p in PHRASES if p.search(text)), None)
+    phrase = find_phrase(text)
     if phrase is None and not hits:
         return 0.0, ""
     if _BENIGN_PHRASE.search(text):

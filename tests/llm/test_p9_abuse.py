@@ -53,4 +53,5 @@ def test_operator_and_rates(spark):
 def test_the_quick_way_out_changes_nothing(monkeypatch):
     quick = [A.score_text(s) for s in ABUSE + FINE]
     monkeypatch.setattr(A, "interesting", lambda token: True)
+    monkeypatch.setattr(A, "find_phrase", lambda text: next((p for p in A.PHRASES if p.search(text)), None))
     assert [A.score_text(s) for s in ABUSE + FINE] == quick
