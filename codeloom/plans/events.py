@@ -116,4 +116,12 @@ SELECT p AS "primary", row_number() OVER (PARTITION BY p ORDER BY i, pool_pos) -
     "ttl_filter": "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-08'",
     "event_summary": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, min(ts) AS \"first\", max(ts) AS \"last\" FROM events GROUP BY event_type",
     "job_listing": "SELECT user_id, rank, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank <= 10",
+    "rate_admit": """WITH RECURSIVE e AS (SELECT event_type AS k, epoch_us(ts) // 100 AS us, CAST(floor(value) AS BIGINT) AS n, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 100, event_id) AS i FROM events),
+r AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(t BIGINT, n BIGINT)[]) AS kept, CAST(-1 AS BIGINT) AS day, 0 AS used, false AS ok FROM e
+  UNION ALL
+  SELECT k, i, CASE WHEN good THEN list_append(live, struct_pack(t := us, n := n)) ELSE live END, today, used0 + CAST(good AS INT), good
+  FROM (SELECT *, used0 < 1600 AND len(live) < 4 AND NOT (len(live) > 0 AND list_sum(list_transform(live, lambda x: x.n)) + n >= 60) AS good
+    FROM (SELECT e.k, e.i, e.us, e.n, list_filter(r.kept, lambda x: x.t > e.us - 60000000) AS live, e.us // 86400000000 AS today, CASE WHEN r.day = e.us // 86400000000 THEN r.used ELSE 0 END AS used0
+      FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1)))
+SELECT k AS event_type, ok AS admitted, count(*) AS n FROM r WHERE i > 0 GROUP BY k, ok""",
 }

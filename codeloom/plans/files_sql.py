@@ -111,4 +111,14 @@ r AS (SELECT f.*, coalesce(e.edges, 0) AS edges, CASE WHEN tokens >= 50000 THEN
 SELECT *, repo || ': ' || files || ' files, ' || tokens || ' tokens, ' || edges || ' import edges (' || size_class || ')' AS prompt FROM r""",
     "tail_lines": """WITH t AS (SELECT source, arg_max(text, (length(text), doc_id)) AS text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY source), s AS (SELECT source, string_split(text, chr(10)) AS l FROM t)
 SELECT source, len(l) AS lines, sha256(array_to_string(l[greatest(len(l) - 199, 1):len(l)], chr(10))) AS tail_hash FROM s""",
+    "refactor_batches": _M.replace("WITH m", "WITH RECURSIVE m", 1) + """, o AS (SELECT repo, tokens, row_number() OVER (PARTITION BY repo ORDER BY path) AS i FROM y
+  WHERE suffix IN ('.py', '.js', '.ts', '.tsx', '.go', '.rs', '.java', '.rb') AND tokens BETWEEN 1 AND 5500 AND length(trim(content, ' ')) > 0),
+r AS (SELECT repo, i, tokens, tokens AS used, 1 AS n, 0 AS batch FROM o WHERE i = 1
+  UNION ALL SELECT o.repo, o.i, o.tokens, CASE WHEN r.used + o.tokens > 1500 OR r.n >= 6 THEN o.tokens ELSE r.used + o.tokens END,
+    CASE WHEN r.used + o.tokens > 1500 OR r.n >= 6 THEN 1 ELSE r.n + 1 END, CASE WHEN r.used + o.tokens > 1500 OR r.n >= 6 THEN r.batch + 1 ELSE r.batch END FROM r JOIN o ON o.repo = r.repo AND o.i = r.i + 1)
+SELECT repo, batch, count(*) AS files, sum(tokens) AS tokens FROM r GROUP BY repo, batch""",
+    "analysis_prompts": _M + _N + """SELECT n.id, sha256('File: ' || n.path || chr(10) || 'Functions: ' || CASE WHEN len(functions) > 0 THEN array_to_string(functions[1:6], ', ') ELSE 'none' END || chr(10) || 'Classes: '
+  || CASE WHEN len(classes) > 0 THEN array_to_string(classes[1:4], ', ') ELSE 'none' END || chr(10) || 'Imports: none' || chr(10) || '```' || chr(10) || substr(m.content, 1, 3000) || chr(10) || '```') AS prompt_hash
+FROM n JOIN m ON m.repo = n.repo AND m.path = n.path""",
+    "repo_json": _M + """SELECT repo, CAST(1 + sum(length('{"path":"' || path || '","tokens":' || tokens || '}') + 1) AS BIGINT) AS chars FROM m GROUP BY repo""",
 }
