@@ -136,6 +136,13 @@ def trim(edges: DataFrame) -> DataFrame:
     return e
 
 
+def _push(colour: DataFrame, edges: DataFrame) -> DataFrame:
+    """Hand the larger colour on along the edges: (node, c, before)."""
+    own = colour.select("node", "c", F.col("c").alias("before"))
+    pushed = edges.join(colour.select("node", "c"), F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c", F.lit(None).cast("int").alias("before"))
+    return own.unionByName(pushed).groupBy("node").agg(F.max("c").alias("c"), F.max("before").alias("before"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Strongly connected components with at least two nodes: (node, component).
 
@@ -146,11 +153,9 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         colour = cut(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")))
         while True:
-            pushed = left.join(colour, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c")
-            nxt = cut(colour.unionByName(pushed).groupBy("node").agg(F.max("c").alias("c")))
-            changed = not nxt.join(colour, ["node", "c"], "left_anti").isEmpty()
-            colour = nxt
-            if not changed:
+            nxt = cut(_push(colour, left))
+            colour = nxt.select("node", "c")
+            if nxt.where("c <> before").isEmpty():
                 break
         inner = left.join(colour.select(F.col("node").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst").where("a = b").select("src", "dst")
         roots = colour.where("node = c").select(F.col("c").alias("origin"), "node")
