@@ -146,7 +146,8 @@ _MARKER = re.compile(
 _VENDOR_NOTE = re.compile(r"(?i)vendored (?:copy|from)|adapted from upstream|taken over unchanged|bundled copy of|imported from upstream|copied (?:verbatim )?from upstream|as long as this notice by the|\(c\) the [\w.-]+ contributors|released under the \w+ terms|send fixes upstream|^[\w.-]+ - version \d+\.\d+|^[\w.@/-]+ v?\d+\.\d+\.\d+$")
 _VENDOR_DIR = re.compile(r"(?i)(?:^|/)(?:vendor|_vendor|vendored|third[_-]?party|3rdparty|node_modules|bower_components|site-packages|external|extern|deps|contrib/bundled|bundled|jspm_packages|Pods|Carthage)/")
 _LOCK = re.compile(r"(?i)(?:^|/)(?:package-lock|npm-shrinkwrap|composer-lock|[\w.-]+\.lock)\.json$|(?:^|/)(?:yarn|cargo|poetry|gemfile|composer|pipfile|flake|mix|pubspec|uv|podfile|packages?|bun)\.lockb?$|(?:^|/)pnpm-lock\.ya?ml$|(?:^|/)go\.sum$|\.lock$")
-_GEN_NAME = re.compile(r"(?i)(?:\.pb\.(?:go|cc|h|rb)|_pb2(?:_grpc)?\.pyi?|\.(?:generated|gen|g)\.\w+|(?:^|/)zz_generated[\w.]*|_generated\.\w+|(?:^|/)__generated__/.*|(?:^|/)generated/.*|(?:^|/)gen/.*)$")
+_GEN_NAME = re.compile(r"(?i)(?:\.pb\.(?:go|cc|h|rb)|_pb2?(?:_grpc)?\.(?:pyi?|[jt]s|rb|d\.ts)|_grpc\.\w+|\.(?:generated|gen|g)\.\w+|(?:^|/)zz_generated[\w.]*|_generated\.\w+|(?:^|/)__generated__/.*|(?:^|/)generated/.*|(?:^|/)gen/.*)$")
+_SERIES = re.compile(r"[A-Za-z]_?(0\d\d)\b")
 _MIN_NAME = re.compile(r"(?i)[.-]min\.(?:js|css|mjs)$|(?:^|/)[\w-]+\.(?:bundle|chunk)\.js$")
 
 
@@ -214,6 +215,8 @@ def kinds(path: str | None, text: str) -> str | None:
         return "vendored"
     if _GEN_NAME.search(p):
         return "generated"
+    if "001" in text and len({int(x) for x in _SERIES.findall(text)} & set(range(1, 9))) == 8:  # a numbered series of names
+        return "generated"
     data = data_share(text)
     if data > 0.8 and not re.search(r"(?i)\.(?:md|txt|ya?ml|toml|env|ini|rst|json)$|(?:^|/)\.env$", p):
         return "data"

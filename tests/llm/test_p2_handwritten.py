@@ -47,6 +47,7 @@ def test_kinds_by_path_and_text():
     assert k("t.py", "D = [\n" + "  1, 2, 3, 4, 5,\n" * 80 + "]\n") == "data"
     assert k("t.py", "def f(x):\n    return x\n" * 30 + "ICON = '" + "QUJD" * 80 + "'\n") is None
     assert k(None, "x = 1") is None
+    assert k("a_pb.js", "let a = 1\n") == "generated" and k("a.js", "".join(f"function getX{i:03d}() {{ return {i} }}\n" for i in range(1, 30))) == "generated"
 
 
 def test_copies_need_many_repositories(spark):
