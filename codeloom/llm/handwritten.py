@@ -4,9 +4,9 @@ Third-party copies are found by their content. Every file is fingerprinted by wi
 (white space dropped; identifiers, numbers and signs kept): hashes of all runs of ``gram`` tokens, of which the minimum
 of every ``window`` neighbours is kept. A fingerprint counts as common when files of at least ``min_repos``
 unrelated repositories hold it; a file is a copy if at least two of its fingerprints, and the share ``share`` of
-them, are common. Distinct repositories are counted in a
-64-bit map per fingerprint, so one pre-aggregated shuffle suffices and a fingerprint shared by a third of all files
-costs no more than another. The map undercounts when two repositories share a bit, never overcounts.
+them, are common. Distinct repositories are counted exactly: distinct (fingerprint, repository) pairs first, then pairs
+per fingerprint. Both steps are aggregated before their shuffle, so a fingerprint shared by a third of all files costs
+no more rows than there are repositories.
 
 The other kinds show in a file alone: a marker in its head comment, its name, its line lengths, its share of literals.
 
@@ -238,8 +238,8 @@ def classify(df: DataFrame, min_repos: int = 3, share: float = 0.75, id_col: str
             yield pd.DataFrame({"id": b["id"], "repo": b["repo"], "kind": [kinds(p, t) for p, t in zip(b["path"], texts)], "fps": fingerprints(texts)})
 
     read = cut(spread(src).mapInPandas(run, "id string, repo string, kind string, fps array<long>"))
-    grams = read.select("id", "kind", F.expr("shiftleft(1L, cast(pmod(xxhash64(repo), 64) as int))").alias("bit"), F.explode("fps").alias("fp"))
-    common = grams.groupBy("fp").agg(F.bit_or("bit").alias("repos")).where(F.bit_count("repos") >= min_repos).select("fp")
+    grams = read.select("id", "kind", "repo", F.explode("fps").alias("fp"))
+    common = grams.select("fp", "repo").distinct().groupBy("fp").agg(F.count("*").alias("repos")).where(F.col("repos") >= min_repos).select("fp")
     copied = grams.where("kind is null").select("id", "fp").join(common, "fp", "left_semi").groupBy("id").agg(F.count("*").alias("n_common"))
     left = read.where("kind is null").select("id", F.size("fps").alias("n"))
     vendored = left.join(copied, "id").where((F.col("n_common") >= share * F.col("n")) & (F.col("n_common") >= 2)).select("id", F.lit("copied").alias("kind")).distinct()

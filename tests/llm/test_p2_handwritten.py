@@ -66,3 +66,11 @@ def test_long_text_is_read_in_full():
     whole = set(H.fingerprints([t])[0])
     tail = set(H.fingerprints([t[-20_000:]])[0])
     assert len(tail & whole) > 0.9 * len(tail)
+
+
+def test_repositories_are_counted_exactly(spark):
+    same = [r[0] for r in spark.sql("select concat('r', id) from range(2000) where pmod(xxhash64(concat('r', id)), 64) = 5 limit 3").collect()]
+    data = [(i, r, f"util/x{i}.py", code(7), "k", "i") for i, r in enumerate(same)]
+    assert rows(H.classify(spark.createDataFrame(data, S))) == [(0, "copied"), (1, "copied"), (2, "copied")]
+    assert rows(H.classify(spark.createDataFrame(data[:2] + [(5, None, "y.py", code(7), "k", "i")], S))) == [(0, "copied"), (1, "copied"), (5, "copied")]  # a null repository is one of its own
+    assert rows(H.classify(spark.createDataFrame(data[:2] + [(5, same[0], "y.py", code(7), "k", "i")], S))) == []
