@@ -8,7 +8,8 @@ placeholder or a reference.
 Defined cases
     * null and empty texts give no rows and are redacted to themselves.
     * Lines end at ``\\n``; a carriage return belongs to its line. Positions are code points.
-    * A private key counts once, on its BEGIN line; an armor line without key material is a mention.
+    * Every good literal of an assigned call, tuple or list on its line counts; names are judged by their last 60 characters.
+    * A private key counts once, on its BEGIN line, and reaches to its END whatever its length; an armor line without key material is a mention.
     * Overlapping findings merge into one span per start; the longest wins.
     * Redaction keeps the number of lines, quotes and the class of hexadecimal values, so the code stays intact.
     * Repeated rows and ids are judged each; results are distinct. Empty tables give empty results.
@@ -17,6 +18,7 @@ Defined cases
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections import Counter
@@ -67,9 +69,23 @@ _KEYISH = {"api", "access", "secret", "private", "provider", "service", "deploy"
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 _HEX = re.compile(r"[0-9a-fA-F]{16,}\Z")
+_NESTING = re.compile(_QUOTED.pattern + r"|[\[\](){},;]")
+# Key armor: its next mark, breaks between its lines (also escaped ones, and strings joined in code), header lines, and what stands round a line.
+_ARMOR_MARK = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_JOINT = r"[\"'`][ \t]*[+.,]?[ \t]*\\?(?:\r?\n[ \t]*[+.]?[ \t]*)?[rbfuRBFU]{0,2}[\"'`]"
+_ARMOR_BREAK = re.compile(_JOINT + r"|\\[nr]|\r?\n")
+_ARMOR_TEXT = re.compile(r"[\sA-Za-z0-9+/=:,\-]*")
+_ARMOR_HEADER = re.compile(r"[A-Z][A-Za-z]*(?:-[A-Z][A-Za-z]*)*:[ \t][^\n]*")
+_ARMOR_OPEN = re.compile(r"(?:(?:[ \t\r\n#*/|>]|\\[nr]|" + _JOINT + r")*[A-Z][A-Za-z]*(?:-[A-Z][A-Za-z]*)*:[ \t](?:(?!\\[nr])[^\n\"'`])*)*(?:[\sA-Za-z0-9+/=]|\\[nr]|[#*/|> ]|" + _JOINT + r")*")
+_DECORATION = " \t\r\"'`+,.;#*|>()\\"
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>|]+")
 
 
+_FORMATS, _NAMES = frozenset(FORMAT_TRIGGERS), frozenset(NAMES)
+_LONG, _IDENTIFIER = re.compile(r"[A-Za-z0-9_]{4096}"), re.compile(r"[A-Za-z0-9_]*")
+_NAME = re.compile("|".join(f"[{x[0].upper()}{x[0]}]{x[1:]}|{x.upper()}" for x in NAMES))
+
+
 @functools.lru_cache(maxsize=1)
 def machines():
     import ahocorasick
@@ -133,8 +149,24 @@ def _good(kind: str, v: str) -> bool:
     return strong(v)
 
 
-def _value(text: str, at: int, end: int, kind: str):
-    """(start, end) of a literal credential value that an assignment gives at ``at``, or None."""
+def _extent(text: str, at: int, line_end: int) -> int:
+    """Where the bracketed or joined expression at ``at`` ends: before a bracket it did not open, or a comma or semicolon outside its brackets."""
+    depth = 0
+    for m in _NESTING.finditer(text, at, line_end):
+        c = m.group(0)
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth < 0:
+                return m.start()
+        elif c in ",;" and depth == 0:
+            return m.start()
+    return line_end
+
+
+def _values(text: str, at: int, end: int, kind: str) -> list[tuple[int, int]]:
+    """(start, end) of every literal credential value that an assignment gives at ``at``."""
     line_end = text.find("\n", at, end)
     line_end = end if line_end < 0 else line_end
     first = text[at : at + 1]
@@ -144,45 +176,64 @@ def _value(text: str, at: int, end: int, kind: str):
         g = m.lastindex
         v = m.group(g)
         if v == "" and text[prefix : prefix + 3] in ('"""', "'''"):
-            return None
+            return []
         if m.group(0)[0] in "\"`'" and ("#{" in v or "${" in v):
-            return None
-        return m.span(g) if _good(kind, v) else None
+            return []
+        return [m.span(g)] if _good(kind, v) else []
     call = re.compile(r"[A-Za-z_][\w.:]*(?:\[[\"'][^\"']*[\"']\])?(?:[(]|[ \t]*(?:\|\||\?\?)[ \t]*|[ \t]+or[ \t]+|\.)").match(text, at, line_end)
     if call or first in "({[|" and first:
-        found = list(_QUOTED.finditer(text, at, line_end))
-        if call and re.search(r"(?i)env|get|fetch|config|lookup|read|setting|option|argv|arg", call.group(0)) and "(" in call.group(0):
-            found = found[1:]
-        for m in found[:3]:
+        named = call and re.search(r"(?i)env|get|fetch|config|lookup|read|setting|option|argv|arg", call.group(0)) and "(" in call.group(0)
+        decoded = call and re.search(r"(?i)env|get|fetch|fromhex|from_hex|b64|decode|bytes|str", call.group(0))
+
+        def good(m: re.Match) -> bool:
             v = m.group(m.lastindex)
-            if _good(kind, v) and (strong(v) or kind in ("password", "secret") and weak(v) and not call):
-                return m.span(m.lastindex)
-            if _good(kind, v) and call and re.search(r"(?i)env|get|fetch|fromhex|from_hex|b64|decode|bytes|str", call.group(0)):
-                return m.span(m.lastindex)
-        return None
+            return _good(kind, v) and bool(strong(v) or kind in ("password", "secret") and weak(v) and not call or decoded)
+
+        inside = [m.span(m.lastindex) for m in itertools.islice(_QUOTED.finditer(text, at, _extent(text, at, line_end)), int(bool(named)), None) if good(m)]
+        # Where the expression itself holds none, the next literals of the line are tried.
+        return inside or [m.span(m.lastindex) for m in itertools.islice(_QUOTED.finditer(text, at, line_end), int(bool(named)), 3 + int(bool(named))) if good(m)][:1]
     if first in ("", "\"", "'", "`", "\n"):
-        return None
+        return []
     m = _BARE.match(text, at, line_end)
     if not m:
-        return None
+        return []
     v = m.group(0).rstrip(".,")
     rest = text[m.end() : line_end].rstrip("\r")
     if rest.startswith(("(", "[")) or re.match(r"[ \t]*[;]?[ \t]*$|[ \t]*[#,\"'`\\]|[ \t]", rest) is None:
-        return None
+        return []
     if re.fullmatch(r"[A-Za-z_$][\w$]*(?:[.:]+[A-Za-z_$][\w$]*)+(?:\(\))?", v) and not strong(v):
-        return None
-    return (at, at + len(v)) if _good(kind, v) else None
+        return []
+    return [(at, at + len(v))] if _good(kind, v) else []
+
+
+def _key_line(line: str) -> bool:
+    return _ARMOR_TEXT.fullmatch(line.strip(_DECORATION)) is not None or _ARMOR_HEADER.fullmatch(line.strip(_DECORATION)) is not None
 
 
 def _armor(text: str, at: int, head_end: int):
-    """Span of a private key from its BEGIN to its END (or to where the key material stops)."""
-    body = re.compile(r"(?:[\sA-Za-z0-9+/=:,\-]|\\[nr\\])*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----").match(text, head_end, min(len(text), head_end + 20_000))
-    end = body.end() if body else re.compile(r"(?:[\sA-Za-z0-9+/=]|\\[nr]|[#*/|> ])*").match(text, head_end, min(len(text), head_end + 20_000)).end()
-    material = re.sub(r"\\[nr]|[^A-Za-z0-9+/]", "", re.sub(r"-----.*?-----", "", text[head_end:end]))
+    """Span of a private key from its BEGIN to its END, whatever its length (or to where the key material stops)."""
+    mark = _ARMOR_MARK.search(text, head_end)
+    if mark and mark.group(1) == "END" and all(map(_key_line, _ARMOR_BREAK.split(text[head_end : mark.start()]))):
+        end, stop = mark.end(), mark.start()
+    else:
+        end = stop = _ARMOR_OPEN.match(text, head_end).end()
+    lines = [x for x in _ARMOR_BREAK.split(text[head_end:stop]) if not _ARMOR_HEADER.fullmatch(x.strip(_DECORATION))]
+    material = re.sub(r"[^A-Za-z0-9+/]", "", "".join(lines))
     return (at, end) if len(material) >= 32 and len(set(material)) > 8 else None
 
 
-def _judge(text: str, label: str, at: int, end: int, stop: int):
+def _assigned(text: str, at: int, end: int, stop: int) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the credentials that the name and operator reported from ``at`` to ``end`` are given."""
+    left = re.search(r"[A-Za-z0-9_.\-]*\Z", text[max(0, at - 60) : at]).group(0)
+    head = re.match(r"[A-Za-z0-9_]*", text[at:end]).group(0)
+    name = (left + head).lstrip("-.")
+    kind = _name_kind([w.lower() for w in _WORDS.findall(name)])
+    if kind is None or kind in ("token", "key") and text[end : end + 1] == "{":
+        return []
+    return [(*span, "password" if kind == "password" else "secret") for span in _values(text, end, stop, kind)]
+
+
+def _judge(text: str, label: str, at: int, end: int):
     """(start, end, kind) of the credential that a report of the automaton stands for, or None."""
     before = text[at - 1] if at else " "
     if label == "format":
@@ -208,17 +259,6 @@ def _judge(text: str, label: str, at: int, end: int, stop: int):
         if re.fullmatch(r"(?i)pass(?:word)?|secret|pw|pwd|user|x+", v):
             return None
         return colon + 1, end - 2, "connection_password"
-    if label == "name":
-        left = re.search(r"[A-Za-z0-9_.\-]*\Z", text[max(0, at - 60) : at]).group(0)
-        head = re.match(r"[A-Za-z0-9_]*", text[at:end]).group(0)
-        name = (left + head).lstrip("-.")
-        kind = _name_kind([w.lower() for w in _WORDS.findall(name)])
-        if kind is None:
-            return None
-        if kind in ("token", "key") and text[end : end + 1] == "{":
-            return None
-        span = _value(text, end, stop, kind)
-        return (*span, "password" if kind == "password" else "secret") if span else None
     if label in ("bearer", "basic"):
         start = at + re.match(r"\w+ +", text[at:end]).end()
         v = text[start:end]
@@ -234,6 +274,19 @@ def _judge(text: str, label: str, at: int, end: int, stop: int):
     return None
 
 
+def _moot(text: str, at: int, trigger: str) -> bool:
+    """Whether a run from this trigger is known to give nothing new, which keeps long texts without blanks linear.
+
+    A format is refused inside a word; of the names in a long identifier the last leads to the same value as the others.
+    """
+    if trigger in _FORMATS:
+        before = text[at - 1] if at else " "
+        return before.isalnum() or before in "_+/" or before == "-" and not text[max(0, at - 2) : at - 1].isspace()
+    if trigger in _NAMES and _LONG.match(text, at):
+        return _NAME.search(text, at + 1, _IDENTIFIER.match(text, at).end() if not _NAME.search(text, at + 1, at + 4096) else at + 4096) is not None
+    return False
+
+
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """Sorted, disjoint (start, end, kind) of the credential values in a text."""
     ac, dfa = machines()
@@ -246,10 +299,16 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             chunk = "".join(c if len(c) == 1 else " " for c in map(str.lower, text[base:stop]))
         for last, size in ac.iter(chunk):
             at = base + last + 1 - size
-            for label, end in dfa.run(text, at, min(n, at + 4096)):
-                got = _judge(text, label, at, end, n)
-                if got and (got[0] not in best or best[got[0]][1] < got[1]):
-                    best[got[0]] = got
+            if _moot(text, at, chunk[last + 1 - size : last + 1]):
+                continue
+            limit = n
+            if size == 5 and text.startswith("curl ", at):  # what follows the next command is that command's
+                limit = text.find("curl ", at + size)
+                limit = n if limit < 0 else limit
+            for label, end in dfa.run(text, at, limit):
+                for got in _assigned(text, at, end, n) if label == "name" else [_judge(text, label, at, end)]:
+                    if got and (got[0] not in best or best[got[0]][1] < got[1]):
+                        best[got[0]] = got
         if stop >= n:
             break
         base = stop - OVERLAP
@@ -261,6 +320,12 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _hide(m: re.Match) -> str:
+    """REDACTED for a run of key material; escapes, string prefixes and the signs that join strings stay."""
+    v, after = m.group(0), m.string[m.end() : m.end() + 1]
+    return v if v[0] == "\\" or not any(map(str.isalnum, v)) or len(v) < 3 and after and after in "\"'" and v.lower().strip("rbfu") == "" else "REDACTED"
+
+
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     parts, at = [], 0
     for s, e, kind in spans:
@@ -269,7 +334,7 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
             head = re.match(r"-----[^\n-]+-----", v).end()
             tail = v.rfind("-----END")
             tail = len(v) if tail < 0 else tail
-            new = v[:head] + re.sub(r"\\[nr]|[A-Za-z0-9+/=:,\-]+", lambda m: m.group(0) if m.group(0)[0] == "\\" else "REDACTED", v[head:tail]) + v[tail:]
+            new = v[:head] + re.sub(r"\\[nr]|\b[rbfuRBFU]{1,2}(?=[\"'])|[A-Za-z0-9+/=:,\-]+", _hide, v[head:tail]) + v[tail:]
         elif _HEX.match(v):
             new = "0" * len(v)
         else:
