@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import functools
 import re
+import re._constants as C
+import re._parser as P
 import unicodedata
 
 import pandas as pd
@@ -106,7 +108,7 @@ def match_word(word: str) -> tuple[str, str] | None:
     w = word.lower().strip("'`_-.!*") if "*" not in word.strip("*") else word.lower().strip("'`_-.!")
     if w in TERMS:
         return w, TERMS[w]
-    if not 3 <= len(w) <= 40 or w in BENIGN:
+    if len(w) < 3 or len(w) > 40 and len(re.sub(r"(.)\1\1+", r"\1\1", w)) > 40 or w in BENIGN:
         return None
     if w.endswith("s") and w[:-1] in TERMS and len(w) > 4:
         return w[:-1], TERMS[w[:-1]]
@@ -194,8 +196,48 @@ TRIGGERS = set(
 _ALPHA = re.compile(r"[^\W\d_]+")
 # Words too common to tell phrases apart; a phrase is only searched if the sentence holds another of its words.
 _COMMON = set("a am an and are at b be better by d die du end every from g get go going have i in is it live ll made make me must my no not of off on one or our out s send so some spec that the them they this to too u ur was we who will with you your".split())
-_PHRASE_WORDS = [frozenset(_ALPHA.findall(re.sub(r"\\[A-Za-z]", " ", p.pattern.lower()))) - _COMMON for p in PHRASES]
-_ALWAYS = [k for k, p in enumerate(PHRASES) if re.search(r"\\bf\(\?:uck|so are you|i know where|go\|just|get out of our|die in a|send them|out of\\b|you look so|stfu|kys", p.pattern)]
+_ANY = "\1"  # some character, perhaps a letter
+
+
+def expand(seq) -> list[str]:
+    """Every string that a parsed phrase can match, with ``\\2`` for a word boundary and ``\\1`` for what is left open."""
+    out = [""]
+    for op, av in seq:
+        if op is C.LITERAL:
+            new = [chr(av)]
+        elif op is C.AT:
+            new = ["\2"]
+        elif op in (C.ASSERT, C.ASSERT_NOT):
+            new = [""]
+        elif op is C.SUBPATTERN:
+            new = expand(av[3])
+        elif op is C.BRANCH:
+            new = [x for alt in av[1] for x in expand(alt)]
+        elif op is C.IN and all(o is C.LITERAL for o, _ in av):
+            new = [chr(o) for _, o in av]
+        elif op is C.IN and av == [(C.CATEGORY, C.CATEGORY_SPACE)]:
+            new = [" "]
+        elif op is C.MAX_REPEAT and av[1] == 1:
+            new = ([""] if av[0] == 0 else []) + expand(av[2])
+        elif op is C.MAX_REPEAT and expand(av[2]) == [" "] and av[0] > 0:
+            new = [" "]
+        else:
+            new = [_ANY]
+        out = [x + y for x in out for y in dict.fromkeys(new)]
+    return out
+
+
+def whole_words(form: str) -> frozenset[str]:
+    """The words that any text matching an expanded form holds as words of their own."""
+    return frozenset(re.findall(r"(?<![^\W\d_])(?<!\x01)[^\W\d_]+(?![^\W\d_])(?!\x01)", f"{_ANY}{form}{_ANY}"))
+
+
+FORMS = [[x.lower() for x in expand(P.parse(p.pattern))] for p in PHRASES]
+_FORM_WORDS = [set(map(whole_words, forms)) for forms in FORMS]
+# Each form must show by a word of its own: joined forms ("braindamaged") bring theirs, and a phrase with a form of common words only is always searched.
+TRIGGERS |= {w for forms in _FORM_WORDS for words in forms if words.isdisjoint(TRIGGERS) for w in words}
+_PHRASE_WORDS = [frozenset().union(*forms) - _COMMON for forms in _FORM_WORDS]
+_ALWAYS = [k for k, p in enumerate(PHRASES) if re.search(r"\\bf\(\?:uck|so are you|i know where|go\|just|get out of our|die in a|send them|out of\\b|you look so|stfu|kys", p.pattern) or any(words <= _COMMON for words in _FORM_WORDS[k])]
 
 
 def find_phrase(text: str) -> re.Pattern | None:

@@ -55,3 +55,16 @@ def test_the_quick_way_out_changes_nothing(monkeypatch):
     monkeypatch.setattr(A, "interesting", lambda token: True)
     monkeypatch.setattr(A, "find_phrase", lambda text: next((p for p in A.PHRASES if p.search(text)), None))
     assert [A.score_text(s) for s in ABUSE + FINE] == quick
+
+
+def test_every_form_of_a_phrase_passes_both_gates():
+    for s in ("you are braindamaged", "see nudepics here", "nudephotos of all", "brain damaged you are", "you idio" + "o" * 60 + "t"):
+        assert A.score_text(s)[0] >= A.THRESHOLD, s
+    matched = 0
+    for p, forms in zip(A.PHRASES, A.FORMS):
+        for f in forms:
+            text = f.replace("\2", "").replace("\1", " ")
+            if p.search(text):
+                matched += 1
+                assert any(map(A.interesting, text.split())) and A.find_phrase(text), (p.pattern, text)
+    assert matched > 3000
