@@ -161,6 +161,9 @@ _LINE_HEAD = re.compile(r"^\s*(?:[>*\-#|]+\s*)*(?:\[\d\d?:\d\d\]\s*)?(?:dev\d+:\
 _MODERATION = re.compile(r"(?i)\b(?:filter|blocklist|block ?list|denylist|word ?list|moderat\w*|classifier|flag(?:s|ged)? (?:the )?(?:message|comment)|reject(?:s|ed)? (?:messages|comments)|detect\w*|reported? (?:messages|comments)|insults and|such as|words like|terms like|"
                          r"messages like|phrases like|comments like|test (?:case|data|fixture)s?|case-insensitive|get removed|abuse policy|code of conduct|regex|toxicity|dataset|census|column names?)\b")
 _SELF = re.compile(r"(?i)\b(?:my own|i am|i'm|am i|i was|i feel|me,? the|myself|stupid of me|silly me|my (?:stupid|dumb|silly|idiotic))\b")
+# Most words between a term and the moderation talk or self-mention that takes its weight away; none does where the term is addressed to "you".
+NEAR_MODERATION, NEAR_SELF = 6, 4
+_ADDRESSED = re.compile(r"(?i)\b(?:you|you're|youre|your|ur|u)\b[,:]?\s+(?:(?!i\b|me\b|my\b|myself\b)[\w*'-]+\s+){0,2}$")
 _TECH = re.compile(r"(?i)\b(?:keep it stupid simple|dumb (?:terminal|pipe|component|proxy|down)|too dumb to see|dummy|stupid (?:typo|bug|mistake|loop|hack|simple)|useless (?:variable|import|assignment|helper|use of|code|check|cast|branch)|naked (?:pointer|pointers|of any guard|object|return|url|domain)|"
                    r"penetration test|exposed|hot path|worker|process(?:es)?|zombie|child(?:ren)?|slave|master)\b")
 _YOU = re.compile(r"(?i)\b(?:you|your|you're|ur|u|yourself|yours|du|dein\w*|dich|dir|ihr|tú|tu|eres|sos|ton|ta|tes|toi|vous|votre|te|nobody on this team|resident|author|whoever|who(?:ever)? (?:wrote|touched|merged)|he|she|they|him|her|them|his|their|these people|those people|this guy|@\w+)\b")
@@ -235,7 +238,7 @@ def whole_words(form: str) -> frozenset[str]:
 FORMS = [[x.lower() for x in expand(P.parse(p.pattern))] for p in PHRASES]
 _FORM_WORDS = [set(map(whole_words, forms)) for forms in FORMS]
 # Each form must show by a word of its own: joined forms ("braindamaged") bring theirs, and a phrase with a form of common words only is always searched.
-TRIGGERS |= {w for forms in _FORM_WORDS for words in forms if words.isdisjoint(TRIGGERS) for w in words}
+TRIGGERS |= {max(words - _COMMON or words, key=lambda w: (len(w), w)) for forms in _FORM_WORDS for words in forms if words.isdisjoint(TRIGGERS)}
 _PHRASE_WORDS = [frozenset().union(*forms) - _COMMON for forms in _FORM_WORDS]
 _ALWAYS = [k for k, p in enumerate(PHRASES) if re.search(r"\\bf\(\?:uck|so are you|i know where|go\|just|get out of our|die in a|send them|out of\\b|you look so|stfu|kys", p.pattern) or any(words <= _COMMON for words in _FORM_WORDS[k])]
 
@@ -265,6 +268,11 @@ def interesting(token: str) -> bool:
     return got
 
 
+def _beside(text: str, start: int, end: int, spans: list[tuple[int, int]], words: int) -> bool:
+    """Whether one of the spans lies within so many words of text[start:end], or in it."""
+    return any(len((text[b:start] if b <= start else text[end:a]).split()) <= words for a, b in spans)
+
+
 def score_sentence(sentence: str) -> tuple[float, str]:
     """(weight, class) of one canonicalised sentence."""
     if not any(map(interesting, sentence.split())):
@@ -297,11 +305,12 @@ def score_sentence(sentence: str) -> tuple[float, str]:
         return 0.0, ""
     if _BENIGN_PHRASE.search(text):
         return 0.0, ""
-    moderation, me = _MODERATION.search(text) is not None, _SELF.search(text) is not None
+    moderation, me = [m.span() for m in _MODERATION.finditer(text)], [m.span() for m in _SELF.finditer(text)]
     total, kind = 0.0, ""
     if phrase is not None:
-        quoted = any(text.count(q, 0, phrase.search(text).start()) % 2 for q in "\"“`")
-        if not (moderation and (quoted or not _YOU.search(text))):
+        start, end = phrase.search(text).span()
+        quoted = any(text.count(q, 0, start) % 2 for q in "\"“`")
+        if not (_beside(text, start, end, moderation, NEAR_MODERATION) and (quoted or not _YOU.search(text))):
             total, kind = 2.0, "phrase"
     directed = _YOU.search(text) is not None
     for pos, term, cls in hits:
@@ -309,12 +318,13 @@ def score_sentence(sentence: str) -> tuple[float, str]:
             continue
         before = text[:pos]
         quoted = any(before.count(q) % 2 for q in "\"“`")
-        if quoted or moderation:
+        addressed = _ADDRESSED.search(before) is not None
+        if quoted or not addressed and _beside(text, pos, pos + len(term), moderation, NEAR_MODERATION):
             continue
         if cls in ("SEX", "HATE"):
             total, kind = total + 2.0, kind or cls
             continue
-        if me:
+        if not addressed and _beside(text, pos, pos + len(term), me, NEAR_SELF):
             continue
         near = _TARGET.search(before) is not None
         tech = _TECH.search(text) is not None
@@ -334,11 +344,10 @@ def score_text(text: str | None) -> tuple[float, str]:
     total, worst, kind = 0.0, 0.0, ""
     for s in _SPLIT.split(clean(text)):
         w, k = score_sentence(s) if s else (0.0, "")
-        if w >= THRESHOLD:
-            total += w
-            if w > worst:
-                worst, kind = w, k
-    return total, kind
+        total += w
+        if w > worst:
+            worst, kind = w, k
+    return round(total, 6), kind
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

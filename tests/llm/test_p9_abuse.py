@@ -68,3 +68,11 @@ def test_every_form_of_a_phrase_passes_both_gates():
                 matched += 1
                 assert any(map(A.interesting, text.split())) and A.find_phrase(text), (p.pattern, text)
     assert matched > 3000
+
+
+def test_exemptions_reach_a_few_words_and_sentences_add_up():
+    for s in ("You moron, this regex is broken", "I am tired of you, you idiot", "You are an idiot, the detector and the classifier that we have been running on it say nothing.", "I was on leave all of last week and came back to this, what an idiot wrote it"):
+        assert A.score_text(s)[0] >= A.THRESHOLD, s
+    for s in ("The filter drops words like moron from the channel.", "I was such an idiot to merge it.", "I am an idiot", "detects idiot and moron in the text"):
+        assert A.score_text(s)[0] < A.THRESHOLD, s
+    assert A.score_text("Your pathetic patch. Your worthless tests.") == (1.2, "ADJ")
