@@ -151,21 +151,36 @@ _SERIES = re.compile(r"[A-Za-z]_?(0\d\d)\b")
 _MIN_NAME = re.compile(r"(?i)[.-]min\.(?:js|css|mjs)$|(?:^|/)[\w-]+\.(?:bundle|chunk)\.js$")
 
 
-def head_comment(text: str, lines: int = 12) -> list[str]:
-    """Comment lines at the very top of a file (before the first code), without comment signs."""
-    out, block = [], False
-    for raw in text[:4000].split("\n")[:lines]:
+_CLOSE = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+
+
+def _lines(text: str):
+    """The lines of a text, one at a time."""
+    at = 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end + 1
+
+
+def head_comment(text: str) -> list[str]:
+    """All comment lines at the very top of a file (before the first code), without comment signs."""
+    out, close = [], ""
+    for raw in _lines(text):
         line = raw.strip()
         if not line or line.startswith(("#!", "<?php", "package ", "'use strict'", '"use strict"')):
             continue
         m = _COMMENT.match(line)
-        if not m and not block:
+        if not m and not close:
             break
         out.append((m.group(1) if m else line).strip().rstrip("*/").strip())
-        if line.startswith(("/*", '"""', "'''", "<!--")):
-            block = True
-        if block and (line.endswith(("*/", "-->")) or (len(line) > 3 and line.endswith(('"""', "'''")))):
-            block = False
+        rest = line
+        if not close:
+            opened = next((o for o in _CLOSE if line.startswith(o)), None)
+            close, rest = (_CLOSE[opened], line[len(opened) :]) if opened else ("", line)
+        if close and close in rest:
+            close = ""
     return out
 
 
@@ -211,7 +226,7 @@ def kinds(path: str | None, text: str) -> str | None:
     joined = " ".join(head)
     if any(_MARKER.search(h) for h in head) or _MARKER.search(joined):
         return "generated"
-    if _VENDOR_DIR.search(p) or any(_VENDOR_NOTE.search(h) for h in head[:4]):
+    if _VENDOR_DIR.search(p) or any(_VENDOR_NOTE.search(h) for h in head):
         return "vendored"
     if _GEN_NAME.search(p):
         return "generated"

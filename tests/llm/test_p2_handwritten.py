@@ -74,3 +74,11 @@ def test_repositories_are_counted_exactly(spark):
     assert rows(H.classify(spark.createDataFrame(data, S))) == [(0, "copied"), (1, "copied"), (2, "copied")]
     assert rows(H.classify(spark.createDataFrame(data[:2] + [(5, None, "y.py", code(7), "k", "i")], S))) == [(0, "copied"), (1, "copied"), (5, "copied")]  # a null repository is one of its own
     assert rows(H.classify(spark.createDataFrame(data[:2] + [(5, same[0], "y.py", code(7), "k", "i")], S))) == []
+
+
+def test_the_whole_head_comment_is_read():
+    licence = "".join(f"// line {i} of a licence that goes on and on\n" for i in range(120))
+    assert H.kinds("a.go", licence + "\n// Code generated by protoc-gen-go. DO NOT EDIT.\n\npackage a\n") == "generated"
+    assert H.kinds("a.js", "/*\n" + licence.replace("//", " *") + " */\n\n// vendored from upstream\nlet a = 1\n") == "vendored"
+    assert H.kinds("a.go", licence + "\npackage a\nvar x = 1\n// Code generated by protoc-gen-go. DO NOT EDIT.\n") is None
+    assert H.kinds("a.py", "'''One line.'''  # note\nx = 1\n# Code generated by y. DO NOT EDIT.\n") is None
