@@ -3,8 +3,8 @@
 Third-party copies are found by their content. Every file is fingerprinted by winnowing its normalized token stream
 (white space dropped; identifiers, numbers and signs kept): hashes of all runs of ``gram`` tokens, of which the minimum
 of every ``window`` neighbours is kept. A fingerprint counts as common when files of at least ``min_repos``
-unrelated repositories hold it; a file is a copy if at least two of its fingerprints, and the share ``share`` of
-them, are common. Distinct repositories are counted exactly: distinct (fingerprint, repository) pairs first, then pairs
+unrelated repositories hold it; a file is a copy if at least two of its fingerprints (or its only one), and the
+share ``share`` of them, are common. Distinct repositories are counted exactly: distinct (fingerprint, repository) pairs first, then pairs
 per fingerprint. Both steps are aggregated before their shuffle, so a fingerprint shared by a third of all files costs
 no more rows than there are repositories.
 
@@ -12,7 +12,7 @@ The other kinds show in a file alone: a marker in its head comment, its name, it
 
 Defined cases
     * null and empty content is never a case; null paths and repositories are allowed (a null repository is one of its own).
-    * Files with fewer than ``gram`` tokens have no fingerprints and are never copies by content.
+    * Files with fewer than ``gram`` tokens are copies only as a whole (shorter grams also match idioms), with fewer than 16 never.
     * The same file delivered again under another id is judged alike and adds nothing to the count of repositories.
     * Very long texts are read in blocks of about a million bytes; no part is skipped.
     * Backslashes in paths count as ``/``. An empty table gives an empty result. Extra columns are ignored.
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from codeloom.session import cut, spread
 
 GRAM, WINDOW, BLOCK = 64, 32, 1 << 20
+#: Files of so many tokens up to a gram have one fingerprint, that of their whole token stream.
+SHORT = 16
 
 _U = np.uint64
 _rng = np.random.default_rng(0xC0DE)
@@ -111,17 +113,17 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
             sizes.append(len(b) + 1)
             total += len(b) + 1
             at += 1
-        streams = []
+        streams, lo = [], 0
         raw = b"\n".join(block) + b"\n"
-        ends, pos = np.cumsum(sizes), 0
-        for lo in range(0, len(raw), 4 * BLOCK):  # only a single long text needs more than one step
+        ends = np.cumsum(sizes)
+        while lo < len(raw):  # only a single long text needs more than one step
             piece = raw[lo : lo + 4 * BLOCK]
             if lo + len(piece) < len(raw):
                 blank = max(piece.rfind(b"\n"), piece.rfind(b" "))
-                piece = piece[: blank + 1] if blank > 0 and pos == lo else piece
+                piece = piece[: blank + 1] if blank > 0 else piece
             s, h = token_hashes(np.frombuffer(piece, np.uint8))
             streams.append((s + lo, h))
-            pos = lo + len(piece)
+            lo += len(piece)
         starts = np.concatenate([s for s, _ in streams])
         hashes = np.concatenate([h for _, h in streams])
         owner = np.searchsorted(ends, starts, "right").astype(np.int32)
@@ -137,6 +139,15 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def whole_print(text: str) -> np.ndarray:
+    """The one fingerprint of a text too short for a gram."""
+    raw = text.encode("utf-8", "replace")
+    h = token_hashes(np.frombuffer(raw, np.uint8))[1]
+    if not SHORT <= len(h) < GRAM:
+        return np.empty(0, np.int64)
+    return _mix((h * (_POS[: len(h)] + _U(len(h) << 1))).sum(keepdims=True)).view(np.int64)
+
+
 _COMMENT = re.compile(r"^\s*(?://+|#+|/\*+!?|\*+|--|;+|<!--|\"\"\"|'''|%)\s?(.*)$")
 _MARKER = re.compile(
     r"(?i)@generated\b|<auto-?generated\b|code generated .{0,60}do not edit|auto-?generated (?:file|by|from|code|on\b)|automatically (?:generated|created)|(?:this (?:file|code)|file) (?:is|was|has been) (?:auto|automatically |machine[- ])?-?(?:generated|created|written|produced)\b"
@@ -250,12 +261,12 @@ def classify(df: DataFrame, min_repos: int = 3, share: float = 0.75, id_col: str
     def run(batches):
         for b in batches:
             texts = b["content"].tolist()
-            yield pd.DataFrame({"id": b["id"], "repo": b["repo"], "kind": [kinds(p, t) for p, t in zip(b["path"], texts)], "fps": fingerprints(texts)})
+            yield pd.DataFrame({"id": b["id"], "repo": b["repo"], "kind": [kinds(p, t) for p, t in zip(b["path"], texts)], "fps": [f if len(f) else whole_print(t) for f, t in zip(fingerprints(texts), texts)]})
 
     read = cut(spread(src).mapInPandas(run, "id string, repo string, kind string, fps array<long>"))
     grams = read.select("id", "kind", "repo", F.explode("fps").alias("fp"))
     common = grams.select("fp", "repo").distinct().groupBy("fp").agg(F.count("*").alias("repos")).where(F.col("repos") >= min_repos).select("fp")
     copied = grams.where("kind is null").select("id", "fp").join(common, "fp", "left_semi").groupBy("id").agg(F.count("*").alias("n_common"))
     left = read.where("kind is null").select("id", F.size("fps").alias("n"))
-    vendored = left.join(copied, "id").where((F.col("n_common") >= share * F.col("n")) & (F.col("n_common") >= 2)).select("id", F.lit("copied").alias("kind")).distinct()
+    vendored = left.join(copied, "id").where((F.col("n_common") >= share * F.col("n")) & ((F.col("n_common") >= 2) | (F.col("n") == 1))).select("id", F.lit("copied").alias("kind")).distinct()
     return read.where("kind is not null").select("id", "kind").distinct().unionByName(vendored).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

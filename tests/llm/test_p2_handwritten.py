@@ -82,3 +82,19 @@ def test_the_whole_head_comment_is_read():
     assert H.kinds("a.js", "/*\n" + licence.replace("//", " *") + " */\n\n// vendored from upstream\nlet a = 1\n") == "vendored"
     assert H.kinds("a.go", licence + "\npackage a\nvar x = 1\n// Code generated by protoc-gen-go. DO NOT EDIT.\n") is None
     assert H.kinds("a.py", "'''One line.'''  # note\nx = 1\n# Code generated by y. DO NOT EDIT.\n") is None
+
+
+def test_small_helpers_are_copies(spark):
+    texts = [code(31, 3), code(32, 6), code(33, 9)]
+    assert 16 <= min(len(H.token_hashes(np.frombuffer(t.encode(), np.uint8))[0]) for t in texts) < 64
+    data = [(10 * k + i, f"r{i}", f"util/x{i}.py", t, "k", "i") for k, t in enumerate(texts) for i in range(3)]
+    assert [r[0] for r in rows(H.classify(spark.createDataFrame(data, S)))] == sorted((10 * k + i for k in range(3) for i in range(3)), key=lambda x: repr((x,)))
+
+
+def test_no_byte_of_a_long_text_is_skipped():
+    body = ";".join(code(6, 1).replace(" ", "").replace("_", str(i)) for i in range(150_000))
+    assert len(body) > 4 * H.BLOCK and " " not in body
+    whole = set(H.fingerprints(["header line\n" + body])[0])
+    for part in (body[100_000:200_000], body[3_000_000:3_100_000], body[-100_000:]):
+        some = set(H.fingerprints([part])[0])
+        assert len(some & whole) > 0.9 * len(some)
