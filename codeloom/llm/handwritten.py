@@ -228,6 +228,17 @@ def data_share(text: str) -> float:
     return inside / total if total else 0.0
 
 
+def numbered_bodies(text: str) -> bool:
+    """Whether names numbered 001 to 008 follow each other, each with the same text but for its numbers."""
+    at: dict[int, int] = {}
+    for m in _SERIES.finditer(text):
+        at.setdefault(int(m.group(1)), m.start())
+    if not all(k in at for k in range(1, 9)):
+        return False
+    starts = [at[k] for k in range(1, 9)]
+    return starts == sorted(starts) and len({re.sub(r"\d+", "0", text[a:b]) for a, b in zip(starts, starts[1:])}) == 1
+
+
 def kinds(path: str | None, text: str) -> str | None:
     """The kind of non-hand-written file that path and text alone show, or None."""
     p = (path or "").replace("\\", "/")
@@ -241,7 +252,7 @@ def kinds(path: str | None, text: str) -> str | None:
         return "vendored"
     if _GEN_NAME.search(p):
         return "generated"
-    if "001" in text and len({int(x) for x in _SERIES.findall(text)} & set(range(1, 9))) == 8:  # a numbered series of names
+    if "001" in text and numbered_bodies(text):
         return "generated"
     data = data_share(text)
     if data > 0.8 and not re.search(r"(?i)\.(?:md|txt|ya?ml|toml|env|ini|rst|json)$|(?:^|/)\.env$", p):
@@ -266,7 +277,8 @@ def classify(df: DataFrame, min_repos: int = 3, share: float = 0.75, id_col: str
     read = cut(spread(src).mapInPandas(run, "id string, repo string, kind string, fps array<long>"))
     grams = read.select("id", "kind", "repo", F.explode("fps").alias("fp"))
     common = grams.select("fp", "repo").distinct().groupBy("fp").agg(F.count("*").alias("repos")).where(F.col("repos") >= min_repos).select("fp")
-    copied = grams.where("kind is null").select("id", "fp").join(common, "fp", "left_semi").groupBy("id").agg(F.count("*").alias("n_common"))
-    left = read.where("kind is null").select("id", F.size("fps").alias("n"))
+    copied = grams.where("kind is null or kind = 'vendored'").select("id", "fp").join(common, "fp", "left_semi").groupBy("id").agg(F.count("*").alias("n_common"))
+    left = read.where("kind is null or kind = 'vendored'").select("id", F.size("fps").alias("n"))
     vendored = left.join(copied, "id").where((F.col("n_common") >= share * F.col("n")) & ((F.col("n_common") >= 2) | (F.col("n") == 1))).select("id", F.lit("copied").alias("kind")).distinct()
-    return read.where("kind is not null").select("id", "kind").distinct().unionByName(vendored).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    told = read.where("kind is not null").select("id", "kind").distinct().join(vendored.select("id"), "id", "left_anti")  # what both tell is a copy
+    return told.unionByName(vendored).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

@@ -98,3 +98,10 @@ def test_no_byte_of_a_long_text_is_skipped():
     for part in (body[100_000:200_000], body[3_000_000:3_100_000], body[-100_000:]):
         some = set(H.fingerprints([part])[0])
         assert len(some & whole) > 0.9 * len(some)
+
+
+def test_fingerprints_judge_vendored_files_too(spark):
+    data = [(i, f"r{i}", f"vendor/x{i}.py", code(7), "k", "i") for i in range(3)] + [(9, "r1", "vendor/own.py", code(8), "k", "i")]
+    assert rows(H.classify(spark.createDataFrame(data, S))) == [(0, "copied"), (1, "copied"), (2, "copied"), (9, "vendored")]
+    tests = "".join(f"def test_{i:03d}():\n    assert {w}(x) == {w!r}\n\n" for i, w in enumerate("one two three four five six seven eight nine ten".split(), 1))
+    assert H.kinds("t.py", tests) is None
