@@ -41,15 +41,16 @@ FORMATS = [
 ]
 FORMAT_TRIGGERS = ["akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "gsk_", "sk_live_", "rk_live_", "pk_live_", "sk-", "aiza",
                    "xoxa-", "xoxb-", "xoxe-", "xoxo-", "xoxp-", "xoxr-", "xoxs-", "glpat-", "npm_", "hf_", "pypi-", "nvapi-", "qk-", "sg.", "eyj"]
-NAMES = ["password", "passwd", "passphrase", "passwort", "pwd", "pass", "secret", "token", "key", "auth", "credential"]
+NAMES = ["password", "passwd", "passphrase", "passcode", "pwd", "pass", "pw", "secret", "token", "key", "auth", "credential",
+         "passwort", "kennwort", "wachtwoord", "contrasena", "contrase\u00f1a", "motdepasse", "mot_de_passe", "senha", "parola"]
+PASSWORDS = ("password", "passwd", "passphrase", "passcode", "passwort", "kennwort", "wachtwoord", "contrasena", "contrase\u00f1a", "motdepasse", "depasse", "senha", "parola")
 _TAIL = r"[A-Za-z0-9_]*[\"'`\]]?[ \t]*(:[ \t]*&?('static )?[A-Za-z]+[ \t]*)?(=>|:=|\?=|[=:]|[ \t]to[ \t]|[ \t]is[ \t])[ \t]*"
 RULES = (
     [("format", p) for p in FORMATS]
     + [
         ("armor", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----"),
         ("url", r"://[A-Za-z0-9_.\-%]*:[^@\s/\"'`]+@[A-Za-z0-9\[$<{]"),
-        ("name", r"([Pp]assword|[Pp]asswd|[Pp]assphrase|[Pp]asswort|[Pp]wd|[Pp]ass|[Ss]ecret|[Tt]oken|[Kk]ey|[Aa]uth|[Cc]redential"
-                 r"|PASSWORD|PASSWD|PASSPHRASE|PASSWORT|PWD|PASS|SECRET|TOKEN|KEY|AUTH|CREDENTIAL)" + _TAIL),
+        ("name", "(" + "|".join(f"[{x[0].upper()}{x[0]}]{x[1:]}|{x.upper()}" for x in NAMES) + ")" + _TAIL),
         ("bearer", r"[Bb]earer[ ]+[A-Za-z0-9+/_.=\-]{16,}"),
         ("basic", r"[Bb]asic[ ]+[A-Za-z0-9+/]{12,}=*"),
         ("curl", r"curl [^\n]*-u[ ]+[A-Za-z0-9_.\-]+:[^\s:@\"']+"),
@@ -66,7 +67,7 @@ _PLACEHOLDER = re.compile(
 )
 _REFERENCE = re.compile(r"(?i)(?:^|[^a-z])(?:vault|secretsmanager|keyring|ssm|env|environ|getenv|process\.env|secrets?)[.:/(\[]|^(?:arn|vault|env|file|ref|kms|secret|ssm|op)[:/]|^(?:prod|stage|staging|dev|test)/")
 _KEYISH = {"api", "access", "secret", "private", "provider", "service", "deploy", "auth", "signing", "encryption", "account", "master", "license", "admin", "client", "app", "ssh", "storage", "session", "webhook", "subscription", "apikey", "server", "ssl", "jwt", "hmac", "db"}
-_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_WORDS = re.compile(r"[A-Z\u00d1]+(?![a-z\u00f1])|[A-Z]?[a-z\u00f1]+|\d+")
 _QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 _HEX = re.compile(r"[0-9a-fA-F]{16,}\Z")
 _NESTING = re.compile(_QUOTED.pattern + r"|[\[\](){},;]")
@@ -128,7 +129,7 @@ def _name_kind(words: list[str]) -> str | None:
     if not words:
         return None
     last, before = words[-1], words[-2] if len(words) > 1 else ""
-    if last in ("password", "passwd", "passphrase", "passwort", "pwd", "pass") or last.endswith(("password", "passwd", "passphrase")):
+    if last in ("pwd", "pass", "pw") or last.endswith(PASSWORDS) or last == "passe" and before == "de":
         return "password"
     if last in ("secret", "secrets", "credential", "credentials") or (last in ("bytes", "value", "hex") and before in ("secret", "key", "password", "token")):
         return "secret"
@@ -189,9 +190,7 @@ def _values(text: str, at: int, end: int, kind: str) -> list[tuple[int, int]]:
             v = m.group(m.lastindex)
             return _good(kind, v) and bool(strong(v) or kind in ("password", "secret") and weak(v) and not call or decoded)
 
-        inside = [m.span(m.lastindex) for m in itertools.islice(_QUOTED.finditer(text, at, _extent(text, at, line_end)), int(bool(named)), None) if good(m)]
-        # Where the expression itself holds none, the next literals of the line are tried.
-        return inside or [m.span(m.lastindex) for m in itertools.islice(_QUOTED.finditer(text, at, line_end), int(bool(named)), 3 + int(bool(named))) if good(m)][:1]
+        return [m.span(m.lastindex) for m in itertools.islice(_QUOTED.finditer(text, at, _extent(text, at, line_end)), int(bool(named)), None) if good(m)]
     if first in ("", "\"", "'", "`", "\n"):
         return []
     m = _BARE.match(text, at, line_end)
@@ -225,7 +224,7 @@ def _armor(text: str, at: int, head_end: int):
 def _assigned(text: str, at: int, end: int, stop: int) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the credentials that the name and operator reported from ``at`` to ``end`` are given."""
     left = re.search(r"[A-Za-z0-9_.\-]*\Z", text[max(0, at - 60) : at]).group(0)
-    head = re.match(r"[A-Za-z0-9_]*", text[at:end]).group(0)
+    head = re.match(r"[A-Za-z0-9_\u00f1\u00d1]*", text[at:end]).group(0)
     name = (left + head).lstrip("-.")
     kind = _name_kind([w.lower() for w in _WORDS.findall(name)])
     if kind is None or kind in ("token", "key") and text[end : end + 1] == "{":

@@ -1,5 +1,6 @@
 import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,3 +108,29 @@ def test_long_words_stay_linear():
     for word in ("keypass", "eyJ", "curl x "):
         assert C.find_spans(word * 20_000) == []
     assert [s for s, _, _ in C.find_spans("keypass" * 3000 + "_password = 'Orchard!Freight87'")] == [21013]
+
+
+FORMS = ['{n} = "{v}"', "export {N}='{v}'", "{N}={v}", '{n}: "{v}"', '  "{n}": "{v}",', 'const {c} = "{v}";', 'const {c}: string = "{v}";', 'var {c} = "{v}"', 'pub const {N}: &str = "{v}";',
+         'private static final String {N} = "{v}";', "Set `{N}` to `{v}` before the first run.", '# {n} = "{v}"', 'connect(host="h", {n}="{v}")', "x = {{ {c}: '{v}' }}"]
+PASSWORD_NAMES = ["password", "db_password", "admin_pass", "smtp_pwd", "ldap_bind_pw", "pw", "ftp_passwd", "passphrase", "disk_passcode", "passwort", "db_kennwort", "mot_de_passe", "contrasena", "senha_do_banco".replace("_do_banco", ""), "parola", "wachtwoord", "client_secret", "credentials"]
+TOKEN_NAMES = ["api_key", "access_token", "auth_token", "provider_key", "signing_secret", "webhook_secret", "private_key", "session_token", "hmac_key", "storage_account_key"]
+
+
+def test_recall_on_generated_assignments():
+    r, letters = random.Random(11), string.ascii_letters + string.digits
+    missed, total, wrong = [], 0, []
+    for form in FORMS:
+        for names, shapes in ((PASSWORD_NAMES, ("Xyzzy!Plugh{d}", "frob_{d}{d}qZ", "grue-lamp-nest-{d}", "{r}!", "Tr0ub4dor&{d}")), (TOKEN_NAMES, ("{R}", "{h}"))):
+            for n in names:
+                camel = n.split("_")[0] + "".join(w.title() for w in n.split("_")[1:])
+                for shape in shapes:
+                    v = shape.format(d=r.randrange(10, 99), r="".join(r.choice(letters) for _ in range(12)), R="".join(r.choice(letters) for _ in range(32)) + "a1", h="".join(r.choice("0123456789abcdef") for _ in range(40)))
+                    t = "x = 1\n" + form.format(n=n, N=n.upper(), c=camel, v=v) + "\ny = 2\n"
+                    total += 1
+                    if not any(t[s:e] == v for s, e, _ in C.find_spans(t)):
+                        missed.append(t)
+                for v in ("changeme", "${DB_PASS}", "<your-key-here>", "********", "none", "{{ vault.key }}"):
+                    t = form.replace("{{", "{{").format(n=n, N=n.upper(), c=camel, v=v)
+                    wrong += [t for _ in C.find_spans(t)]
+    assert len(missed) / total < 0.01, (len(missed), total, missed[:10])
+    assert not wrong, wrong[:10]
