@@ -1,14 +1,17 @@
 """Abusive, hateful and sexual language: Levenshtein automata over a lexicon trie, judged in context windows.
 
-Every sentence is canonicalised (invisible characters, look-alike letters, spaced-out and dotted letters), its words are
-matched against the lexicon trie by walking a Levenshtein automaton and the trie together, and the matched terms with
-their neighbourhood are scored. The score of a document is the sum over its sentences; quotation, moderation talk,
-self-mockery and technical use take their terms' weight away.
+One trie holds the words of the lexicon, terms as well as the words of longer expressions. A word of the text, with its disguises undone
+(invisible characters, look-alike letters, spaced-out, stretched, masked and replaced letters), is matched by walking a Levenshtein
+automaton and the trie together; it then stands for the lexicon's word. Expressions are sequences of such words with classes and short
+gaps: they continue the trie word by word (``Sequences``), so a misspelled word is caught inside them too. What matches is scored by its
+neighbourhood: quotation, moderation talk and self-mockery take its weight away, a person it is aimed at gives it. The score of a document
+is the sum over its sentences.
 
 Defined cases
     * null and empty text scores 0 and is never a case. Very long texts are scored sentence by sentence.
-    * Unmarked words must match exactly or, from seven letters on, within one edit; words with digits, signs or
-      stretched letters in them are taken as disguised and may be one edit off from five letters, two from nine.
+    * Words of up to three letters must match exactly, others within one edit (a swap of neighbours is one), unless they are ordinary
+      words; of terms of four letters the first must stay, and words of expressions that are no terms need six letters. Words with digits, signs or stretched letters in them are taken as disguised: one
+      edit from five letters, two from nine. Misspelled terms under six letters weigh in full only where they are aimed at somebody.
     * Repeated rows are scored each. Sources are folded in spelling for the rates; a null source is ``unknown``.
     * Empty tables give empty results; extra columns are ignored.
 """
@@ -17,43 +20,43 @@ from __future__ import annotations
 
 import functools
 import re
-import re._constants as C
-import re._parser as P
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.lexicon import AMBIGUOUS, CLASSES, COMMON, LEXICON, ORDINARY, SEQUENCES
 from codeloom.session import spread
 
 THRESHOLD = 1.0
-
-# The lexicon (fixed values): term -> class. INS insult noun, ADJ demeaning adjective, SEX sexual, HATE group slur, VUL vulgarity.
-LEXICON = {
-    "INS": "idiot moron loser clown halfwit dimwit cretin imbecile jackass dumbass asshole bastard bitch cunt dickhead douchebag scumbag twat wanker prick nitwit "
-           "numbskull simpleton degenerate lowlife arsehole motherfucker dipshit fuckwit fuckface shithead retard "
-           "vollidiot idiotin arschloch schwachkopf trottel wichser hurensohn missgeburt drecksau dummkopf spast vollpfosten "
-           "gilipollas imbécil imbecil idiota estúpido estupido pendejo cabrón cabron capullo subnormal hijoputa puta maricón maricon "
-           "abruti connard connasse crétin débile salope enculé encule imbécile pétasse fdp "
-           "stronzo coglione cazzone deficiente bastardo otário babaca",
-    "ADJ": "stupid worthless pathetic useless brainless braindead disgusting filthy dumb retarded moronic idiotic imbecilic incompetent",
-    "SEX": "porn porno pornography blowjob blowjobs horny fuckable xxx nudes handjob gangbang cumshot milf hentai dildo masturbate orgasm threesome undress camgirl camgirls",
-    "HATE": "subhuman untermensch nigger faggot tranny kike spic chink wetback raghead towelhead sandnigger gook paki",
-    "VUL": "fuck fucking fucked shit bullshit sh1t crap",
-}
-GROUPS = (r"(?:women|men|girls|gays|gay people|lesbians|trans people|transgender people|immigrants|migrants|refugees|foreigners|disabled people|old people|poor people|fat people|muslims|jews|christians|hindus|blacks|black people|"
-          r"white people|asians|africans|mexicans|arabs|gypsies|homosexuals|believers of that faith|those people|people of that (?:faith|race|religion|kind)|ausländer|flüchtlinge|frauen|juden|muslime|schwule|behinderte|"
-          r"extranjeros|inmigrantes|mujeres|refugiados|étrangers|immigrés|femmes|réfugiés|femmes)")
-_CONFUSABLE = str.maketrans("аеорсухіѕјԁӏАЕОРСХІЅ@$€", "aeopcyxisjdlAEOPCXISas" + "e")
+_CONFUSABLE = dict(zip(map(ord, "аеорсухіѕјԁӏАЕОРСХІЅ@$€’"), "aeopcyxisjdlAEOPCXISase'"))
 _LEET = str.maketrans("0134578@$!", "oleastbasi")
 _LEET2 = str.maketrans("0134578@$!", "oieastbasi")
+END = "<end>"
+
+
+class Fold(dict):
+    """Character table: compatibility forms and look-alikes to plain letters, invisible characters to nothing."""
+
+    def __missing__(self, o: int) -> str:
+        c = chr(o)
+        if c == "\n":
+            got = c
+        else:
+            got = "".join(_CONFUSABLE.get(ord(x), x) for x in unicodedata.normalize("NFKC", c) if unicodedata.category(x) not in ("Cf", "Mn"))
+        self[o] = got
+        return got
+
+
+FOLD = Fold()
 
 
 class Trie:
-    def __init__(self, terms: dict[str, str]):
+    def __init__(self, terms):
         self.child: list[dict[str, int]] = [{}]
         self.final: list[str | None] = [None]
+        self.heads, self.tails = {""}, {""}
         for t in terms:
             node = 0
             for ch in t:
@@ -62,6 +65,13 @@ class Trie:
                     self.child.append({})
                     self.final.append(None)
             self.final[node] = t
+            self.heads.update(t[:k] for k in range(1, len(t) + 1))
+            self.tails.update(t[k:] for k in range(len(t)))
+
+    def possible(self, word: str) -> bool:
+        """Whether a term can lie within one edit: the part of the word before its middle or the part after it is then unchanged."""
+        k = len(word) // 2
+        return word[: k - 1] in self.heads and (word[:k] in self.heads or word[k + 1 :] in self.tails) or word[k + 1 :] in self.tails
 
     def near(self, word: str, most: int) -> tuple[str, int] | None:
         """The term nearest to ``word`` within ``most`` edits; ``*`` in the word stands for any one letter.
@@ -74,7 +84,7 @@ class Trie:
         while stack:
             node, ch_in, before, row, prev = stack.pop()
             term = self.final[node]
-            if term is not None and row[n] <= most and (best is None or row[n] < best[1] or row[n] == best[1] and term < best[0]):
+            if term is not None and row[n] <= most and (best is None or (row[n], _rank(term)) < (best[1], _rank(best[0]))):
                 best = (term, row[n])
             for ch, to in self.child[node].items():
                 new = [row[0] + 1]
@@ -91,43 +101,120 @@ class Trie:
 
 
 TERMS = {t: k for k, ts in LEXICON.items() for t in ts.split()}
-TRIE = Trie(TERMS)
-# Ordinary words within one edit of a term (fixed values).
-BENIGN = set("closer lower looser laser lover poser losers named baked naked node nodes rude mode dude moran clone close crown crows brown idiom idioms cretan stupor port born pore worn horn born "
-             "dump dumps numb thumb filth uselessly userless hunt count runt punt batch pitch switch ditch witch trick brick price prickly classes assess ship shot shirt sheet hit sit fit duck luck buck tuck puck stuck truck "
-             "pick chick check think chunk chunks retarget restart discussing digesting useful usual fixing xx xxxx undressed address".split())
 
 
+def _rank(word: str) -> tuple:
+    return word not in TERMS, word
+
+
+class Sequences:
+    """The trie's continuation over words: an automaton whose edges are lexicon words, with gaps of a bounded number of other words."""
+
+    def __init__(self, patterns: dict[str, str], classes: dict[str, str], common: set[str]):
+        self.step: list[dict[str, list[int]]] = [{}]
+        self.skip: list[list[int]] = [[]]  # nodes that may be entered without a word
+        self.gap, self.final, self.named = [0], [None], {}
+        self.words: set[str] = set()
+        self.keys: set[str] = set()
+        self.patterns: list[tuple[str, list]] = []
+        for kind, block in patterns.items():
+            for line in filter(None, map(str.strip, block.splitlines())):
+                elements = []
+                for e in line.split():
+                    optional, e = e.endswith("?"), e.rstrip("?")
+                    alts = [] if e[0] == "~" else [tuple(y.split("+")) for x in e.split("|") for y in (classes[x[1:-1]].split("|") if x[0] == "<" and x != END else [x])]
+                    elements.append((e, alts, optional, int(e[1:]) if e[0] == "~" else 0))
+                self._add(kind, elements)
+                self.patterns.append((kind, elements))
+                need = [alts for _, alts, optional, gap in elements if not optional and not gap]
+                told = min(need, key=lambda alts: (sum(all(w in common or w == END for w in a) for a in alts), -min(len(max(a, key=len)) for a in alts)))
+                self.keys.update(max((w for w in a if w not in common), key=len, default=max(a, key=len)) for a in told)
+        self.words -= {END}
+
+    def _node(self) -> int:
+        self.step.append({})
+        self.skip.append([])
+        self.gap.append(0)
+        self.final.append(None)
+        return len(self.step) - 1
+
+    def _add(self, kind: str, elements: list) -> None:
+        at, path = 0, ()
+        for name, alts, optional, gap in elements:
+            path += ((name, optional),)
+            if path not in self.named:
+                to = self.named[path] = self._node()
+                self.gap[to] = gap
+                if optional or gap:
+                    self.skip[at].append(to)
+                for a in alts:
+                    here = at
+                    for k, w in enumerate(a):
+                        nxt = to if k == len(a) - 1 else self._node()
+                        self.step[here].setdefault(w, []).append(nxt)
+                        here = nxt
+                    self.words.update(a)
+            at = self.named[path]
+        self.final[at] = kind
+
+    def find(self, words: list) -> list[tuple[str, int, int]]:
+        """(kind, first word, last word) of every sequence in a list of words (None for words outside the lexicon)."""
+        out, active = [], []
+        for i, w in enumerate([*words, END]):
+            new, seen = [], set()
+            todo = [(to, 0, s) for node, _, s in active for to in self.step[node].get(w, ())] + [(to, 0, i) for to in self.step[0].get(w, ())] if w is not None else []
+            todo += [(node, k + 1, s) for node, k, s in active if k < self.gap[node]]
+            while todo:
+                state = todo.pop()
+                if state in seen:
+                    continue
+                seen.add(state)
+                new.append(state)
+                node, k, s = state
+                if self.final[node] is not None and k == 0:
+                    out.append((self.final[node], s, min(i, len(words) - 1)))
+                todo += [(to, 0, s) for to in self.skip[node]]
+            active = new
+        return out
+
+
+SEQ = Sequences(SEQUENCES, CLASSES, COMMON)
+WORDS = {**dict.fromkeys(SEQ.words), **TERMS}
+TRIE = Trie(WORDS)
+_FIXED = {w for w in WORDS if len(w) < 4 or w not in TERMS and len(w) < 6}  # words that must match exactly
+
 _WORDISH = re.compile(r"[^\W_](?:[^\s,;:?\"“”()\[\]{}<>|/\\]*[^\s,;:?!.\"“”()\[\]{}<>|/\\'])?\*{0,3}")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_*]|\*)(?:[ .\-_][^\W_]){2,}(?![^\W_])")
+_STRETCH = re.compile(r"(.)\1\1+")
 
 
 @functools.lru_cache(maxsize=200_000)
-def match_word(word: str) -> tuple[str, str] | None:
-    """(term, class) that a word stands for, seeing through disguises, or None."""
+def match_word(word: str) -> tuple[str, str | None, bool] | None:
+    """(lexicon word, its class, whether misspelled without a disguise), seeing through disguises, or None."""
     w = word.lower().strip("'`_-.!*") if "*" not in word.strip("*") else word.lower().strip("'`_-.!")
-    if w in TERMS:
-        return w, TERMS[w]
-    if len(w) < 3 or len(w) > 40 and len(re.sub(r"(.)\1\1+", r"\1\1", w)) > 40 or w in BENIGN:
+    if w in WORDS:
+        return w, WORDS[w], False
+    if len(w) < 3 or len(w) > 40 and len(_STRETCH.sub(r"\1\1", w)) > 40 or w in ORDINARY:
         return None
-    if w.endswith("s") and w[:-1] in TERMS and len(w) > 4:
-        return w[:-1], TERMS[w[:-1]]
-    stretched = re.search(r"(.)\1\1", w) is not None
+    if w.endswith("s") and len(w) > 4 and w[:-1] in TERMS:
+        return w[:-1], TERMS[w[:-1]], False
+    stretched = _STRETCH.search(w) is not None
     leet = re.search(r"[0134578@$]", w) is not None and re.search(r"[a-z]", w) is not None
     star = "*" in w
     if not (stretched or leet or star):
-        if len(w) < 7 or not w.isalpha():
+        if len(w) < 4 or not w.isalpha() or not TRIE.possible(w):
             return None
         got = TRIE.near(w, 1)
-        return (got[0], TERMS[got[0]]) if got and len(got[0]) >= 7 else None
+        if got is None or got[0] in _FIXED or len(got[0]) == 4 and got[0][0] != w[0]:
+            return None
+        return got[0], WORDS[got[0]], True
     forms = []
-    base = re.sub(r"(.)\1\1+", r"\1", w)
-    for f in {base, re.sub(r"(.)\1\1+", r"\1\1", w)}:
+    for f in {_STRETCH.sub(r"\1", w), _STRETCH.sub(r"\1\1", w)}:
         forms += [f.translate(_LEET), f.translate(_LEET2)] if leet else [f]
     for f in forms:
         f = re.sub(r"[^\w*]", "", f)
-        if f in TERMS:
-            return f, TERMS[f]
+        if f in WORDS and (f in TERMS or not leet):
+            return f, WORDS[f], False
         if len(f) < 3:
             continue
         plain = f.replace("*", "")
@@ -137,19 +224,21 @@ def match_word(word: str) -> tuple[str, str] | None:
         got = TRIE.near(f, 0 if star else most)
         if got is None and f.endswith("s"):
             got = TRIE.near(f[:-1], 0)
+        if got and got[0] in _FIXED and got[1]:
+            got = None
         if got and not (leet and re.fullmatch(r"[a-z]+\d+", w) and got[1] > 0):
-            return got[0], TERMS[got[0]]
+            return got[0], WORDS[got[0]], False
     return None
 
 
 def clean(text: str) -> str:
     """Drop invisible characters, fold look-alikes, join letters that were spaced out or dotted."""
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) not in ("Cf", "Mn") or c == "\n").translate(_CONFUSABLE)
+        text = text.translate(FOLD)
 
     def join(m: re.Match) -> str:
         word = re.sub(r"[ .\-_]", "", m.group(0))
-        if word[0] in "aAiI" and match_word(word) is None and match_word(word[1:]):
+        if word[0] in "aAiI" and (match_word(word) or (0, 0, True))[2] and match_word(word[1:]):
             return word[0] + " " + word[1:]  # "a m o r o n": the article is no part of the word
         return word
 
@@ -158,114 +247,44 @@ def clean(text: str) -> str:
 
 _SPLIT = re.compile(r"(?<=[.!?…])[\s\"”)]+|\n+")
 _LINE_HEAD = re.compile(r"^\s*(?:[>*\-#|]+\s*)*(?:\[\d\d?:\d\d\]\s*)?(?:dev\d+:\s*|@?\w+:\s+)?(?:@\w+\s+)*(?:(?:lol|lmao|tbh|seriously|honestly|wow|ugh|btw|fyi|re:)[,. ]+)*", re.I)
-_MODERATION = re.compile(r"(?i)\b(?:filter|blocklist|block ?list|denylist|word ?list|moderat\w*|classifier|flag(?:s|ged)? (?:the )?(?:message|comment)|reject(?:s|ed)? (?:messages|comments)|detect\w*|reported? (?:messages|comments)|insults and|such as|words like|terms like|"
-                         r"messages like|phrases like|comments like|test (?:case|data|fixture)s?|case-insensitive|get removed|abuse policy|code of conduct|regex|toxicity|dataset|census|column names?)\b")
+_MODERATION = re.compile(r"(?i)\b(?:filter\w*|block ?list\w*|deny ?list\w*|word ?list\w*|moderat\w*|classif\w*|flag(?:s|ged)? (?:the )?(?:message|comment)s?|reject(?:s|ed)?|detect\w*|report(?:s|ed)? (?:messages|comments)|insults and|such as|"
+                         r"(?:words|terms|messages|phrases|comments) like|test (?:case|data|fixture)s?|regex\w*|toxicity|dataset|censor\w*|removed|abuse policy|code of conduct)\b")
 _SELF = re.compile(r"(?i)\b(?:my own|i am|i'm|am i|i was|i feel|me,? the|myself|stupid of me|silly me|my (?:stupid|dumb|silly|idiotic))\b")
 # Most words between a term and the moderation talk or self-mention that takes its weight away; none does where the term is addressed to "you".
 NEAR_MODERATION, NEAR_SELF = 6, 4
 _ADDRESSED = re.compile(r"(?i)\b(?:you|you're|youre|your|ur|u)\b[,:]?\s+(?:(?!i\b|me\b|my\b|myself\b)[\w*'-]+\s+){0,2}$")
-_TECH = re.compile(r"(?i)\b(?:keep it stupid simple|dumb (?:terminal|pipe|component|proxy|down)|too dumb to see|dummy|stupid (?:typo|bug|mistake|loop|hack|simple)|useless (?:variable|import|assignment|helper|use of|code|check|cast|branch)|naked (?:pointer|pointers|of any guard|object|return|url|domain)|"
-                   r"penetration test|exposed|hot path|worker|process(?:es)?|zombie|child(?:ren)?|slave|master)\b")
-_YOU = re.compile(r"(?i)\b(?:you|your|you're|ur|u|yourself|yours|du|dein\w*|dich|dir|ihr|tú|tu|eres|sos|ton|ta|tes|toi|vous|votre|te|nobody on this team|resident|author|whoever|who(?:ever)? (?:wrote|touched|merged)|he|she|they|him|her|them|his|their|these people|those people|this guy|@\w+)\b")
-_TARGET = re.compile(r"(?i)(?:\b(?:you|your|yourself|an?|the|this|that|such an?|complete|total|little|resident|what (?:an?|kind of|a)|hey|shut up,?|get lost,?|only an?|fire this|like an?|is an?|are an?|ein|eine|so ein|un|une|eres un|eres|es un|solo un|seul un|nur ein)\s+(?:[\w*'-]+\s+){0,2})$|^(?:[\w*'-]+\s+){0,2}$|[,:]\s*(?:you\s+)?(?:[\w*'-]+\s+){0,2}$")
-
-# Phrases that are abuse by themselves (fixed values), on canonicalised lower-case text. Weight 2.
-PHRASES = [re.compile(p, re.I) for p in (
-    r"\bkill (?:yourself|urself|your self)\b", r"\bkys\b", r"\b(?:go|just|please) (?:and )?(?:die|hang yourself)\b", r"\bdie in a (?:ditch|fire)\b", r"\bhope (?:that )?you (?:get|die|are|choke|burn|rot)\b(?!.{0,20}\b(?:well|better|soon|it|a chance|time)\b)",
-    r"\b(?:hit|run over) by a (?:truck|bus|car|train)\b.*(?:you|$)", r"\bi(?:'ll| will| am going to|'m going to| gonna) (?:find|hurt|kill|beat|break|stab|shoot|make) you\b(?! (?:a|an|the|some|admin|happy))", r"\bbreak your (?:fingers|legs|neck|arms|bones|face|jaw|kneecaps)\b", r"\bi know where you (?:live|sleep|work)\b",
-    r"\bmake you (?:pay|suffer|bleed|regret)\b", r"\b(?:slit|cut) your (?:wrists?|throat)\b", r"\bend your life\b", r"\bstop breathing our air\b", r"\b(?:world|place|team|project) would be better (?:off )?without (?:you\b|" + GROUPS + r")",
-    r"\bpiece of (?:shit|sh1t|sh\*t|crap|garbage|trash|dirt|filth)\b.{0,3}$|\byou.{0,20}piece of (?:shit|sh1t|sh\*t|garbage|trash)", r"\bf(?:uck|\*ck|\*{2,3}|uk|\*\*\*k?)\s+(?:you|u|off)\b", r"\bstfu\b", r"\bgo to hell\b", r"\brot in hell\b",
-    r"\bso are you\b(?<=trash and so are you)", r"\b(?:is|are) (?:trash|garbage) and so are you\b", r"\bmonkey could\b", r"\bgarbage change from our resident\b", r"\bparents must be ashamed\b", r"\bnobody asked you\b.{0,3}\s*,?\s*\w+ (?:little )?\w+", r"\bbrain[- ]?damaged\b", r"\bquit your job\b",
-    r"\bget out of our (?:project|repo|country|team)\b", r"\bwas fine before you came\b",
-    r"\bnaked (?:photos?|pics?|pictures?|girls?|women|selfies?)\b", r"\bnude ?\*?(?:photos?|pics?|pictures?|girls?|selfies?)\b", r"\bnud[e3] ?p[i1]cs\b", r"\bhot nudes?\b", r"\bnudes\b", r"\b(?:explicit|hot|free|live|cyber) sex\b", r"\bsex (?:chat|tape|video|cam|clip)s?\b", r"\bthinking (?:about|of) you naked\b", r"\byou look so (?:fuckable|hot|sexy)\b", r"\bwant you in my bed\b", r"\bsit on my (?:lap|face)\b", r"\blet me undress you\b",
-    r"\bxxx (?:clips?|videos?|pics|movies|chat)\b", r"\badult (?:videos?|clips|movies|chat|pics)\b", r"\bhorny\b", r"\bhot and wet\b", r"\bsuck my\b", r"\bsexy (?:pics|photos|girls)\b",
-    r"\b(?:halt|haltet) (?:endlich )?(?:die|deine|dein) (?:fresse|klappe|maul|schnauze)\b", r"\bverpiss dich\b", r"\bfick dich\b", r"\bhau ab,? du\b", r"\bbring dich um\b", r"\bschreibt so einen mist\b",
-    r"\bcállate\b", r"\bcallate\b", r"\blárgate\b", r"\bvete a la mierda\b", r"\bhijo de puta\b", r"\bescribe esta mierda\b", r"\bmátate\b", r"\bdégage\b", r"\bferme ta gueule\b", r"\bta gueule\b", r"\bva te faire\b", r"\bécrit cette merde\b", r"\bfils de pute\b", r"\bvaffanculo\b", r"\bva a morire\b",
-    r"\b" + GROUPS + r"\b.{0,12}\b(?:are|sind|son|sont)\b.{0,24}\b(?:subhuman|vermin|parasites?|animals|scum|trash|garbage|filth|disease|plague|rats|cockroaches|inferior|lazy|stupid|dumb|criminals|apes|monkeys|ungeziefer|parasiten|parásitos|basura|des parasites)\b",
-    r"\b" + GROUPS + r"\b.{0,12}\bhave smaller brains\b", r"\bkeep " + GROUPS + r" out of\b", r"\b(?:do not|don't|dont) want " + GROUPS + r"\b", r"\b" + GROUPS + r"\b.{0,10}\b(?:should|must) (?:never|not) be allowed\b", r"\bthey are vermin\b", r"\bsend them (?:all )?back\b", r"\bget rid of every one of them\b",
-    r"\btypical " + GROUPS + r"\b", r"\blet " + GROUPS + r" (?:write|touch|near|code|into)\b", r"\bwritten by one of those " + GROUPS, r"\b(?:broken|bad|wrong|slow)\b.{0,25}\bby one of (?:those|these) ", r"\b(?:deport|exterminate|gas|eradicate) (?:all |the |every )?" + GROUPS, r"\b" + GROUPS + r"\b.{0,20}\bruin (?:every|our|the)\b", r"\bno (?:wonder|surprise),? " + GROUPS,
-    r"\bsubhuman\b", r"\bgaskammer\b", r"\bausländer raus\b", r"\bwatch .{0,30}(?:nudes?|porn|naked|xxx|horny|blowjob)",
-)]
-_BENIGN_PHRASE = re.compile(r"(?i)\b(?:keep the column|in the census|women in tech|meetup|explicit (?:\w+ ){0,2}(?:cast|conversion|flag|check|import|type|error|images get)|adult flag|sex and|age, sex|get removed within|the moderation|blocklist|\"shut up)\b")
-
-
-# Every phrase above holds one of these words (checked in the tests); a sentence without them and without a term scores 0.
-TRIGGERS = set(
-    "you your yourself urself ur u kys die dies hang ditch truck bus car train without piece fuck off stfu hell trash garbage monkey parents nobody asked brain braindamaged damaged job our naked nude nudes sex xxx adult horny wet suck sexy bed lap undress "
-    "fresse klappe maul schnauze verpiss fick hau bring mist cállate callate lárgate mierda puta mátate dégage gueule faire merde pute vaffanculo morire vermin send rid subhuman gaskammer raus watch porn nud pics those these typical "
-    "women men girls gays gay lesbians trans transgender immigrants migrants refugees foreigners disabled old poor fat muslims jews christians hindus blacks black white asians africans mexicans arabs gypsies homosexuals believers people "
-    "ausländer flüchtlinge frauen juden muslime schwule behinderte extranjeros inmigrantes mujeres refugiados étrangers immigrés femmes réfugiés life throat wrists breathing".split()
-)
-_ALPHA = re.compile(r"[^\W\d_]+")
-# Words too common to tell phrases apart; a phrase is only searched if the sentence holds another of its words.
-_COMMON = set("a am an and are at b be better by d die du end every from g get go going have i in is it live ll made make me must my no not of off on one or our out s send so some spec that the them they this to too u ur was we who will with you your".split())
-_ANY = "\1"  # some character, perhaps a letter
-
-
-def expand(seq) -> list[str]:
-    """Every string that a parsed phrase can match, with ``\\2`` for a word boundary and ``\\1`` for what is left open."""
-    out = [""]
-    for op, av in seq:
-        if op is C.LITERAL:
-            new = [chr(av)]
-        elif op is C.AT:
-            new = ["\2"]
-        elif op in (C.ASSERT, C.ASSERT_NOT):
-            new = [""]
-        elif op is C.SUBPATTERN:
-            new = expand(av[3])
-        elif op is C.BRANCH:
-            new = [x for alt in av[1] for x in expand(alt)]
-        elif op is C.IN and all(o is C.LITERAL for o, _ in av):
-            new = [chr(o) for _, o in av]
-        elif op is C.IN and av == [(C.CATEGORY, C.CATEGORY_SPACE)]:
-            new = [" "]
-        elif op is C.MAX_REPEAT and av[1] == 1:
-            new = ([""] if av[0] == 0 else []) + expand(av[2])
-        elif op is C.MAX_REPEAT and expand(av[2]) == [" "] and av[0] > 0:
-            new = [" "]
-        else:
-            new = [_ANY]
-        out = [x + y for x in out for y in dict.fromkeys(new)]
-    return out
-
-
-def whole_words(form: str) -> frozenset[str]:
-    """The words that any text matching an expanded form holds as words of their own."""
-    return frozenset(re.findall(r"(?<![^\W\d_])(?<!\x01)[^\W\d_]+(?![^\W\d_])(?!\x01)", f"{_ANY}{form}{_ANY}"))
-
-
-FORMS = [[x.lower() for x in expand(P.parse(p.pattern))] for p in PHRASES]
-_FORM_WORDS = [set(map(whole_words, forms)) for forms in FORMS]
-# Each form must show by a word of its own: joined forms ("braindamaged") bring theirs, and a phrase with a form of common words only is always searched.
-TRIGGERS |= {max(words - _COMMON or words, key=lambda w: (len(w), w)) for forms in _FORM_WORDS for words in forms if words.isdisjoint(TRIGGERS)}
-_PHRASE_WORDS = [frozenset().union(*forms) - _COMMON for forms in _FORM_WORDS]
-_ALWAYS = [k for k, p in enumerate(PHRASES) if re.search(r"\\bf\(\?:uck|so are you|i know where|go\|just|get out of our|die in a|send them|out of\\b|you look so|stfu|kys", p.pattern) or any(words <= _COMMON for words in _FORM_WORDS[k])]
-
-
-def find_phrase(text: str) -> re.Pattern | None:
-    have = set(_ALPHA.findall(text.lower()))
-    return next((p for k, p in enumerate(PHRASES) if (k in _ALWAYS or not have.isdisjoint(_PHRASE_WORDS[k])) and p.search(text)), None)
-
-
-_MIXED = re.compile(r"[^\W\d_][0134578@$*]|[0134578@$*][^\W\d_]|\*")
-_KNOWN: dict[str, bool] = {}
-
-
-@functools.lru_cache(maxsize=200_000)
-def word_matters(word: str) -> bool:
-    return word in TRIGGERS or match_word(word) is not None
+_YOU = re.compile(r"(?i)\b(?:you|your|you're|ur|u|yourself|yours|du|dein\w*|dich|dir|ihr|tú|tu|eres|sos|ton|ta|tes|toi|vous|votre|te|author|whoever|who(?:ever)? (?:wrote|touched|merged)|he|she|they|him|her|them|his|their|these people|those people|this guy|@\w+)\b")
+# What aims an insult: a determiner or an address before it, the start of the sentence, or a comma before a closing insult.
+_FRAME = r"an?|that|this|such an?|complete|total|utter|little|fucking|our|my|your|resident|what (?:an?|kind of|a)|hey|shut up,?|get lost,?|only an?|fire (?:this|that|the)|like an?|is an?|are an?|ein|eine|so ein|un|une|eres un|eres|es un|solo un|seul un|nur ein"
+_TARGET = re.compile(r"(?i)(?:\b(?:you|yourself|the|" + _FRAME + r")\s+(?:[\w*'-]+\s+){0,2})$|^(?:[\w*'-]+\s+){0,2}$|[,:]\s*(?:you\s+)?(?:[\w*'-]+\s+){0,2}$")
+_AIMED = re.compile(r"(?i)(?:\b(?:you|" + _FRAME + r")\s+(?:(?!the\b)[\w*'-]+\s+){0,2})$|^(?:hey|fire this|oh)?\s*$|[,:]\s*(?:you\s+)?(?:(?!the\b|an?\b)[\w*'-]+\s+){0,1}$")
+_YOU_ARE = re.compile(r"(?i)\b(?:you(?:'re| are)?|you people are|u r|are you)(?: all| so| just| too| really| \w+ or just)* $")
+
+
+@functools.lru_cache(maxsize=400_000)
+def _parts(token: str) -> tuple:
+    """(start, end, lexicon word, class, misspelled) of the words in a blank-separated token."""
+    out = []
+    for m in _WORDISH.finditer(token):
+        s, got = m.group(0), match_word(m.group(0))
+        if got is None and ("'" in s or "*" in s.strip("*") or "." in s or "-" in s) and "_" not in s:
+            at, pieces = m.start(), []
+            for x in re.split(r"(['*.\-])", s):
+                if x and x not in "'*.-":
+                    g = match_word(x) if x.lower() not in ("t", "s") else None
+                    pieces.append((at, at + len(x), *(g or (None, None, False))))
+                at += len(x)
+            if any(p[2] for p in pieces) and ("*" not in s or all(len(x) > 2 for x in s.split("*"))) and not re.search(r"\.\w{1,4}$", s):
+                out += pieces
+                continue
+        out.append((m.start(), m.end(), *(got or (None, None, False))))
+    return tuple(out)
 
 
+@functools.lru_cache(maxsize=400_000)
 def interesting(token: str) -> bool:
-    """Whether a blank-separated token can matter to the score at all."""
-    got = _KNOWN.get(token)
-    if got is None:
-        got = any(map(word_matters, _ALPHA.findall(token.lower()))) or (
-            _MIXED.search(token) is not None and ("*" in token or any(match_word(m.group(0)) for m in _WORDISH.finditer(token))))
-        if "_" not in token and "/" not in token and len(_KNOWN) < 400_000:  # names and paths hardly recur
-            _KNOWN[token] = got
-    return got
+    """Whether a blank-separated token holds a term, or the word by which a sequence is told."""
+    return any(w is not None and (cls is not None or w in SEQ.keys) for _, _, w, cls, _ in _parts(token))
 
 
 def _beside(text: str, start: int, end: int, spans: list[tuple[int, int]], words: int) -> bool:
@@ -273,6 +292,9 @@ def _beside(text: str, start: int, end: int, spans: list[tuple[int, int]], words
     return any(len((text[b:start] if b <= start else text[end:a]).split()) <= words for a, b in spans)
 
 
+_BLANKED = re.compile(r"\S+")
+
+
 def score_sentence(sentence: str) -> tuple[float, str]:
     """(weight, class) of one canonicalised sentence."""
     if not any(map(interesting, sentence.split())):
@@ -280,67 +302,79 @@ def score_sentence(sentence: str) -> tuple[float, str]:
     s = _LINE_HEAD.sub("", sentence.strip())
     if len(s) < 3:
         return 0.0, ""
-    hits, canon, at = [], [], 0
-    for m in _WORDISH.finditer(s):
-        got = match_word(m.group(0))
-        if got is None and "*" in m.group(0).strip("*"):
-            parts = m.group(0).split("*")
-            if all(len(p) > 2 for p in parts):
-                canon += [s[at : m.start()], " ".join(parts)]
-                at = m.end()
-                continue
-        if got is None and "." in m.group(0):
-            parts = [p for p in m.group(0).split(".") if p]
-            for p in parts:
-                if len(p) > 4 and (g := match_word(p)) and g[1] == "INS":
-                    got = g
-        if got:
-            canon += [s[at : m.start()], got[0]]
-            at = m.end()
-            hits.append((sum(map(len, canon)) - len(got[0]), *got))
+    words, spans, hits, canon, at, size = [], [], [], [], 0, 0
+    for m in _BLANKED.finditer(s):
+        for a, b, w, cls, misspelled in _parts(m.group(0)):
+            a, b = a + m.start(), b + m.start()
+            canon += [s[at:a], w or s[a:b]]
+            size += a - at
+            spans.append((size, size + len(canon[-1])))
+            size, at = spans[-1][1], b
+            words.append(w)
+            if cls:
+                hits.append((*spans[-1], w, cls, misspelled))
     canon.append(s[at:])
     text = "".join(canon)
-    phrase = find_phrase(text)
-    if phrase is None and not hits:
-        return 0.0, ""
-    if _BENIGN_PHRASE.search(text):
+    found = SEQ.find(words)
+    if not found and not hits:
         return 0.0, ""
     moderation, me = [m.span() for m in _MODERATION.finditer(text)], [m.span() for m in _SELF.finditer(text)]
+    directed = _YOU.search(text) is not None
     total, kind = 0.0, ""
-    if phrase is not None:
-        start, end = phrase.search(text).span()
+    for name, i, j in found:
+        start, end = spans[i][0], spans[j][1]
         quoted = any(text.count(q, 0, start) % 2 for q in "\"“`")
-        if not (_beside(text, start, end, moderation, NEAR_MODERATION) and (quoted or not _YOU.search(text))):
-            total, kind = 2.0, "phrase"
-    directed = _YOU.search(text) is not None
-    for pos, term, cls in hits:
+        if not (_beside(text, start, end, moderation, NEAR_MODERATION) and (quoted or not directed)):
+            total, kind = 2.0, name
+            break
+    for pos, end, term, cls, misspelled in hits:
         if cls == "VUL":
             continue
-        before = text[:pos]
+        before, after = text[:pos], text[end:]
         quoted = any(before.count(q) % 2 for q in "\"“`")
         addressed = _ADDRESSED.search(before) is not None
-        if quoted or not addressed and _beside(text, pos, pos + len(term), moderation, NEAR_MODERATION):
+        if quoted or not addressed and _beside(text, pos, end, moderation, NEAR_MODERATION):
             continue
+        faint = misspelled and len(term) < 6 and not (addressed or _AIMED.search(before) is not None)
         if cls in ("SEX", "HATE"):
-            total, kind = total + 2.0, kind or cls
-            continue
-        if not addressed and _beside(text, pos, pos + len(term), me, NEAR_SELF):
+            w = 0.3 if faint else 2.0
+        elif not addressed and _beside(text, pos, end, me, NEAR_SELF):
             continue
-        near = _TARGET.search(before) is not None
-        tech = _TECH.search(text) is not None
-        w = (1.0 if near or directed else 0.4) if cls == "INS" else (0.6 if directed and not tech else 0.1)
-        if cls == "ADJ" and re.search(r"(?i)\b(?:you(?:'re| are)?|you people are|u r|are you)(?: all| so| just| too| really| or just| brain damaged or just)* $", before):
-            w = 1.0
-        if cls == "INS" and tech and not directed:
-            w = 0.2
+        elif cls == "INS":
+            w = 1.0 if (_AIMED if term in AMBIGUOUS else _TARGET).search(before) or directed and term not in AMBIGUOUS else 0.4
+            if faint or re.match(r"\s+(?:of|for|case|node|branch|process|thread)\b", after):
+                w = 0.3
+        else:
+            w = 1.0 if _YOU_ARE.search(before) else 0.6 if directed else 0.1
         total, kind = total + w, kind or cls
     return total, kind
 
 
+def _spaced(tokens: list[str]) -> bool:
+    """Whether letters may be spaced out or dotted."""
+    run = 0
+    for t in tokens:
+        n = len(t)
+        if n <= 2:
+            run += 1
+            if run >= 3:
+                return True
+        else:
+            if n > 4 and (t.count(".") > 1 or t.count("-") > 1 or t.count("_") > 1) and _SPACED.search(t):
+                return True
+            run = 1 if not t[-2].isalnum() else 0
+    return run >= 2
+
+
 def score_text(text: str | None) -> tuple[float, str]:
     """(score, class of the worst sentence)."""
     if not text:
         return 0.0, ""
+    if not text.isascii():
+        text = text.translate(FOLD)
+    tokens = text.split()
+    if not any(map(interesting, tokens)) and not _spaced(tokens):
+        return 0.0, ""
     total, worst, kind = 0.0, 0.0, ""
     for s in _SPLIT.split(clean(text)):
         w, k = score_sentence(s) if s else (0.0, "")

@@ -29,7 +29,7 @@ def edits(a, b):
 
 def test_trie_walk_equals_brute_force():
     r = random.Random(2)
-    terms = sorted(A.TERMS)
+    terms = sorted(A.WORDS)
     for _ in range(150):
         w = list(r.choice(terms))
         for _ in range(r.randrange(3)):
@@ -50,24 +50,69 @@ def test_operator_and_rates(spark):
     assert A.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_the_quick_way_out_changes_nothing(monkeypatch):
+def test_the_quick_ways_out_change_nothing(monkeypatch):
     quick = [A.score_text(s) for s in ABUSE + FINE]
     monkeypatch.setattr(A, "interesting", lambda token: True)
-    monkeypatch.setattr(A, "find_phrase", lambda text: next((p for p in A.PHRASES if p.search(text)), None))
+    monkeypatch.setattr(A, "_spaced", lambda tokens: True)
     assert [A.score_text(s) for s in ABUSE + FINE] == quick
-
-
-def test_every_form_of_a_phrase_passes_both_gates():
-    for s in ("you are braindamaged", "see nudepics here", "nudephotos of all", "brain damaged you are", "you idio" + "o" * 60 + "t"):
+    r = random.Random(8)
+    for _ in range(3000):
+        w = list(r.choice(sorted(A.WORDS)))
+        for _ in range(r.randrange(1, 3)):
+            k = r.randrange(len(w) or 1)
+            w[k : k + r.randrange(2)] = r.choice(["", "x", "e", w[k] * 2 if w else ""])
+        w = "".join(w)
+        assert A.TRIE.possible(w) or A.TRIE.near(w, 1) is None, w
+
+
+def test_every_form_of_a_sequence_is_found():
+    for s in ("you are braindamaged", "see nudepics here", "nudephotos of all", "brain damaged you are, braindamaged loser", "you idio" + "o" * 60 + "t"):
         assert A.score_text(s)[0] >= A.THRESHOLD, s
-    matched = 0
-    for p, forms in zip(A.PHRASES, A.FORMS):
-        for f in forms:
-            text = f.replace("\2", "").replace("\1", " ")
-            if p.search(text):
-                matched += 1
-                assert any(map(A.interesting, text.split())) and A.find_phrase(text), (p.pattern, text)
-    assert matched > 3000
+    tried = 0
+    for kind, elements in A.SEQ.patterns:
+        for k in range(max(len(alts) for _, alts, _, _ in elements)):
+            for full in (True, False):
+                words = []
+                for _, alts, optional, gap in elements:
+                    if gap:
+                        words += ["zzyzx"] * (gap if full else 0)
+                    elif full or not optional:
+                        words += alts[k % len(alts)]
+                words = [w for w in words if w != A.END]
+                tried += 1
+                assert kind in {x for x, _, _ in A.SEQ.find(words)}, (kind, words)
+                assert any(map(A.interesting, words)), words
+    assert tried > 700
+
+
+def test_misspelled_terms_are_found_at_every_length():
+    r, found, tried, bad = random.Random(5), 0, 0, []
+    for term, cls in A.TERMS.items():
+        if cls == "VUL" or len(term) < 4:
+            continue
+        for _ in range(12):
+            w, k = list(term), r.randrange(1, len(term))
+            edit = r.randrange(4)
+            if edit == 0:
+                w[k] = r.choice("abcdefghijklmnoprstuw")
+            elif edit == 1:
+                w.insert(k, r.choice("abcdefghijklmnoprstuw"))
+            elif edit == 2 and len(w) > 4:
+                del w[k]
+            else:
+                w[k - 1], w[k] = w[k], w[k - 1]
+            w = "".join(w)
+            if w in A.ORDINARY or w in A.WORDS or w[0] != term[0] and len(term) < 5:
+                continue
+            tried += 1
+            ok = A.score_text(f"you are such a {w}." if cls in ("INS", "HATE") else f"you are {w}" if cls == "ADJ" else f"watch {w} here")[0] >= A.THRESHOLD or cls == "SEX" and len(term) < 6 and A.score_text(f"send it you {w}")[0] >= A.THRESHOLD
+            found += ok
+            bad += [] if ok else [(term, w)]
+    assert found / tried >= 0.9, (found, tried, bad)
+    for s in ("you moorn", "what a morron", "you idoit", "you are stuipd", "you wankre", "go kill yuorself", "stop braething our air"):
+        assert A.score_text(s)[0] >= A.THRESHOLD, s
+    for s in ("the loser of the race was logged", "the node looks like a batch", "count the chunks, that is how it works", "ship it and shut down the hook", "a clown case in the test", "retry the twist of the pitch"):
+        assert A.score_text(s)[0] < A.THRESHOLD, (s, A.score_text(s))
 
 
 def test_exemptions_reach_a_few_words_and_sentences_add_up():
