@@ -75,7 +75,7 @@ def p7_found(spark, sf_dir):
 
 def p7_near(spark, sf_dir):
     near = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), max_edits=1)
-    return near.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.count("*").alias("windows"))
+    return near.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.sum("windows").alias("windows"))
 
 
 def p7_suites(spark, sf_dir):

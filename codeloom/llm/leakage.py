@@ -2,12 +2,14 @@
 
 Both sides are cut into windows of ``window`` words. The CGK random walk maps each window to a longer string such that a small
 edit distance becomes a small Hamming distance: at step j the walk writes the word under its pointer and moves on if a
-random bit of (j, word) says so. Each of several tables hashes a random sample of positions of that string;
-windows that share a table's hash are candidates, which are verified word by word. Windows without an edit agree in
-every table, so for verbatim passages the recall is 1; with ``max_edits`` the number of tables sets it (measured in tests).
+random bit of (j, word) says so. Each of several tables of several independent walks hashes a random sample of positions of that string;
+windows that share a table's hash are candidates, which are verified by their exact edit distance: the document's passage may be shorter or
+longer than the item's by the edits allowed. Windows without an edit agree in every table, so for verbatim passages the recall is 1; for
+replaced, inserted and dropped words the number of tables sets it (measured in tests, 0.9 or more for each).
 
-The item side is held in memory by the workers in blocks of bounded size; documents stream past it without a shuffle.
-A window with more than ``max_edits`` words that occur in no item cannot be within reach and is skipped.
+Equal windows of the items are one class: they are searched for and verified once and told apart only where they match. The item side is
+indexed by the workers, once per worker, in blocks of bounded size; one block at a time passes through the driver, and documents stream
+past each block without a shuffle. A passage with more than ``max_edits`` words that occur in no item cannot be within reach and is skipped.
 
 Defined cases
     * Words are runs of ASCII letters and digits in lower case. Markup (tags, entities, emphasis), escaped line
@@ -15,11 +17,13 @@ Defined cases
     * null and empty texts, and items of fewer than ``window`` words, give no rows.
     * A passage is a maximal run; it counts for an item unless another item holds that whole run as well.
     * Repeated documents are reported under each of their ids. Result rows are distinct. Empty tables give empty results.
+    * An item longer than a block is a block of its own.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -77,13 +81,13 @@ class Walk:
                 weight[t, at] = rng.integers(1, 1 << 63, len(at), dtype=np.uint64) | _U(1)
             self.runs.append((salt, weight))
 
-    def hashes(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(repeats * tables, windows) hash of the window of ``ids`` at each start."""
+    def hashes(self, ids: np.ndarray, starts: np.ndarray, stops: np.ndarray | None = None) -> np.ndarray:
+        """(repeats * tables, windows) hash of the window of ``ids`` at each start, up to its stop where given."""
         out = np.zeros((len(self.runs) * self.tables, len(starts)), np.uint64)
         value = (ids.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15)
         value ^= value >> _U(29)
         value = np.concatenate([value, np.zeros(self.window + 1, np.uint64)])
-        stop = starts + self.window
+        stop = starts + self.window if stops is None else np.minimum(starts + self.window, stops)
         for k, (salt, weight) in enumerate(self.runs):
             at = starts.astype(np.int64).copy()
             for j in range(self.steps):
@@ -96,42 +100,56 @@ class Walk:
 
 
 class ItemBlock:
-    """Index of one block of items: word ids, their windows, and a sorted hash list per table."""
+    """Index of one block of items: word ids, the classes of equal windows, and a sorted hash list per table."""
 
     def __init__(self, items: list[tuple], walk: Walk):
         self.vocab: dict[str, int] = {}
+        self.item_ids = [i for i, _ in items]
         ids, starts, owner = [], [], []
         for k, (_, text) in enumerate(items):
             w = [self.vocab.setdefault(x, len(self.vocab) + 1) for x in words(text)]
             starts += range(len(ids), len(ids) + len(w) - walk.window + 1)
             owner += [k] * max(0, len(w) - walk.window + 1)
             ids += w
-        self.item_ids = [i for i, _ in items]
         self.ids = np.array(ids, np.int64)
-        self.starts, self.owner = np.array(starts, np.int64), np.array(owner, np.int64)
-        self.keys, self.order = [], []
-        for h in walk.hashes(self.ids, self.starts) if len(starts) else []:
+        starts, owner = np.array(starts, np.int64), np.array(owner, np.int64)
+        self.walk, self.keys, self.order = walk, [], []
+        if not len(starts):
+            self.starts = starts
+            return
+        grid = self.ids[starts[:, None] + np.arange(walk.window)]
+        _, first, klass, count = np.unique(grid, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        self.starts = starts[first]  # of one window per class
+        by_class = np.argsort(klass.ravel(), kind="stable")
+        self.at, self.owner = starts[by_class], owner[by_class]  # all windows, class by class
+        self.bounds = np.r_[0, np.cumsum(count)]
+        for h in walk.hashes(self.ids, self.starts):
             o = np.argsort(h, kind="stable")
             self.order.append(o)
             self.keys.append(h[o])
-        self.walk = walk
 
-    def candidates(self, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (document start, item window) pairs that share a hash in some table."""
+    def candidates(self, doc: np.ndarray, at: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (document start, window class) pairs that share a hash in some table."""
         pairs = []
-        for h, keys, order in zip(self.walk.hashes(doc, at), self.keys, self.order):
-            lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-            n = hi - lo
-            some = np.flatnonzero(n)
+        for h, keys, order in zip(self.walk.hashes(doc, at, stops), self.keys, self.order):
+            lo = np.searchsorted(keys, h, "left")
+            some = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == h)
             if len(some):
-                d = np.repeat(some, n[some])
-                k = np.arange(len(d)) - np.repeat(np.cumsum(n[some]) - n[some], n[some]) + np.repeat(lo[some], n[some])
+                n = np.searchsorted(keys, h[some], "right") - lo[some]
+                d = np.repeat(some, n)
+                k = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[some], n)
                 pairs.append(d * len(self.starts) + order[k])
         if not pairs:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         p = np.unique(np.concatenate(pairs))
         return at[p // len(self.starts)], p % len(self.starts)
 
+    def members(self, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``klass``, position in the class lists) of every window of these classes."""
+        n = self.bounds[klass + 1] - self.bounds[klass]
+        which = np.repeat(np.arange(len(klass)), n)
+        return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.bounds[klass], n)
+
 
 def window_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two word windows, or ``most`` + 1 if it is larger."""
@@ -146,17 +164,55 @@ def window_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, limit: int) -> list[list[tuple]]:
-    """The items in blocks of at most ``limit`` words each, streamed partition by partition."""
-    out, block, size = [], [], 0
-    for r in items.where((F.length(text_col) > 0) & F.col(id_col).isNotNull()).select(id_col, text_col).orderBy(id_col).toLocalIterator():
-        n = r[1].count(" ") + 1
-        if block and size + n > limit:
-            out.append(block)
-            block, size = [], 0
-        block.append((r[0], r[1]))
-        size += n
-    return [*out, block] if block else out
+def passage_edits(doc: np.ndarray, p: np.ndarray, ends: np.ndarray, item: np.ndarray, q: np.ndarray, w: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, words) of the best passage at each document start ``p`` against the item's window at ``q``: words up to ``ends``, edits up to most + 1."""
+    span = np.arange(w + 1)
+    room = ends - p
+    left = np.where(span < room[:, None], doc[np.minimum(p[:, None] + span, len(doc) - 1)], -1)
+    right = item[q[:, None] + span[:w]]
+    same = left[:, :w] == right
+    edits, length = np.full(len(p), most + 1), np.full(len(p), w)
+    exact = same.all(axis=1)
+    edits[exact] = 0
+    if most == 0 or exact.all():
+        return edits, length
+    prefix = np.logical_and.accumulate(same, axis=1).sum(axis=1)  # words before the first difference
+
+    def rest(eq: np.ndarray) -> np.ndarray:
+        """From which column on all are equal."""
+        return eq.shape[1] - np.logical_and.accumulate(eq[:, ::-1], axis=1).sum(axis=1)
+
+    longer = rest(left[:, 1:] == right) <= prefix  # the passage holds one word more
+    shorter = rest(left[:, : w - 1] == right[:, 1:]) <= prefix  # or one less
+    replaced = rest(same) <= prefix + 1
+    for ok, n in ((shorter, w - 1), (longer, w + 1), (replaced, w)):
+        k = ok & ~exact & (room >= n)
+        edits[k], length[k] = 1, n
+    if most > 1:
+        for k in np.flatnonzero(edits > 1):
+            for n in range(w - most, min(w + most, int(room[k])) + 1):
+                e = window_edits(doc[p[k] : p[k] + n], right[k], min(most, edits[k] - 1)) if n > 0 else most + 1
+                if e < edits[k]:
+                    edits[k], length[k] = e, n
+    return edits, length
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, limit: int):
+    """The items in blocks of at most ``limit`` words each (or one longer item), of which one at a time is here."""
+    listed = items.where((F.length(text_col) > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    sized = listed.withColumn("n", F.length("t") - F.length(F.replace("t", F.lit(" "))) + 1)
+    total, count = sized.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n = max(1, -(-total // limit))
+    while count and n < count:
+        block = F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n))
+        fullest = sized.groupBy(block.alias("b")).agg(F.sum("n").alias("words"), F.count("*").alias("items")).where("items > 1").agg(F.max("words")).first()[0]
+        if fullest is None or fullest <= limit:
+            break
+        n *= 2
+    for k in range(n if count else 0):
+        block = [(r[0], r[1]) for r in listed.where(F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)) == k).orderBy("id", "t").collect()]
+        if block:
+            yield block
 
 
 def _slices(texts: list[str], chars: int = 4_000_000):
@@ -171,25 +227,37 @@ def _slices(texts: list[str], chars: int = 4_000_000):
         yield lo, len(texts)
 
 
+_INDEXES: dict[str, ItemBlock] = {}  # of this worker, the last few blocks
+
+
+def _index(key: str, shared, walk: Walk) -> ItemBlock:
+    if key not in _INDEXES:
+        while len(_INDEXES) > 1:
+            _INDEXES.pop(next(iter(_INDEXES)))
+        _INDEXES[key] = ItemBlock(shared.value, walk)
+    return _INDEXES[key]
+
+
 def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: int = 0, tables: int | None = None, sample: int | None = None, repeats: int | None = None, seed: int = 7,
-                  doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """(doc, item, start_word, end_word, edits): verified passages; runs of verbatim windows come out as one row."""
-    tables = tables or (2 if max_edits == 0 else 3)
-    sample = sample or window
-    walk = Walk(window, tables, sample, seed, repeats or (1 if max_edits == 0 else 8))
+                  doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_windows: int = BLOCK_WINDOWS, only_exact: bool = False) -> DataFrame:
+    """(doc, item, start_word, end_word, edits, windows): verified passages; runs of verbatim windows come out as one row, others window by window.
+
+    ``only_exact`` searches within ``max_edits`` and keeps of the verified passages the verbatim ones.
+    """
+    walk = Walk(window, tables or (2 if max_edits == 0 else 3), sample or window, seed, repeats or (1 if max_edits == 0 else 10 * max_edits))
     src = spread(docs.where(F.length(doc_text) > 0).select(F.col(doc_id).cast("string").alias("d"), F.col(doc_text).alias("t")))
-    schema = f"d string, i {dict(items.dtypes)[item_id]}, start_word long, end_word long, edits int"
-    out = None
-    for block in _blocks(items, item_id, item_text, block_windows):
+    schema = f"d string, i {dict(items.dtypes)[item_id]}, start_word long, end_word long, edits int, windows long"
+    out, name = None, uuid.uuid4().hex
+    for no, block in enumerate(_blocks(items, item_id, item_text, block_windows)):
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most block_windows words
 
-        def run(batches, shared=shared):
-            index = ItemBlock(shared.value, walk)
+        def run(batches, shared=shared, key=f"{name}/{no}"):
+            index = _index(key, shared, walk)
             for b in batches:
                 rows, docs_, texts = [], b["d"].tolist(), b["t"].tolist()
                 for lo, hi in _slices(texts):
-                    rows += [(docs_[lo + k], *r) for k, *r in match_documents(texts[lo:hi], index, max_edits)]
-                yield pd.DataFrame(rows, columns=["d", "i", "start_word", "end_word", "edits"])
+                    rows += [(docs_[lo + k], *r) for k, *r in match_documents(texts[lo:hi], index, max_edits, only_exact)]
+                yield pd.DataFrame(rows, columns=["d", "i", "start_word", "end_word", "edits", "windows"])
 
         part = src.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -198,8 +266,8 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_e
     return out.withColumn("d", F.col("d").cast(dict(docs.dtypes)[doc_id])).withColumnsRenamed({"d": doc_id, "i": item_id})
 
 
-def match_documents(texts: list[str], index: ItemBlock, max_edits: int) -> list[tuple]:
-    """(document position, item, start_word, end_word, edits) of documents against one block of items.
+def match_documents(texts: list[str], index: ItemBlock, max_edits: int, only_exact: bool = False) -> list[tuple]:
+    """(document position, item, start_word, end_word, edits, windows) of documents against one block of items.
 
     The documents' words are laid end to end, so that each step works on many documents at once.
     """
@@ -210,46 +278,52 @@ def match_documents(texts: list[str], index: ItemBlock, max_edits: int) -> list[
         parts.append(np.array(x, np.int64))
         sizes.append(len(x))
     ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
-    if len(ids) < w or not len(index.starts):
+    least = max(1, w - max_edits)
+    if len(ids) < least or not len(index.starts):
         return []
+    sizes = np.array(sizes)
     ends = np.cumsum(sizes)
     owner_doc = np.repeat(np.arange(len(sizes)), sizes)
+    stop = ends[owner_doc]  # of each word's document
     unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-    inside = np.arange(len(ids) - w + 1) + w <= ends[owner_doc[: len(ids) - w + 1]]
-    at = np.flatnonzero((unknown[w:] - unknown[:-w] <= max_edits) & inside)
+    n = len(ids) - least + 1
+    at = np.flatnonzero((unknown[least:] - unknown[:-least] <= max_edits) & (np.arange(n) + least <= stop[:n]))
     if not len(at):
         return []
-    p, q = index.candidates(ids, at)
-    span = np.arange(w)
-    left, right = ids[p[:, None] + span], index.ids[index.starts[q][:, None] + span]
-    # Windows of equal length: one edit is one replaced word; more edits need the full distance, after a bound on common words.
-    edits = (left != right).sum(axis=1)
-    if max_edits > 1:
-        for k in np.flatnonzero(edits > max_edits):
-            if len(np.setdiff1d(left[k], right[k])) <= max_edits:
-                edits[k] = window_edits(left[k], right[k], max_edits)
-    ok = edits <= max_edits
-    p, q, edits = p[ok], q[ok], edits[ok]
+    p, c = index.candidates(ids, at, stop[at])
     if not len(p):
         return []
-    owner, last = index.owner[q], p
-    if max_edits == 0:  # runs of windows on one diagonal are one passage
-        diagonal = index.starts[q] - p
+    edits, length = passage_edits(ids, p, stop[p], index.ids, index.starts[c], w, max_edits)
+    ok = edits <= (0 if only_exact else max_edits)
+    which, k = index.members(c[ok])
+    p, edits, length = p[ok][which], edits[ok][which], length[ok][which]
+    owner, q = index.owner[k], index.at[k]
+    rows = []
+
+    def put(p, owner, end, edits, windows):
+        doc = owner_doc[p]
+        base = (ends - sizes)[doc]
+        rows.extend(zip(doc.tolist(), [index.item_ids[o] for o in owner], (p - base).tolist(), (end - base).tolist(), edits.tolist(), windows.tolist()))
+
+    near = edits > 0
+    if near.any():
+        put(p[near], owner[near], p[near] + length[near], edits[near], np.ones(near.sum(), np.int64))
+    p, owner, q, edits = p[~near], owner[~near], q[~near], edits[~near]
+    if len(p):  # runs of windows on one diagonal are one passage
+        diagonal = q - p
         order = np.lexsort((p, diagonal, owner))
         p, diagonal, owner = p[order], diagonal[order], owner[order]
         new = np.r_[True, (owner[1:] != owner[:-1]) | (diagonal[1:] != diagonal[:-1]) | (p[1:] != p[:-1] + 1)]
         first = np.flatnonzero(new)
         last = p[np.r_[first[1:] - 1, len(p) - 1]]
-        p, owner, edits = p[first], owner[first], edits[first]
-    doc = owner_doc[p]
-    base = (ends - sizes)[doc]
-    return list(zip(doc.tolist(), [index.item_ids[o] for o in owner], (p - base).tolist(), (last - base + w).tolist(), edits.tolist()))
+        put(p[first], owner[first], last + w, edits[first], last - p[first] + 1)
+    return rows
 
 
 def leaks(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     """Distinct (doc, item) where the document holds a run of the item that no other item holds whole."""
     d, i = kw.get("doc_id", "doc_id"), kw.get("item_id", "item_id")
-    runs = find_passages(docs, items, **kw)
+    runs = find_passages(docs, items, **{"max_edits": 1, **kw}, only_exact=True)
     spans = runs.groupBy(d, "start_word", "end_word").agg(F.min(i).alias("lo"), F.max(i).alias("hi"))
     # Sorted by start, longest first, an earlier span that ends no sooner covers a later one.
     before = Window.partitionBy(d).orderBy("start_word", F.col("end_word").desc()).rowsBetween(Window.unboundedPreceding, -1)

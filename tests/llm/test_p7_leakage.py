@@ -78,19 +78,47 @@ def test_walk_is_equal_for_equal_windows_and_bounded():
     assert (h[:, 0] == h[:, 1]).all() and not (h[:, 0] == h[:, 2]).any()
 
 
-def test_recall_of_edited_windows(spark):
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete"])
+def test_recall_of_edited_passages(spark, kind):
+    """One edit in a passage of only a window: recall against the exact distance, wherever the passage stands in its document."""
     r = random.Random(9)
-    items = [(i, " ".join(make(r, 12))) for i in range(300)]
+    items = [(i, " ".join(make(r, 12))) for i in range(400)]
     docs = []
     for i, t in items:
         w = t.split()
-        k = r.randrange(12)
-        w = w[:k] + [r.choice(VOCAB)] + w[k + 1 :]
-        docs.append((i, " ".join(w)))
-    got = L.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), max_edits=1)
-    found = {(a, b) for a, b in rows(got, "doc_id", "item_id") if a == b}
-    assert len(found) / len(items) >= 0.9
-    assert got.where("edits > 1").count() == 0
+        k = r.randrange(1, 11)
+        w[k : k + (kind != "insert")] = [] if kind == "delete" else [r.choice(VOCAB)]
+        docs.append((i, " ".join(make(r, i % 3) + w + make(r, i % 2))))
+    got = L.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), max_edits=1).toPandas()
+    hit = got[got.doc_id == got.item_id]
+    assert hit.doc_id.nunique() / len(items) >= 0.9
+    text, item = dict(docs), dict(items)
+    for x in got.itertuples():  # every reported passage is as near as it says
+        a = np.array(L.words(text[x.doc_id])[x.start_word : x.end_word])
+        assert L.window_edits(a, np.array(L.words(item[x.item_id])), 3) == x.edits <= 1
+
+
+def test_two_edits_and_passage_lengths():
+    r = np.random.default_rng(3)
+    item = r.integers(1, 40, 12)
+    for _ in range(300):
+        d = list(item)
+        for _ in range(r.integers(0, 4)):
+            k = r.integers(0, len(d))
+            d[k : k + r.integers(0, 2)] = [] if r.random() < 0.4 else [int(r.integers(1, 40))]
+        doc = np.array([*d, *r.integers(1, 40, 3)])
+        for most in (0, 1, 2):
+            e, n = L.passage_edits(doc, np.array([0]), np.array([len(doc)]), item, np.array([0]), 12, most)
+            best = min(L.window_edits(doc[:m], item, 9) for m in range(12 - most, min(12 + most, len(doc)) + 1))
+            assert e[0] == min(best, most + 1) and (e[0] > most or L.window_edits(doc[: n[0]], item, 9) == e[0])
+
+
+def test_equal_windows_of_items_are_one_class():
+    shared = " ".join(f"s{i}" for i in range(20))
+    items = [(i, f"{shared} own{i} " + " ".join(f"x{i}y{k}" for k in range(15))) for i in range(50)]
+    b = L.ItemBlock(items, L.Walk(12, 3, 12, 7, 2))
+    assert len(b.starts) == 9 + 50 * (36 - 11 - 9) and b.bounds[-1] == 50 * 25
+    assert sorted(set(m[1] for m in L.match_documents([shared], b, 1))) == list(range(50))
 
 
 def test_window_edits():
