@@ -9,6 +9,7 @@ is the sum over its sentences.
 
 Defined cases
     * null and empty text scores 0 and is never a case. Very long texts are scored sentence by sentence.
+    * Names with underscores, and words of digits for more than two thirds, stand for no term.
     * Words of up to three letters must match exactly, others within one edit (a swap of neighbours is one), unless they are ordinary
       words; of terms of four letters the first must stay, and words of expressions that are no terms need six letters. Words with digits, signs or stretched letters in them are taken as disguised: one
       edit from five letters, two from nine. Misspelled terms under six letters weigh in full only where they are aimed at somebody.
@@ -208,7 +209,9 @@ def match_word(word: str) -> tuple[str, str | None, bool] | None:
         if got is None or got[0] in _FIXED or len(got[0]) == 4 and got[0][0] != w[0]:
             return None
         return got[0], WORDS[got[0]], True
-    forms = []
+    if "_" in w or 3 * sum(map(str.isdigit, w)) > 2 * len(w):  # names, and numbers with a letter or two
+        return None
+    forms, counted = [], leet and re.fullmatch(r"[a-z]+\d+", w)  # "worker12" is a name with a number, unless it reads as a term exactly
     for f in {_STRETCH.sub(r"\1", w), _STRETCH.sub(r"\1\1", w)}:
         forms += [f.translate(_LEET), f.translate(_LEET2)] if leet else [f]
     for f in forms:
@@ -221,12 +224,13 @@ def match_word(word: str) -> tuple[str, str | None, bool] | None:
         most = 0 if len(plain) < 5 or (star and f.count("*") > 2) else 1 if len(f) < 9 else 2
         if star and len(plain) < 2:
             continue
-        got = TRIE.near(f, 0 if star else most)
+        most = 0 if star or counted else most
+        got = TRIE.near(f, most) if star or most != 1 or TRIE.possible(f) else None
         if got is None and f.endswith("s"):
             got = TRIE.near(f[:-1], 0)
         if got and got[0] in _FIXED and got[1]:
             got = None
-        if got and not (leet and re.fullmatch(r"[a-z]+\d+", w) and got[1] > 0):
+        if got:
             return got[0], WORDS[got[0]], False
     return None
 
