@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.abuse import THRESHOLD, rates, score_documents
 from codeloom.llm.credentials import find_credentials, redact_credentials
 from codeloom.llm.handwritten import classify
-from codeloom.llm.leakage import find_passages, leak_report, leaks
+from codeloom.llm.leakage import leak_report, leaks, near_leaks
 from codeloom.llm.mixing import mix
 from codeloom.llm.packing import fill_report, pack
 from codeloom.llm.splitting import split_oversized
@@ -74,8 +74,7 @@ def p7_found(spark, sf_dir):
 
 
 def p7_near(spark, sf_dir):
-    near = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), max_edits=1)
-    return near.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.sum("windows").alias("windows"))
+    return near_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p7_suites(spark, sf_dir):

@@ -334,6 +334,13 @@ def leaks(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     )
 
 
+def near_leaks(docs: DataFrame, items: DataFrame, max_edits: int = 1, **kw) -> DataFrame:
+    """(doc, item, edits, windows): how near a document comes to each item; passages that fit several items come out once, with a null item."""
+    d, i = kw.get("doc_id", "doc_id"), kw.get("item_id", "item_id")
+    spans = find_passages(docs, items, max_edits=max_edits, **kw).groupBy(d, "start_word", "end_word").agg(F.min(i).alias("lo"), F.max(i).alias("hi"), F.min("edits").alias("edits"), F.max("windows").alias("windows"))
+    return spans.groupBy(d, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias(i)).agg(F.min("edits").alias("edits"), F.sum("windows").alias("windows"))
+
+
 def leak_report(found: DataFrame, items: DataFrame, item_id: str = "item_id", doc_id: str = "doc_id") -> DataFrame:
     """(suite, items, leaked_items, documents) per suite."""
     per = found.groupBy(item_id).agg(F.count(doc_id).alias("documents"))

@@ -121,6 +121,16 @@ def test_equal_windows_of_items_are_one_class():
     assert sorted(set(m[1] for m in L.match_documents([shared], b, 1))) == list(range(50))
 
 
+def test_near_leaks_name_one_item_or_none(spark):
+    r = random.Random(4)
+    common = make(r, 14)
+    items = [(i, " ".join(make(r, 15) + common + make(r, 5))) for i in range(6)]
+    own = items[2][1].split()[:13]
+    docs = [(1, " ".join(common)), (2, " ".join(own[:6] + ["zz"] + own[6:])), (3, "nothing " * 20), (4, None)]
+    got = rows(L.near_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id", "edits")
+    assert (1, None, 0) in got and (2, 2, 1) in got and {g[0] for g in got} == {1, 2}
+
+
 def test_window_edits():
     a = np.array([1, 2, 3, 4])
     assert L.window_edits(a, a, 2) == 0 and L.window_edits(a, np.array([1, 3, 4, 5]), 2) == 2 and L.window_edits(a, np.array([9, 8, 7, 6]), 1) == 2
