@@ -1,7 +1,7 @@
 """A generalised LL recogniser over a graph-structured stack, for grammars written in a small EBNF.
 
 Grammar text: ``Name = alternative | alternative ;`` with ``( )``, ``?``, ``*``, ``+``, quoted terminals, bare upper-case token
-classes and ``@Group`` for a bracket group whose content is known to derive ``Group``. ``$`` matches the end only.
+classes and ``@Group`` for a bracket group whose content is known to derive ``Group``. ``$`` matches the end only; ``![a b]`` matches nothing, where none of these keywords stands next.
 Tokens are single characters: the lexer turns every token, and the reducer every bracket group, into one.
 
 All derivations of an input proceed together: a descriptor is (slot, stack node, position); stack nodes are shared by
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 
-_LEX = re.compile(r"'([^']+)'|(@\w+)|(\$)|(\w+)|([|()?*+=;])|\s+|#[^\n]*")
+_LEX = re.compile(r"'([^']+)'|(@\w+)|(\$)|(\w+)|([|()?*+=;])|!\[([^\]]*)\]|\s+|#[^\n]*")
 
 
 class Grammar:
@@ -30,6 +30,11 @@ class Grammar:
         self._parse(text)
         self._firsts()
 
+    def extend(self, text: str) -> None:
+        """Add productions."""
+        self._parse(text)
+        self._firsts()
+
     # grammar text -> productions
     def _nt(self, name: str) -> int:
         if name not in self.nts:
@@ -86,6 +91,9 @@ class Grammar:
                 item = [("g", 1 << self.groups.setdefault(g, len(self.groups)))]
             elif m.group(3):
                 item = [("e", 0)]
+            elif m.group(6):
+                seq.append(("x", frozenset(self.tokens[w] for w in m.group(6).split())))
+                continue
             else:
                 w = m.group(4)
                 item = [("t", self.tokens[w])] if w in self.tokens and w.isupper() else [("n", self._nt(w))]
@@ -128,7 +136,7 @@ class Grammar:
                 return c | {v}, g, False
             if kind == "g":
                 return c, g | v, False
-            if kind == "e":
+            if kind in "ex":
                 continue
             c |= chars[v]
             g |= mask[v]
@@ -193,6 +201,11 @@ class Grammar:
                         pos += 1
                         continue
                     break
+                if kind == "x":
+                    if i < n and s[i] in v:
+                        break
+                    pos += 1
+                    continue
                 if kind == "e":
                     if i == n:
                         pos += 1

@@ -7,7 +7,7 @@ import re
 from codeloom.llm.gll import Grammar
 
 STR, TPL, INC, ASG, CMP, ARR, ELL, COL2, LIFE = (chr(0xE000 + i) for i in range(1, 10))
-POW = "\ue0f0"
+POW, BROKEN = "\ue0f0", "\ue0f1"
 RET, CHN, DEF, RNG, OR2, AND2 = (chr(0xE010 + i) for i in range(6))
 BASE = {"NAME": "a", "POW": POW, "NUM": "0", "STR": STR, "TPL": TPL, "INC": INC, "ASG": ASG, "CMP": CMP, "=>": ARR, "...": ELL, "::": COL2, "LIFE": LIFE, "->": RET, "<-": CHN, ":=": DEF, "..": RNG, "||": OR2, "&&": AND2}
 _PAIR = {"(": ")", "[": "]", "{": "}"}
@@ -48,21 +48,21 @@ class Language:
         raise NotImplementedError
 
     def listing(self, nt: str, holes: bool = False, empty: bool = True, trailing: bool = True, whole: str | None = None):
+        """Whether a bracket's content is a list of ``nt``, or derives ``whole``.
+
+        Elements are recognised first, each becoming one token (equal ones once), then the list of these tokens by a production of its own.
+        """
         g = self.g
+        name = f"List{int(holes)}{int(empty)}{int(trailing)}"
+        if name not in g.nts:
+            one = "'e'?" if holes else "'e'"
+            g.extend(f"{name} = {one} (',' {one})* {'' if holes or not trailing else chr(39) + ',' + chr(39) + '?'} {'|' if empty else ''} ;")
 
         def check(s: str) -> bool:
             s = s.replace("\n", "")
-            if not s:
-                return empty
             parts = s.split(",")
-            if trailing and parts[-1] == "" and len(parts) > 1:
-                parts.pop()
-            parts = set(parts)
-            if "" in parts and not holes:
-                return False
-            if all(p == "" or g.derives(nt, p) for p in parts):
-                return True
-            return whole is not None and g.derives(whole, s)
+            kinds = {p: "e" if p and g.derives(nt, p) else "?" if p else "" for p in set(parts)}
+            return g.derives(name, ",".join(map(kinds.__getitem__, parts))) or whole is not None and g.derives(whole, s)
 
         return check
 
@@ -106,7 +106,10 @@ class Language:
                 continue
             if not opened or _PAIR[opened[-1]] != c:
                 return None
-            ch = self.group(opened.pop(), "".join(out.pop()))
+            bracket = opened.pop()
+            ch = self.group(bracket, "".join(out.pop()))
+            if ch is not None:
+                ch = self.narrowed(next((x for x in reversed(out[-1]) if x), ""), bracket, ch)
             if ch is None:
                 return None
             out[-1].append(ch)
@@ -115,6 +118,10 @@ class Language:
         out[0].append(s[at:])
         return "".join(out[0])
 
+    def narrowed(self, before: str, bracket: str, ch: str) -> str | None:
+        """The bracket group's token where what stands before it leaves fewer readings."""
+        return ch
+
     def valid(self, text: str) -> bool:
         s = self.reduce(self.shape(text))
         return s is not None and self.accepts(s)
@@ -126,6 +133,10 @@ class Language:
 _DQ = r'"(?:[^"\\\n]|\\[\s\S])*"'
 _SQ = r"'(?:[^'\\\n]|\\[\s\S])*'"
 _ID = r"[^\W\d][\w]*"
+# A template literal with templates in its expressions, to a depth of four.
+_TEMPLATE = r"`(?:[^`\\]|\\[\s\S])*+`"
+for _ in range(4):
+    _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^`{}'\"/]|" + _DQ + "|" + _SQ + r"|/(?![*/])|/\*[\s\S]*?\*/|\{(?:[^`{}'\"]|" + _DQ + "|" + _SQ + r"|\{[^`{}]*\})*+\}|" + _TEMPLATE + r")*+\})*+`"
 _NUM = r"0[xXbBoO][\da-fA-F_]+\w*|(?:\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?[a-zA-Z]?\w*(?<![g-km-zG-KM-Z])"
 
 JS_GRAMMAR = r"""
@@ -143,18 +154,20 @@ Mem = Prim Suf* ;
 Suf = '.' AnyName | '.'? @Index | '.'? @Args | TPL %SUF ;
 Prim = Id | NUM | STR | TPL | 'this' | 'super' | 'null' | 'true' | 'false' | @Array | @Object | @Paren | 'async'? 'function' '*'? Id? %TP @Params %RT @Block | Class | 'new' ('.' Id | Mem) | 'import' (@Args | '.' Id) ;
 Class = %DEC 'class' Id? %TP ('extends' Mem %TA)? %IMPL @ClassBody ;
+ClassDecl = %DEC 'class' Id %TP ('extends' Mem %TA)? %IMPL @ClassBody ;
 Binding = Id | @Array | @Object ;
-Decl = Binding %NN %ANN ('=' Assign)? ;
-Var = ('var' | 'let' | 'const') Decl (',' Decl)* ;
+Decl = Id %NN %ANN ('=' Assign)? | (@Array | @Object) %ANN '=' Assign ;
+Const = Binding %ANN '=' Assign ;
+Var = ('var' | 'let') Decl (',' Decl)* | 'const' Const (',' Const)* ;
 End = ';' | $ ;
-Stmt = @Block | Var End | 'async'? 'function' '*'? Id %TP @Params %RT @Block | Class | 'if' @Paren Stmt ('else' Stmt)? | 'for' 'await'? @ForHead Stmt | 'while' @Paren Stmt | 'do' Stmt 'while' @Paren ';'?
-  | 'return' Expr? End | ('break' | 'continue') Id? End | 'throw' Expr End | 'try' @Block ('catch' @Params? @Block)? ('finally' @Block)? | 'switch' @Paren @SwitchBody | Id ':' Stmt | 'debugger' End | ';' | Expr End %STMT ;
+Stmt = @Block | Var End | 'async'? 'function' '*'? Id %TP @Params %RT @Block | ClassDecl | 'if' @Paren Stmt ('else' Stmt)? | 'for' 'await'? @ForHead Stmt | 'while' @Paren Stmt | 'do' Stmt 'while' @Paren ';'?
+  | 'return' Expr? End | ('break' | 'continue') Id? End | 'throw' Expr End | 'try' @Block ('catch' @Params? @Block)? ('finally' @Block)? | 'switch' @Paren @SwitchBody | Id ':' Stmt | 'debugger' End | ';' | ![class function] Expr End %STMT ;
 Seq = Stmt+ ;
 Item = Stmt | Import | Export ;
 Items = Item+ ;
 Import = 'import' %TYPE (STR | ImpClause 'from' STR) (('with') @Object)? End ;
 ImpClause = Id | @Names | '*' 'as' Id | Id ',' (@Names | '*' 'as' Id) ;
-Export = 'export' ('default' ('async'? 'function' '*'? Id? %TP @Params %RT @Block | Class | Assign End) | Var End | 'async'? 'function' '*'? Id %TP @Params %RT @Block | Class | %TYPE @Names ('from' STR)? End | '*' ('as' AnyName)? 'from' STR End %EXP) ;
+Export = 'export' ('default' ('async'? 'function' '*'? Id? %TP @Params %RT @Block | %ABS Class | Assign End) | Var End | 'async'? 'function' '*'? Id %TP @Params %RT @Block | ClassDecl | %TYPE @Names ('from' STR)? End | '*' ('as' AnyName)? 'from' STR End %EXP) ;
 NameItem = %TYPE AnyName ('as' AnyName)? ;
 Arg = Assign | '...' Assign ;
 ArgList = Arg (',' Arg)* ','? ;
@@ -172,11 +185,13 @@ Members = Member+ ;
 _TS = {
     "%TP": "(TParams)?", "%RT": "(':' TypePred)?", "%AS": "(('as' | 'satisfies') (Type | 'const'))*", "%SUF": "| TArgs @Args | '!'", "%DEC": "('@' Mem)*", "%TA": "TArgs?", "%IMPL": "('implements' Type (',' Type)*)?",
     "%NN": "'!'?", "%ANN": "(':' Type)?", "%TYPE": "'type'?", "%MOD": "('public' | 'private' | 'protected' | 'readonly' | 'override')*", "%OPT": "'?'?", "%MODS": "('public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'override' | 'declare' | 'static')*",
-    "%THIS": "| 'this' ':' Type", "%NOBODY": "| End",
+    "%ABS": "'abstract'?", "%THIS": "| 'this' ':' Type", "%NOBODY": "| End",
     "%STMT": "| Decls", "%EXP": "| Decls | '=' Expr End | 'as' 'namespace' Id End | 'import' Id '=' Expr End", "%MEM": "| ('public' | 'private' | 'protected' | 'readonly' | 'static')* @IndexSig ':' Type End",
 }
 _TS_ONLY = r"""
-Decls = 'declare'? ('interface' Id TParams? ('extends' Type (',' Type)*)? @TObj | 'type' Id TParams? '=' Type End | 'const'? 'enum' Id @Enum | 'abstract' Class | ('namespace' | 'module') (Id ('.' Id)* | STR) @Block) | 'declare' (Var End | 'function' Id TParams? @Params (':' TypePred)? End | Class) | 'function' Id TParams? @Params (':' TypePred)? End ;
+Decls = 'declare'? ('interface' Id TParams? ('extends' Type (',' Type)*)? @TObj | 'type' Id TParams? '=' Type End | 'const'? 'enum' Id @Enum | 'abstract' ClassDecl | ('namespace' | 'module') Id ('.' Id)* @Space) | 'declare' (AVar End | 'function' Id TParams? @Params (':' TypePred)? End | 'abstract'? ClassDecl | ('namespace' | 'module') (Id ('.' Id)* | STR) @Ambient | 'module' STR End | Id @Ambient) | 'function' Id TParams? @Params (':' TypePred)? End ;
+AVar = ('var' | 'let' | 'const') Binding (':' Type)? ('=' Assign)? (',' Binding (':' Type)? ('=' Assign)?)* ;
+Ambient = 'export'? 'default'? 'declare'? (AVar End | 'function' Id? TParams? @Params (':' TypePred)? End | 'abstract'? ClassDecl | ('namespace' | 'module') Id ('.' Id)* @Ambient | Decls) | Import | Export | ';' ;
 TypePred = ('asserts')? (Id | 'this') 'is' Type | 'asserts' (Id | 'this') | Type ;
 Type = TUnion ('extends' TUnion '?' Type ':' Type)? | TParams? @Params '=>' TypePred | 'abstract'? 'new' TParams? @Params '=>' Type ;
 TUnion = ('|' | '&')? TPost (('|' | '&') TPost)* ;
@@ -198,7 +213,7 @@ class JavaScript(Language):
                 "of async get set static from as let type declare namespace abstract readonly is keyof infer satisfies asserts module interface private public protected implements override await yield unique")
     typed = False
     pattern = re.compile(
-        r"(//[^\n]*|/\*[\s\S]*?\*/|\A#![^\n]*)|(" + _DQ + "|" + _SQ + r")|(`(?:[^`\\]|\\[\s\S])*`)"
+        r"(//[^\n]*|/\*[\s\S]*?\*/|\A#![^\n]*)|(" + _DQ + "|" + _SQ + r")|(" + _TEMPLATE + r")"
         r"|([=(,:\[!&|?{};+*%~^>\n]|\A|=>|\breturn\b|\btypeof\b)([ \t]*)/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
         r"|([#]?(?:[^\W\d]|\$)[\w$]*)|(" + _NUM + r")")
     ops = [("...", ELL), ("=>", ARR), (">>>=", ASG), (">>=", ASG), ("<<=", ASG), ("**=", ASG), ("&&=", ASG), ("||=", ASG), ("??=", ASG), ("===", CMP), ("!==", CMP), ("==", CMP), ("!=", CMP), ("<=", CMP), (">=", CMP),
@@ -208,6 +223,8 @@ class JavaScript(Language):
         g = JS_GRAMMAR + (_TS_ONLY if self.typed else "")
         for k in sorted(_TS, key=len, reverse=True):
             g = g.replace(k + " ", _TS[k] + " " if self.typed else "").replace(k + ")", _TS[k] + ")" if self.typed else ")")
+        self.inside: dict[str, bool] = {}
+        self.holes = re.compile(r"\\[\s\S]|\$\{((?:[^`{}'\"/]|" + _DQ + "|" + _SQ + r"|/(?![*/])|/\*[\s\S]*?\*/|\{(?:[^`{}'\"]|" + _DQ + "|" + _SQ + r"|\{[^`{}]*\})*+\}|" + _TEMPLATE + r")*+)\}")
         super().__init__(g)
         kw = self.kw
         endable = "a0" + STR + TPL + INC + "!" * self.typed + GROUP + "".join(kw[w] for w in kw if w not in ("case", "const", "delete", "do", "else", "export", "extends", "for", "function", "if", "import", "in", "instanceof", "new", "switch", "throw", "try", "typeof", "var", "while", "with", "class", "of", "let") and (self.typed or w != "void"))
@@ -224,12 +241,34 @@ class JavaScript(Language):
         if i == 2:
             return STR
         if i == 3:
-            return TPL
+            return TPL if "${" not in m.group() or self.template(m.group()) else BROKEN
         if i == 5:
             head = m.group(4)
             return (self.kw.get(head, head)) + STR
         return "\n" if "\n" in m.group() else " "
 
+    def template(self, literal: str) -> bool:
+        """Whether the expressions inside a template literal parse."""
+        for m in self.holes.finditer(literal[1:-1]):
+            if m.group(1) is not None:
+                inner = self.inside.get(m.group(1))
+                if inner is None:
+                    s = self.reduce(self.shape(m.group(1)))
+                    inner = s is not None and self.g.derives("Expr", s.replace("\n", ""))
+                    if len(self.inside) > 100_000:
+                        self.inside.clear()
+                    self.inside[m.group(1)] = inner
+                if not inner:
+                    return False
+        return True
+
+    def narrowed(self, before: str, bracket: str, ch: str) -> str | None:
+        """Braces after an arrow are the function's body and nothing else."""
+        if bracket != "{" or not before.rstrip("\n").endswith(ARR):
+            return ch
+        mask = self.g.masks[ch] & (1 << self.g.groups["Block"] | (1 << self.g.groups["TObj"] if self.typed else 0))
+        return self.g.group_char(mask) if mask else None
+
     def semicolons(self, s: str) -> str:
         """Line ends that end a statement as ``;``, the others dropped. A line end before ``else`` does so unless a block went before."""
         s = self.newline.sub("\x01", s.strip("\n")).replace("\n", "")
@@ -259,9 +298,9 @@ class JavaScript(Language):
         kw = self.kw
         self.hold = {kw["else"], kw["while"]}
         self.go_on = set(".,)]?:+*/%&|^=<>-") | {CMP, ASG, ARR, TPL} | {kw[w] for w in ("else", "catch", "finally", "in", "instanceof", "while", "from", "as", "satisfies")}
-        for name in ("Block", "ClassBody", "SwitchBody", "TObj", "Enum", "Object", "Names"):
+        for name in ("Block", "ClassBody", "SwitchBody", "TObj", "Enum", "Object", "Names", "Ambient", "Space"):
             g.groups.setdefault(name, len(g.groups))
-        self.blocky = sum(1 << g.groups[x] for x in ("Block", "ClassBody", "SwitchBody", "TObj", "Enum", "Object", "Names"))
+        self.blocky = sum(1 << g.groups[x] for x in ("Block", "ClassBody", "SwitchBody", "TObj", "Enum", "Object", "Names", "Ambient", "Space"))
         comma = L("Assign", empty=False, trailing=False, whole="Expr")
         out = {
             "(": [("Args", L("Arg", whole="ArgList")), ("Paren", comma), ("Params", L("Param", whole="ParamList")), ("ForHead", W("ForHead"))],
@@ -271,7 +310,7 @@ class JavaScript(Language):
         if self.typed:
             out["("].append(("TParen", W("Type")))
             out["["] += [("TIndex", lambda s: s.strip("\n") == "" or W("Type")(s)), ("TTuple", L("TElem")), ("IndexSig", W("IndexSig"))]
-            out["{"] += [("TObj", self._members), ("Enum", L("EnumItem"))]
+            out["{"] += [("TObj", self._members), ("Enum", L("EnumItem")), ("Ambient", self.pieces("Ambient")), ("Space", self.pieces("Item", "Items"))]
         return out
 
     def _members(self, s: str) -> bool:
@@ -309,9 +348,10 @@ EnumBody = (EnumConst (',' EnumConst)*)? ','? (';' Members?)? ;
 Param = Mod* Type '...'? (NAME | 'this') (@Empty)* ;
 LParam = Param | NAME ;
 ParamList = Param (',' Param)* ;
-Stmt = @Block | Mod* Type Declr (',' Declr)* ';' | Expr ';' | 'if' @Paren Stmt ('else' Stmt)? | 'for' @ForHead Stmt | 'while' @Paren Stmt | 'do' Stmt 'while' @Paren ';' | 'try' @Resources? @Block ('catch' @Catch @Block)* ('finally' @Block)? | 'switch' @Paren @SwitchBody
+Stmt = @Block | Mod* Type Declr (',' Declr)* ';' | Effect ';' | 'if' @Paren Stmt ('else' Stmt)? | 'for' @ForHead Stmt | 'while' @Paren Stmt | 'do' Stmt 'while' @Paren ';' | 'try' @Resources? @Block ('catch' @Catch @Block)* ('finally' @Block)? | 'switch' @Paren @SwitchBody
   | 'return' Expr? ';' | 'throw' Expr ';' | ('break' | 'continue') NAME? ';' | 'yield' Expr ';' | 'synchronized' @Paren @Block | 'assert' Expr (':' Expr)? ';' | NAME ':' Stmt | TypeDecl | ';' ;
 Seq = Stmt+ ;
+Effect = Mem ('=' | ASG) Expr | INC Mem | Mem INC | Prim Suf* @Args | 'new' Creator ;
 Expr = Cond (('=' | ASG) Expr)? | (NAME | @LParams) '->' (Expr | @Block) ;
 Cond = Bin ('?' Expr ':' (Cond | (NAME | @LParams) '->' (Expr | @Block)))? ;
 Bin = Un (BinOp Un | 'instanceof' 'final'? (Type NAME? | NAME @RecPat))* ;
@@ -321,7 +361,7 @@ Mem = Prim Suf* ;
 Suf = '.' TArgs? NAME | '.' ('this' | 'super' | 'class' | 'new' Creator) | @Index | @Args | '::' TArgs? (NAME | 'new') ;
 Prim = NAME | NUM | STR | 'this' | 'super' | 'null' | 'true' | 'false' | @Paren | 'new' Creator | Type '::' (NAME | 'new') | Type '.' 'class' | 'void' '.' 'class' | 'switch' @Paren @SwitchBody ;
 Creator = NAME TArgs? ('.' NAME TArgs?)* (@Args @ClassBody? | (@Index | @Empty)+ @ArrayInit?) ;
-ForHead = (Mod* Type Declr (',' Declr)* | Expr (',' Expr)*)? ';' Expr? ';' (Expr (',' Expr)*)? | Mod* Type NAME ':' Expr ;
+ForHead = (Mod* Type Declr (',' Declr)* | Expr (',' Expr)*)? ';' Expr? ';' (Effect (',' Effect)*)? | Mod* Type NAME ':' Expr ;
 Resource = Mod* Type NAME '=' Expr ';'? | Expr ';'? ;
 Resources = Resource+ ;
 Catch = Mod* Type ('|' Type)* NAME ;
@@ -445,7 +485,7 @@ class Go(Language):
         return [x for x in self.ender.sub("", s).split("\n") if x]
 
     def each(self, nt: str):
-        return lambda s: all(self.g.derives(nt, p.rstrip(";")) for p in set(self.lines(s)) if p.rstrip(";"))
+        return lambda s: all(self.g.derives(nt, p) for x in set(self.lines(s)) for p in x.split(";") if p)
 
     def block(self, s: str) -> bool:
         return all(self.g.derives("Stmts", p) for p in set(self.lines(s)))
@@ -577,11 +617,12 @@ class Rust(Language):
 PY_GRAMMAR = r"""
 Id = NAME | 'match' | 'case' | 'type' ;
 Line = Simple (';' Simple)* ';'? ;
-Simple = ExprStmt | 'return' Exprs? | 'pass' | 'break' | 'continue' | 'raise' (Expr ('from' Expr)?)? | ('global' | 'nonlocal') Id (',' Id)* | 'del' Exprs | 'assert' Expr (',' Expr)? | 'import' Dotted ('as' Id)? (',' Dotted ('as' Id)?)* | 'from' ('.' | '...')* Dotted 'import' ImpTargets | 'from' ('.' | '...')+ 'import' ImpTargets | 'type' Id @Index? '=' Expr ;
+Simple = ExprStmt | 'return' Exprs? | 'pass' | 'break' | 'continue' | 'raise' (Expr ('from' Expr)?)? | ('global' | 'nonlocal') Id (',' Id)* | 'del' Targets | 'assert' Expr (',' Expr)? | 'import' Dotted ('as' Id)? (',' Dotted ('as' Id)?)* | 'from' ('.' | '...')* Dotted 'import' ImpTargets | 'from' ('.' | '...')+ 'import' ImpTargets | 'type' Id @Index? '=' Expr ;
 Dotted = Id ('.' Id)* ;
 ImpTargets = '*' | @Imports | Imp (',' Imp)* ;
 Imp = Id ('as' Id)? ;
-ExprStmt = Exprs (('=' (Exprs | Yield))* | ASG (Exprs | Yield) | ':' Expr ('=' (Exprs | Yield))?) | Yield ;
+ExprStmt = Exprs | (Targets '=')+ (Exprs | Yield) | Single ASG (Exprs | Yield) | Single ':' Expr ('=' (Exprs | Yield))? | Yield ;
+Single = Id | Mem ('.' Id | @Index) | @One ;
 Yield = 'yield' ('from' Expr | Exprs)? ;
 Exprs = Star (',' Star)* ','? ;
 Star = '*' Or | Expr ;
@@ -601,7 +642,7 @@ Prim = Id | NUM | STR+ | 'None' | 'True' | 'False' | '...' | @Paren | @List | @D
 Comp = ('async'? 'for' Targets 'in' Or CompIf*)+ ;
 CompIf = 'if' (Or | Lambda | Id ':=' Expr) ;
 Targets = Target (',' Target)* ','? ;
-Target = '*'? Mem ;
+Target = '*'? (Id | Mem ('.' Id | @Index) | @Aims) ;
 ParenAll = (StarN (',' StarN)* ','?)? | StarN Comp | Yield ;
 StarN = '*' Or | Named ;
 ListAll = (StarN (',' StarN)* ','?)? | StarN Comp ;
@@ -669,8 +710,8 @@ class Python(Language):
         P = lambda *a, **k: strip(L(*a, **k))
         any_list = strip(lambda s: L("StarN")(s) or g.derives("ListAll", s))
         return {
-            "(": [("Paren", strip(lambda s: L("StarN")(s) or g.derives("ParenAll", s))), ("Args", P("Arg", whole="ArgsAll")), ("Params", P("Param", whole="ParamsAll")), ("Imports", P("Imp", empty=False)), ("WithList", P("With", empty=False)), ("PArgs", P("PArg")), ("PSeq", P("PatAs", whole="Pats"))],
-            "[": [("List", any_list), ("Index", P("Slice", empty=False, whole="Exprs")), ("PSeq", P("PatAs"))],
+            "(": [("Paren", strip(lambda s: L("StarN")(s) or g.derives("ParenAll", s))), ("Args", P("Arg", whole="ArgsAll")), ("Params", P("Param", whole="ParamsAll")), ("Imports", P("Imp", empty=False)), ("WithList", P("With", empty=False)), ("PArgs", P("PArg")), ("PSeq", P("PatAs", whole="Pats")), ("Aims", P("Target")), ("One", W("Single"))],
+            "[": [("List", any_list), ("Aims", P("Target")), ("Index", P("Slice", empty=False, whole="Exprs")), ("PSeq", P("PatAs"))],
             "{": [("Dict", strip(lambda s: L("DItem", whole="DictAll")(s) or L("SItem")(s) or g.derives("DictComp", s))), ("PMap", P("PMapItem"))],
         }
 
@@ -771,7 +812,9 @@ Mem = Prim Suf* ;
 Suf = ('.' | '&' '.') Meth | '::' Meth | @Index | @Args | @BBlock ;
 Meth = NAME | AnyKw | @Args | '`' ;
 AnyKw = 'class' | 'then' | 'end' | 'begin' | 'in' | 'do' | 'if' | 'next' | 'not' | 'and' | 'or' | 'self' | 'nil' | 'true' | 'false' | 'yield' | 'when' | 'case' | 'for' | 'else' | 'ensure' | 'rescue' | 'return' | 'def' | 'module' | 'alias' | 'until' | 'while' | 'unless' | 'super' | 'break' | 'redo' | 'retry' | 'undef' | 'defined' ;
-Prim = NAME | NUM | STR+ | 'nil' | 'true' | 'false' | 'self' | 'super' | 'yield' | @Paren | @Array | @Hash | '::' NAME | ':' (NAME | AnyKw | STR) | '->' (@Params | NAME (',' NAME)*)? @BBlock | 'defined' @Args ;
+Prim = NAME | NUM | STR+ | 'nil' | 'true' | 'false' | 'self' | 'super' | 'yield' | @Paren | @Array | @Hash | '::' NAME | ':' (NAME | AnyKw | STR) | Inline | '->' (@Params | NAME (',' NAME)*)? @BBlock | 'defined' @Args ;
+Inline = ('if' | 'unless') Stmt Then Simple? ('elsif' Stmt Then Simple?)* ('else' ';'? Simple?)? 'end' | 'case' Expr? ';'? ('when' Args Then Simple?)+ ('else' ';'? Simple?)? 'end' | ('while' | 'until') Stmt ('do' | ';') Simple? 'end' | 'begin' ';'? Simple? ('rescue' Args? ('=>' NAME)? Then? Simple?)* ('ensure' ';'? Simple?)? 'end' ;
+Then = 'then' | ';' 'then'? ;
 Command = Un0 CArgs ;
 Un0 = '!'? Prim0 Suf* ;
 Prim0 = NAME | 'super' | 'yield' | 'self' | 'nil' | @Paren | @Array | STR+ | '::' NAME | NUM | ':' NAME ;
@@ -813,9 +856,11 @@ class Ruby(Language):
     pattern = re.compile(
         r"(#[^\n]*|^=begin\b[\s\S]*?^=end\b[^\n]*|\\\r?\n|^__END__\r?\n[\s\S]*)|(<<[~-]?([\"'`]?)([A-Za-z_]\w*)\3([^\n]*)\n(?:[^\n]*\n)*?[ \t]*\4\b)"
         r"|(\"(?:[^\"\\#]|\\[\s\S]|#(?!\{)|#\{(?:[^{}\"]|\"(?:[^\"\\]|\\.)*\"|\{[^{}]*\})*\})*\"|'(?:[^'\\]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`|%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|<[^>]*>)(?<!%\()|(?<=[=(,\[{~!|&\n ])\s*/(?![ =/])(?:[^/\\\n]|\\.)+/[imxounse]*)"
-        r"|(:\"(?:[^\"\\]|\\.)*\"|:(?:[^\W\d]\w*[?!=]?(?![:\w=>])|[^\W\d]\w*[?!]?(?!:)|\[\]=?|[+\-*/<>=!~%]+))|((?:@@?|\$)?[^\W\d]\w*(?:[?!](?![=~]|:[^:]))?|\$\W)|(\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?[ri]*|0[xXbBoO][\da-fA-F_]+)", re.M)
+        r"|(:\"(?:[^\"\\]|\\.)*\"|(?<!:):(?:[^\W\d]\w*[?!=]?(?![:\w=>])|[^\W\d]\w*[?!]?(?!:)|\[\]=?|[+\-*/<>=!~%]+))|((?:@@?|\$)?[^\W\d]\w*(?:[?!](?![=~]|:[^:]))?|\$\W)|(\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?[ri]*|0[xXbBoO][\da-fA-F_]+)", re.M)
     ops = [("...", ELL), ("..", RNG), ("->", RET), ("=>", ARR), ("::", COL2), ("**=", ASG), ("<<=", ASG), (">>=", ASG), ("&&=", ASG), ("||=", ASG), ("<=>", CMP), ("===", CMP), ("==", CMP), ("!=", CMP), ("=~", CMP), ("!~", CMP), ("<=", CMP), (">=", CMP), ("+=", ASG), ("-=", ASG), ("*=", ASG), ("/=", ASG), ("%=", ASG), ("&=", ASG), ("|=", ASG), ("^=", ASG), ("&&", AND2), ("||", OR2), ("**", "\ue0f0")]
 
+    unnamed = re.compile(r"(?<![.\w:@$])(?:class|module)[ \t]+\Z")
+
     def __init__(self):
         self.kinds: dict[str, str | None] = {}
         super().__init__(RUBY_GRAMMAR)
@@ -827,6 +872,8 @@ class Ruby(Language):
             before = m.string[m.start() - 1 : m.start()]
             if before == "." and s in self.kw:
                 return "a"
+            if "a" <= s[0] <= "z" and s not in self.kw and self.unnamed.search(m.string, max(0, m.start() - 12), m.start()) and not m.string.startswith("::", m.end()):
+                return BROKEN  # classes and modules have names in capitals
             if s in self.kw and m.string[m.end() : m.end() + 1] == ":" and m.string[m.end() : m.end() + 2] != "::":
                 return "a"
             return self.kw.get(s, "a")

@@ -54,6 +54,28 @@ BAD = {
 }
 
 
+# Nested templates, assignment targets, one-line bodies, anonymous declarations and the like.
+GOOD_TOO = {
+    'js': ['`a${`b`}`', 'x = `a${b ? `c${d}` : {e:1}.e}` + 1;', 'const f = a => ({b: 1});', 'a => { return {} };', 'for (const x of y) {}\nfor (const k in o) {}\nfor (let i = 0, n; i < n; i++) {}', 'export default class {}\nlet {a} = b;', 'var f = function() {}\n(async () => { await 1 })()', 'x = class {}'],
+    'go': ['package a\ntype B struct{}\nvar x struct { A int `json:"a"`; *B }\n', 'package a\nvar (\n\ta = 1; b = 2\n)\n'],
+    'ts': ['declare module "x" { export const a: string; export function f(b: number): void; export default class A { m(): void } interface Q { a: 1 } }', 'declare global { interface Window { a: string } }\nexport {}', 'export default abstract class { abstract foo(): void }', 'declare const x: number;', 'abstract class A { abstract foo(): void; bar() {} }', 'namespace N { export const a = 1 }', "const f = (a: number): { b: string } => { return {b: ''} };", 'type F = (a: string) => { b: number };'],
+    'rb': ['a = if x then 1 else 2 end', 'b = case x when 1 then 2 else 3 end', 'class A::B < C\nend', 'x = while a do b end', 'obj.class\nself.class.foo\n', 'class << self\nend', 'module Foo\nend', 'y = begin foo; rescue; nil end'],
+    'py': ['a, b = 1, 2', 'a.b[0], (c, d), *e = f', '(a) = 1', '[a, b] = c', 'f().x = 1', 'x[0] += 1', '(x): int = 1', 'for a.b, (c) in d: pass', 'with open(x) as (a, b): pass', 'del a, b[0], (c, d)', '[x for x, (y, z) in w]', 'a = b = yield', 'x = (yield)', 'a: int', 'f(x)[1]: str = 2', 'a = b, = c'],
+    'java': ['class A { void f() { x = 1; x++; --y; g(); new B(); new B().c(); a.b().c = 2; this.x[1] += 2; for (;;i++, j--) {} super.f(); a.<T>b(); } A() { this(1); } }'],
+}
+BAD_TOO = {
+    'py': ['1 = x', 'f() = 1', 'f() += 1', 'a + b = c', 'for f() in x: pass', 'with a as 1: pass', 'del f()', '(a, b) += 1', 'x = 1 = y', '[1 for 1 in x]', 'lambda: 1 = 2'],
+    'js': ['const x;', 'a => {} ()', 'let {a};', 'class { foo() {} }', 'x = `a${b c}`', '`${`', 'const a = 1, b;', 'for (const x; ;) {}'],
+    'java': ['class A { void f() { x + 1; } }', 'class A { void f() { 5; } }', 'class A { void f() { a.b; } }', 'class A { void f() { for (;;i) {} } }'],
+    'rb': ['class a\nend\n', 'module b\nend', 'a = if x then 1 else 2'],
+    'ts': ['abstract class { foo() }', 'const x: number;', 'declare module "x" { export const }'],
+    'go': ['package a\nvar x struct { A int `a` *B }\n'],
+}
+for _mine, _more in ((GOOD, GOOD_TOO), (BAD, BAD_TOO)):
+    for _k, _v in _more.items():
+        _mine[_k] = _mine[_k] + _v
+
+
 @pytest.mark.parametrize("ext", sorted(GOOD))
 def test_valid_sources(ext):
     for text in GOOD[ext]:
@@ -83,6 +105,44 @@ def test_agrees_with_the_exact_parser_on_mutations():
     assert agree / total > 0.93, (agree, total)
 
 
+@pytest.mark.parametrize("ext", sorted(GOOD))
+def test_damaged_sources_are_rejected(ext):
+    """Losing or gaining a bracket outside strings, a merge conflict, or being cut inside a bracket makes any source invalid."""
+    r, tried, missed = random.Random(6), 0, []
+    plain = {"py": "def f(a):\n    return g(a, [1, (2)])\n", "js": "function f(a) { return [a, (b)]; }\n", "ts": "function f(a: number): void { g([a], {b: (1)}); }\n", "go": "package a\n\nfunc f(a int) int {\n\treturn g(a, h[0])\n}\n",
+             "java": "class A { int f(int a) { if (a > 1) { return g(a, h[0]); } return 0; } }\n", "rb": "def f(a)\n  g(a, [1, {b: (2)}])\nend\n", "rs": "fn f(a: u8) -> u8 { g(a, [1, (2)]) }\n", "json": "[{}, [1, [2]]]\n"}
+    for text in (plain[ext], *(t for t in GOOD[ext] if len(t) > 3 and not any(c in t for c in "\"'`/#|<"))):
+        assert X.language(ext).valid(text) or text[0] == "\ufeff"
+        at = [i for i, c in enumerate(text) if c in "()[]{}"]
+        for i in at:
+            for t in (text[:i] + text[i + 1 :], text[:i] + r.choice("()[]{}".replace(text[i], "")) + text[i + 1 :], text[: i + 1] if text[i] in "([{" else text[:i] + text[i] + text[i:]):
+                tried += 1
+                missed += [t] if X.parses(ext, t) else []
+        t = text.split("\n")
+        k = r.randrange(len(t))
+        tried += 1
+        both = "\n".join([*t[:k], "<<<<<<< ours", t[k], "=======", t[k] + " ", ">>>>>>> theirs", *t[k + 1 :]])
+        missed += [both] if X.parses(ext, both) else []
+    assert tried and not missed, missed[:5]
+
+
+def test_accepted_sources_are_accepted_by_the_exact_parsers_too():
+    r = random.Random(3)
+    for ext, exact in (("py", ast.parse), ("json", json.loads)):
+        wrong = total = 0
+        for text in GOOD[ext]:
+            for _ in range(30):
+                i, j = sorted((r.randrange(len(text) + 1), r.randrange(len(text) + 1)))
+                t = r.choice([text[:i] + text[j:], text[:i] + text[j : j + 3] + text[i:], text[:i]])
+                if X.language(ext).valid(t):
+                    total += 1
+                    try:
+                        exact(t.lstrip("\ufeff"))
+                    except (SyntaxError, ValueError):
+                        wrong += 1
+        assert total > 20 and wrong / total < 0.05, (ext, wrong, total)
+
+
 def test_operator(spark):
     deep = "[" * 30_000 + "]" * 30_000
     data = [(1, "r", "a.py", ".py", "x = (", 1), (2, "r", "b.PY", ".PY", "x = 1", 1), (3, "r", "c", "py", "x = (", 1), (4, "r", "d.md", ".md", "x = (", 1), (5, None, "e.json", None, deep, 1), (6, "r", "f.py", ".py", None, 1), (7, "r", "g.py", ".py", "", 1), (8, "r", "h\\i.js", None, "a b", 1), (9, "r", None, None, "(", 1), (1, "r", "a.py", ".py", "x = (", 1), (2**60 + 1, "r", "z.py", ".py", "(", 1), (None, "r", "z.py", ".py", "1", 1)]
