@@ -28,12 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one is set only where none is configured."""
+    """The shared checkpoint folder ``spark.checkpoint.dir`` names; a local session without one gets a folder of this machine's own."""
     sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    if not configured and not (sc.master or "").startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="codeloom-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -48,7 +49,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer partitions than there are cores one per core (small inputs only; large ones have enough)."""
+#: Bytes of a scan (as stored) that one task of Python work should get, where the scan alone gives fewer tasks than four waves of the cores.
+PYTHON_TASK_BYTES = 4 << 20
+
+
+def spread(df: DataFrame, task_bytes: int = PYTHON_TASK_BYTES) -> DataFrame:
+    """Give a scan of few partitions enough of them for heavy work: one per core, up to four where its bytes call for more.
+
+    Scans of four waves and more are left as they are: their partitions follow ``spark.sql.files.maxPartitionBytes``.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    want = min(4 * cores, max(cores, -(-size // task_bytes)))
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
