@@ -14,6 +14,11 @@ _PAIR = {"(": ")", "[": "]", "{": "}"}
 # A long run of equal literals parses as a short one does, in every language here.
 _RUN = re.compile(f"((?:-?0|{STR}),)\n*(?:\\1\n*){{7,}}")
 _BRACKET = re.compile(r"[(){}\[\]]")
+_INNERMOST = re.compile(r"\(([^(){}\[\]]*)\)|\[([^(){}\[\]]*)\]|\{([^(){}\[\]]*)\}")
+_SAME = re.compile(r"(?:e,){4,}")
+_STRINGS = re.compile(STR + "{3,}")
+#: So many levels are reduced level by level; deeper ones bracket by bracket, which takes time in proportion to the text at any depth.
+LEVELS = 60
 GROUP = "\U000f0000-\U000fffff"
 
 
@@ -30,7 +35,6 @@ class Language:
         self.g = Grammar(grammar, {**BASE, **self.kw})
         self.readings = self.brackets()
         self.seen: dict[tuple[str, str], str | None] = {}
-        self.dropped = dict.fromkeys(map(ord, self.drop))
 
     # lexing
     def token(self, m: re.Match) -> str:
@@ -41,7 +45,10 @@ class Language:
         for a, b in self.ops:
             if a in s:
                 s = s.replace(a, b)
-        return _RUN.sub(r"\1\1\1", s.translate(self.dropped))
+        for c in self.drop:
+            if c in s:
+                s = s.replace(c, "")
+        return _RUN.sub(r"\1\1\1", _STRINGS.sub(STR + STR, s))
 
     # bracket groups
     def brackets(self) -> dict[str, list]:
@@ -62,7 +69,8 @@ class Language:
             s = s.replace("\n", "")
             parts = s.split(",")
             kinds = {p: "e" if p and g.derives(nt, p) else "?" if p else "" for p in set(parts)}
-            return g.derives(name, ",".join(map(kinds.__getitem__, parts))) or whole is not None and g.derives(whole, s)
+            # A list of many elements is one exactly if a list of four is.
+            return g.derives(name, _SAME.sub("e,e,e,e,", ",".join(map(kinds.__getitem__, parts)))) or whole is not None and g.derives(whole, s)
 
         return check
 
@@ -95,6 +103,31 @@ class Language:
 
     def reduce(self, s: str) -> str | None:
         """The token string with every bracket group turned into one token, or None if a group is not valid."""
+        broken = False
+
+        def group(m: re.Match) -> str:
+            nonlocal broken
+            i = m.lastindex
+            ch = self.group("([{"[i - 1], m[i])
+            if ch is not None and i == 3 and self.arrows:
+                k = m.start() - 1
+                while k >= 0 and m.string[k] == "\n":
+                    k -= 1
+                ch = self.narrowed(m.string[k] if k >= 0 else "", ch)
+            if ch is None:
+                broken = True
+                return ""
+            return ch
+
+        for _ in range(LEVELS):
+            s, n = _INNERMOST.subn(group, s)
+            if broken:
+                return None
+            if not n:
+                return None if _BRACKET.search(s) else s
+        return self.reduce_deep(s)
+
+    def reduce_deep(self, s: str) -> str | None:
         out, opened, at = [[]], [], 0
         for m in _BRACKET.finditer(s):
             c = m.group()
@@ -108,8 +141,8 @@ class Language:
                 return None
             bracket = opened.pop()
             ch = self.group(bracket, "".join(out.pop()))
-            if ch is not None:
-                ch = self.narrowed(next((x for x in reversed(out[-1]) if x), ""), bracket, ch)
+            if ch is not None and bracket == "{" and self.arrows:
+                ch = self.narrowed(next((x.rstrip("\n")[-1] for x in reversed(out[-1]) if x.rstrip("\n")), ""), ch)
             if ch is None:
                 return None
             out[-1].append(ch)
@@ -118,8 +151,10 @@ class Language:
         out[0].append(s[at:])
         return "".join(out[0])
 
-    def narrowed(self, before: str, bracket: str, ch: str) -> str | None:
-        """The bracket group's token where what stands before it leaves fewer readings."""
+    arrows = False
+
+    def narrowed(self, before: str, ch: str) -> str | None:
+        """The token of a group of braces where the token before it leaves fewer readings (asked if ``arrows``)."""
         return ch
 
     def valid(self, text: str) -> bool:
@@ -262,9 +297,11 @@ class JavaScript(Language):
                     return False
         return True
 
-    def narrowed(self, before: str, bracket: str, ch: str) -> str | None:
+    arrows = True
+
+    def narrowed(self, before: str, ch: str) -> str | None:
         """Braces after an arrow are the function's body and nothing else."""
-        if bracket != "{" or not before.rstrip("\n").endswith(ARR):
+        if before != ARR:
             return ch
         mask = self.g.masks[ch] & (1 << self.g.groups["Block"] | (1 << self.g.groups["TObj"] if self.typed else 0))
         return self.g.group_char(mask) if mask else None
@@ -704,8 +741,7 @@ class Python(Language):
 
     def brackets(self):
         L, g = self.listing, self.g
-        self.blank = dict.fromkeys(map(ord, " \t\n"))
-        strip = lambda f: lambda s: f(s.translate(self.blank))
+        strip = lambda f: lambda s: f(s.replace(" ", "").replace("\n", "").replace("\t", ""))
         W = lambda nt: strip(lambda s: g.derives(nt, s))
         P = lambda *a, **k: strip(L(*a, **k))
         any_list = strip(lambda s: L("StarN")(s) or g.derives("ListAll", s))
