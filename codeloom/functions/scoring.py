@@ -6,7 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def file_tier(ext: Column, tokens: Column, non_code: list[str]) -> Column:
+# Extensions of files that go to the fastest models whatever their size.
+NON_CODE_EXTENSIONS = [
+    ".md", ".txt", ".rst", ".pdf", ".docx", ".log",
+    ".yml", ".yaml", ".toml", ".cfg", ".ini", ".conf",
+    ".env", ".env.example", ".properties",
+    ".sh", ".bash", ".zsh", ".fish", ".bat", ".cmd", ".ps1",
+    ".html", ".htm", ".css", ".scss", ".sass", ".less",
+    ".json", ".xml", ".csv", ".tsv",
+    ".sql",
+    ".gitignore", ".gitattributes", ".editorconfig",
+    ".dockerignore", ".mailmap", ".npmrc", ".yarnrc",
+    ".license", ".changelog", ".makefile",
+]
+
+
+def file_tier(ext: Column, tokens: Column, non_code: list[str] = NON_CODE_EXTENSIONS) -> Column:
     """Model tier of a file by kind and size."""
     return F.when(ext.isin(non_code), "tier0").when(tokens < 500, "tier1").when(tokens < 3000, "tier2").when(tokens < 8000, "tier3").otherwise("tier4")
 

@@ -70,6 +70,11 @@ def unused_name(line: Column) -> Column:
     return F.nullif(F.regexp_extract(line, r"unused \w+ '([^']+)'", 1), F.lit(""))
 
 
+def import_lines(text: Column) -> Column:
+    """The import statements of a Python file that stand on lines of their own, by pattern."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*((?:import|from)[ \t][^\r\n]+)"), F.lit(1)), lambda s: F.rtrim(s))
+
+
 def python_import(stmt: Column) -> Column:
     """Module named by a Python import statement; only the first of several."""
     return F.coalesce(F.nullif(F.regexp_extract(stmt, r"^\s*from\s+(\.*[\w.]*)\s+import\b", 1), F.lit("")), F.nullif(F.regexp_extract(stmt, r"^\s*import\s+([\w.]+)", 1), F.lit("")))

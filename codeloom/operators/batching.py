@@ -8,9 +8,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def ordered_ranks(df: DataFrame, group: list[str], order: str, ties: list[str] | None = None, prefix: int = 24, rank: str = "rank") -> DataFrame:
+    """Ranks from 1 within a group by a text column, for groups of any size.
+
+    Two levels: rows are ranked among those that share the first ``prefix`` characters (which keeps the order of texts), and the counts of
+    the prefixes give each its offset; only the counts of a group meet in one task.
+    """
+    order_by = [F.col(order).asc_nulls_first(), *(ties or [])]
+    head = F.substring(F.col(order), 1, prefix)
+    part = df.withColumn("_head", head)
+    counts = part.groupBy(*group, "_head").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy(F.col("_head").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    within = part.withColumn("_k", F.row_number().over(Window.partitionBy(*group, "_head").orderBy(*order_by)))
+    a, b = within.alias("a"), offsets.alias("b")
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "_head"]]
+    return a.join(b, on).select(*[F.col(f"a.`{c}`") for c in df.columns], (F.col("b._off") + F.col("a._k")).alias(rank))
+
+
 def chunks(df: DataFrame, n: int, group: list[str], order: list) -> DataFrame:
-    """Number consecutive runs of n rows within each group."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1) / n).cast("int"))
+    """Number consecutive runs of n rows within each group, ordered by a text column and further ones for ties."""
+    ranked = ordered_ranks(df, group, order[0], order[1:], rank="_rank")
+    return ranked.withColumn("chunk", F.floor((F.col("_rank") - 1) / n).cast("int")).drop("_rank")
 
 
 def greedy(tokens: list[int], limit: int, most: int) -> list[int]:

@@ -10,6 +10,11 @@ def _words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
 
 
+def snippet(content: Column, n: int = 1500) -> Column:
+    """The part of a file that the context index keeps."""
+    return F.substring(content, 1, n)
+
+
 def with_filters(files: DataFrame, exts: list[str] | None = None, prefix: str | None = None) -> DataFrame:
     """Keep files with one of the extensions (``py`` and ``.py`` alike) below a path prefix (its trailing ``/`` is dropped)."""
     if exts:

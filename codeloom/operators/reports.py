@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.batching import ordered_ranks
+
 
 def bullet_section(df: DataFrame, title: F.Column, item: F.Column, group: list[str]) -> DataFrame:
-    """One Markdown section per group: a heading and a sorted bullet list."""
-    return df.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("items")).select(*group, F.concat(F.lit("## "), title, F.lit("\n\n"), F.array_join(F.transform("items", lambda i: F.concat(F.lit("- "), i)), "\n")).alias("section"))
+    """(group, line_no, line): a Markdown section per group as rows, a heading at 0 and the bullets in their order from 2.
+
+    Rows and not one text: a section may be larger than a task. Ranks come from ``ordered_ranks``, in two levels.
+    """
+    head = df.select(*group, title.alias("title")).distinct().select(*group, F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("## "), "title").alias("line"))
+    rows = ordered_ranks(df.select(*group, item.alias("item")), group, "item")
+    return head.unionByName(rows.select(*group, (F.col("rank") + 1).alias("line_no"), F.concat(F.lit("- "), "item").alias("line")))
 
 
 def dead_code_report(dead: DataFrame, group: str = "repo") -> DataFrame:
@@ -25,13 +32,16 @@ def importer_note(importers: F.Column, n: int = 10) -> F.Column:
     return F.concat(F.array_join(F.slice(importers, 1, n), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(F.lit("")))
 
 
-def analysis_prompt(path: F.Column, functions: F.Column, classes: F.Column, imports: F.Column, content: F.Column) -> F.Column:
+def analysis_prompt(path: F.Column, tokens: F.Column, functions: F.Column, classes: F.Column, imports: F.Column, content: F.Column) -> F.Column:
+    """Prompt of a file's analysis: header, the first names of each kind, and the whole body without outer white space."""
+
     def head(names, n):
         return F.when(F.size(names) > 0, F.array_join(F.slice(names, 1, n), ", ")).otherwise(F.lit("none"))
 
-    return F.concat(F.lit("File: "), path, F.lit("\nFunctions: "), head(functions, 6), F.lit("\nClasses: "), head(classes, 4), F.lit("\nImports: "), head(imports, 5), F.lit("\n```\n"), content, F.lit("\n```"))
+    body = F.regexp_replace(F.coalesce(content, F.lit("")), r"\A\s+|\s+\z", "")
+    return F.concat(F.lit("### "), path, F.lit(" ("), F.coalesce(tokens, F.lit(0)).cast("string"), F.lit(" tokens)\nfn: "), head(functions, 6), F.lit(" | cls: "), head(classes, 4), F.lit(" | imports: "), head(imports, 5), F.lit("\n```\n"), body, F.lit("\n```"))
 
 
 def combined_map(files: DataFrame, group: str = "repo") -> DataFrame:
-    """One JSON document per group with its files."""
-    return files.groupBy(group).agg(F.to_json(F.sort_array(F.collect_list(F.struct("path", "tokens")))).alias("json"))
+    """(group, path, json): the map of a group as JSON lines, one per file, so that no group has to fit into a task."""
+    return files.select(group, "path", F.to_json(F.struct("path", "tokens")).alias("json"))

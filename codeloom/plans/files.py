@@ -14,7 +14,6 @@ from codeloom.plans import files_sql
 from codeloom.session import table
 from codeloom.sources import repo as R
 
-NON_CODE = [".md", ".json", ".yml", ".yaml", ".toml", ".env"]
 
 
 def _modules(spark, d):
@@ -30,7 +29,7 @@ def _docs(spark, d):
 
 def scan_filter(spark, d):
     m = _modules(spark, d)
-    return m.where(~P.ignored_dir(F.col("path")) & ~P.suffix(F.col("path")).isin(P.IGNORE_EXTENSIONS) & (F.length("content") <= P.MAX_FILE_SIZE_BYTES) & (F.col("tokens") <= P.MAX_FILE_TOKENS)).select("repo", "path", "tokens")
+    return m.where(~P.ignored_dir(F.col("path")) & ~P.suffix(F.col("path")).isin(P.IGNORE_EXTENSIONS) & (F.octet_length("content") <= P.MAX_FILE_SIZE_BYTES) & (F.col("tokens") <= P.MAX_FILE_TOKENS)).select("repo", "path", "tokens")
 
 
 def code_files(spark, d):
@@ -72,7 +71,7 @@ def path_roles(spark, d):
 
 def file_tier(spark, d):
     m = _modules(spark, d)
-    return m.select("module_id", S.file_tier(P.after_last_dot(F.col("path")), F.col("tokens"), NON_CODE).alias("tier"), S.out_tokens(F.col("tokens")).alias("out_tokens"), S.refactor_budget(F.col("tokens")).alias("refactor_budget"))
+    return m.select("module_id", S.file_tier(P.after_last_dot(F.col("path")), F.col("tokens")).alias("tier"), S.out_tokens(F.col("tokens")).alias("out_tokens"), S.refactor_budget(F.col("tokens")).alias("refactor_budget"))
 
 
 def refactor_eligible(spark, d):
@@ -91,10 +90,10 @@ def chunk_batches(spark, d):
 
 
 def merge_refactored(spark, d):
-    """The tree with blank contents replaced by a marker, others kept."""
+    """The trees with blank contents replaced by a marker, others kept."""
     m = _modules(spark, d)
-    changed = m.where(F.length(F.trim("content")) == 0).groupBy("path").agg(F.lit("# empty").alias("content"))
-    return R.clone_with(m.select("repo", "path", "content"), changed).groupBy("path").agg(F.sum(F.length("content")).alias("chars"))
+    changed = m.where(F.length(F.trim("content")) == 0).select("repo", "path", F.lit("# empty").alias("content"))
+    return R.clone_with(m.select("repo", "path", "content"), changed, ["repo"]).select("repo", "path", F.length("content").alias("chars"))
 
 
 def _definitions(spark, d):
@@ -159,30 +158,39 @@ def python_imports(spark, d):
 TASK = "load voucher cache"
 
 
-def context_score(spark, d):
+def context_projection(spark, d):
+    """Entries of the context index: the first 1500 characters of each file as its snippet."""
+    return _indexed(spark, d).select("id", F.length("snippet").alias("chars"), F.sha2("snippet", 256).alias("snippet_hash"))
+
+
+def _indexed(spark, d):
+    """Nodes with the snippets of their files (empty where a node has no file)."""
     n = clean_nodes(table(spark, d, "nodes"))
-    k = context.keyword_score(TASK, F.lit(""))
-    return n.select("id", k["score"].alias("score"), k["reasons"].alias("reasons"))
+    return n.join(_texts(spark, d).select("repo", "path", context.snippet(F.col("content")).alias("snippet")), ["repo", "path"], "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
+
+
+def context_score(spark, d):
+    k = context.keyword_score(TASK, F.col("snippet"))
+    return _indexed(spark, d).select("id", k["score"].alias("score"), k["reasons"].alias("reasons"))
 
 
 def context_budget(spark, d):
-    n = clean_nodes(table(spark, d, "nodes"))
-    k = context.keyword_score(TASK, F.lit(""))
-    return context.within_budget(n.select("id", "path", F.col("id").alias("ord"), "tokens", k["score"].alias("score")), 8000).select("id", "rank", "score", "cost")
+    k = context.keyword_score(TASK, F.col("snippet"))
+    return context.within_budget(_indexed(spark, d).select("id", "path", F.col("id").alias("ord"), "tokens", k["score"].alias("score")), 8000).select("id", "rank", "score", "cost")
 
 
 def context_ranked(spark, d):
-    """Keyword score plus centrality, within the budget, with each file's share of the tokens."""
-    n = clean_nodes(table(spark, d, "nodes"))
+    """Keyword score plus centrality, within the budget, with scaled snippets and each file's share of the tokens."""
+    n = _indexed(spark, d)
     deg = degrees(n, directed(clean_links(table(spark, d, "links")))).select("id", "in_degree")
-    k = context.keyword_score(TASK, F.lit(""))
-    s = context.with_filters(n, ["py", ".js"]).join(deg, "id").select("id", F.col("id").alias("ord"), "tokens", F.lit("").alias("snippet"), F.round(k["score"] + context.centrality(F.col("in_degree")), 9).alias("score"))
-    return context.fit_snippets(context.within_budget(s, 6000), 6000).select("id", "rank", "cost", "tokens_share")
+    k = context.keyword_score(TASK, F.col("snippet"))
+    s = context.with_filters(n, ["py", ".js"]).join(deg, "id").select("id", F.col("id").alias("ord"), "tokens", "snippet", F.round(k["score"] + context.centrality(F.col("in_degree")), 9).alias("score"))
+    return context.fit_snippets(context.within_budget(s, 6000), 6000).select("id", "rank", "cost", "tokens_share", F.length("snippet").alias("snippet_chars"))
 
 
 def tokens_share(spark, d):
     t = _modules(spark, d).groupBy("repo").agg(F.sum("tokens").alias("tokens"))
-    return t.select("repo", (F.col("tokens") / F.sum("tokens").over(Window.partitionBy())).alias("share"))
+    return t.select("repo", (F.col("tokens") / t.agg(F.sum("tokens")).scalar()).alias("share"))
 
 
 def vector_topk(spark, d):
@@ -263,7 +271,7 @@ def node_substring(spark, d):
 
 
 def repo_json(spark, d):
-    return reports.combined_map(_modules(spark, d).select("repo", "path", "tokens")).select("repo", F.length("json").alias("chars"))
+    return reports.combined_map(_modules(spark, d).select("repo", "path", "tokens"))
 
 
 def dead_report(spark, d):
@@ -275,9 +283,11 @@ def gap_report(spark, d):
 
 
 def analysis_prompts(spark, d):
-    n = clean_nodes(table(spark, d, "nodes"))
-    p = reports.analysis_prompt(F.col("path"), F.col("functions"), F.col("classes"), F.array().cast("array<string>"), F.substring("content", 1, 3000))
-    return n.join(_texts(spark, d), ["repo", "path"]).select("id", F.sha2(p, 256).alias("prompt_hash"))
+    """Prompts over whole files with the import statements found by pattern."""
+    n = clean_nodes(table(spark, d, "nodes")).drop("tokens")
+    imports = F.when(P.suffix(F.col("path")) == ".py", T.import_lines(F.col("content"))).otherwise(F.array().cast("array<string>"))
+    p = reports.analysis_prompt(F.col("path"), F.col("tokens"), F.col("functions"), F.col("classes"), imports, F.col("content"))
+    return n.join(_modules(spark, d).select("repo", "path", "content", "tokens"), ["repo", "path"]).select("id", F.length(p).alias("chars"), F.sha2(p, 256).alias("prompt_hash"))
 
 
 def repo_snapshot(spark, d):
@@ -305,8 +315,8 @@ def import_graph(spark, d):
 
 def file_analyses(spark, d):
     """Analyses by content hash where a document has one, else by the stub model, poor ones asked again."""
-    p = _parsed(spark, d).drop("imports", "exports", "calls").join(_modules(spark, d).select("module_id", "tokens", "content", "content_hash"), "module_id")
-    prompt = reports.analysis_prompt(F.col("path"), F.col("functions"), F.col("classes"), F.array().cast("array<string>"), F.substring("content", 1, 3000))
+    p = _parsed(spark, d).drop("exports", "calls").join(_modules(spark, d).select("module_id", "tokens", "content", "content_hash"), "module_id")
+    prompt = reports.analysis_prompt(F.col("path"), F.col("tokens"), F.col("functions"), F.col("classes"), F.col("imports"), F.col("content"))
     seen = _docs(spark, d).where("source = 'file_analysis'").select("repo", P.slashes(F.col("path")).alias("path"), F.col("text").alias("analysis")).join(p.select("repo", "path", "content_hash"), ["repo", "path"])
     return summarize.analyse(p.withColumn("prompt", prompt), seen.select("content_hash", "analysis")).select("repo", "path", "from_cache", F.round("quality", 6).alias("quality"))
 
@@ -341,7 +351,7 @@ def tail_lines(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     scan_filter, code_files, token_totals, content_hash_dedup, cache_lookup, cache_upsert, cache_latest, path_roles, file_tier, refactor_eligible, refactor_batches, chunk_batches, merge_refactored, symbol_refs,
-    dead_symbols, dead_totals, coverage_gap, coverage_pct, parse_structure, coverage_with_calls, import_resolve, python_imports, context_score, context_budget, context_ranked, tokens_share, vector_topk, vector_topk_batch,
+    dead_symbols, dead_totals, coverage_gap, coverage_pct, parse_structure, coverage_with_calls, import_resolve, python_imports, context_projection, context_score, context_budget, context_ranked, tokens_share, vector_topk, vector_topk_batch,
     embed_documents, answer_quality, think_strip, fence_strip, marker_blocks, md_line_class, url_parse, url_redact, chain_parse, provider_of, severity_lines, node_substring, repo_json, dead_report, gap_report, analysis_prompts, repo_snapshot,
     complexity_heatmap, import_graph, file_analyses, repo_synthesis, well_documented, scaffold_prompts, executive_report, tail_lines)}
 ORACLES = files_sql.ORACLES

@@ -34,10 +34,11 @@ cov AS (SELECT repo, path, fn, CASE WHEN (repo, fn) IN (SELECT (repo, token) FRO
 _DIRS = "'node_modules','.git','__pycache__','.venv','venv','dist','build','.next','coverage','.pytest_cache','docs','tests_generated'"
 _EXT = "'.png','.jpg','.jpeg','.gif','.svg','.ico','.woff','.woff2','.ttf','.eot','.mp4','.mp3','.zip','.tar','.gz','.lock','.bin','.exe','.pyc','.docx','.xlsx','.pdf','.env','.db'"
 _CODE = "'.py','.js','.mjs','.cjs','.ts','.tsx','.go','.rs','.java','.rb','.c','.cpp','.cc','.h','.hpp','.cs','.swift','.kt','.scala','.php'"
-_SCORE = _M + _N + """, w AS (SELECT id, tokens, path, list_distinct(list_filter(regexp_split_to_array(trim(lower(translate(path, '/_.', '   ') || ' ' || replace(array_to_string(functions, ' '), '_', ' ') || ' ' || replace(array_to_string(classes, ' '), '_', ' '))), '\\s+'), lambda s: s <> '')) AS sym FROM n),
+_SCORE = _M + _N + """, w AS (SELECT id, n.tokens, path, coalesce(substr(m.content, 1, 1500), '') AS snippet, list_distinct(list_filter(regexp_split_to_array(trim(lower(translate(path, '/_.', '   ') || ' ' || replace(array_to_string(functions, ' '), '_', ' ') || ' ' || replace(array_to_string(classes, ' '), '_', ' '))), '\\s+'), lambda s: s <> '')) AS sym FROM n LEFT JOIN m USING (repo, path)),
 s AS (SELECT *, list_filter(['cache', 'load', 'voucher'], lambda t: list_contains(sym, t)) AS exact, list_filter(['cache', 'load', 'voucher'], lambda t: NOT list_contains(sym, t) AND len(list_filter(sym, lambda q: contains(t, q) OR contains(q, t))) > 0) AS part,
-  list_filter(['load voucher', 'voucher cache'], lambda p: contains(lower(path) || ' ', p)) AS phrase FROM w),
-sc AS (SELECT id, tokens, path, 3.0 * len(exact) + 0.5 * len(part) + 2.0 * len(phrase) AS score, list_concat(list_sort(exact), list_sort(phrase)[1:2]) AS reasons FROM s)
+  list_filter(['load voucher', 'voucher cache'], lambda p: contains(lower(path) || ' ' || lower(snippet), p)) AS phrase, list_filter(['cache', 'load', 'voucher'], lambda t: NOT list_contains(sym, t) AND contains(lower(snippet), t)) AS snip FROM w),
+sc AS (SELECT id, tokens, path, snippet, 3.0 * len(exact) + 0.5 * len(part) + 2.0 * len(phrase) + 1.0 * len(snip) AS score,
+  list_concat(list_sort(exact), list_sort(phrase)[1:2], list_sort(list_filter(snip, lambda t: NOT list_contains(part, t)))[1:2]) AS reasons FROM s)
 """
 _CACHE = _M + r""", c AS (SELECT replace(path, '\', '/') AS file_path, content_hash, max(tokens) AS tokens, max(CASE WHEN module_id % 3 = 0 THEN '' ELSE 'seen ' || module_id END) AS analysis
   FROM modules WHERE loaded_at < TIMESTAMP '2025-09-01' AND content_hash IS NOT NULL GROUP BY 1, 2)
@@ -47,7 +48,7 @@ _ANALYSES = _M + _N + r""", a AS (SELECT doc_id, text, n.*, 'File: ' || n.path |
 """
 
 ORACLES = {
-    "scan_filter": _M + f"SELECT repo, path, tokens FROM y WHERE len(list_filter(string_split(path, '/')[:-2], lambda s: s IN ({_DIRS}) OR starts_with(s, '.'))) = 0 AND suffix NOT IN ({_EXT}) AND length(content) <= 1000000 AND tokens <= 50000",
+    "scan_filter": _M + f"SELECT repo, path, tokens FROM y WHERE len(list_filter(string_split(path, '/')[:-2], lambda s: s IN ({_DIRS}) OR starts_with(s, '.'))) = 0 AND suffix NOT IN ({_EXT}) AND strlen(content) <= 1000000 AND tokens <= 50000",
     "code_files": _M + f"SELECT module_id, suffix, splitext, last_dot FROM y WHERE splitext IN ({_CODE})",
     "token_totals": _M + "SELECT repo, count(*) AS files, sum(tokens) AS tokens, CASE WHEN sum(tokens) >= 50000 THEN 'large' ELSE 'standard' END AS size_class FROM m GROUP BY repo",
     "content_hash_dedup": "SELECT sha256(text) AS hash, min(doc_id) AS first_doc, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
@@ -57,27 +58,28 @@ SELECT coalesce(u.file_path, c.file_path) AS file_path, coalesce(u.content_hash,
     "cache_latest": _M + "SELECT repo, path, module_id FROM m",
     "path_roles": _M + rf"""SELECT module_id, regexp_matches(path, '{_TEST}') AS is_test, NOT regexp_matches(path, '{_NOT}') AS is_target,
   length(trim(content, ' ')) > 0 AND NOT (contains(path, 'test') OR contains(path, 'docs') OR contains(path, '_refactored') OR contains(path, 'tests_generated')) AS is_audited, regexp_replace(replace(path, '/', '.'), '\.py$', '') AS import_path FROM m""",
-    "file_tier": _M + """SELECT module_id, CASE WHEN last_dot IN ('.md', '.json', '.yml', '.yaml', '.toml', '.env') THEN 'tier0' WHEN tokens < 500 THEN 'tier1' WHEN tokens < 3000 THEN 'tier2' WHEN tokens < 8000 THEN 'tier3' ELSE 'tier4' END AS tier,
+    "file_tier": _M + """SELECT module_id, CASE WHEN last_dot IN ('.md', '.txt', '.rst', '.pdf', '.docx', '.log', '.yml', '.yaml', '.toml', '.cfg', '.ini', '.conf', '.env', '.env.example', '.properties', '.sh', '.bash', '.zsh', '.fish', '.bat', '.cmd', '.ps1', '.html', '.htm', '.css', '.scss', '.sass', '.less', '.json', '.xml', '.csv', '.tsv', '.sql', '.gitignore', '.gitattributes', '.editorconfig', '.dockerignore', '.mailmap', '.npmrc', '.yarnrc', '.license', '.changelog', '.makefile') THEN 'tier0' WHEN tokens < 500 THEN 'tier1' WHEN tokens < 3000 THEN 'tier2' WHEN tokens < 8000 THEN 'tier3' ELSE 'tier4' END AS tier,
   CASE WHEN tokens < 300 THEN 512 WHEN tokens < 1000 THEN 768 ELSE 1024 END AS out_tokens, least(CAST(floor(tokens * 1.5) AS INT) + 512, 8192) AS refactor_budget FROM y""",
     "refactor_eligible": _M + "SELECT module_id, tokens FROM y WHERE suffix IN ('.py', '.js', '.ts', '.tsx', '.go', '.rs', '.java', '.rb') AND tokens BETWEEN 1 AND 5500 AND length(trim(content, ' ')) > 0",
     "chunk_batches": _M + "SELECT module_id, (row_number() OVER (PARTITION BY repo ORDER BY path) - 1) // 10 AS chunk FROM m",
-    "merge_refactored": _M + "SELECT path, sum(CASE WHEN path IN (SELECT path FROM m WHERE length(trim(content, ' ')) = 0) THEN 7 ELSE length(content) END) AS chars FROM m GROUP BY path",
+    "merge_refactored": _M + "SELECT repo, path, CASE WHEN length(trim(content, ' ')) = 0 THEN 7 ELSE length(content) END AS chars FROM m",
     "symbol_refs": _M + _DEF + "SELECT d.repo, d.path, d.symbol, count(*) AS files, sum(tok.n) AS mentions FROM (SELECT DISTINCT repo, path, symbol FROM defs WHERE regexp_full_match(symbol, '[\\p{L}\\p{N}_]+')) d JOIN tok ON tok.repo = d.repo AND tok.token = d.symbol AND tok.path <> d.path GROUP BY ALL",
     "dead_symbols": _M + _DEAD + "SELECT * FROM dead",
     "dead_totals": _M + _DEAD + f"SELECT d.repo, d.defined, coalesce(x.dead, 0) AS dead FROM (SELECT repo, count(DISTINCT (path, symbol)) AS defined FROM defs WHERE NOT regexp_matches(path, '{_NOT}') GROUP BY repo) d LEFT JOIN (SELECT repo, count(*) AS dead FROM dead GROUP BY repo) x ON x.repo = d.repo",
-    "dead_report": _M + _DEAD + "SELECT repo, '## Dead symbols in ' || repo || chr(10) || chr(10) || string_agg('- `' || symbol || '` in ' || path, chr(10) ORDER BY '`' || symbol || '` in ' || path) AS section FROM dead GROUP BY repo",
+    "dead_report": _M + _DEAD + "SELECT DISTINCT repo, CAST(0 AS BIGINT) AS line_no, '## ' || 'Dead symbols in ' || repo AS line FROM dead UNION ALL SELECT repo, 1 + row_number() OVER (PARTITION BY repo ORDER BY '`' || symbol || '` in ' || path), '- ' || '`' || symbol || '` in ' || path FROM dead",
     "coverage_gap": _M + _COV + "SELECT * FROM cov",
     "coverage_pct": _M + _COV + "SELECT repo, count(*) AS total, count(*) FILTER (WHERE status = 'covered') AS covered, 0 AS indirect, count(*) FILTER (WHERE status = 'gap') AS gaps, CAST(floor(CAST(count(*) FILTER (WHERE status = 'covered') AS DOUBLE) / count(*) * 100) AS INT) AS pct FROM cov GROUP BY repo",
-    "gap_report": _M + _COV + "SELECT repo, '## Untested in ' || repo || chr(10) || chr(10) || string_agg('- ' || path || ': `' || fn || '`', chr(10) ORDER BY path || ': `' || fn || '`') AS section FROM cov WHERE status = 'gap' GROUP BY repo",
+    "gap_report": _M + _COV + "SELECT DISTINCT repo, CAST(0 AS BIGINT) AS line_no, '## ' || 'Untested in ' || repo AS line FROM (SELECT * FROM cov WHERE status = 'gap') UNION ALL SELECT repo, 1 + row_number() OVER (PARTITION BY repo ORDER BY path || ': `' || fn || '`'), '- ' || path || ': `' || fn || '`' FROM (SELECT * FROM cov WHERE status = 'gap')",
     "python_imports": _M + r"""SELECT DISTINCT module_id, module FROM (SELECT module_id, coalesce(nullif(regexp_extract(line, '^\s*from\s+(\.*[\w.]*)\s+import\b', 1), ''), nullif(regexp_extract(line, '^\s*import\s+([\w.]+)', 1), '')) AS module
   FROM (SELECT module_id, unnest(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10))) AS line FROM y WHERE suffix = '.py') WHERE regexp_matches(line, '^(import|from) [\w.]+')) WHERE module IS NOT NULL""",
     "context_score": _SCORE + "SELECT id, score, reasons FROM sc",
     "context_budget": _SCORE + ", r AS (SELECT id, score, greatest(tokens, 1) AS cost, row_number() OVER o AS rank, coalesce(sum(greatest(tokens, 1)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sc WINDOW o AS (ORDER BY score DESC, id)) SELECT id, rank, score, cost FROM r WHERE before < 8000",
     "context_ranked": _SCORE + """, l AS (SELECT source, target, bool_or(coalesce(bidirectional, false)) AS b FROM links WHERE target IS NOT NULL AND source <> target GROUP BY 1, 2),
 e AS (SELECT source AS src, target AS dst FROM l UNION SELECT target, source FROM l WHERE b), g AS (SELECT dst, count(*) AS c FROM e GROUP BY dst),
-q AS (SELECT id, tokens, round(score + 2 * ln(1 + coalesce(c, 0)), 9) AS score FROM sc LEFT JOIN g ON g.dst = id WHERE lower(path) LIKE '%.py' OR lower(path) LIKE '%.js'),
-r AS (SELECT id, greatest(tokens, 1) AS cost, row_number() OVER o AS rank, coalesce(sum(greatest(tokens, 1)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q WINDOW o AS (ORDER BY score DESC, id))
-SELECT id, rank, cost, cost / sum(cost) OVER () AS tokens_share FROM r WHERE before < 6000""",
+q AS (SELECT id, tokens, snippet, round(score + 2 * ln(1 + coalesce(c, 0)), 9) AS score FROM sc LEFT JOIN g ON g.dst = id WHERE lower(path) LIKE '%.py' OR lower(path) LIKE '%.js'),
+r AS (SELECT id, snippet, greatest(tokens, 1) AS cost, row_number() OVER o AS rank, coalesce(sum(greatest(tokens, 1)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q WINDOW o AS (ORDER BY score DESC, id)),
+c AS (SELECT *, sum(cost) OVER () AS total FROM r WHERE before < 6000)
+SELECT id, rank, cost, cost / total AS tokens_share, CASE WHEN total > 6000 THEN CAST(floor(length(snippet) * (CAST(6000.0 AS DOUBLE) / total)) AS INT) ELSE length(snippet) END AS snippet_chars FROM c""",
     "tokens_share": _M + "SELECT repo, sum(tokens) / sum(sum(tokens)) OVER () AS share FROM m GROUP BY repo",
     "vector_topk": f"SELECT b.vec_id FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY {_COS} DESC, b.vec_id LIMIT 8",
     "vector_topk_batch": f"SELECT query_id, vec_id, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE rank <= 8",
@@ -117,8 +119,9 @@ r AS (SELECT repo, i, tokens, tokens AS used, 1 AS n, 0 AS batch FROM o WHERE i
   UNION ALL SELECT o.repo, o.i, o.tokens, CASE WHEN r.used + o.tokens > 1500 OR r.n >= 6 THEN o.tokens ELSE r.used + o.tokens END,
     CASE WHEN r.used + o.tokens > 1500 OR r.n >= 6 THEN 1 ELSE r.n + 1 END, CASE WHEN r.used + o.tokens > 1500 OR r.n >= 6 THEN r.batch + 1 ELSE r.batch END FROM r JOIN o ON o.repo = r.repo AND o.i = r.i + 1)
 SELECT repo, batch, count(*) AS files, sum(tokens) AS tokens FROM r GROUP BY repo, batch""",
-    "analysis_prompts": _M + _N + """SELECT n.id, sha256('File: ' || n.path || chr(10) || 'Functions: ' || CASE WHEN len(functions) > 0 THEN array_to_string(functions[1:6], ', ') ELSE 'none' END || chr(10) || 'Classes: '
-  || CASE WHEN len(classes) > 0 THEN array_to_string(classes[1:4], ', ') ELSE 'none' END || chr(10) || 'Imports: none' || chr(10) || '```' || chr(10) || substr(m.content, 1, 3000) || chr(10) || '```') AS prompt_hash
-FROM n JOIN m ON m.repo = n.repo AND m.path = n.path""",
-    "repo_json": _M + """SELECT repo, CAST(1 + sum(length('{"path":"' || path || '","tokens":' || tokens || '}') + 1) AS BIGINT) AS chars FROM m GROUP BY repo""",
+    "analysis_prompts": _M + _N + r"""SELECT id, length(p) AS chars, sha256(p) AS prompt_hash FROM (SELECT n.id, '### ' || path || ' (' || m.tokens || ' tokens)' || chr(10) || 'fn: ' || CASE WHEN len(functions) > 0 THEN array_to_string(functions[1:6], ', ') ELSE 'none' END || ' | cls: '
+  || CASE WHEN len(classes) > 0 THEN array_to_string(classes[1:4], ', ') ELSE 'none' END || ' | imports: ' || CASE WHEN len(imports) > 0 THEN array_to_string(imports[1:5], ', ') ELSE 'none' END || chr(10) || '```' || chr(10) || regexp_replace(content, '^\s+|\s+$', '', 'g') || chr(10) || '```' AS p
+FROM n JOIN (SELECT *, CASE WHEN regexp_matches(path, '(?i)[^./][.]py$') THEN list_transform(regexp_extract_all(content, '(?m)^[ \t]*((?:import|from)[ \t][^\r\n]+)', 1), lambda s: rtrim(s, ' ')) ELSE [] END AS imports FROM m) m USING (repo, path))""",
+    "context_projection": _SCORE + "SELECT id, length(snippet) AS chars, sha256(snippet) AS snippet_hash FROM w",
+    "repo_json": _M + """SELECT repo, path, '{"path":"' || path || '","tokens":' || tokens || '}' AS json FROM m""",
 }

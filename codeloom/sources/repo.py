@@ -118,9 +118,29 @@ def fill_template(template: str, nodes: DataFrame, links: DataFrame) -> str:
     return template.replace("__NODES__", js(nodes)).replace("__LINKS__", js(links))
 
 
-def clone_with(files: DataFrame, changed: DataFrame) -> DataFrame:
-    """The file tree with changed contents put in place: (path, content)."""
-    return files.join(changed.select("path", F.col("content").alias("new")), "path", "left").select("path", F.coalesce("new", "content").alias("content"))
+def clone_with(files: DataFrame, changed: DataFrame, scope: list[str] = []) -> DataFrame:
+    """The file tree with changed contents put in place: (scope, path, content); a path counts within its scope (repository)."""
+    key = [*scope, "path"]
+    return files.join(changed.select(*key, F.col("content").alias("new")), key, "left").select(*key, F.coalesce("new", "content").alias("content"))
+
+
+def write_tree(files: DataFrame, root: str, hidden: list[str] = P.IGNORE_DIRS) -> DataFrame:
+    """Write (path, content) rows as files below ``root``, a shared folder, from the executors: (path, bytes) of what was written.
+
+    Paths that would leave the root are refused; directories that the scan prunes are not written.
+    """
+    kept = files.where(~P.ignored_dir(F.col("path")) & ~F.col("path").rlike(r"(^|/)\.\.(/|$)|^/")).select("path", F.coalesce("content", F.lit("")).alias("content"))
+
+    def put(batches):
+        for b in batches:
+            sizes = []
+            for p, t in zip(b["path"], b["content"]):
+                to = Path(root, p)
+                to.parent.mkdir(parents=True, exist_ok=True)
+                sizes.append(to.write_bytes(t.encode("utf-8", "replace")))
+            yield pd.DataFrame({"path": b["path"], "bytes": sizes})
+
+    return kept.mapInPandas(put, "path string, bytes long")
 
 
 def snapshot_of(files: DataFrame, links: DataFrame, now: F.Column, group: str = "repo") -> DataFrame:
