@@ -1,19 +1,27 @@
 """Dependency-graph operators on node and link tables.
 
 Links are stored once with a ``bidirectional`` flag; ``directed`` expands them to plain edges. All operators work on
-many repositories at once: node ids are global, so nothing joins across repositories. Traversals are frontier loops that
-extend only new (origin, node) pairs and cut lineage with a reliable checkpoint each round; their number of rounds is the
-depth of the graph, not its size.
+many repositories at once: node ids are global, so nothing joins across repositories.
+
+Searches know two ways. Given a ``group`` (the repository, which no edge leaves), a group of up to ``GROUP_EDGES`` edges is walked in one
+task by a linear-time search, after a single shuffle. Larger groups, and edges without a group, take frontier loops that extend
+only new (origin, node) pairs and cut lineage with a reliable checkpoint each round; their number of rounds is the depth of the graph.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.batching import first_n
 from codeloom.session import cut
 
+#: Edges of a group, and (origin, edge) pairs of its searches, up to which one task walks it.
+GROUP_EDGES = 5_000_000
+GROUP_PAIRS = 20_000_000
+
 
 def clean_nodes(nodes: DataFrame) -> DataFrame:
     """One row per node id; of repeated rows the largest by value stays. Null numbers count 0, null lists are empty."""
@@ -24,19 +32,20 @@ def clean_nodes(nodes: DataFrame) -> DataFrame:
     return one.withColumns(fix)
 
 
-def clean_links(links: DataFrame) -> DataFrame:
+def clean_links(links: DataFrame, keep: list[str] = []) -> DataFrame:
     """Distinct (source, target) without self loops and open ends; the flag is true if any repetition says so."""
     return (
         links.where("source is not null and target is not null and source <> target")
-        .groupBy("source", "target").agg(F.max(F.coalesce("bidirectional", F.lit(False))).alias("bidirectional"))
+        .groupBy("source", "target").agg(F.max(F.coalesce("bidirectional", F.lit(False))).alias("bidirectional"), *[F.max(c).alias(c) for c in keep])
     )
 
 
-def directed(links: DataFrame) -> DataFrame:
+def directed(links: DataFrame, keep: list[str] = []) -> DataFrame:
     """Distinct directed edges (src, dst): every link, and its reverse where it is bidirectional."""
     both = F.when(F.col("bidirectional"), F.array(F.struct(F.col("source").alias("src"), F.col("target").alias("dst")), F.struct(F.col("target").alias("src"), F.col("source").alias("dst"))))
     one = F.array(F.struct(F.col("source").alias("src"), F.col("target").alias("dst")))
-    return links.select(F.explode(F.coalesce(both, one)).alias("e")).select("e.src", "e.dst").where("src <> dst").distinct()
+    edges = links.select(F.explode(F.coalesce(both, one)).alias("e"), *keep).select("e.src", "e.dst", *keep).where("src <> dst")
+    return edges.groupBy("src", "dst").agg(*[F.max(c).alias(c) for c in keep]) if keep else edges.distinct()
 
 
 def first_seen(pairs: DataFrame, order: str, mode: str = "compat") -> DataFrame:
@@ -72,12 +81,71 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).where("out_degree = 0 and in_degree > 0").select("id")
 
 
-def reach(seeds: DataFrame, edges: DataFrame, reverse: bool = True, most: int | None = None) -> DataFrame:
+def large_groups(edges: DataFrame, group: str, seeds: DataFrame | None = None) -> DataFrame:
+    """The groups that are too large for a task."""
+    sizes = edges.groupBy(group).agg(F.count("*").alias("n"))
+    if seeds is None:
+        return sizes.where(F.col("n") > GROUP_EDGES).select(group)
+    both = sizes.join(seeds.groupBy(group).agg(F.count("*").alias("m")), group)
+    return both.where((F.col("n") > GROUP_EDGES) | (F.col("n") * F.col("m") > GROUP_PAIRS)).select(group)
+
+
+def _sorted_edges(tail: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, offsets, heads): the nodes' ids and their edges, node after node, heads as positions in ids."""
+    ids, at = np.unique(np.concatenate([tail, head]), return_inverse=True)
+    a, b = at[: len(tail)], at[len(tail) :]
+    order = np.argsort(a, kind="stable")
+    return ids, np.r_[0, np.cumsum(np.bincount(a, minlength=len(ids)))], b[order]
+
+
+def walk_breadth_first(origins: np.ndarray, starts: np.ndarray, tail: np.ndarray, head: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(origin, node, depth) of all nodes that a search along tail -> head reaches, without the starts of its own origin."""
+    ids, offsets, heads = _sorted_edges(tail, head)
+    out: list[tuple] = []
+    order = np.argsort(origins, kind="stable")
+    origins, starts = origins[order], starts[order]
+    cuts = np.flatnonzero(np.r_[True, origins[1:] != origins[:-1], True]) if len(origins) else [0]
+    seen = np.full(len(ids), -1, np.int64)
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+        at = np.searchsorted(ids, starts[lo:hi])
+        front = np.unique(at[(at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == starts[lo:hi])]) if len(ids) else np.empty(0, np.int64)
+        seen[front] = k
+        depth = 0
+        while len(front) and (most is None or depth < most):
+            depth += 1
+            n = offsets[front + 1] - offsets[front]
+            nxt = heads[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[front], n)]
+            front = np.unique(nxt[seen[nxt] != k])
+            seen[front] = k
+            out.append((np.full(len(front), origins[lo]), ids[front], np.full(len(front), depth)))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def reach(seeds: DataFrame, edges: DataFrame, reverse: bool = True, most: int | None = None, group: str | None = None) -> DataFrame:
     """Breadth-first search from many origins: (origin, node, depth) without the origins themselves.
 
-    ``seeds`` has (origin, node); ``reverse`` follows edges from target to source (who depends on it).
+    ``seeds`` has (origin, node); ``reverse`` follows edges from target to source (who depends on it). With ``group``, a column of both sides,
+    groups that are small enough are each searched in a task.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
+    if group:
+        types = dict(seeds.dtypes)
+        seeds = cut(seeds.select(group, "origin", "node"))
+        large = large_groups(edges, group, seeds)
+        some = not large.isEmpty()
+        large = cut(large) if some else None
+        rest = lambda df: df.join(large, group, "left_anti") if some else df
+
+        def search(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+            o, n, d = walk_breadth_first(s["origin"].to_numpy(), s["node"].to_numpy(), e[a].to_numpy(), e[b].to_numpy(), most)
+            return pd.DataFrame({"origin": o, "node": n, "depth": d})
+
+        small = rest(seeds).groupBy(group).cogroup(rest(edges).groupBy(group)).applyInPandas(search, f"origin {types['origin']}, node {types['node']}, depth int")
+        if not some:
+            return small
+        return small.unionByName(reach(seeds.join(large, group, "left_semi"), edges.join(large, group, "left_semi"), reverse, most))
     step = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")))
     frontier = cut(seeds.select("origin", "node", F.lit(0).alias("depth")).distinct())
     seen = frontier
@@ -97,9 +165,9 @@ def reach(seeds: DataFrame, edges: DataFrame, reverse: bool = True, most: int |
     return seen.where("depth > 0")
 
 
-def impact(targets: DataFrame, edges: DataFrame) -> DataFrame:
+def impact(targets: DataFrame, edges: DataFrame, group: str | None = None) -> DataFrame:
     """Transitive dependents of each target id with their shortest depth: (origin, node, depth)."""
-    return reach(targets.select(F.col("id").alias("origin"), F.col("id").alias("node")), edges)
+    return reach(targets.select(F.col("id").alias("origin"), F.col("id").alias("node"), *([group] if group else [])), edges, group=group)
 
 
 def risk(affected: F.Column, complexity: F.Column) -> F.Column:
@@ -108,9 +176,9 @@ def risk(affected: F.Column, complexity: F.Column) -> F.Column:
     return F.when(affected == 0, "LOW").when((affected <= 3) & (cx < 5), "LOW").when((affected <= 10) & (cx < 20), "MEDIUM").otherwise("HIGH")
 
 
-def impact_summary(targets: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def impact_summary(targets: DataFrame, nodes: DataFrame, edges: DataFrame, group: str | None = None) -> DataFrame:
     """One row per target: direct, transitive and total dependents, their complexity, number of direct imports, risk."""
-    hit = impact(targets, edges).join(nodes.select(F.col("id").alias("node"), "complexity"), "node").groupBy("origin").agg(
+    hit = impact(targets, edges, group).join(nodes.select(F.col("id").alias("node"), "complexity"), "node").groupBy("origin").agg(
         F.count_if(F.col("depth") == 1).alias("direct_count"), F.count_if(F.col("depth") > 1).alias("transitive_count"), F.count("*").alias("total_affected"), F.sum("complexity").alias("total_complexity"))
     deps = edges.groupBy(F.col("src").alias("origin")).agg(F.count("*").alias("direct_deps"))
     base = targets.select("id").join(nodes.select("id", "complexity"), "id").select(F.col("id").alias("origin"), "complexity")
@@ -119,8 +187,36 @@ def impact_summary(targets: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
 
 
 def reverse_map(links: DataFrame) -> DataFrame:
-    """One level only and blind to the flag: target -> sorted importers."""
-    return links.groupBy("target").agg(F.sort_array(F.collect_set("source")).alias("importers"))
+    """One level only and blind to the flag: (target, importer) as distinct rows, for targets of any number of importers."""
+    return links.select("target", F.col("source").alias("importer")).distinct()
+
+
+def changed_context(changed: DataFrame, nodes: DataFrame, edges: DataFrame, analyses: DataFrame, group: str = "repo", importers: int = 10, excerpt: int = 500) -> DataFrame:
+    """(group, id, path, importers, note, context): each changed file with its transitive importers and the start of its analysis.
+
+    ``changed`` has (group, id, path), ``analyses`` (group, path, analysis). The note names the first importers by path and how many more there are.
+    """
+    hit = impact(changed, edges, group).join(nodes.select(F.col("id").alias("node"), F.col("path").alias("importer")), "node")
+    count = hit.groupBy("origin").agg(F.count("*").alias("importers"))
+    first = first_n(hit.select("origin", "importer"), ["origin"], ["importer"], importers).groupBy("origin").agg(F.sort_array(F.collect_list("importer")).alias("names"))  # at most ``importers`` each
+    n = F.coalesce("importers", F.lit(0))
+    more = F.when(n > importers, F.concat(F.lit(" (+"), (n - importers).cast("string"), F.lit(" more)"))).otherwise(F.lit(""))
+    note = F.when(n == 0, "none").otherwise(F.concat(F.array_join("names", ", "), more))
+    text = F.coalesce("analysis", F.lit("No analysis available."))
+    one = analyses.groupBy(group, "path").agg(F.max("analysis").alias("analysis"))
+    out = changed.join(count, changed["id"] == count["origin"], "left").drop("origin").join(first.withColumnRenamed("origin", "_o"), F.col("id") == F.col("_o"), "left").join(one, [group, "path"], "left")
+    return out.select(group, "id", "path", n.alias("importers"), note.alias("note"), F.concat(F.lit("**"), "path", F.lit("** (imported by "), n.cast("string"), F.lit(" file(s): "), note, F.lit(")\n"), F.substring(text, 1, excerpt)).alias("context"))
+
+
+def changed_impact(changed: DataFrame, nodes: DataFrame, edges: DataFrame, group: str = "repo") -> DataFrame:
+    """(group, id, path) of the files that depend on a changed one, themselves not changed, each once."""
+    hit = impact(changed, edges, group).select(F.col("node").alias("id")).distinct().join(changed.select("id"), "id", "left_anti")
+    return hit.join(nodes.select("id", group, "path"), "id").select(group, "id", "path")
+
+
+def isolated_head(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
+    """The first isolated nodes by id."""
+    return isolated(nodes, edges).orderBy("id").limit(n)
 
 
 def trim(edges: DataFrame) -> DataFrame:
@@ -143,13 +239,68 @@ def _push(colour: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(pushed).groupBy("node").agg(F.max("c").alias("c"), F.max("before").alias("before"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Strongly connected components with at least two nodes: (node, component).
-
-    Colouring: the largest id that reaches a node is its colour; the nodes that reach their colour's root backwards within
+def strong_components(tail: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, component) of the strongly connected components of two nodes and more, in linear time and without recursion; a component is named by its largest node."""
+    ids, offsets, heads = _sorted_edges(tail, head)
+    n, offsets, heads = len(ids), offsets.tolist(), heads.tolist()
+    number, low, held = [0] * n, [0] * n, [False] * n
+    nxt = offsets[:-1]
+    stack: list[int] = []
+    count, nodes, names = 0, [], []
+    for root in range(n):
+        if number[root]:
+            continue
+        path = [root]
+        while path:
+            v = path[-1]
+            if not number[v]:
+                count += 1
+                number[v] = low[v] = count
+                stack.append(v)
+                held[v] = True
+            while nxt[v] < offsets[v + 1]:
+                w = heads[nxt[v]]
+                nxt[v] += 1
+                if not number[w]:
+                    path.append(w)
+                    break
+                if held[w] and number[w] < low[v]:
+                    low[v] = number[w]
+            else:
+                path.pop()
+                if path and low[v] < low[path[-1]]:
+                    low[path[-1]] = low[v]
+                if low[v] == number[v]:
+                    k = len(stack)
+                    while True:
+                        k -= 1
+                        held[stack[k]] = False
+                        if stack[k] == v:
+                            break
+                    if len(stack) - k > 1:
+                        nodes += stack[k:]
+                        names += [max(stack[k:])] * (len(stack) - k)
+                    del stack[k:]
+    return ids[np.array(nodes, np.int64)], ids[np.array(names, np.int64)]
+
+
+def components(edges: DataFrame, group: str | None = None) -> DataFrame:
+    """Strongly connected components with at least two nodes: (node, component); with ``group``, groups that are small enough take one task each.
+
+    Larger ones take colouring: the largest id that reaches a node is its colour; the nodes that reach their colour's root backwards within
     the colour are the root's component. They are taken out, the rest is trimmed, and so on.
     """
-    left, done = trim(edges), None
+    if group:
+        large, kind = large_groups(edges, group), dict(edges.dtypes)["src"]
+        some = not large.isEmpty()
+        large = cut(large) if some else None
+
+        def search(e: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(dict(zip(("node", "component"), strong_components(e["src"].to_numpy(), e["dst"].to_numpy()))))
+
+        small = (edges.join(large, group, "left_anti") if some else edges).groupBy(group).applyInPandas(search, f"node {kind}, component {kind}")
+        return small if not some else small.unionByName(components(edges.join(large, group, "left_semi").select("src", "dst")))
+    left, done = trim(edges.select("src", "dst")), None
     while not left.isEmpty():
         colour = cut(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")))
         while True:

@@ -21,17 +21,30 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
-def sliding_usage(events: DataFrame, key: str, ts: str = "ts", amount: str = "n") -> DataFrame:
-    """Requests and amount within the last 60 seconds up to each event, per key."""
-    w = Window.partitionBy(key).orderBy("us").rangeBetween(-(MINUTE - 1), 0)
-    return events.withColumn("us", micros(ts)).withColumns({"requests_60s": F.count("*").over(w), "amount_60s": F.sum(amount).over(w)}).drop("us")
+def sliding_usage(events: DataFrame, key: str, ts: str = "ts", amount: str = "n", span: int = 10 * MINUTE) -> DataFrame:
+    """Requests and amount within the last 60 seconds up to each event, per key.
+
+    A key's events are split into spans of time, each with the last minute of the span before carried along, so a hot key spreads over tasks.
+    """
+    e = events.withColumn("us", micros(ts))
+    at = F.floor(F.col("us") / span)
+    carried = F.when(F.col("us") % span >= span - MINUTE, F.array(F.struct(at.alias("span"), F.lit(True).alias("own")), F.struct((at + 1).alias("span"), F.lit(False).alias("own"))))
+    placed = e.withColumn("_p", F.explode(F.coalesce(carried, F.array(F.struct(at.alias("span"), F.lit(True).alias("own")))))).withColumn("_span", F.col("_p.span"))
+    w = Window.partitionBy(key, "_span").orderBy("us").rangeBetween(-(MINUTE - 1), 0)
+    return placed.withColumns({"requests_60s": F.count("*").over(w), "amount_60s": F.sum(amount).over(w)}).where("_p.own").drop("us", "_p", "_span")
 
 
 def capacity_wait(usage: DataFrame, now: Column, cap: int, need: int, key: str, ts: str = "ts", amount: str = "n") -> DataFrame:
-    """(key, wait_us): until so much of the last minute's amount has expired that ``need`` fits under ``cap``; 0 if it fits now."""
-    live = usage.withColumn("us", micros(ts)).where((F.col("us") > now - MINUTE) & (F.col("us") <= now))
-    w = Window.partitionBy(key).orderBy("us", amount).rowsBetween(Window.unboundedPreceding, 0)
-    run = live.withColumn("freed", F.sum(amount).over(w)).withColumn("total", F.sum(amount).over(Window.partitionBy(key)))
+    """(key, wait_us): until so much of the last minute's amount has expired that ``need`` fits under ``cap``; 0 if it fits now.
+
+    Running sums in two levels, within each tenth of a second and over at most 600 of these.
+    """
+    live = usage.withColumn("us", micros(ts)).where((F.col("us") > now - MINUTE) & (F.col("us") <= now)).withColumn("_tick", F.floor(F.col("us") / 100_000))
+    ticks = live.groupBy(key, "_tick").agg(F.sum(amount).alias("_s"))
+    before = Window.partitionBy(key).orderBy("_tick").rowsBetween(Window.unboundedPreceding, -1)
+    ticks = ticks.select(key, "_tick", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"), F.sum("_s").over(Window.partitionBy(key)).alias("total"))
+    w = Window.partitionBy(key, "_tick").orderBy("us", amount).rowsBetween(Window.unboundedPreceding, 0)
+    run = live.withColumn("_in", F.sum(amount).over(w)).join(ticks, [key, "_tick"]).withColumn("freed", F.col("_off") + F.col("_in"))
     free_at = F.min(F.when(F.col("freed") >= F.col("total") + need - cap + 1, F.col("us")))
     return run.groupBy(key).agg(F.max("total").alias("total"), free_at.alias("free_at")).select(
         key, F.when(F.col("total") + need < cap, F.lit(0)).otherwise(F.greatest(F.col("free_at") + MINUTE - now, F.lit(0))).cast("long").alias("wait_us"))
@@ -83,6 +96,56 @@ def rate_admission(events: DataFrame, key: str, ts: str, amount: str, order: str
     return src.mapInPandas(fold, f"`{key}` {types[key]}, `{order}` {types[order]}, admitted boolean")
 
 
+HOUR = 3_600_000_000
+
+
+def job_admission(requests: DataFrame, host: str, client: str, ts: str, duration_us: str, order: str, running: int = 3, per_hour: int = 5) -> DataFrame:
+    """(host, order, outcome) of requests to start a job: ``rate`` (over the client's hourly count), ``busy`` (too many jobs running), or ``started``.
+
+    The count of a client is by fixed hours and holds every request, as the limit is looked at before anything else. Which jobs
+    run depends on the ones admitted before, so a host's requests are folded in order as a stream; a task holds the end times of the running jobs.
+    """
+    e = requests.select(host, client, order, micros(ts).alias("us"), F.col(duration_us).cast("long").alias("took")).where("us is not null")
+    nth = F.row_number().over(Window.partitionBy(host, client, F.floor(F.col("us") / HOUR)).orderBy("us", order))
+    src = e.withColumn("nth", nth).select(host, order, "us", "took", "nth").repartition(host).sortWithinPartitions(host, "us", order)
+    types = dict(src.dtypes)
+
+    def fold(batches):
+        now, ends = None, []
+        for b in batches:
+            out = []
+            for h, t, d, n in zip(b[host], b["us"], b["took"], b["nth"]):
+                if h != now:
+                    now, ends = h, []
+                ends = [x for x in ends if x > t]
+                if n > per_hour:
+                    out.append("rate")
+                elif len(ends) >= running:
+                    out.append("busy")
+                else:
+                    ends.append(t + d)
+                    out.append("started")
+            yield pd.DataFrame({host: b[host], order: b[order], "outcome": out})
+
+    return src.mapInPandas(fold, f"`{host}` {types[host]}, `{order}` {types[order]}, outcome string")
+
+
+def running_now(jobs: DataFrame, status: str = "status") -> DataFrame:
+    """(jobs, running)."""
+    return jobs.agg(F.count("*").alias("jobs"), F.count_if(F.col(status) == "running").alias("running"))
+
+
+def set_cooling(cooldowns: DataFrame, new: DataFrame) -> DataFrame:
+    """(model, cool_until) with the latest setting of each model: ``new`` overwrites what is kept."""
+    both = cooldowns.select("model", "cool_until", F.lit(0).alias("o")).unionByName(new.select("model", "cool_until", F.lit(1).alias("o")))
+    return both.groupBy("model").agg(F.max_by("cool_until", F.struct("o", "cool_until")).alias("cool_until"))
+
+
+def reset_daily(cooldowns: DataFrame, last_reset: str | None, today: str) -> tuple[DataFrame, str, bool]:
+    """(cooldowns, last reset day, whether it ran): the first run of a day clears all cooldowns."""
+    return (cooldowns, last_reset, False) if last_reset == today else (cooldowns.where("false"), today, True)
+
+
 def sessions(events: DataFrame, key: str, ts: str, gap_us: int = 3_000_000) -> DataFrame:
     """(key, start_us, end_us, events): runs without a pause of ``gap_us`` or more."""
     w = Window.partitionBy(key).orderBy("us")

@@ -26,10 +26,18 @@ def gap_report(status: DataFrame, group: str = "repo") -> DataFrame:
     return bullet_section(status.where("status = 'gap'"), F.concat(F.lit("Untested in "), F.col(group)), F.concat(F.col("path"), F.lit(": `"), F.col("fn"), F.lit("`")), [group])
 
 
-def importer_note(importers: F.Column, n: int = 10) -> F.Column:
-    """The first n importers and how many more there are."""
-    more = F.size(importers) - n
-    return F.concat(F.array_join(F.slice(importers, 1, n), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(F.lit("")))
+def impact_report(changed: DataFrame, affected: DataFrame, group: str = "repo") -> DataFrame:
+    """(group, section, line_no, line): the report of a change set as rows: head, changed files, files downstream."""
+    n = changed.groupBy(group).agg(F.count("*").alias("changed")).join(affected.groupBy(group).agg(F.count("*").alias("affected")), group, "left").na.fill(0)
+    head = n.select(group, F.lit(0).alias("section"), F.posexplode(F.array(
+        F.lit("# PR Impact Analysis"), F.concat(F.lit("**Changed files:** "), F.col("changed").cast("string")), F.concat(F.lit("**Downstream files affected:** "), F.col("affected").cast("string")))).alias("line_no", "line"))
+    none = n.where("affected = 0").select(group, F.lit(2).alias("section"), F.lit(1).alias("line_no"), F.lit("_No downstream dependents — isolated change._").alias("line"))
+    titles = n.select(group, F.posexplode(F.array(F.lit(None), F.lit("## Changed Files"), F.lit("## Downstream Impact"))).alias("section", "line")).where("line is not null").select(group, "section", F.lit(0).alias("line_no"), "line")
+    out = head.unionByName(titles).unionByName(none)
+    for section, rows in ((1, changed), (2, affected)):
+        ranked = ordered_ranks(rows.select(group, "path").distinct(), [group], "path")
+        out = out.unionByName(ranked.select(group, F.lit(section).alias("section"), F.col("rank").cast("int").alias("line_no"), F.concat(F.lit("- `"), "path", F.lit("`")).alias("line")))
+    return out
 
 
 def analysis_prompt(path: F.Column, tokens: F.Column, functions: F.Column, classes: F.Column, imports: F.Column, content: F.Column) -> F.Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.scoring import cosine
+from codeloom.session import shuffle_partitions
 
 
 def embed_document(path: str = "path", analysis: str = "analysis", limit: int = 8000) -> F.Column:
@@ -28,12 +29,13 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 8, cap: int = 20, id_
     return vectors.where(F.size(vec_col) == len(query)).select(id_col, cosine(F.col(vec_col), q).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(min(k, cap))
 
 
-def top_k_of(queries: DataFrame, vectors: DataFrame, k: int = 8, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int = 16) -> DataFrame:
+def top_k_of(queries: DataFrame, vectors: DataFrame, k: int = 8, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int | None = None) -> DataFrame:
     """The k nearest rows of each row of a query set, held against all rows in blocks.
 
-    Vectors fall into ``blocks``; each query meets every block once, keeps k there, and the k lists are merged, so a
+    Vectors fall into ``blocks`` (by default twice the shuffle partitions); each query meets every block once, keeps k there, and the k lists are merged, so a
     query's candidates never gather in one task before they are cut to k per block.
     """
+    blocks = blocks or 2 * shuffle_partitions(vectors.sparkSession)
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("qv")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     v = vectors.select(id_col, vec_col, F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
     sim = q.join(v, "block").where(F.col("query_id") != F.col(id_col)).select("query_id", "block", id_col, cosine(F.col("qv"), F.col(vec_col)).alias("similarity"))

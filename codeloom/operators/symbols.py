@@ -34,11 +34,20 @@ def references(definitions: DataFrame, index: DataFrame, scope: list[str]) -> Da
 
 
 def odd_references(definitions: DataFrame, files: DataFrame, scope: list[str], text: str = "content") -> DataFrame:
-    """The same for symbols that are not plain words: an equi-join on the scope and a regular expression."""
+    """The same for symbols that are not plain words (``foo?``): files that hold the symbol's longest word, by an equi-join with the token
+    index, are searched by a regular expression. Symbols without any word are held against the files that hold their first sign.
+    """
     odd = definitions.where(~F.col("symbol").rlike(r"(?U)^\w+$") & (F.length("symbol") > 0))
+    runs = F.regexp_extract_all("symbol", F.lit(r"(?U)(\w+)"), F.lit(1))
+    longest = F.element_at(F.transform(F.array_sort(F.transform(runs, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"]), 1)
+    odd = odd.withColumn("token", F.when(F.size(runs) > 0, longest).otherwise(F.substring(F.trim("symbol"), 1, 1)))
+    signs = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)([^\w\s])"), F.lit(1)))
+    index = token_index(files, [*scope, "path"], text).select(*scope, F.col("path").alias("in_path"), "token").unionByName(
+        files.where(F.length(text) > 0).select(*scope, F.col("path").alias("in_path"), F.explode(signs).alias("token")))
+    odd = odd.join(index, [*scope, "token"]).drop("token")
     quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("symbol"), F.lit(r"\E(?!\w)"))
     hay = files.select(*scope, F.col("path").alias("in_path"), F.col(text).alias("t"))
-    return odd.join(hay, scope).where(F.contains("t", "symbol")).withColumn("n", F.regexp_count("t", quoted).cast("long")).where("n > 0").drop("t")
+    return odd.join(hay, [*scope, "in_path"]).where(F.contains("t", "symbol")).withColumn("n", F.regexp_count("t", quoted).cast("long")).where("n > 0").drop("t")
 
 
 def definition_counts(files: DataFrame, key: list[str], text: str = "content") -> DataFrame:

@@ -37,6 +37,12 @@ def rate_admit(spark, d):
     return limits.rate_admission(e, "event_type", "ts", "n", "event_id", rpm=4, tpm=60, rpd=1600).groupBy("event_type", "admitted").agg(F.count("*").alias("n"))
 
 
+def job_admit(spark, d):
+    """Jobs started per event type taken as a host: at most 3 running and 5 an hour per client, on a clock twenty times as fast; a job takes a minute per unit of value."""
+    e = _events(spark, d).select("event_type", "user_id", "event_id", F.timestamp_micros(F.floor(limits.micros("ts") / 20)).alias("ts"), (F.col("n") * 60_000_000).alias("took"))
+    return limits.job_admission(e, "event_type", "user_id", "ts", "took", "event_id").groupBy("event_type", "outcome").agg(F.count("*").alias("n"))
+
+
 def session_debounce(spark, d):
     return limits.sessions(table(spark, d, "events"), "user_id", "ts", 3_600_000_000)
 
@@ -91,7 +97,7 @@ def job_listing(spark, d):
     return table(spark, d, "events").withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("user_id", "rank", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (sliding_usage, sliding_usage_total, capacity_wait, rate_admit, session_debounce, status_changes, daily_reset, cooldown_asof, cooldown_matrix, pool_cascade, ttl_filter, event_summary, job_listing)}
+QUERIES = {f.__name__: f for f in (sliding_usage, sliding_usage_total, capacity_wait, rate_admit, job_admit, session_debounce, status_changes, daily_reset, cooldown_asof, cooldown_matrix, pool_cascade, ttl_filter, event_summary, job_listing)}
 
 _E = "WITH e AS (SELECT *, CAST(floor(value) AS BIGINT) AS n, epoch_us(ts) AS us, epoch_us(ts) // 100 AS fast FROM events)"
 _COOL = _E + ", c AS (SELECT user_id, us AS start_us, us + least(n, 24) * 3600000000 AS until_us FROM e WHERE event_type = 'error')"
@@ -116,6 +122,13 @@ SELECT p AS "primary", row_number() OVER (PARTITION BY p ORDER BY i, pool_pos) -
     "ttl_filter": "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-08'",
     "event_summary": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, min(ts) AS \"first\", max(ts) AS \"last\" FROM events GROUP BY event_type",
     "job_listing": "SELECT user_id, rank, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank <= 10",
+    "job_admit": """WITH RECURSIVE e AS (SELECT event_type AS k, epoch_us(ts) // 20 AS us, CAST(floor(value) AS BIGINT) * 60000000 AS took, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 20, event_id) AS i,
+  row_number() OVER (PARTITION BY event_type, user_id, (epoch_us(ts) // 20) // 3600000000 ORDER BY epoch_us(ts) // 20, event_id) AS nth FROM events),
+r AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ends, '' AS outcome FROM e
+  UNION ALL
+  SELECT k, i, CASE WHEN o = 'started' THEN list_append(live, us + took) ELSE live END, o FROM (SELECT *, CASE WHEN nth > 5 THEN 'rate' WHEN len(live) >= 3 THEN 'busy' ELSE 'started' END AS o
+    FROM (SELECT e.k, e.i, e.us, e.took, e.nth, list_filter(r.ends, lambda x: x > e.us) AS live FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1)))
+SELECT k AS event_type, outcome, count(*) AS n FROM r WHERE i > 0 GROUP BY k, outcome""",
     "rate_admit": """WITH RECURSIVE e AS (SELECT event_type AS k, epoch_us(ts) // 100 AS us, CAST(floor(value) AS BIGINT) AS n, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 100, event_id) AS i FROM events),
 r AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(t BIGINT, n BIGINT)[]) AS kept, CAST(-1 AS BIGINT) AS day, 0 AS used, false AS ok FROM e
   UNION ALL

@@ -9,7 +9,7 @@ from codeloom.functions import paths as P
 from codeloom.functions import scoring as S
 from codeloom.functions import text as T
 from codeloom.operators import batching, cache, context, parse, reports, search, summarize, symbols
-from codeloom.operators.graph import clean_links, clean_nodes, degrees, directed
+from codeloom.operators.graph import clean_links, clean_nodes, degrees, directed, first_seen
 from codeloom.plans import files_sql
 from codeloom.session import table
 from codeloom.sources import repo as R
@@ -313,6 +313,43 @@ def import_graph(spark, d):
     return parse.import_links(parse.resolve_imports(p, n, ["repo"]), n, ["repo"])
 
 
+def _import_texts(spark, d):
+    """The import statements that the links of the dependency graph stand for, one list per source file.
+
+    Python files import by dotted name, scripts by relative path; links between other files, and to Python files whose path is no dotted name, have none.
+    """
+    n = clean_nodes(table(spark, d, "nodes")).select("id", "repo", "path")
+    l = table(spark, d, "links").where("target is not null").groupBy("source", "target").agg(F.min("loaded_at").alias("at"))
+    both = l.join(n.select(F.col("id").alias("source"), "repo", "path"), "source").join(n.select(F.col("id").alias("target"), F.col("path").alias("to")), "target")
+    dotted = F.when(F.col("path").rlike(r"\.py$") & F.col("to").rlike(r"^[A-Za-z_]\w*(/[A-Za-z_]\w*)*\.py$"), F.concat(F.lit("from "), F.replace(F.regexp_replace("to", r"\.py$", ""), F.lit("/"), F.lit(".")), F.lit(" import x")))
+    up = F.repeat(F.lit("../"), F.size(F.split("path", "/")) - 1)
+    script = F.when(F.col("path").rlike(r"\.(js|ts)$") & F.col("to").rlike(r"\.(js|ts)$"), F.concat(F.lit("import x from './"), up, "to", F.lit("'")))
+    stmt = both.withColumn("stmt", F.coalesce(dotted, script)).where("stmt is not null")
+    lists = stmt.groupBy("repo", "path").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "target", "stmt"))), lambda s: s["stmt"]).alias("imports"))  # as many as the file has imports
+    return lists, n
+
+
+def import_resolved(spark, d):
+    """The files that the import statements of each file name."""
+    lists, n = _import_texts(spark, d)
+    return parse.resolve_imports(lists, n, ["repo"]).select("repo", "path", "target").distinct()
+
+
+def import_edges(spark, d):
+    """The dependency graph built from import statements, one link per pair of files in the direction seen first."""
+    lists, n = _import_texts(spark, d)
+    links = parse.import_links(parse.resolve_imports(lists, n, ["repo"]), n, ["repo"])
+    return first_seen(links.withColumn("o", F.struct("source", "position", "target")), "o").withColumnRenamed("bidirectional", "seen_again")
+
+
+def dead_symbols_parsed(spark, d):
+    """Dead symbols of the parsed sources themselves; callees and exported names are alive."""
+    p = _parsed(spark, d)
+    callees = parse.call_pairs(p, ["repo"]).select("repo", F.col("callee").alias("symbol")).distinct()
+    exports = p.select("repo", F.explode("exports").alias("symbol")).distinct()
+    return symbols.dead_symbols(parse.definitions(p, ["repo", "path"]), _texts(spark, d), ["repo"], callees, exports)
+
+
 def file_analyses(spark, d):
     """Analyses by content hash where a document has one, else by the stub model, poor ones asked again."""
     p = _parsed(spark, d).drop("exports", "calls").join(_modules(spark, d).select("module_id", "tokens", "content", "content_hash"), "module_id")
@@ -353,5 +390,5 @@ QUERIES = {f.__name__: f for f in (
     scan_filter, code_files, token_totals, content_hash_dedup, cache_lookup, cache_upsert, cache_latest, path_roles, file_tier, refactor_eligible, refactor_batches, chunk_batches, merge_refactored, symbol_refs,
     dead_symbols, dead_totals, coverage_gap, coverage_pct, parse_structure, coverage_with_calls, import_resolve, python_imports, context_projection, context_score, context_budget, context_ranked, tokens_share, vector_topk, vector_topk_batch,
     embed_documents, answer_quality, think_strip, fence_strip, marker_blocks, md_line_class, url_parse, url_redact, chain_parse, provider_of, severity_lines, node_substring, repo_json, dead_report, gap_report, analysis_prompts, repo_snapshot,
-    complexity_heatmap, import_graph, file_analyses, repo_synthesis, well_documented, scaffold_prompts, executive_report, tail_lines)}
+    complexity_heatmap, import_graph, import_resolved, import_edges, dead_symbols_parsed, file_analyses, repo_synthesis, well_documented, scaffold_prompts, executive_report, tail_lines)}
 ORACLES = files_sql.ORACLES

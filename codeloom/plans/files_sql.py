@@ -46,6 +46,10 @@ _CACHE = _M + r""", c AS (SELECT replace(path, '\', '/') AS file_path, content_h
 _COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
 _ANALYSES = _M + _N + r""", a AS (SELECT doc_id, text, n.*, 'File: ' || n.path || chr(10) || chr(10) || text AS full_doc FROM documents d JOIN n ON n.repo = d.repo AND n.path = replace(d.path, '\', '/') WHERE source = 'file_analysis')
 """
+_IMPORTED = r""", l AS (SELECT source, target, min(loaded_at) AS first_at FROM links WHERE target IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT l.*, s.repo, s.path, t.path AS "to" FROM l JOIN n s ON s.id = l.source JOIN n t ON t.id = l.target),
+i AS (SELECT * FROM b WHERE regexp_matches(path, '\.py$') AND regexp_matches("to", '^[A-Za-z_]\w*(/[A-Za-z_]\w*)*\.py$') OR regexp_matches(path, '\.(js|ts)$') AND regexp_matches("to", '\.(js|ts)$'))
+"""
 
 ORACLES = {
     "scan_filter": _M + f"SELECT repo, path, tokens FROM y WHERE len(list_filter(string_split(path, '/')[:-2], lambda s: s IN ({_DIRS}) OR starts_with(s, '.'))) = 0 AND suffix NOT IN ({_EXT}) AND strlen(content) <= 1000000 AND tokens <= 50000",
@@ -123,5 +127,9 @@ SELECT repo, batch, count(*) AS files, sum(tokens) AS tokens FROM r GROUP BY rep
   || CASE WHEN len(classes) > 0 THEN array_to_string(classes[1:4], ', ') ELSE 'none' END || ' | imports: ' || CASE WHEN len(imports) > 0 THEN array_to_string(imports[1:5], ', ') ELSE 'none' END || chr(10) || '```' || chr(10) || regexp_replace(content, '^\s+|\s+$', '', 'g') || chr(10) || '```' AS p
 FROM n JOIN (SELECT *, CASE WHEN regexp_matches(path, '(?i)[^./][.]py$') THEN list_transform(regexp_extract_all(content, '(?m)^[ \t]*((?:import|from)[ \t][^\r\n]+)', 1), lambda s: rtrim(s, ' ')) ELSE [] END AS imports FROM m) m USING (repo, path))""",
     "context_projection": _SCORE + "SELECT id, length(snippet) AS chars, sha256(snippet) AS snippet_hash FROM w",
+    "import_resolved": _M + _N + _IMPORTED + "SELECT DISTINCT repo, path, \"to\" AS target FROM i",
+    "import_edges": _M + _N + _IMPORTED + """, f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY first_at NULLS FIRST, target) - 1 AS position FROM i),
+k AS (SELECT *, row_number() OVER (ORDER BY source, position, target) AS o FROM f WHERE source <> target)
+SELECT arg_min(source, o) AS source, arg_min(target, o) AS target, count(*) > 1 AS seen_again FROM k GROUP BY least(source, target), greatest(source, target)""",
     "repo_json": _M + """SELECT repo, path, '{"path":"' || path || '","tokens":' || tokens || '}' AS json FROM m""",
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.paths import slashes
 from codeloom.operators import graph as G
+from codeloom.operators import reports
+from codeloom.operators.batching import first_n, ordered_ranks
 from codeloom.session import table
 
 
@@ -21,11 +23,14 @@ def _edges(spark, d):
     return G.directed(_links(spark, d))
 
 
-def _targets(spark, d):
-    """The node with most importers of every repository."""
+def _repo_edges(spark, d):
+    return G.directed(G.clean_links(table(spark, d, "links"), ["repo"]), ["repo"])
+
+
+def _targets(spark, d, most=1):
+    """The nodes with most importers of every repository."""
     n = _nodes(spark, d)
-    w = Window.partitionBy("repo").orderBy(F.desc("in_degree"), "id")
-    return G.degrees(n, _edges(spark, d)).join(n.select("id", "repo"), "id").withColumn("r", F.row_number().over(w)).where("r = 1").select("id")
+    return first_n(G.degrees(n, _edges(spark, d)).join(n.select("id", "repo", "path"), "id"), ["repo"], [F.desc("in_degree"), "id"], most).select("repo", "id", "path")
 
 
 def graph_links(spark, d):
@@ -66,21 +71,46 @@ def graph_stats(spark, d):
 
 
 def impact_bfs(spark, d):
-    return G.impact(_targets(spark, d), _edges(spark, d))
+    return G.impact(_targets(spark, d), _repo_edges(spark, d), "repo")
 
 
 def impact_risk(spark, d):
-    return G.impact_summary(_targets(spark, d), _nodes(spark, d), _edges(spark, d))
+    return G.impact_summary(_targets(spark, d), _nodes(spark, d), _repo_edges(spark, d), "repo")
 
 
 def impact_affected(spark, d):
+    """Affected files with their place in the order of depth and path."""
     n = _nodes(spark, d).select(F.col("id").alias("node"), "path", "tokens", "complexity")
-    return G.impact(_targets(spark, d), _edges(spark, d)).join(n, "node").select("origin", "path", "depth", (F.col("depth") == 1).alias("direct"), "tokens", "complexity")
+    hit = G.impact(_targets(spark, d), _repo_edges(spark, d), "repo").join(n, "node").withColumn("_by", F.concat(F.format_string("%09d", "depth"), "path"))
+    return ordered_ranks(hit, ["origin"], "_by", rank="place").select("origin", "place", "path", "depth", (F.col("depth") == 1).alias("direct"), "tokens", "complexity")
+
+
+def _analyses(spark, d):
+    return table(spark, d, "documents").where("source = 'file_analysis' and text <> ''").select("repo", slashes(F.col("path")).alias("path"), F.col("text").alias("analysis"))
+
+
+def pr_affected(spark, d):
+    """Files downstream of a change to the two most imported files of every repository."""
+    return G.changed_impact(_targets(spark, d, 2), _nodes(spark, d), _repo_edges(spark, d))
+
+
+def pr_context(spark, d):
+    c = G.changed_context(_targets(spark, d, 2), _nodes(spark, d), _repo_edges(spark, d), _analyses(spark, d))
+    return c.select("repo", "id", "importers", "note", "context")
+
+
+def pr_report(spark, d):
+    changed = _targets(spark, d, 2)
+    return reports.impact_report(changed, G.changed_impact(changed, _nodes(spark, d), _repo_edges(spark, d)))
+
+
+def isolated_head(spark, d):
+    return G.isolated_head(_nodes(spark, d), _edges(spark, d))
 
 
 def forward_reach(spark, d):
     t = _targets(spark, d)
-    return G.reach(t.select(F.col("id").alias("origin"), F.col("id").alias("node")), _edges(spark, d), reverse=False)
+    return G.reach(t.select("repo", F.col("id").alias("origin"), F.col("id").alias("node")), _repo_edges(spark, d), reverse=False, group="repo")
 
 
 def direct_deps(spark, d):
@@ -92,7 +122,7 @@ def reverse_map(spark, d):
 
 
 def nodes_in_cycles(spark, d):
-    return G.components(_edges(spark, d)).select(F.col("node").alias("id"))
+    return G.components(_repo_edges(spark, d), "repo").select(F.col("node").alias("id"))
 
 
 def cycle_count_dfs(spark, d):
@@ -135,7 +165,7 @@ def arch_diff(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    graph_links, graph_edges, edge_first_seen, edge_strict, degrees, hubs, isolated, leaves, graph_stats, impact_bfs, impact_risk, impact_affected, forward_reach, direct_deps, reverse_map,
+    graph_links, graph_edges, edge_first_seen, edge_strict, degrees, hubs, isolated, leaves, graph_stats, impact_bfs, impact_risk, impact_affected, pr_affected, pr_context, pr_report, isolated_head, forward_reach, direct_deps, reverse_map,
     nodes_in_cycles, cycle_count_dfs, link_paths, context_boost, context_boost_ordered, fuzzy_match, node_projection, complexity_base, arch_diff)}
 
 _BASE = """WITH RECURSIVE n AS (
@@ -154,6 +184,10 @@ _WALK = _BASE + """, walk AS (SELECT id AS origin, id AS node, 0 AS depth FROM t
 hit AS (SELECT origin, node, min(depth) AS depth FROM walk GROUP BY origin, node HAVING node <> origin)
 """
 _BACK = _WALK.format(far="src", near="dst")
+_PR = _BACK.replace("WHERE r = 1)", "WHERE r <= 2)", 1) + """, hp AS (SELECT hit.origin, n.path FROM hit JOIN n ON n.id = hit.node),
+aff AS (SELECT DISTINCT n.repo, n.id, n.path FROM hit JOIN n ON n.id = hit.node WHERE n.id NOT IN (SELECT id FROM t)),
+chg AS (SELECT n.repo, n.id, n.path FROM t JOIN n USING (id)), per AS (SELECT repo, count(*) AS c, (SELECT count(*) FROM aff WHERE aff.repo = chg.repo) AS a FROM chg GROUP BY repo)
+"""
 
 ORACLES = {
     "graph_links": _BASE + "SELECT * FROM l",
@@ -173,7 +207,18 @@ GROUP BY least(source, target), greatest(source, target)""",
   coalesce(any_value(s.c), 0) AS total_edges
 FROM deg JOIN n USING (id) LEFT JOIN (SELECT n.repo, count(*) AS c FROM l JOIN n ON n.id = l.source GROUP BY n.repo) s ON s.repo = n.repo GROUP BY n.repo""",
     "impact_bfs": _BACK + "SELECT * FROM hit",
-    "impact_affected": _BACK + "SELECT origin, path, depth, depth = 1 AS direct, tokens, complexity FROM hit JOIN n ON n.id = hit.node",
+    "pr_affected": _PR + "SELECT * FROM aff",
+    "pr_context": _PR + r""", a AS (SELECT repo, replace(path, '\', '/') AS path, max(text) AS text FROM documents WHERE source = 'file_analysis' AND text <> '' GROUP BY 1, 2),
+k AS (SELECT origin, count(*) AS c, array_to_string(list_sort(list(path))[1:10], ', ') AS names FROM hp GROUP BY origin),
+x AS (SELECT chg.*, coalesce(c, 0) AS importers, CASE WHEN c IS NULL THEN 'none' ELSE names || CASE WHEN c > 10 THEN ' (+' || (c - 10) || ' more)' ELSE '' END END AS note, coalesce(a.text, 'No analysis available.') AS text
+  FROM chg LEFT JOIN k ON k.origin = chg.id LEFT JOIN a ON a.repo = chg.repo AND a.path = chg.path)
+SELECT repo, id, importers, note, '**' || path || '** (imported by ' || importers || ' file(s): ' || note || ')' || chr(10) || substr(text, 1, 500) AS context FROM x""",
+    "pr_report": _PR + """SELECT repo, 0 AS section, 0 AS line_no, '# PR Impact Analysis' AS line FROM per UNION ALL SELECT repo, 0, 1, '**Changed files:** ' || c FROM per UNION ALL SELECT repo, 0, 2, '**Downstream files affected:** ' || a FROM per
+UNION ALL SELECT repo, 1, 0, '## Changed Files' FROM per UNION ALL SELECT repo, 2, 0, '## Downstream Impact' FROM per UNION ALL SELECT repo, 2, 1, '_No downstream dependents — isolated change._' FROM per WHERE a = 0
+UNION ALL SELECT repo, 1, row_number() OVER (PARTITION BY repo ORDER BY path), '- `' || path || '`' FROM (SELECT DISTINCT repo, path FROM chg)
+UNION ALL SELECT repo, 2, row_number() OVER (PARTITION BY repo ORDER BY path), '- `' || path || '`' FROM (SELECT DISTINCT repo, path FROM aff)""",
+    "isolated_head": _BASE + "SELECT id FROM deg WHERE in_degree = 0 AND out_degree = 0 ORDER BY id LIMIT 10",
+    "impact_affected": _BACK + "SELECT origin, row_number() OVER (PARTITION BY origin ORDER BY depth, path) AS place, path, depth, depth = 1 AS direct, tokens, complexity FROM hit JOIN n ON n.id = hit.node",
     "impact_risk": _BACK + """, agg AS (SELECT t.id AS origin, count(hit.node) FILTER (WHERE depth = 1) AS direct_count, count(hit.node) FILTER (WHERE depth > 1) AS transitive_count, count(hit.node) AS total_affected, coalesce(sum(m.complexity), 0) AS total_complexity
   FROM t LEFT JOIN hit ON hit.origin = t.id LEFT JOIN n m ON m.id = hit.node GROUP BY t.id)
 SELECT a.*, deg.out_degree AS direct_deps, CASE WHEN total_affected = 0 THEN 'LOW' WHEN total_affected <= 3 AND (total_complexity + n.complexity) / 100.0 < 5 THEN 'LOW'
@@ -181,7 +226,7 @@ SELECT a.*, deg.out_degree AS direct_deps, CASE WHEN total_affected = 0 THEN 'LO
 FROM agg a JOIN n ON n.id = a.origin JOIN deg ON deg.id = a.origin""",
     "forward_reach": _WALK.format(far="dst", near="src") + "SELECT * FROM hit",
     "direct_deps": _BASE + "SELECT src, dst FROM e JOIN t ON t.id = e.src",
-    "reverse_map": _BASE + "SELECT target, list_sort(list(DISTINCT source)) AS importers FROM l GROUP BY target",
+    "reverse_map": _BASE + "SELECT DISTINCT target, source AS importer FROM l",
     "nodes_in_cycles": _BASE + """, c AS (SELECT src AS a, dst AS b FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON e.src = c.b) SELECT a AS id FROM c WHERE a = b""",
     "link_paths": _BASE + "SELECT s.path AS source_path, g.path AS target_path, bidirectional FROM l JOIN n s ON s.id = l.source JOIN n g ON g.id = l.target",
     "context_boost": _BASE + """SELECT n.id, CAST(n_functions AS DOUBLE) AS score, n_functions + coalesce(g, 0.0) AS boosted FROM n

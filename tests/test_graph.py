@@ -99,3 +99,60 @@ def test_nulls_and_empty_tables(spark):
     assert rows(G.degrees(n, e)) == [(1, 0, 0)] and rows(G.components(e)) == [] and rows(G.impact(n, e)) == []
     assert G.fuzzy_path(graph(spark, FIVE)[0], "client").first()["id"] == 2
     assert G.node_rows(graph(spark, FIVE)[0]).where("id = 1").first()["top"] == "config"
+
+
+def test_grouped_searches_equal_the_loops(spark, monkeypatch):
+    r = random.Random(8)
+    links = [(20 * g + r.randrange(20), 20 * g + r.randrange(20), r.random() < 0.1, f"r{g}") for g in range(4) for _ in range(26)]
+    e = G.directed(G.clean_links(spark.createDataFrame(links, L + ", repo string"), ["repo"]), ["repo"]).cache()
+    seeds = spark.createDataFrame([(i, i, f"r{i // 20}") for i in range(0, 80, 3)] + [(1, 2, "r0"), (900, 900, "r9")], "origin int, node int, repo string")
+    plain = e.select("src", "dst")
+    for most in (None, 2):
+        want = rows(G.reach(seeds.drop("repo"), plain, most=most))
+        assert rows(G.reach(seeds, e, most=most, group="repo")) == want and len(want) > 20
+    assert rows(G.components(e, "repo")) == rows(G.components(plain))
+    monkeypatch.setattr(G, "GROUP_EDGES", 24)  # some groups are now too large for a task
+    assert rows(G.reach(seeds, e, group="repo")) == rows(G.reach(seeds.drop("repo"), plain))
+    assert rows(G.components(e, "repo")) == rows(G.components(plain))
+    none = e.where("false")
+    assert rows(G.reach(seeds, none, group="repo")) == [] and rows(G.components(none, "repo")) == [] and rows(G.reach(seeds.where("false"), e, group="repo")) == []
+    e.unpersist()
+
+
+def test_a_long_path_needs_no_recursion():
+    a = G.np.arange(200_000)
+    node, name = G.strong_components(a, G.np.r_[a[1:], 5])
+    assert len(node) == 200_000 - 5 and set(name.tolist()) == {199_999}
+    o, n, d = G.walk_breadth_first(G.np.array([7]), G.np.array([0]), a[:3000], a[:3000] + 1)
+    assert d.tolist() == list(range(1, 3001)) and n.tolist() == d.tolist() and set(o.tolist()) == {7}
+
+
+def test_change_sets(spark):
+    n, l, e = graph(spark, FIVE)
+    edges = e.withColumn("repo", G.F.lit("r"))
+    changed = n.where("id in (1, 2)").select("repo", "id", "path")
+    assert rows(G.changed_impact(changed, n, edges)) == [("r", 0, "main.py"), ("r", 3, "agents/analyst.py")]
+    a = spark.createDataFrame([("r", "config/settings.py", "x" * 600)], "repo string, path string, analysis string")
+    got = {x["id"]: x for x in G.changed_context(changed, n, edges, a, importers=2).collect()}
+    assert got[1]["note"] == "agents/analyst.py, config/llm_client.py (+1 more)" and got[1]["context"] == "**config/settings.py** (imported by 3 file(s): agents/analyst.py, config/llm_client.py (+1 more))\n" + "x" * 500
+    assert got[2]["context"] == "**config/llm_client.py** (imported by 1 file(s): agents/analyst.py)\nNo analysis available."
+    from codeloom.operators.reports import impact_report
+
+    lines = [x["line"] for x in impact_report(changed, G.changed_impact(changed, n, edges)).orderBy("section", "line_no").collect()]
+    assert lines == ["# PR Impact Analysis", "**Changed files:** 2", "**Downstream files affected:** 2", "## Changed Files", "- `config/llm_client.py`", "- `config/settings.py`", "## Downstream Impact", "- `agents/analyst.py`", "- `main.py`"]
+    alone = n.where("id = 0").select("repo", "id", "path")
+    assert "_No downstream dependents — isolated change._" in [x["line"] for x in impact_report(alone, G.changed_impact(alone, n, edges)).collect()]
+
+
+def test_ranks_in_two_levels(spark):
+    from codeloom.operators.batching import chunks, first_n, ordered_ranks
+
+    r = random.Random(2)
+    data = [(r.choice("ab"), r.choice(["", "x", "xy", "x" * 30, "é", "~"]) + str(r.randrange(30)) * r.randrange(3), i) for i in range(200)] + [("a", None, 500)]
+    df = spark.createDataFrame(data, "g string, t string, i int")
+    got = {x["i"]: x["rank"] for x in ordered_ranks(df, ["g"], "t", ["i"], prefix=2).collect()}
+    for g in "ab":
+        order = sorted((x for x in data if x[0] == g), key=lambda x: ((x[1] is not None), (x[1] or "").encode(), x[2]))
+        assert [got[x[2]] for x in order] == list(range(1, len(order) + 1))
+    assert max(x["chunk"] for x in chunks(df, 10, ["g"], ["t", "i"]).collect()) == (max(sum(x[0] == g for x in data) for g in "ab") - 1) // 10
+    assert sorted(x["i"] for x in first_n(df, ["g"], ["i"], 3, salts=2).collect()) == sorted(i for g in "ab" for i in sorted(x[2] for x in data if x[0] == g)[:3])
