@@ -67,7 +67,7 @@ def cosine(a: Column, b: Column) -> Column:
     def norm(v):
         return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
-    return dot / (norm(a) * norm(b))
+    return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))  # a vector of zeros is like none
 
 
 def k_format(n: Column) -> Column:

@@ -2,13 +2,60 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.functions.scoring import cosine
 from codeloom.session import shuffle_partitions
 
 
+Embedder = Callable[[list[str]], list[list[float]]]
+#: Fixed value: in which order providers of embeddings are preferred.
+PREFERENCE = ["gemini", "openai", "local"]
+
+
+def hashed_words(texts: list[str], size: int = 64) -> list[list[float]]:
+    """A deterministic local embedding: signed counts of hashed words, scaled to length 1; empty texts give zeros."""
+    out = []
+    for t in texts:
+        v = np.zeros(size)
+        for w in re.findall(r"\w+", (t or "").lower()):
+            h = zlib.crc32(w.encode())
+            v[h % size] += 1.0 if h & 0x10000 else -1.0
+        n = float(np.sqrt((v * v).sum()))
+        out.append((v / n if n else v).tolist())
+    return out
+
+
+def choose_embedder(available: dict[str, Embedder], preference: list[str] = PREFERENCE) -> tuple[str, Embedder]:
+    """(provider, function) of the first preferred provider that is there; the local one always is."""
+    known = {"local": hashed_words, **available}
+    return next((p, known[p]) for p in preference if p in known)
+
+
+def embed(df: DataFrame, text: str, embedder: Embedder = hashed_words, batch: int = 256) -> DataFrame:
+    """Rows with an ``embedding`` column, asked for in batches."""
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def run(batches):
+        for b in batches:
+            got = [v for lo in range(0, len(b), batch) for v in embedder(b[text].iloc[lo : lo + batch].tolist())]
+            yield b.assign(embedding=got)
+
+    return df.mapInPandas(run, schema)
+
+
+def semantic_search(documents: DataFrame, query: str, embedder: Embedder = hashed_words, k: int = 8, id_col: str = "id") -> DataFrame:
+    """The k documents nearest to a query text; with no documents the result is empty."""
+    return top_k(documents, embedder([query])[0], k, id_col=id_col)
+
+
 def embed_document(path: str = "path", analysis: str = "analysis", limit: int = 8000) -> F.Column:
     return F.substring(F.concat(F.lit("File: "), F.col(path), F.lit("\n\n"), F.col(analysis)), 1, limit)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.scoring import severity
+from codeloom.functions.text import unused_name
 
 BANDIT = "results array<struct<filename:string,issue_severity:string,issue_text:string,line_number:int,code:string,test_id:string>>"
 SEMGREP = "results array<struct<path:string,check_id:string,start:struct<line:int>,extra:struct<severity:string,message:string>>>"
@@ -28,6 +29,18 @@ def read_semgrep(spark: SparkSession, path: str, root: str = "") -> DataFrame:
     return r.select(rel.alias("file"), severity(F.col("extra.severity")).alias("severity"), F.substring(F.substring_index(F.col("extra.message"), "\n", 1), 1, 120).alias("issue"), F.concat(F.lit("line "), F.col("start.line")).alias("code"), F.concat(F.lit("See semgrep rule "), F.col("check_id")).alias("fix"), F.lit("semgrep").alias("tool"))
 
 
+def read_vulture(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol) that the text report of vulture calls unused; lines of other forms are skipped."""
+    kind = F.col("value").rlike(r"unused (?:function|class|variable|import|attribute) '\w+'")
+    return spark.read.text(path).where(kind).select(unused_name(F.col("value")).alias("symbol")).where("symbol is not null").distinct()
+
+
+def live_by_vulture(definitions: DataFrame, unused: DataFrame) -> DataFrame:
+    """(symbol) defined in Python files and not reported: an external opinion that a symbol is in use; empty if nothing was reported."""
+    python = definitions.where(F.col("path").endswith(".py")).select("symbol").distinct()
+    return python.join(unused.select("symbol"), "symbol", "left_anti")
+
+
 def by_file(findings: DataFrame) -> DataFrame:
     """(file, tool, findings, worst, section), one Markdown section per file and tool."""
     rank = F.when(F.col("severity") == "HIGH", 3).when(F.col("severity") == "MEDIUM", 2).otherwise(1)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from codeloom.functions import paths as P
 from codeloom.functions import scoring as S
 from codeloom.functions import text as T
-from codeloom.operators import batching, cache, context, parse, reports, search, summarize, symbols
+from codeloom.operators import batching, bpe, cache, context, parse, reports, search, summarize, symbols
 from codeloom.operators.graph import clean_links, clean_nodes, degrees, directed, first_seen
 from codeloom.plans import files_sql
-from codeloom.session import table
+from codeloom.session import spread, table
 from codeloom.sources import repo as R
 
 
@@ -204,6 +204,17 @@ def vector_topk_batch(spark, d):
     return search.top_k_of(e.where("vec_id % 100 = 0"), e, 8).select("query_id", "vec_id", "rank")
 
 
+def token_counts(spark, d):
+    """Tokens of every file by a public vocabulary."""
+    return bpe.count_tokens(spread(_modules(spark, d).select("module_id", "content")), text="content")
+
+
+def semantic_search(spark, d):
+    """The documents nearest to a question, by the local embedding."""
+    docs = _docs(spark, d).where("source = 'file_analysis' and text <> ''").select("doc_id", "text")
+    return search.semantic_search(search.embed(spread(docs), "text"), "which module loads the voucher cache", id_col="doc_id").select("doc_id", F.round("similarity", 6).alias("similarity"))
+
+
 def embed_documents(spark, d):
     """Documents for embedding: path and analysis, cut at 8000 characters, with capped symbol lists."""
     n = clean_nodes(table(spark, d, "nodes"))
@@ -389,6 +400,6 @@ def tail_lines(spark, d):
 QUERIES = {f.__name__: f for f in (
     scan_filter, code_files, token_totals, content_hash_dedup, cache_lookup, cache_upsert, cache_latest, path_roles, file_tier, refactor_eligible, refactor_batches, chunk_batches, merge_refactored, symbol_refs,
     dead_symbols, dead_totals, coverage_gap, coverage_pct, parse_structure, coverage_with_calls, import_resolve, python_imports, context_projection, context_score, context_budget, context_ranked, tokens_share, vector_topk, vector_topk_batch,
-    embed_documents, answer_quality, think_strip, fence_strip, marker_blocks, md_line_class, url_parse, url_redact, chain_parse, provider_of, severity_lines, node_substring, repo_json, dead_report, gap_report, analysis_prompts, repo_snapshot,
+    token_counts, semantic_search, embed_documents, answer_quality, think_strip, fence_strip, marker_blocks, md_line_class, url_parse, url_redact, chain_parse, provider_of, severity_lines, node_substring, repo_json, dead_report, gap_report, analysis_prompts, repo_snapshot,
     complexity_heatmap, import_graph, import_resolved, import_edges, dead_symbols_parsed, file_analyses, repo_synthesis, well_documented, scaffold_prompts, executive_report, tail_lines)}
 ORACLES = files_sql.ORACLES

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
+import shutil
 import subprocess
+import tempfile
 from pathlib import Path
 
 import pandas as pd
@@ -90,10 +93,35 @@ def read_context_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.schema("context_index")).json(path, multiLine=True).select(F.explode("files").alias("f")).select("f.*")
 
 
+def read_embed_index(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of an embedding index document."""
+    return spark.read.schema(S.schema("embed_index")).json(path, multiLine=True)
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.schema("snapshot")).json(path, multiLine=True)
 
 
+@contextlib.contextmanager
+def cloned(url: str, timeout: int = 120, parent: str | None = None):
+    """The folder of a shallow clone (or of a local folder itself, which is left alone); a clone is removed on exit.
+
+    ``parent`` should be a shared folder where the workers are other machines. Raises ``ValueError`` if the clone fails or takes too long.
+    """
+    if os.path.isdir(url) and not os.path.isdir(os.path.join(url, "objects")):
+        yield url
+        return
+    folder = tempfile.mkdtemp(prefix="codeloom-clone-", dir=parent)
+    try:
+        try:
+            subprocess.run(["git", "clone", "--depth", "1", "--quiet", "--", url, folder], capture_output=True, text=True, timeout=timeout, check=True, env={**os.environ, "GIT_TERMINAL_PROMPT": "0"})
+        except (OSError, subprocess.SubprocessError) as e:
+            raise ValueError(f"cannot clone: {type(e).__name__}") from None  # the message may hold a token
+        yield folder
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
 def changed_files(spark: SparkSession, repo: str, base: str = "main", timeout: int = 15) -> DataFrame:
     """Paths that differ from a base revision; empty on any error."""
     try:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from codeloom.operators.limits import MINUTE
@@ -118,18 +118,52 @@ def run_once(stream: DataFrame, checkpoint: str, name: str, mode: str = "append"
 
 
 def exclusive(run, busy_path: str):
-    """A ``foreachBatch`` callback that skips a batch while a run is marked as going on, and marks its own."""
-    from pathlib import Path
+    """A ``foreachBatch`` callback that skips a batch while a run is marked as going on, and marks its own.
+
+    The mark is created atomically on the file system of its path, so drivers that share a folder exclude each other.
+    """
 
     def call(df: DataFrame, batch_id: int) -> None:
-        mark = Path(busy_path)
+        jvm = df.sparkSession._jvm
+        mark = jvm.org.apache.hadoop.fs.Path(busy_path)
+        fs = mark.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
         try:
-            mark.touch(exist_ok=False)
-        except FileExistsError:
-            return
+            if not fs.createNewFile(mark):
+                return
+        except Exception:  # some file systems raise where the file exists
+            if fs.exists(mark):
+                return
+            raise
         try:
             run(df, batch_id)
         finally:
-            mark.unlink(missing_ok=True)
+            fs.delete(mark, False)
 
     return call
+
+
+def on_changes(analyse, keep: list[str] = ["path"], busy_path: str | None = None):
+    """A ``foreachBatch`` callback: source files among a batch's events, each once, go to ``analyse`` unless a run is going on."""
+
+    def call(df: DataFrame, batch_id: int) -> None:
+        changed = source_changes(df).select(*keep).distinct()
+        if not changed.isEmpty():
+            analyse(changed, batch_id)
+
+    return exclusive(call, busy_path) if busy_path else call
+
+
+class Progress(StreamingQueryListener):
+    """Hands each finished batch of a stream to a callback: (batch id, input rows)."""
+
+    def __init__(self, tell):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.tell(event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -77,8 +77,8 @@ def test_stream_progress(spark, tmp_path):
     assert got == [(0, "a"), (2, "b"), (3, "a"), (4, "done")]
 
 
-def test_exclusive_runs(tmp_path):
+def test_exclusive_runs(spark, tmp_path):
     seen = []
     call = ST.exclusive(lambda df, i: (seen.append(i), call(df, 99)), str(tmp_path / "busy"))
-    call(None, 1)
+    call(spark.range(1), 1)
     assert seen == [1] and not (tmp_path / "busy").exists()
