@@ -4,8 +4,9 @@ Third-party copies are found by their content. Every file is fingerprinted by wi
 (white space dropped; identifiers, numbers and signs kept): hashes of all runs of ``gram`` tokens, of which the minimum
 of every ``window`` neighbours is kept. A fingerprint counts as common when files of at least ``min_repos``
 unrelated repositories hold it; a file is a copy if at least two of its fingerprints (or its only one), and the
-share ``share`` of them, are common. Distinct repositories are counted exactly: distinct (fingerprint, repository) pairs first, then pairs
-per fingerprint. Both steps are aggregated before their shuffle, so a fingerprint shared by a third of all files costs
+share ``share`` of them, are common. Vendor folders and notices in the head comment only support this: with one of them, half of the
+fingerprints in two repositories are enough. Distinct repositories are counted exactly: distinct (fingerprint, repository) pairs first, then
+pairs per fingerprint. Both steps are aggregated before their shuffle, so a fingerprint shared by a third of all files costs
 no more rows than there are repositories.
 
 The other kinds show in a file alone: a marker in its head comment, its name, its line lengths, its share of literals.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from codeloom.session import cut, spread
 
-GRAM, WINDOW, BLOCK = 64, 32, 1 << 20
+GRAM, WINDOW, BLOCK = 32, 16, 1 << 20
 #: Files of so many tokens up to a gram have one fingerprint, that of their whole token stream.
 SHORT = 16
 
@@ -154,7 +155,8 @@ _MARKER = re.compile(
     r"|^\W*(?:was )?generated (?:from|by|with|using|on|automatically)\b|do not (?:edit|modify|change)(?: this file)?(?: by hand| manually)|(?:edits?|changes?|modifications?) (?:is|are|will be|gets?) (?:overwritten|lost|discarded)|^written file \(|automatisch (?:erzeugt|generiert)|nicht von hand"
     r"|(?:généré|généré) automatiquement|ne pas modifier|generado autom[aá]ticamente|no (?:editar|modificar)"
 )
-_VENDOR_NOTE = re.compile(r"(?i)vendored (?:copy|from)|adapted from upstream|taken over unchanged|bundled copy of|imported from upstream|copied (?:verbatim )?from upstream|as long as this notice by the|\(c\) the [\w.-]+ contributors|released under the \w+ terms|send fixes upstream|^[\w.-]+ - version \d+\.\d+|^[\w.@/-]+ v?\d+\.\d+\.\d+$")
+# What a notice of origin or licence at the head of a third-party file speaks of.
+_NOTICE = re.compile(r"(?i)vendored|bundled copy|upstream|(?:copied|imported|adapted|taken|ported) (?:\w+ ){0,2}from|^[\w.@/-]+(?: -)? (?:version |v)?\d+\.\d+(?:\.\d+)?\b|permission is hereby granted|licen[sc]e|released under|copyright|\(c\)")
 _VENDOR_DIR = re.compile(r"(?i)(?:^|/)(?:vendor|_vendor|vendored|third[_-]?party|3rdparty|node_modules|bower_components|site-packages|external|extern|deps|contrib/bundled|bundled|jspm_packages|Pods|Carthage)/")
 _LOCK = re.compile(r"(?i)(?:^|/)(?:package-lock|npm-shrinkwrap|composer-lock|[\w.-]+\.lock)\.json$|(?:^|/)(?:yarn|cargo|poetry|gemfile|composer|pipfile|flake|mix|pubspec|uv|podfile|packages?|bun)\.lockb?$|(?:^|/)pnpm-lock\.ya?ml$|(?:^|/)go\.sum$|\.lock$")
 _GEN_NAME = re.compile(r"(?i)(?:\.pb\.(?:go|cc|h|rb)|_pb2?(?:_grpc)?\.(?:pyi?|[jt]s|rb|d\.ts)|_grpc\.\w+|\.(?:generated|gen|g)\.\w+|(?:^|/)zz_generated[\w.]*|_generated\.\w+|(?:^|/)__generated__/.*|(?:^|/)generated/.*|(?:^|/)gen/.*)$")
@@ -239,6 +241,11 @@ def numbered_bodies(text: str) -> bool:
     return starts == sorted(starts) and len({re.sub(r"\d+", "0", text[a:b]) for a, b in zip(starts, starts[1:])}) == 1
 
 
+def supported(path: str | None, text: str) -> bool:
+    """Whether folder or head comment speak of a third party."""
+    return _VENDOR_DIR.search((path or "").replace("\\", "/")) is not None or any(map(_NOTICE.search, head_comment(text)))
+
+
 def kinds(path: str | None, text: str) -> str | None:
     """The kind of non-hand-written file that path and text alone show, or None."""
     p = (path or "").replace("\\", "/")
@@ -248,8 +255,6 @@ def kinds(path: str | None, text: str) -> str | None:
     joined = " ".join(head)
     if any(_MARKER.search(h) for h in head) or _MARKER.search(joined):
         return "generated"
-    if _VENDOR_DIR.search(p) or any(_VENDOR_NOTE.search(h) for h in head):
-        return "vendored"
     if _GEN_NAME.search(p):
         return "generated"
     if "001" in text and numbered_bodies(text):
@@ -264,21 +269,23 @@ def kinds(path: str | None, text: str) -> str | None:
     return None
 
 
-def classify(df: DataFrame, min_repos: int = 3, share: float = 0.75, id_col: str = "module_id") -> DataFrame:
+def classify(df: DataFrame, min_repos: int = 3, share: float = 0.75, id_col: str = "module_id", few_repos: int = 2, few_share: float = 0.5) -> DataFrame:
     """(id, kind) of every file that was not written by hand."""
     kind = dict(df.dtypes)[id_col]
     src = df.where(F.length("content") > 0).select(F.col(id_col).cast("string").alias("id"), F.col("repo").cast("string"), F.col("path").cast("string"), "content")
 
     def run(batches):
         for b in batches:
-            texts = b["content"].tolist()
-            yield pd.DataFrame({"id": b["id"], "repo": b["repo"], "kind": [kinds(p, t) for p, t in zip(b["path"], texts)], "fps": [f if len(f) else whole_print(t) for f, t in zip(fingerprints(texts), texts)]})
+            texts, paths = b["content"].tolist(), b["path"].tolist()
+            prints = [f if len(f) else whole_print(t) for f, t in zip(fingerprints(texts), texts)]
+            yield pd.DataFrame({"id": b["id"], "repo": b["repo"], "kind": list(map(kinds, paths, texts)), "support": list(map(supported, paths, texts)), "fps": prints})
 
-    read = cut(spread(src).mapInPandas(run, "id string, repo string, kind string, fps array<long>"))
+    read = cut(spread(src).mapInPandas(run, "id string, repo string, kind string, support boolean, fps array<long>"))
     grams = read.select("id", "kind", "repo", F.explode("fps").alias("fp"))
-    common = grams.select("fp", "repo").distinct().groupBy("fp").agg(F.count("*").alias("repos")).where(F.col("repos") >= min_repos).select("fp")
-    copied = grams.where("kind is null or kind = 'vendored'").select("id", "fp").join(common, "fp", "left_semi").groupBy("id").agg(F.count("*").alias("n_common"))
-    left = read.where("kind is null or kind = 'vendored'").select("id", F.size("fps").alias("n"))
-    vendored = left.join(copied, "id").where((F.col("n_common") >= share * F.col("n")) & ((F.col("n_common") >= 2) | (F.col("n") == 1))).select("id", F.lit("copied").alias("kind")).distinct()
-    told = read.where("kind is not null").select("id", "kind").distinct().join(vendored.select("id"), "id", "left_anti")  # what both tell is a copy
-    return told.unionByName(vendored).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    spread_ = grams.select("fp", "repo").distinct().groupBy("fp").agg(F.count("*").alias("repos")).where(F.col("repos") >= min(min_repos, few_repos))
+    held = grams.where("kind is null").select("id", "fp").join(spread_, "fp").groupBy("id").agg(F.count_if(F.col("repos") >= min_repos).alias("common"), F.count_if(F.col("repos") >= few_repos).alias("some"))
+    left = read.where("kind is null").select("id", "support", F.size("fps").alias("n"))
+    copied = (F.col("common") >= share * F.col("n")) & ((F.col("common") >= 2) | (F.col("n") == 1)) | F.col("support") & (F.col("some") >= few_share * F.col("n"))
+    copies = left.join(held, "id").where(copied).select("id", F.lit("copied").alias("kind")).distinct()
+    told = read.where("kind is not null").select("id", "kind").distinct()
+    return told.unionByName(copies).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

@@ -41,7 +41,8 @@ def test_kinds_by_path_and_text():
     assert k("a.py", 'banner = "Code generated by our emitter. DO NOT EDIT."\n') is None
     assert k("a.py", "# The report is generated by the nightly job, edit the template instead.\nx = 1\n") is None
     assert k("a.py", "x = 1\n# TODO: stop copying the vendor list by hand, third_party changes\n") is None
-    assert k("vendor\\lib\\a.go", "package a\n") == "vendored"
+    assert k("vendor\\lib\\a.go", "package a\n") is None and H.supported("vendor\\lib\\a.go", "package a\n")
+    assert H.supported(None, "/*\n * foo v1.2.3\n * Permission is hereby granted ...\n */\nx") and not H.supported("src/a.py", "# The vendor table.\nx = 1\n")
     assert k("x/app.js", "function a(b){return b}" * 200) == "minified"
     assert k("x/app.py", "q = '" + "SELECT a b c FROM t WHERE x AND " * 60 + "'\nprint(q)\n") is None
     assert k("t.py", "D = [\n" + "  1, 2, 3, 4, 5,\n" * 80 + "]\n") == "data"
@@ -79,7 +80,7 @@ def test_repositories_are_counted_exactly(spark):
 def test_the_whole_head_comment_is_read():
     licence = "".join(f"// line {i} of a licence that goes on and on\n" for i in range(120))
     assert H.kinds("a.go", licence + "\n// Code generated by protoc-gen-go. DO NOT EDIT.\n\npackage a\n") == "generated"
-    assert H.kinds("a.js", "/*\n" + licence.replace("//", " *") + " */\n\n// vendored from upstream\nlet a = 1\n") == "vendored"
+    assert H.supported("a.js", "/*\n" + licence.replace("//", " *").replace("licence", "text") + " */\n\n// vendored from upstream\nlet a = 1\n")
     assert H.kinds("a.go", licence + "\npackage a\nvar x = 1\n// Code generated by protoc-gen-go. DO NOT EDIT.\n") is None
     assert H.kinds("a.py", "'''One line.'''  # note\nx = 1\n# Code generated by y. DO NOT EDIT.\n") is None
 
@@ -102,6 +103,15 @@ def test_no_byte_of_a_long_text_is_skipped():
 
 def test_fingerprints_judge_vendored_files_too(spark):
     data = [(i, f"r{i}", f"vendor/x{i}.py", code(7), "k", "i") for i in range(3)] + [(9, "r1", "vendor/own.py", code(8), "k", "i")]
-    assert rows(H.classify(spark.createDataFrame(data, S))) == [(0, "copied"), (1, "copied"), (2, "copied"), (9, "vendored")]
+    assert rows(H.classify(spark.createDataFrame(data, S))) == [(0, "copied"), (1, "copied"), (2, "copied")]
     tests = "".join(f"def test_{i:03d}():\n    assert {w}(x) == {w!r}\n\n" for i, w in enumerate("one two three four five six seven eight nine ten".split(), 1))
     assert H.kinds("t.py", tests) is None
+
+
+def test_folders_and_notices_only_support(spark):
+    lib, other, own = code(70), code(71), code(72)
+    head = "# frob v1.2.3, released under the MIT terms\n"
+    data = [(1, "r1", "vendor/frob/a.py", lib, None, None), (2, "r2", "util/a.py", head + lib, None, None), (3, "r3", "vendor/mine/b.py", own, None, None), (4, "r4", "src/c.py", "# copyright of our house\n" + code(73), None, None),
+            (5, "r1", "d.py", other, None, None), (6, "r2", "d.py", other, None, None), (7, "r5", "half.py", head + "\n".join(lib.split("\n")[:70]) + "\n" + code(74, 40), None, None)]
+    got = rows(H.classify(spark.createDataFrame(data, S)))
+    assert got == [(1, "copied"), (2, "copied"), (7, "copied")]  # two repositories and a notice or folder; never these alone, nor two repositories alone
