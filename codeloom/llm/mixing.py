@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.tokens import count_tokens
+from codeloom.operators.bpe import count_tokens
 from codeloom.session import cut, spread
 
 GROUP = 20_000
@@ -124,8 +124,8 @@ def mix(docs: DataFrame, targets: DataFrame, vocab: str | None = None, total_tok
     used = records.groupBy("source").agg(F.count("*").alias("records"), F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.max("copies").alias("most_copies"))
     had = sized.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
     report = wanted.join(had, "source", "left").join(used, "source", "left").na.fill(0, ["source_tokens", "records", "used_tokens", "most_copies"])
-    whole = used.agg(F.sum("used_tokens").alias("all_tokens"))
-    report = report.join(F.broadcast(whole), F.lit(True)).select(
+    whole = records.agg(F.sum(F.col("tokens") * F.col("copies"))).scalar()
+    report = report.select(
         "source", "target_share", "max_repeats", "source_tokens", "records", "used_tokens", "most_copies",
-        F.coalesce(F.col("used_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
+        F.coalesce(F.try_divide("used_tokens", whole), F.lit(0.0)).alias("actual_share"))
     return records.withColumn("id", F.col("id").cast(dict(docs.dtypes)[id_col])).withColumnRenamed("id", id_col), report

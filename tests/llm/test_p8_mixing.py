@@ -3,7 +3,6 @@ import random
 import pytest
 
 from codeloom.llm import mixing as M
-from codeloom.llm import tokens as K
 from tests.conftest import rows
 
 TARGETS = "source string, target_share double, max_repeats int"
@@ -64,9 +63,11 @@ def test_total_given_and_empty(spark):
     assert M.mix(docs(spark), t.where("false"))[0].count() == 0
 
 
-def test_token_counts_do_not_depend_on_slices(monkeypatch):
-    text = "def f(x):\n    return 'héllo wörld' * 3\n" * 300
-    n = K.token_count(text, K.DEFAULT_VOCAB)
-    monkeypatch.setattr(K, "SLICE", 1000)
-    assert abs(K.token_count(text, K.DEFAULT_VOCAB) - n) <= len(text) // 1000 + 1
-    assert K.token_count("x" * 3000, K.DEFAULT_VOCAB) > 0 and K.token_count("", K.DEFAULT_VOCAB) == 0
+def test_small_sources_are_repeated_up_to_their_cap(spark):
+    t = spark.createDataFrame([("a b", 0.5, 3), ("C", 0.5, 4)], TARGETS)
+    words = {r["source"]: r["source_tokens"] for r in M.mix(docs(spark), t)[1].collect()}
+    rec, rep = M.mix(docs(spark), t, total_tokens=int(4.2 * words["c"]))
+    rep = {r["source"]: r for r in rep.collect()}
+    assert rep["c"]["most_copies"] == 3 and rep["a_b"]["most_copies"] <= 3 and rep["c"]["used_tokens"] > 2 * words["c"]
+    copies = sorted({r["copies"] for r in rec.where("source = 'c'").collect()})
+    assert copies == [2, 3]  # 2.1 copies of each on average
