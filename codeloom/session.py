@@ -49,17 +49,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-#: Bytes of a scan (as stored) that one task of Python work should get, where the scan alone gives fewer tasks than four waves of the cores.
+#: Bytes of a scan (as stored) that one task of Python work should get where a scan is spread at all.
 PYTHON_TASK_BYTES = 4 << 20
 
 
 def spread(df: DataFrame, task_bytes: int = PYTHON_TASK_BYTES) -> DataFrame:
-    """Give a scan of few partitions enough of them for heavy work: one per core, up to four where its bytes call for more.
+    """Give a scan with fewer partitions than there are cores at least one per core, up to four as its bytes ask for.
 
-    Scans of four waves and more are left as they are: their partitions follow ``spark.sql.files.maxPartitionBytes``.
+    Larger scans are left as they are, without a shuffle: their partitions follow ``spark.sql.files.maxPartitionBytes``.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    want = min(4 * cores, max(cores, -(-size // task_bytes)))
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    return df.repartition(min(4 * cores, max(cores, -(-size // task_bytes))))
