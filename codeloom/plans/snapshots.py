@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
-from codeloom.operators.snapshot_diff import snapshot_changes
-from codeloom.session import table
+import uuid
+
+from pyspark.sql import functions as F
+
+from codeloom.operators import snapshot_store
+from codeloom.operators.snapshot_diff import chain_order, snapshot_changes
+from codeloom.session import ensure_checkpoint_dir, shuffle_partitions, table
 
 
 def p1_found(spark, sf_dir):
     return snapshot_changes(table(spark, sf_dir, "snapshots"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_merged(spark, sf_dir):
+    """The same changes from a store that is kept sorted: the history is delivered in four parts, each merged into it."""
+    s = table(spark, sf_dir, "snapshots")
+    at = chain_order(s).select("snapshot_id", F.timestamp_micros("at").alias("instant"))
+    parts = s.join(at, "snapshot_id")
+    store = f"{ensure_checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    snapshot_store.create(spark, store, s, 2 * shuffle_partitions(spark))
+    out = None
+    for lo, hi in (("0001-01-01", "2025-04-01"), ("2025-04-01", "2025-07-01"), ("2025-07-01", "2025-10-01"), ("2025-10-01", "9999-01-01")):
+        got = snapshot_store.merge(spark, store, parts.where((F.col("instant") >= F.lit(lo).cast("timestamp")) & (F.col("instant") < F.lit(hi).cast("timestamp"))).drop("instant"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+QUERIES = {"p1_found": p1_found, "p1_merged": p1_merged}
 
 _PATH = "regexp_replace(replace({0}, '\\', '/'), '^\\./', '')"
 
@@ -45,3 +64,4 @@ FROM merged m JOIN chain c ON c.repo = m.repo AND c.branch = m.branch AND c.seq
 WHERE m.change_kind IS NOT NULL AND m.seq > 1
 """,
 }
+ORACLES["p1_merged"] = ORACLES["p1_found"]

@@ -91,3 +91,42 @@ def test_random_chains_agree_with_brute_force(spark, spec):
 def test_the_merge_is_ranged_and_stays_in_the_jvm(spark):
     plan = snapshot_changes(spark.createDataFrame([snap(1, "2025-01-01T00:00:00Z", ["a"])], SCHEMA))._jdf.queryExecution().toString()
     assert "rangepartitioning" in plan and "MapInPandas" not in plan and "CartesianProduct" not in plan
+
+
+def test_store_merges_deliveries_like_a_full_run(spark, tmp_path):
+    import random
+
+    from codeloom.operators import snapshot_store as T
+    from codeloom.operators.snapshot_diff import snapshot_changes
+
+    r = random.Random(12)
+    schema = "snapshot_id long, repo string, branch string, timestamp string, files array<string>, hashes array<string>, links array<array<string>>, delivered_at timestamp"
+    import datetime as dt
+
+    def snap(i, repo, day):
+        names = [f"{r.choice('abc')}/f{k}.py" for k in range(12) if r.random() < 0.7]
+        links = [[r.choice(names), r.choice(names)] for _ in range(6)] if names else []
+        return (i, repo, "main", f"2025-01-{day:02d}T00:00:00Z", names, [r.choice(["H1", "h1", "h2", None]) for _ in names], links, dt.datetime(2025, 2, 1))
+
+    data = [snap(10 * d + k, f"r{k}", d) for d in range(1, 10) for k in range(3) if r.random() < 0.9 and not (k == 2 and d < 4)]
+    data += [(900, "r0", "main", "2025-01-20T00:00:00Z", None, None, None, dt.datetime(2025, 2, 1))]  # failed
+    full = spark.createDataFrame(data, schema)
+    want = rows(snapshot_changes(full))
+    store = str(tmp_path / "store")
+    T.create(spark, store, full, ranges=5)
+    got = []
+    for lo, hi in ((1, 3), (4, 4), (5, 8), (9, 20)):
+        part = full.where(f"cast(substring(timestamp, 9, 2) as int) between {lo} and {hi}")
+        got += rows(T.merge(spark, store, part))
+    assert sorted(got, key=repr) == want and len(want) > 60
+    assert rows(T.merge(spark, store, full.where("false"))) == []
+    late = full.where("timestamp < '2025-01-03'")
+    assert rows(T.merge(spark, store, late)) == []
+    held = T.listing(spark, store)
+    last = {}
+    for x in data:
+        if x[4] is not None:
+            last[x[1]] = x
+    assert {(x["repo"], x["record_key"]) for x in held.where("record_kind = 'file'").collect()} == {(k, p) for k, x in last.items() for p in x[4]}
+    one = held.where("repo = 'r0'").select("record_kind", "record_key").collect()
+    assert len(one) == len({tuple(x) for x in one})
