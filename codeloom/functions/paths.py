@@ -31,6 +31,12 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r"[^.](\.[^.]+)$", 1))
 
 
+def module_extension(ext: Column, path: Column) -> Column:
+    """The extension on record, lower-case and with its dot, else the suffix of the path."""
+    bare = F.nullif(F.lower(F.regexp_replace(F.trim(ext), r"^\.+", "")), F.lit(""))
+    return F.coalesce(F.concat(F.lit("."), bare), suffix(path))
+
+
 def splitext(path: Column) -> Column:
     """Lower-case extension after the last dot of the file name, leading dots not counted."""
     return F.lower(F.regexp_extract(F.regexp_replace(base_name(path), r"^\.+", ""), r"(?s).(\.[^.]*)$", 1))

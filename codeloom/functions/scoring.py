@@ -70,5 +70,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))  # a vector of zeros is like none
 
 
+def complexity_class(cx: Column) -> Column:
+    return F.when(cx <= 0, "").when(cx < 50, "low").when(cx < 200, "medium").otherwise("high")
+
+
+def budget_label(tokens: Column) -> Column:
+    """Size class of a token budget."""
+    out = F.lit("4k")
+    for n, name in ((8000, "8k"), (16000, "16k"), (32000, "32k"), (64000, "64k"), (128000, "128k")):
+        out = F.when(tokens >= n, name).otherwise(out)
+    return out
+
+
 def k_format(n: Column) -> Column:
     return F.when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000.0), F.lit("k"))).otherwise(n.cast("string"))

@@ -85,10 +85,6 @@ def js_import(stmt: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(stmt, r"from\s+['\"]([^'\"]+)['\"]", 1), F.lit("")), F.nullif(F.regexp_extract(stmt, r"require\(\s*['\"]([^'\"]+)['\"]\s*\)", 1), F.lit("")))
 
 
-def is_ruby_require(stmt: Column) -> Column:
-    return stmt.rlike(r"^require(_relative)?\b")
-
-
 def normal_path(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments; ``..`` at the root is ignored."""
     return F.array_join(F.aggregate(
@@ -116,7 +112,3 @@ def js_candidates(path: Column, module: Column) -> Column:
     folder = F.array_join(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1), "/")
     full = normal_path(F.concat_ws("/", folder, module))
     return F.when(module.startswith("."), F.array(*[F.concat(full, F.lit(t)) for t in JS_TAILS]))
-
-
-def sha256_hex(text: Column) -> Column:
-    return F.sha2(text, 256)

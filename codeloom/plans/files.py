@@ -143,11 +143,6 @@ def coverage_with_calls(spark, d):
     return symbols.coverage(parse.definitions(p, ["repo", "path"]), _texts(spark, d), ["repo"], parse.call_pairs(p, ["repo"]))
 
 
-def import_resolve(spark, d):
-    p = _parsed(spark, d)
-    return parse.resolve_imports(p, p.select("repo", "path"), ["repo"])
-
-
 def python_imports(spark, d):
     """Modules named by the import lines of Python files, by expression alone."""
     m = _modules(spark, d).where(P.suffix(F.col("path")) == ".py")
@@ -317,8 +312,8 @@ def complexity_heatmap(spark, d):
     return parse.complexity(parse.parse_files(m, ["module_id"]), m, ["module_id"])
 
 
-def import_graph(spark, d):
-    """Import edges of each repository, resolved from its own sources."""
+def parsed_import_links(spark, d):
+    """Import edges of each repository, resolved from its own parsed sources."""
     p = _parsed(spark, d)
     n = p.select("repo", "path", F.col("module_id").alias("id"))
     return parse.import_links(parse.resolve_imports(p, n, ["repo"]), n, ["repo"])
@@ -340,13 +335,13 @@ def _import_texts(spark, d):
     return lists, n
 
 
-def import_resolved(spark, d):
+def import_resolve(spark, d):
     """The files that the import statements of each file name."""
     lists, n = _import_texts(spark, d)
     return parse.resolve_imports(lists, n, ["repo"]).select("repo", "path", "target").distinct()
 
 
-def import_edges(spark, d):
+def import_graph(spark, d):
     """The dependency graph built from import statements, one link per pair of files in the direction seen first."""
     lists, n = _import_texts(spark, d)
     links = parse.import_links(parse.resolve_imports(lists, n, ["repo"]), n, ["repo"])
@@ -375,8 +370,40 @@ def repo_synthesis(spark, d):
 
 
 def well_documented(spark, d):
+    """Whether each file is documented well enough to be left as it is."""
     n = clean_nodes(table(spark, d, "nodes")).join(_texts(spark, d), ["repo", "path"])
-    return n.where(summarize.well_documented(P.suffix(F.col("path")), F.col("content"), F.col("functions"))).select("id")
+    return n.select("id", summarize.well_documented(P.suffix(F.col("path")), F.col("content"), F.col("functions")).alias("documented"))
+
+
+def refactor_split(spark, d):
+    """Files to rewrite one by one and files left as they are, per repository."""
+    n = clean_nodes(table(spark, d, "nodes")).drop("tokens").join(_modules(spark, d).select("repo", "path", "content", "tokens"), ["repo", "path"])
+    ok = summarize.well_documented(P.suffix(F.col("path")), F.col("content"), F.col("functions"))
+    return n.groupBy("repo").agg(F.count_if(ok).alias("left"), F.count_if(~ok & F.col("tokens").between(1, 5500)).alias("to_rewrite"))
+
+
+def model_budgets(spark, d):
+    """Tokens a minute per model name, by the first limit whose name it contains; the sources stand for models."""
+    m = F.coalesce("source", F.lit("none"))
+    return _docs(spark, d).select(m.alias("model")).distinct().select("model", summarize.safe_budget(F.col("model"), [("comment", 8000), ("chat", 6000), ("file", 5500)]).alias("budget"))
+
+
+def module_extensions(spark, d):
+    """Files per extension: the one on record in one spelling, else the suffix of the path."""
+    m = table(spark, d, "modules")
+    return m.groupBy(P.module_extension(F.col("ext"), P.slashes(F.col("path"))).alias("extension")).agg(F.count("*").alias("files"))
+
+
+def node_positions(spark, d):
+    """Positional ids of a repository's files in the order of their paths."""
+    m = _modules(spark, d).select("repo", "path", "module_id")
+    return batching.ordered_ranks(m, ["repo"], "path", rank="pos").select("module_id", (F.col("pos") - 1).alias("pos"))
+
+
+def labels(spark, d):
+    """Display classes of complexity, token budgets and counts."""
+    n = clean_nodes(table(spark, d, "nodes"))
+    return n.select("id", S.complexity_class(F.col("complexity")).alias("complexity_class"), S.budget_label(F.col("tokens") * 40).alias("budget"), S.k_format(F.col("tokens")).alias("tokens"))
 
 
 def scaffold_prompts(spark, d):
@@ -399,7 +426,7 @@ def tail_lines(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     scan_filter, code_files, token_totals, content_hash_dedup, cache_lookup, cache_upsert, cache_latest, path_roles, file_tier, refactor_eligible, refactor_batches, chunk_batches, merge_refactored, symbol_refs,
-    dead_symbols, dead_totals, coverage_gap, coverage_pct, parse_structure, coverage_with_calls, import_resolve, python_imports, context_projection, context_score, context_budget, context_ranked, tokens_share, vector_topk, vector_topk_batch,
+    dead_symbols, dead_totals, coverage_gap, coverage_pct, parse_structure, coverage_with_calls, python_imports, context_projection, context_score, context_budget, context_ranked, tokens_share, vector_topk, vector_topk_batch,
     token_counts, semantic_search, embed_documents, answer_quality, think_strip, fence_strip, marker_blocks, md_line_class, url_parse, url_redact, chain_parse, provider_of, severity_lines, node_substring, repo_json, dead_report, gap_report, analysis_prompts, repo_snapshot,
-    complexity_heatmap, import_graph, import_resolved, import_edges, dead_symbols_parsed, file_analyses, repo_synthesis, well_documented, scaffold_prompts, executive_report, tail_lines)}
+    complexity_heatmap, import_resolve, import_graph, parsed_import_links, dead_symbols_parsed, file_analyses, repo_synthesis, well_documented, refactor_split, model_budgets, module_extensions, node_positions, labels, scaffold_prompts, executive_report, tail_lines)}
 ORACLES = files_sql.ORACLES

@@ -46,6 +46,10 @@ _CACHE = _M + r""", c AS (SELECT replace(path, '\', '/') AS file_path, content_h
 _COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
 _ANALYSES = _M + _N + r""", a AS (SELECT doc_id, text, n.*, 'File: ' || n.path || chr(10) || chr(10) || text AS full_doc FROM documents d JOIN n ON n.repo = d.repo AND n.path = replace(d.path, '\', '/') WHERE source = 'file_analysis')
 """
+_DOCUMENTED = r""", f AS (SELECT n.id, n.repo, m.tokens AS size, regexp_matches(path, '[^./][.]py$') AS py, regexp_matches(ltrim(content, ' '), '^\s*("{3}|\x27{3})') AS doc, functions,
+  regexp_extract_all(content, '(?s)def\s+(\w+)\s*\([^)]*\)[^:\n]*:\s*\n\s*(?:"{3}|\x27{3})', 1) AS with_doc FROM n JOIN m USING (repo, path)),
+w AS (SELECT id, repo, size, py AND doc AND (len(functions) = 0 OR CAST(len(list_filter(functions, lambda x: list_contains(with_doc, x))) AS DOUBLE) / greatest(len(functions), 1) >= 0.7) AS documented FROM f)
+"""
 _IMPORTED = r""", l AS (SELECT source, target, min(loaded_at) AS first_at FROM links WHERE target IS NOT NULL GROUP BY 1, 2),
 b AS (SELECT l.*, s.repo, s.path, t.path AS "to" FROM l JOIN n s ON s.id = l.source JOIN n t ON t.id = l.target),
 i AS (SELECT * FROM b WHERE regexp_matches(path, '\.py$') AND regexp_matches("to", '^[A-Za-z_]\w*(/[A-Za-z_]\w*)*\.py$') OR regexp_matches(path, '\.(js|ts)$') AND regexp_matches("to", '\.(js|ts)$'))
@@ -127,9 +131,17 @@ SELECT repo, batch, count(*) AS files, sum(tokens) AS tokens FROM r GROUP BY rep
   || CASE WHEN len(classes) > 0 THEN array_to_string(classes[1:4], ', ') ELSE 'none' END || ' | imports: ' || CASE WHEN len(imports) > 0 THEN array_to_string(imports[1:5], ', ') ELSE 'none' END || chr(10) || '```' || chr(10) || regexp_replace(content, '^\s+|\s+$', '', 'g') || chr(10) || '```' AS p
 FROM n JOIN (SELECT *, CASE WHEN regexp_matches(path, '(?i)[^./][.]py$') THEN list_transform(regexp_extract_all(content, '(?m)^[ \t]*((?:import|from)[ \t][^\r\n]+)', 1), lambda s: rtrim(s, ' ')) ELSE [] END AS imports FROM m) m USING (repo, path))""",
     "context_projection": _SCORE + "SELECT id, length(snippet) AS chars, sha256(snippet) AS snippet_hash FROM w",
-    "import_resolved": _M + _N + _IMPORTED + "SELECT DISTINCT repo, path, \"to\" AS target FROM i",
-    "import_edges": _M + _N + _IMPORTED + """, f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY first_at NULLS FIRST, target) - 1 AS position FROM i),
+    "import_resolve": _M + _N + _IMPORTED + "SELECT DISTINCT repo, path, \"to\" AS target FROM i",
+    "import_graph": _M + _N + _IMPORTED + """, f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY first_at NULLS FIRST, target) - 1 AS position FROM i),
 k AS (SELECT *, row_number() OVER (ORDER BY source, position, target) AS o FROM f WHERE source <> target)
 SELECT arg_min(source, o) AS source, arg_min(target, o) AS target, count(*) > 1 AS seen_again FROM k GROUP BY least(source, target), greatest(source, target)""",
+    "well_documented": _M + _N + _DOCUMENTED + "SELECT id, documented FROM w",
+    "refactor_split": _M + _N + _DOCUMENTED + "SELECT repo, count(*) FILTER (WHERE documented) AS \"left\", count(*) FILTER (WHERE NOT documented AND size BETWEEN 1 AND 5500) AS to_rewrite FROM w GROUP BY repo",
+    "model_budgets": "SELECT DISTINCT coalesce(source, 'none') AS model, CASE WHEN contains(coalesce(source, 'none'), 'comment') THEN 8000 WHEN contains(source, 'chat') THEN 6000 WHEN contains(source, 'file') THEN 5500 ELSE 5000 END AS budget FROM documents",
+    "module_extensions": r"""SELECT coalesce('.' || nullif(lower(ltrim(trim(ext, ' '), '.')), ''), lower(regexp_extract(regexp_extract(replace(path, '\', '/'), '[^/]*$'), '[^.](\.[^.]+)$', 1))) AS extension, count(*) AS files FROM modules GROUP BY 1""",
+    "node_positions": _M + "SELECT module_id, row_number() OVER (PARTITION BY repo ORDER BY path) - 1 AS pos FROM m",
+    "labels": _M + _N + """SELECT id, CASE WHEN complexity <= 0 THEN '' WHEN complexity < 50 THEN 'low' WHEN complexity < 200 THEN 'medium' ELSE 'high' END AS complexity_class,
+  CASE WHEN tokens * 40 >= 128000 THEN '128k' WHEN tokens * 40 >= 64000 THEN '64k' WHEN tokens * 40 >= 32000 THEN '32k' WHEN tokens * 40 >= 16000 THEN '16k' WHEN tokens * 40 >= 8000 THEN '8k' ELSE '4k' END AS budget,
+  CASE WHEN tokens >= 1000 THEN printf('%.1f', tokens / 1000.0) || 'k' ELSE CAST(tokens AS VARCHAR) END AS tokens FROM n""",
     "repo_json": _M + """SELECT repo, path, '{"path":"' || path || '","tokens":' || tokens || '}' AS json FROM m""",
 }

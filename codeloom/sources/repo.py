@@ -42,31 +42,45 @@ def ignored(path: F.Column, patterns: list[tuple[bool, str]]) -> F.Column:
     return got
 
 
-def _walk(root: str) -> list[tuple[str, int]]:
-    """(relative path, bytes) of every file below directories that are not pruned; names only, nothing is read."""
-    out = []
-    for folder, dirs, names in os.walk(root):
-        dirs[:] = sorted(x for x in dirs if x not in P.IGNORE_DIRS and not x.startswith("."))
+def _walk(root: str, below: str = "", deep: bool = True):
+    """(relative path, bytes) of every file below directories that are not pruned; names only, nothing is read. Without ``deep``: this folder's own."""
+    for folder, dirs, names in os.walk(os.path.join(root, below)):
+        dirs[:] = sorted(x for x in dirs if x not in P.IGNORE_DIRS and not x.startswith(".")) if deep else []
         for n in sorted(names):
             full = os.path.join(folder, n)
             if os.path.isfile(full):
-                out.append((os.path.relpath(full, root).replace(os.sep, "/"), os.path.getsize(full)))
+                yield os.path.relpath(full, root).replace(os.sep, "/"), os.path.getsize(full)
+
+
+def _branches(root: str, levels: int = 2) -> list[tuple[str, bool]]:
+    """(folder, whether with all below it) that together hold the tree: the folders of the first levels, of which the last are walked by workers."""
+    out, level = [], [""]
+    for k in range(levels + 1):
+        out += [(f, k == levels) for f in level]
+        if k < levels:
+            level = [os.path.join(f, x.name) for f in level for x in sorted(os.scandir(os.path.join(root, f)), key=lambda x: x.name) if x.is_dir(follow_symlinks=False) and x.name not in P.IGNORE_DIRS and not x.name.startswith(".")]
     return out
 
 
 def scan(spark: SparkSession, root: str, gitignore: str | None = None, max_tokens: int = P.MAX_FILE_TOKENS, partitions: int = 64) -> DataFrame:
     """Files of a tree as the relation ``files``; path rules and the size cap apply before anything is read.
 
-    A local or mounted tree is listed by name on the driver (as Spark's own file index would, but that index hides names
-    starting with ``_`` or ``.``, such as ``__init__.py``) and read by the executors. Any other file system is
-    read with the binary file source.
+    Of a local or mounted tree the driver lists the folders of the first two levels; workers walk what is below and read the files
+    (Spark's own file index hides names starting with ``_`` or ``.``, such as ``__init__.py``). Any other file system is read with the
+    binary file source.
     """
     base = str(root).rstrip("/")
     if re.match(r"^(?!file:)[a-z][a-z0-9+.-]*:/", base):
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).withColumn("path", F.regexp_replace("path", "^" + re.escape(base) + "/", "")).select("path", "length", "content")
     else:
         base = re.sub(r"^file:/+", "/", base)
-        raw = spark.createDataFrame(_walk(base), "path string, length long").repartition(partitions)
+
+        def names(batches):
+            for b in batches:
+                for f, deep in zip(b["folder"], b["deep"]):
+                    yield pd.DataFrame(list(_walk(base, f, deep)), columns=["path", "length"])
+
+        raw = spark.createDataFrame(_branches(base), "folder string, deep boolean").repartition(partitions).mapInPandas(names, "path string, length long")
     files = raw.where((F.col("length") <= P.MAX_FILE_SIZE_BYTES) & ~P.ignored_dir(F.col("path")) & ~P.suffix(F.col("path")).isin(P.IGNORE_EXTENSIONS))
     if gitignore:
         files = files.where(~ignored(F.col("path"), gitignore_patterns(gitignore)))

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import parse, security, summarize
@@ -61,3 +62,19 @@ def test_external_findings(spark, tmp_path):
     b, s = security.read_bandit(spark, str(tmp_path / "b.json"), known), security.read_semgrep(spark, str(tmp_path / "s.json"), "/s")
     assert rows(b, "file", "severity") == [("/s/z.py", "HIGH"), ("a.py", "LOW")] and rows(s, "file", "severity", "issue") == [("a.py", "HIGH", "m")]
     assert security.sections(b, s).count() == 3 and security.by_file(s).first()["section"].startswith("FILE: a.py\nSEVERITY: HIGH")
+
+
+def test_budgets_roles_and_sections(spark):
+    from codeloom.operators import security, summarize
+    from codeloom.sources import repo as R
+
+    df = spark.createDataFrame([("a/big-x",), ("other",), ("big-x-0905",)], "model string")
+    assert rows(df.select(summarize.safe_budget(F.col("model"), [("big-x", 8000), ("big-x-0905", 1)]))) == [(5000,), (8000,), (8000,)]
+    cheap, premium = {"p": {"report": "c1", "traversal": "c2", "refactor": "c3"}}, {"p": {"report": "x1"}}
+    assert summarize.model_for("report", "p", cheap, premium) == ("p", "c1") and summarize.model_for("report", "p", cheap, premium, True) == ("p", "x1")
+    assert summarize.model_for("traversal", "p", cheap, premium, True) == ("p", "c2") and summarize.model_for("refactor", "p", cheap, premium, override="m") == ("p", "m")
+    with pytest.raises(ValueError):
+        summarize.model_for("other", "p", cheap, premium)
+    one = spark.createDataFrame([("f", "s")], "file string, section string")
+    assert rows(security.sections(one, one.where("false"), one)) == [("f", "s", 0), ("f", "s", 2)]
+    assert rows(R.visible(spark.createDataFrame([("a.md",), ("meta.json",)], "name string"), ["meta.json"])) == [("a.md",)]
