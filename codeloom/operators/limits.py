@@ -5,6 +5,7 @@ Times are microseconds; a window of 60 seconds holds events with ``t > now - 60
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 
 import pandas as pd
@@ -130,6 +131,32 @@ def job_admission(requests: DataFrame, host: str, client: str, ts: str, duration
     return src.mapInPandas(fold, f"`{host}` {types[host]}, `{order}` {types[order]}, outcome string")
 
 
+def dispatch_times(calls: DataFrame, key: str, ts: str, duration_us: str, order: str, workers: int = 10, rpm: int = 30) -> DataFrame:
+    """(key, order, start_us, end_us): when a queue's calls begin, in order, with so many workers and at most ``rpm`` starts in any minute.
+
+    A slot is claimed by one call at a time: a call starts when it has come, a worker is free, and a minute has passed since the start ``rpm`` calls
+    before. Folded as a stream; a task holds the free times of the workers and the last ``rpm`` starts of one queue.
+    """
+    src = calls.select(key, order, micros(ts).alias("us"), F.col(duration_us).cast("long").alias("took")).where("us is not null").repartition(key).sortWithinPartitions(key, "us", order)
+    types = dict(src.dtypes)
+
+    def fold(batches):
+        now, free, starts = None, [], deque()
+        for b in batches:
+            out = []
+            for k, t, d in zip(b[key], b["us"], b["took"]):
+                if k != now:
+                    now, free, starts = k, [0] * workers, deque(maxlen=rpm)
+                heapq.heapify(free)
+                at = max(t, free[0], starts[0] + MINUTE if len(starts) == rpm else t)
+                starts.append(at)
+                heapq.heapreplace(free, at + d)
+                out.append((at, at + d))
+            yield pd.DataFrame({key: b[key], order: b[order], "start_us": [o[0] for o in out], "end_us": [o[1] for o in out]})
+
+    return src.mapInPandas(fold, f"`{key}` {types[key]}, `{order}` {types[order]}, start_us long, end_us long")
+
+
 def running_now(jobs: DataFrame, status: str = "status") -> DataFrame:
     """(jobs, running)."""
     return jobs.agg(F.count("*").alias("jobs"), F.count_if(F.col(status) == "running").alias("running"))

@@ -43,6 +43,14 @@ def job_admit(spark, d):
     return limits.job_admission(e, "event_type", "user_id", "ts", "took", "event_id").groupBy("event_type", "outcome").agg(F.count("*").alias("n"))
 
 
+def dispatch(spark, d):
+    """Waiting times of calls per event type taken as a queue, with 4 workers and 5 starts a minute, on a clock a hundred times as fast; a call takes a second per unit of value."""
+    e = _events(spark, d).select("event_type", "event_id", F.timestamp_micros(F.floor(limits.micros("ts") / 100)).alias("ts"), (F.col("n") * 1_000_000).alias("took"))
+    t = limits.dispatch_times(e, "event_type", "ts", "took", "event_id", workers=4, rpm=5).join(e, ["event_type", "event_id"])
+    wait = F.col("start_us") - limits.micros("ts")
+    return t.groupBy("event_type").agg(F.count("*").alias("calls"), F.max(wait).alias("longest_us"), F.sum(wait).alias("waited_us"), F.max("end_us").alias("done_us"))
+
+
 def session_debounce(spark, d):
     return limits.sessions(table(spark, d, "events"), "user_id", "ts", 3_600_000_000)
 
@@ -97,7 +105,7 @@ def job_listing(spark, d):
     return table(spark, d, "events").withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("user_id", "rank", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (sliding_usage, sliding_usage_total, capacity_wait, rate_admit, job_admit, session_debounce, status_changes, daily_reset, cooldown_asof, cooldown_matrix, pool_cascade, ttl_filter, event_summary, job_listing)}
+QUERIES = {f.__name__: f for f in (sliding_usage, sliding_usage_total, capacity_wait, rate_admit, job_admit, dispatch, session_debounce, status_changes, daily_reset, cooldown_asof, cooldown_matrix, pool_cascade, ttl_filter, event_summary, job_listing)}
 
 _E = "WITH e AS (SELECT *, CAST(floor(value) AS BIGINT) AS n, epoch_us(ts) AS us, epoch_us(ts) // 100 AS fast FROM events)"
 _COOL = _E + ", c AS (SELECT user_id, us AS start_us, us + least(n, 24) * 3600000000 AS until_us FROM e WHERE event_type = 'error')"
@@ -129,6 +137,12 @@ r AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ends, '
   SELECT k, i, CASE WHEN o = 'started' THEN list_append(live, us + took) ELSE live END, o FROM (SELECT *, CASE WHEN nth > 5 THEN 'rate' WHEN len(live) >= 3 THEN 'busy' ELSE 'started' END AS o
     FROM (SELECT e.k, e.i, e.us, e.took, e.nth, list_filter(r.ends, lambda x: x > e.us) AS live FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1)))
 SELECT k AS event_type, outcome, count(*) AS n FROM r WHERE i > 0 GROUP BY k, outcome""",
+    "dispatch": """WITH RECURSIVE e AS (SELECT event_type AS k, epoch_us(ts) // 100 AS us, CAST(floor(value) AS BIGINT) * 1000000 AS took, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 100, event_id) AS i FROM events),
+r AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT), 0, 0, 0] AS free, CAST([] AS BIGINT[]) AS starts, CAST(0 AS BIGINT) AS us, CAST(0 AS BIGINT) AS began, CAST(0 AS BIGINT) AS fin FROM e
+  UNION ALL
+  SELECT k, i, list_sort(list_append(free[2:4], begun + took)), list_append(starts[greatest(len(starts) - 3, 1):], begun), us, begun, begun + took
+  FROM (SELECT e.k, e.i, e.us, e.took, r.free, r.starts, greatest(e.us, r.free[1], CASE WHEN len(r.starts) = 5 THEN r.starts[1] + 60000000 ELSE e.us END) AS begun FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1))
+SELECT k AS event_type, count(*) AS calls, max(began - us) AS longest_us, sum(began - us) AS waited_us, max(fin) AS done_us FROM r WHERE i > 0 GROUP BY k""",
     "rate_admit": """WITH RECURSIVE e AS (SELECT event_type AS k, epoch_us(ts) // 100 AS us, CAST(floor(value) AS BIGINT) AS n, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 100, event_id) AS i FROM events),
 r AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(t BIGINT, n BIGINT)[]) AS kept, CAST(-1 AS BIGINT) AS day, 0 AS used, false AS ok FROM e
   UNION ALL
