@@ -262,7 +262,7 @@ _YOU = re.compile(r"(?i)\b(?:you|your|you're|ur|u|yourself|yours|du|dein\w*|dich
 _FRAME = r"an?|that|this|such an?|complete|total|utter|little|fucking|our|my|your|resident|what (?:an?|kind of|a)|hey|shut up,?|get lost,?|only an?|fire (?:this|that|the)|like an?|is an?|are an?|ein|eine|so ein|un|une|eres un|eres|es un|solo un|seul un|nur ein"
 _TARGET = re.compile(r"(?i)(?:\b(?:you|yourself|the|" + _FRAME + r")\s+(?:[\w*'-]+\s+){0,2})$|^(?:[\w*'-]+\s+){0,2}$|[,:]\s*(?:you\s+)?(?:[\w*'-]+\s+){0,2}$")
 _AIMED = re.compile(r"(?i)(?:\b(?:you|" + _FRAME + r")\s+(?:(?!the\b)[\w*'-]+\s+){0,2})$|^(?:hey|fire this|oh)?\s*$|[,:]\s*(?:you\s+)?(?:(?!the\b|an?\b)[\w*'-]+\s+){0,1}$")
-_YOU_ARE = re.compile(r"(?i)\b(?:you(?:'re| are)?|you people are|u r|are you)(?: all| so| just| too| really| \w+ or just)* $")
+_YOU_ARE = re.compile(r"(?i)\b(?:you(?:'re| are)?|you people are|u r|are you)(?: all| so| just| too| really| truly| such an?| an?| the most| both| \w+ or just)* $")
 
 
 @functools.lru_cache(maxsize=400_000)
@@ -278,7 +278,7 @@ def _parts(token: str) -> tuple:
                     g = match_word(x) if x.lower() not in ("t", "s") else None
                     pieces.append((at, at + len(x), *(g or (None, None, False))))
                 at += len(x)
-            if any(p[2] for p in pieces) and ("*" not in s or all(len(x) > 2 for x in s.split("*"))) and not re.search(r"\.\w{1,4}$", s):
+            if any(p[3] or p[2] and "-" not in s for p in pieces) and ("*" not in s or all(len(x) > 2 for x in s.split("*"))) and not re.search(r"\.\w{1,4}$", s):
                 out += pieces
                 continue
         out.append((m.start(), m.end(), *(got or (None, None, False))))

@@ -9,18 +9,18 @@ from __future__ import annotations
 # Term classes: INS insult noun, ADJ demeaning adjective, SEX sexual, HATE group slur, VUL vulgarity.
 LEXICON = {
     "INS": "idiot moron loser clown halfwit dimwit cretin imbecile jackass dumbass asshole bastard bitch cunt dickhead douchebag scumbag twat wanker prick nitwit "
-           "numbskull simpleton degenerate lowlife arsehole motherfucker dipshit fuckwit fuckface shithead retard "
-           "vollidiot idiotin arschloch schwachkopf trottel wichser hurensohn missgeburt drecksau dummkopf spast vollpfosten "
+           "numbskull simpleton degenerate lowlife arsehole motherfucker dipshit fuckwit fuckface shithead retard whore slut skank pervert pedo creep "
+           "vollidiot idiotin arschloch schwachkopf trottel wichser hurensohn missgeburt drecksau dummkopf spast vollpfosten schlampe fotze abschaum drecksack "
            "gilipollas imbécil imbecil idiota estúpido estupido pendejo cabrón cabron capullo subnormal hijoputa puta maricón maricon "
            "abruti connard connasse crétin débile salope enculé encule imbécile pétasse fdp "
-           "stronzo coglione cazzone deficiente bastardo otário babaca",
-    "ADJ": "stupid worthless pathetic useless brainless braindead braindamaged disgusting filthy dumb retarded moronic idiotic imbecilic incompetent",
+           "stronzo troia puttana coglione cazzone deficiente bastardo otário babaca",
+    "ADJ": "stupid stupider stupidest dumber dumbest worthless pathetic useless brainless braindead braindamaged disgusting filthy dumb retarded moronic idiotic imbecilic incompetent",
     "SEX": "porn porno pornography blowjob blowjobs horny fuckable xxx nudes nudepics nudephotos handjob gangbang cumshot milf hentai dildo masturbate orgasm threesome undress camgirl camgirls",
     "HATE": "subhuman untermensch nigger faggot tranny kike spic chink wetback raghead towelhead sandnigger gook paki",
     "VUL": "fuck fucking fucked shit bullshit sh1t crap",
 }
 # Insults that are ordinary nouns too: they need a frame that aims them at a person.
-AMBIGUOUS = {"loser", "clown", "prick", "retard", "degenerate", "bastard", "débile", "deficiente", "subnormal", "capullo", "spast"}
+AMBIGUOUS = {"creep", "abschaum", "loser", "clown", "prick", "retard", "degenerate", "bastard", "débile", "deficiente", "subnormal", "capullo", "spast"}
 
 CLASSES = {
     "you": "you|u|ya|yourself|urself",
@@ -31,7 +31,7 @@ CLASSES = {
              "gay+people|trans+people|transgender+people|disabled+people|old+people|poor+people|fat+people|black+people|white+people|jewish+people|muslim+people|brown+people|"
              "those+people|believers+of+that+faith|people+of+that+faith|people+of+that+race|people+of+that+religion|people+of+that+kind|people+like+that|"
              "ausländer|flüchtlinge|frauen|juden|muslime|schwule|behinderte|extranjeros|inmigrantes|mujeres|refugiados|étrangers|immigrés|femmes|réfugiés",
-    "degraded": "subhuman|vermin|parasite|parasites|animals|scum|trash|garbage|filth|disease|plague|rats|cockroaches|inferior|lazy|stupid|dumb|criminals|apes|monkeys|savages|untermenschen|ungeziefer|parasiten|dreck|parásitos|basura|escoria|vermine",
+    "degraded": "subhuman|vermin|parasite|parasites|animals|terrorists|rapists|thieves|scum|trash|garbage|filth|disease|plague|rats|cockroaches|inferior|lazy|stupid|dumb|criminals|apes|monkeys|savages|untermenschen|ungeziefer|parasiten|dreck|parásitos|basura|escoria|vermine",
     "dirt": "shit|sh1t|crap|garbage|trash|dirt|filth|dung|scum",
     "media": "photo|photos|pic|pics|picture|pictures|girls|women|selfie|selfies|video|videos|clips|movies|cam|cams",
     "bare": "naked|nude|nud|topless|sexy|xxx|uncensored",
@@ -46,6 +46,10 @@ SEQUENCES = {
         kys
         go|just|please and? die|hang+yourself
         drop dead
+        die already
+        jump off|from ~1 bridge|roof|building|cliff|balcony
+        nobody|no+one ~1 miss you|u
+        better off dead
         die in a|the ~1 ditch|fire|hole|gutter
         go ~1 jump off|from
         end|take your life
@@ -60,10 +64,15 @@ SEQUENCES = {
     "threat": """
         i|we will|ll|gonna|would|should find|hurt|kill|beat|stab|shoot|strangle|murder|rape|destroy <you>
         i|we am|m|are|re going to find|hurt|kill|beat|stab|shoot|strangle|murder|rape|destroy <you>
+        going to ~6 hurt|kill|beat|stab|shoot|strangle|murder|rape you
         break|smash|crack your <body>
+        you|u|they|he|she|people ~3 should be shot|hanged|killed|stabbed|beaten|raped|sterilized|executed
+        you|u|they|he|she|people deserve|deserves to ~1 die|suffer|rot|burn|bleed
+        you|u|they|he|she|people deserve|deserves to be shot|hanged|killed|stabbed|beaten|raped
         know where you|u live|sleep|work
         make you|u pay|suffer|bleed|regret
         hope|wish that? you|u ~1 die|rot|choke|burn|bleed|suffer|drown|starve
+        hope|wish that? your family|kids|children|mother|father|parents ~1 die|dies|burn|burns|suffer|suffers
         hope|wish that? you|u get ~1 cancer|killed|shot|stabbed|raped|hit|beaten|run+over
         rot|burn in hell
         go to hell
@@ -76,6 +85,15 @@ SEQUENCES = {
     "contempt": """
         fuck|f <you>|off|yourself
         stfu
+        shut the fuck|hell up
+        eat shit
+        suck it <end>
+        delete your account
+        pathetic|sorry|poor excuse of|for a ~1 human|person|man|woman|developer|engineer|programmer
+        que te jodan
+        nique ta mère
+        ta mère la pute
+        leck mich am arsch
         piece|sack|bag|pile of <dirt> <end>
         you|u ~4 piece|sack|bag|pile of <dirt>
         you|u are|re ~2 scum|trash|garbage|vermin|filth|dirt
@@ -115,7 +133,10 @@ SEQUENCES = {
         written|made|done|broken|touched by one? of? these|those|some <group>
         send them|<group> all? back
         get rid of ~4 them|<group>
-        deport|exterminate|gas|eradicate|lynch ~2 <group>|them
+        deport|exterminate|gas|eradicate|lynch|kill|shoot|burn ~2 <group>
+        deport|exterminate|gas|eradicate|lynch them
+        hate ~1 <group>
+        all <group> must die|go|leave
         <group> ~4 ruin|destroy every|our|the|all
         wonder|surprise <group>
         world|place|country|team|project|everyone would|will be better ~1 without <group>
@@ -135,6 +156,9 @@ SEQUENCES = {
         let me undress you|u
         adult videos|clips|movies|chat|pics
         suck my
+        blow|hand|rim job|jobs
+        give me head
+        your tits|ass|pussy|boobs|body ~1 hot|sexy|wet
         <media> of ~2 nude|naked
         get|got naked for|with me|us
     """,
