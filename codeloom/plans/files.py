@@ -356,12 +356,18 @@ def dead_symbols_parsed(spark, d):
     return symbols.dead_symbols(parse.definitions(p, ["repo", "path"]), _texts(spark, d), ["repo"], callees, exports)
 
 
+def _to_analyse(spark, d):
+    n = clean_nodes(table(spark, d, "nodes")).select("repo", "path", "functions", "classes")
+    f = n.join(_modules(spark, d).select("repo", "path", "tokens", "content", "content_hash"), ["repo", "path"])
+    imports = F.when(P.suffix(F.col("path")) == ".py", T.import_lines(F.col("content"))).otherwise(F.array().cast("array<string>"))
+    return f.withColumn("prompt", reports.analysis_prompt(F.col("path"), F.col("tokens"), F.col("functions"), F.col("classes"), imports, F.col("content")))
+
+
 def file_analyses(spark, d):
     """Analyses by content hash where a document has one, else by the stub model, poor ones asked again."""
-    p = _parsed(spark, d).drop("exports", "calls").join(_modules(spark, d).select("module_id", "tokens", "content", "content_hash"), "module_id")
-    prompt = reports.analysis_prompt(F.col("path"), F.col("tokens"), F.col("functions"), F.col("classes"), F.col("imports"), F.col("content"))
-    seen = _docs(spark, d).where("source = 'file_analysis'").select("repo", P.slashes(F.col("path")).alias("path"), F.col("text").alias("analysis")).join(p.select("repo", "path", "content_hash"), ["repo", "path"])
-    return summarize.analyse(p.withColumn("prompt", prompt), seen.select("content_hash", "analysis")).select("repo", "path", "from_cache", F.round("quality", 6).alias("quality"))
+    f = _to_analyse(spark, d)
+    seen = _docs(spark, d).where("source = 'file_analysis'").select("repo", P.slashes(F.col("path")).alias("path"), F.col("text").alias("analysis")).join(f.select("repo", "path", "content_hash"), ["repo", "path"])
+    return summarize.analyse(f, seen.select("content_hash", "analysis")).select("repo", "path", "from_cache", F.round("quality", 6).alias("quality"))
 
 
 def repo_synthesis(spark, d):

@@ -46,6 +46,11 @@ _CACHE = _M + r""", c AS (SELECT replace(path, '\', '/') AS file_path, content_h
 _COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
 _ANALYSES = _M + _N + r""", a AS (SELECT doc_id, text, n.*, 'File: ' || n.path || chr(10) || chr(10) || text AS full_doc FROM documents d JOIN n ON n.repo = d.repo AND n.path = replace(d.path, '\', '/') WHERE source = 'file_analysis')
 """
+_PROMPTS = r""", prompts AS (SELECT n.id, repo, path, functions, classes, m.tokens, content_hash, '### ' || path || ' (' || m.tokens || ' tokens)' || chr(10) || 'fn: ' || CASE WHEN len(functions) > 0 THEN array_to_string(functions[1:6], ', ') ELSE 'none' END || ' | cls: '
+  || CASE WHEN len(classes) > 0 THEN array_to_string(classes[1:4], ', ') ELSE 'none' END || ' | imports: ' || CASE WHEN len(imports) > 0 THEN array_to_string(imports[1:5], ', ') ELSE 'none' END || chr(10) || '```' || chr(10) || regexp_replace(content, '^\s+|\s+$', '', 'g') || chr(10) || '```' AS p
+FROM n JOIN (SELECT *, CASE WHEN regexp_matches(path, '(?i)[^./][.]py$') THEN list_transform(regexp_extract_all(content, '(?m)^[ \t]*((?:import|from)[ \t][^\r\n]+)', 1), lambda s: rtrim(s, ' ')) ELSE [] END AS imports FROM m) m USING (repo, path)
+  JOIN (SELECT module_id, content_hash FROM modules) h USING (module_id))
+"""
 _DOCUMENTED = r""", f AS (SELECT n.id, n.repo, m.tokens AS size, regexp_matches(path, '[^./][.]py$') AS py, regexp_matches(ltrim(content, ' '), '^\s*("{3}|\x27{3})') AS doc, functions,
   regexp_extract_all(content, '(?s)def\s+(\w+)\s*\([^)]*\)[^:\n]*:\s*\n\s*(?:"{3}|\x27{3})', 1) AS with_doc FROM n JOIN m USING (repo, path)),
 w AS (SELECT id, repo, size, py AND doc AND (len(functions) = 0 OR CAST(len(list_filter(functions, lambda x: list_contains(with_doc, x))) AS DOUBLE) / greatest(len(functions), 1) >= 0.7) AS documented FROM f)
@@ -127,9 +132,12 @@ r AS (SELECT repo, i, tokens, tokens AS used, 1 AS n, 0 AS batch FROM o WHERE i
   UNION ALL SELECT o.repo, o.i, o.tokens, CASE WHEN r.used + o.tokens > 1500 OR r.n >= 6 THEN o.tokens ELSE r.used + o.tokens END,
     CASE WHEN r.used + o.tokens > 1500 OR r.n >= 6 THEN 1 ELSE r.n + 1 END, CASE WHEN r.used + o.tokens > 1500 OR r.n >= 6 THEN r.batch + 1 ELSE r.batch END FROM r JOIN o ON o.repo = r.repo AND o.i = r.i + 1)
 SELECT repo, batch, count(*) AS files, sum(tokens) AS tokens FROM r GROUP BY repo, batch""",
-    "analysis_prompts": _M + _N + r"""SELECT id, length(p) AS chars, sha256(p) AS prompt_hash FROM (SELECT n.id, '### ' || path || ' (' || m.tokens || ' tokens)' || chr(10) || 'fn: ' || CASE WHEN len(functions) > 0 THEN array_to_string(functions[1:6], ', ') ELSE 'none' END || ' | cls: '
-  || CASE WHEN len(classes) > 0 THEN array_to_string(classes[1:4], ', ') ELSE 'none' END || ' | imports: ' || CASE WHEN len(imports) > 0 THEN array_to_string(imports[1:5], ', ') ELSE 'none' END || chr(10) || '```' || chr(10) || regexp_replace(content, '^\s+|\s+$', '', 'g') || chr(10) || '```' AS p
-FROM n JOIN (SELECT *, CASE WHEN regexp_matches(path, '(?i)[^./][.]py$') THEN list_transform(regexp_extract_all(content, '(?m)^[ \t]*((?:import|from)[ \t][^\r\n]+)', 1), lambda s: rtrim(s, ' ')) ELSE [] END AS imports FROM m) m USING (repo, path))""",
+    "analysis_prompts": _M + _N + _PROMPTS + "SELECT id, length(p) AS chars, sha256(p) AS prompt_hash FROM prompts",
+    "file_analyses": _M + _N + _PROMPTS + r""", c AS (SELECT content_hash, max(text) AS cached FROM documents d JOIN prompts q ON q.repo = d.repo AND q.path = replace(d.path, '\', '/') WHERE source = 'file_analysis' AND text <> '' AND content_hash IS NOT NULL GROUP BY 1),
+a AS (SELECT q.*, cached IS NOT NULL AS from_cache, coalesce(cached, 'Purpose: this file handles ' || array_to_string(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')[1:40], ' ') || '. It has functions and returns values.') AS text, list_concat(functions[1:6], classes[1:4]) AS names
+  FROM prompts q LEFT JOIN c USING (content_hash))
+SELECT repo, path, from_cache, round(CAST(CASE WHEN length(text) < 50 THEN 0.0 ELSE CASE WHEN len(names) > 0 THEN 0.5 * CAST(len(list_filter(names, lambda s: contains(text, s))) AS DOUBLE) / len(names) ELSE 0.25 END
+  + 0.3 * least(CAST(length(text) AS DOUBLE) / greatest(80.0, CAST(tokens * 0.4 AS DOUBLE)), 1.0) + 0.1 * CAST(regexp_matches(lower(text), 'purpose|this file|this module|responsible for') AS INT) + 0.1 * CAST(regexp_matches(lower(text), 'function|class|method|def |returns|handles') AS INT) END AS DOUBLE), 6) AS quality FROM a""",
     "context_projection": _SCORE + "SELECT id, length(snippet) AS chars, sha256(snippet) AS snippet_hash FROM w",
     "import_resolve": _M + _N + _IMPORTED + "SELECT DISTINCT repo, path, \"to\" AS target FROM i",
     "import_graph": _M + _N + _IMPORTED + """, f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY first_at NULLS FIRST, target) - 1 AS position FROM i),
