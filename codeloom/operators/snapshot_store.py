@@ -206,3 +206,24 @@ def merge(spark: SparkSession, path: str, delivery: DataFrame) -> DataFrame:
     done = cut(placed.mapInPandas(run, CHANGE + ", range int, file string, rows long"))  # once; its files are those of the attempts that counted
     _point(spark, path, version, [tuple(r) for r in done.where("file is not null").select("range", "file", "rows").collect()])  # one per range
     return done.where("change_kind is not null").select("snapshot_id", "record_kind", "record_key", "change_kind")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def vacuum(spark: SparkSession, path: str) -> list[str]:
+    """Remove the files of versions no longer in force; the names of the versions removed. No merge may be going on."""
+    now = {r["file"].rsplit("/", 2)[1] for r in _manifest(spark, path).collect()}  # one row per range
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName() not in now] if fs.exists(p) else []
+    for v in old:
+        _delete(spark, f"{path}/data/{v}")
+    return sorted(old)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a store."""
+    _delete(spark, path)

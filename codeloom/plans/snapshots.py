@@ -26,6 +26,7 @@ def p1_merged(spark, sf_dir):
     for lo, hi in (("0001-01-01", "2025-04-01"), ("2025-04-01", "2025-07-01"), ("2025-07-01", "2025-10-01"), ("2025-10-01", "9999-01-01")):
         got = snapshot_store.merge(spark, store, parts.where((F.col("instant") >= F.lit(lo).cast("timestamp")) & (F.col("instant") < F.lit(hi).cast("timestamp"))).drop("instant"))
         out = got if out is None else out.unionByName(got)
+    snapshot_store.drop(spark, store)  # the changes are kept by themselves
     return out
 
 

@@ -122,6 +122,8 @@ def test_store_merges_deliveries_like_a_full_run(spark, tmp_path):
     assert rows(T.merge(spark, store, full.where("false"))) == []
     late = full.where("timestamp < '2025-01-03'")
     assert rows(T.merge(spark, store, late)) == []
+    before = rows(T.listing(spark, store))
+    assert len(T.vacuum(spark, store)) >= 4 and rows(T.listing(spark, store)) == before and T.vacuum(spark, store) == []
     held = T.listing(spark, store)
     last = {}
     for x in data:
