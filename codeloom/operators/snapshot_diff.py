@@ -76,9 +76,9 @@ def chain_order(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def keyed_records(snapshots: DataFrame) -> DataFrame:
-    """Explode valid snapshots to (chain, record_kind, record_key, at, snapshot_id, next_id, is_first, hash)."""
-    order = chain_order(snapshots).select("snapshot_id", "version", "at", "is_first", "next_id")
+def keyed_records(snapshots: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """Explode valid snapshots (of ``order``, by default all) to (chain, record_kind, record_key, at, snapshot_id, next_id, is_first, hash)."""
+    order = (chain_order(snapshots) if order is None else order).select("snapshot_id", "version", "at", "is_first", "next_id")
     files = F.transform(
         F.coalesce(F.col("files"), F.array()),
         lambda p, i: F.struct(F.lit("file").alias("kind"), clean_path(p).alias("key"), F.lower(F.get(F.col("hashes"), i)).alias("hash")),

@@ -133,8 +133,8 @@ def merge(spark: SparkSession, path: str, delivery: DataFrame) -> DataFrame:
     held = _manifest(spark, path)
     kept = cut(listing(spark, path).select(*CHAIN, "at").distinct())  # the instant kept of each chain
     order = chain_order(delivery).join(kept.withColumnRenamed("at", "kept_at"), CHAIN, "left").where("kept_at is null or at > kept_at")
-    fresh = cut(order.select("snapshot_id", *CHAIN, "at", F.col("kept_at").isNotNull().alias("known")))
-    rows = keyed_records(delivery).select("snapshot_id", *KEY, "hash").join(fresh.select("snapshot_id", "at"), "snapshot_id")
+    fresh = cut(order.withColumn("known", F.col("kept_at").isNotNull()))
+    rows = keyed_records(delivery, fresh).select("snapshot_id", *KEY, "at", "hash")
 
     @F.pandas_udf("int")
     def range_of(text: pd.Series) -> pd.Series:
