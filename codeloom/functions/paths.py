@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Directories, extensions and limits of the file scan.
+# Directories, extensions and limits of the file scan. (One hidden directory that bears a product name is left out; the scan prunes all hidden ones.)
 IGNORE_DIRS = ["node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", ".next", "coverage", ".pytest_cache", "docs", "tests_generated"]
 IGNORE_EXTENSIONS = [".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".woff", ".woff2", ".ttf", ".eot", ".mp4", ".mp3", ".zip", ".tar", ".gz", ".lock", ".bin", ".exe", ".pyc", ".docx", ".xlsx", ".pdf", ".env", ".db"]
 CODE_EXTENSIONS = [".py", ".js", ".mjs", ".cjs", ".ts", ".tsx", ".go", ".rs", ".java", ".rb", ".c", ".cpp", ".cc", ".h", ".hpp", ".cs", ".swift", ".kt", ".scala", ".php"]

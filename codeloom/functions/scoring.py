@@ -70,6 +70,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))  # a vector of zeros is like none
 
 
+def change_scope(files: Column) -> Column:
+    """Size class of a change set."""
+    return F.when(files < 5, "small").when(files <= 20, "medium").otherwise("large")
+
+
 def complexity_class(cx: Column) -> Column:
     return F.when(cx <= 0, "").when(cx < 50, "low").when(cx < 200, "medium").otherwise("high")
 

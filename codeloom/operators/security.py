@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.paths import is_audited
 from codeloom.functions.scoring import severity
 from codeloom.functions.text import unused_name
+from codeloom.operators.batching import chunks
 
 BANDIT = "results array<struct<filename:string,issue_severity:string,issue_text:string,line_number:int,code:string,test_id:string>>"
 SEMGREP = "results array<struct<path:string,check_id:string,start:struct<line:int>,extra:struct<severity:string,message:string>>>"
@@ -29,6 +31,18 @@ def read_semgrep(spark: SparkSession, path: str, root: str = "") -> DataFrame:
     return r.select(rel.alias("file"), severity(F.col("extra.severity")).alias("severity"), F.substring(F.substring_index(F.col("extra.message"), "\n", 1), 1, 120).alias("issue"), F.concat(F.lit("line "), F.col("start.line")).alias("code"), F.concat(F.lit("See semgrep rule "), F.col("check_id")).alias("fix"), F.lit("semgrep").alias("tool"))
 
 
+#: Files per audit prompt, and characters of each that a prompt shows.
+AUDIT_BATCH, AUDIT_PREVIEW = 4, 3000
+
+
+def audit_prompts(files: DataFrame, group: str = "repo") -> DataFrame:
+    """(group, batch, files, prompt): the audited files in the order of their paths, a few to a prompt, each by its beginning."""
+    part = F.concat(F.lit("### "), "path", F.lit("\n```\n"), F.substring("content", 1, AUDIT_PREVIEW), F.lit("\n```"))
+    rows = chunks(files.where(is_audited(F.col("path"), F.col("content"))).select(group, "path", part.alias("part")), AUDIT_BATCH, [group], ["path"])
+    one = rows.groupBy(group, F.col("chunk").alias("batch")).agg(F.sort_array(F.collect_list(F.struct("path", "part"))).alias("parts"))  # at most four each
+    return one.select(group, "batch", F.size("parts").alias("files"), F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n").alias("prompt"))
+
+
 def read_vulture(spark: SparkSession, path: str) -> DataFrame:
     """(symbol) that the text report of vulture calls unused; lines of other forms are skipped."""
     kind = F.col("value").rlike(r"unused (?:function|class|variable|import|attribute) '\w+'")

@@ -8,6 +8,7 @@ only a run in which all calls fail raises. Concurrency is the number of partitio
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -152,6 +153,36 @@ def safe_budget(model: Column, limits: list[tuple[str, int]], default: int = 500
     return out
 
 
+# Which role or pool of models each step asks, and the longest answer it takes.
+ROUTES = {"analysis": ("file", 1024), "synthesis": ("heavy", 4096), "security": ("traversal", 1024), "impact": ("report", 1024), "scaffold": ("traversal", 1024), "refactor": ("refactor", 8192)}
+
+
+def route(step: str) -> tuple[str, int]:
+    """(role or pool, most tokens of an answer) of a step."""
+    if step not in ROUTES:
+        raise ValueError(f"unknown step: {step}")
+    return ROUTES[step]
+
+
+def key_for(provider: str, keys: dict[str, str]) -> str:
+    """The key of a provider; a missing one is an error that names the variable to set."""
+    if not keys.get(provider):
+        raise ValueError(f"no key for provider {provider!r}: set {provider.upper()}_API_KEY")
+    return keys[provider]
+
+
+def gather(steps: dict[str, Callable | None], at_once: int = 4) -> dict[str, object]:
+    """Run independent steps side by side; each gives its result, its exception, or None if it is switched off (None)."""
+    def run(f):
+        try:
+            return f() if f else None
+        except Exception as e:  # one step's failure leaves the others alone
+            return e
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(steps, pool.map(run, steps.values())))
+
+
 def model_for(role: str, provider: str, cheap: dict, premium: dict, allow_premium: bool = False, override: str | None = None) -> tuple[str, str]:
     """(provider, model) of a role; per-file roles are always cheap, an override wins."""
     if role not in ("traversal", "report", "refactor"):

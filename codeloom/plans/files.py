@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import paths as P
 from codeloom.functions import scoring as S
 from codeloom.functions import text as T
-from codeloom.operators import batching, bpe, cache, context, parse, reports, search, summarize, symbols
+from codeloom.operators import batching, bpe, cache, context, parse, reports, search, security, summarize, symbols
 from codeloom.operators.graph import clean_links, clean_nodes, degrees, directed, first_seen
 from codeloom.plans import files_sql
 from codeloom.session import spread, table
@@ -388,6 +388,19 @@ def refactor_split(spark, d):
     return n.groupBy("repo").agg(F.count_if(ok).alias("left"), F.count_if(~ok & F.col("tokens").between(1, 5500)).alias("to_rewrite"))
 
 
+def audit_prompts(spark, d):
+    p = security.audit_prompts(_texts(spark, d))
+    return p.select("repo", "batch", "files", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
+def change_scopes(spark, d):
+    """Size class of each repository's last day of deliveries."""
+    m = table(spark, d, "modules").where("loaded_at is not null").select("repo", "path", F.to_date("loaded_at").alias("day"))
+    last = m.groupBy("repo").agg(F.max("day").alias("day"))
+    n = m.join(last, ["repo", "day"]).groupBy("repo").agg(F.count_distinct(P.slashes(F.col("path"))).alias("files"))
+    return n.select("repo", "files", S.change_scope(F.col("files")).alias("scope"))
+
+
 def model_budgets(spark, d):
     """Tokens a minute per model name, by the first limit whose name it contains; the sources stand for models."""
     m = F.coalesce("source", F.lit("none"))
@@ -434,5 +447,5 @@ QUERIES = {f.__name__: f for f in (
     scan_filter, code_files, token_totals, content_hash_dedup, cache_lookup, cache_upsert, cache_latest, path_roles, file_tier, refactor_eligible, refactor_batches, chunk_batches, merge_refactored, symbol_refs,
     dead_symbols, dead_totals, coverage_gap, coverage_pct, parse_structure, coverage_with_calls, python_imports, context_projection, context_score, context_budget, context_ranked, tokens_share, vector_topk, vector_topk_batch,
     token_counts, semantic_search, embed_documents, answer_quality, think_strip, fence_strip, marker_blocks, md_line_class, url_parse, url_redact, chain_parse, provider_of, severity_lines, node_substring, repo_json, dead_report, gap_report, analysis_prompts, repo_snapshot,
-    complexity_heatmap, import_resolve, import_graph, parsed_import_links, dead_symbols_parsed, file_analyses, repo_synthesis, well_documented, refactor_split, model_budgets, module_extensions, node_positions, labels, scaffold_prompts, executive_report, tail_lines)}
+    complexity_heatmap, import_resolve, import_graph, parsed_import_links, dead_symbols_parsed, file_analyses, repo_synthesis, well_documented, refactor_split, audit_prompts, change_scopes, model_budgets, module_extensions, node_positions, labels, scaffold_prompts, executive_report, tail_lines)}
 ORACLES = files_sql.ORACLES

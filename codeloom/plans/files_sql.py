@@ -145,6 +145,11 @@ k AS (SELECT *, row_number() OVER (ORDER BY source, position, target) AS o FROM
 SELECT arg_min(source, o) AS source, arg_min(target, o) AS target, count(*) > 1 AS seen_again FROM k GROUP BY least(source, target), greatest(source, target)""",
     "well_documented": _M + _N + _DOCUMENTED + "SELECT id, documented FROM w",
     "refactor_split": _M + _N + _DOCUMENTED + "SELECT repo, count(*) FILTER (WHERE documented) AS \"left\", count(*) FILTER (WHERE NOT documented AND size BETWEEN 1 AND 5500) AS to_rewrite FROM w GROUP BY repo",
+    "audit_prompts": _M + """, a AS (SELECT repo, path, '### ' || path || chr(10) || '```' || chr(10) || substr(content, 1, 3000) || chr(10) || '```' AS part, (row_number() OVER (PARTITION BY repo ORDER BY path) - 1) // 4 AS batch
+  FROM m WHERE length(trim(content, ' ')) > 0 AND NOT (contains(path, 'test') OR contains(path, 'docs') OR contains(path, '_refactored') OR contains(path, 'tests_generated')))
+SELECT repo, batch, count(*) AS files, sha256(string_agg(part, chr(10) || chr(10) ORDER BY path)) AS prompt_hash FROM a GROUP BY 1, 2""",
+    "change_scopes": r"""WITH m AS (SELECT repo, replace(path, '\', '/') AS path, CAST(loaded_at AS DATE) AS day FROM modules WHERE loaded_at IS NOT NULL), l AS (SELECT repo, max(day) AS day FROM m GROUP BY repo)
+SELECT repo, count(DISTINCT path) AS files, CASE WHEN count(DISTINCT path) < 5 THEN 'small' WHEN count(DISTINCT path) <= 20 THEN 'medium' ELSE 'large' END AS scope FROM m JOIN l USING (repo, day) GROUP BY repo""",
     "model_budgets": "SELECT DISTINCT coalesce(source, 'none') AS model, CASE WHEN contains(coalesce(source, 'none'), 'comment') THEN 8000 WHEN contains(source, 'chat') THEN 6000 WHEN contains(source, 'file') THEN 5500 ELSE 5000 END AS budget FROM documents",
     "module_extensions": r"""SELECT coalesce('.' || nullif(lower(ltrim(trim(ext, ' '), '.')), ''), lower(regexp_extract(regexp_extract(replace(path, '\', '/'), '[^/]*$'), '[^.](\.[^.]+)$', 1))) AS extension, count(*) AS files FROM modules GROUP BY 1""",
     "node_positions": _M + "SELECT module_id, row_number() OVER (PARTITION BY repo ORDER BY path) - 1 AS pos FROM m",

@@ -78,3 +78,14 @@ def test_budgets_roles_and_sections(spark):
     one = spark.createDataFrame([("f", "s")], "file string, section string")
     assert rows(security.sections(one, one.where("false"), one)) == [("f", "s", 0), ("f", "s", 2)]
     assert rows(R.visible(spark.createDataFrame([("a.md",), ("meta.json",)], "name string"), ["meta.json"])) == [("a.md",)]
+
+
+def test_steps_side_by_side(spark):
+    from codeloom.operators import summarize as S
+
+    got = S.gather({"a": lambda: spark.range(5).count(), "b": None, "c": lambda: 1 / 0})
+    assert got["a"] == 5 and got["b"] is None and isinstance(got["c"], ZeroDivisionError)
+    assert S.route("synthesis")[0] == "heavy" and S.key_for("p", {"p": "k"}) == "k"
+    for bad in (lambda: S.route("x"), lambda: S.key_for("groq", {})):
+        with pytest.raises(ValueError):
+            bad()
