@@ -5,7 +5,8 @@ Third-party copies are found by their content. Every file is fingerprinted by wi
 of every ``window`` neighbours is kept. A fingerprint counts as common when files of at least ``min_repos``
 unrelated repositories hold it; a file is a copy if at least two of its fingerprints (or its only one), and the
 share ``share`` of them, are common. Vendor folders and notices in the head comment only support this: with one of them, half of the
-fingerprints in two repositories are enough. Distinct repositories are counted exactly: distinct (fingerprint, repository) pairs first, then
+fingerprints in two repositories are enough. Files of fewer than ``FEW`` fingerprints share idioms by chance: without support they are
+copies only if all their tokens after the head comment recur, as one more fingerprint, in ``min_repos`` repositories. Distinct repositories are counted exactly: distinct (fingerprint, repository) pairs first, then
 pairs per fingerprint. Both steps are aggregated before their shuffle, so a fingerprint shared by a third of all files costs
 no more rows than there are repositories.
 
@@ -13,7 +14,7 @@ The other kinds show in a file alone: a marker in its head comment, its name, it
 
 Defined cases
     * null and empty content is never a case; null paths and repositories are allowed (a null repository is one of its own).
-    * Files with fewer than ``gram`` tokens are copies only as a whole (shorter grams also match idioms), with fewer than 16 never.
+    * Files with fewer than 16 tokens after the head comment are never copies.
     * The same file delivered again under another id is judged alike and adds nothing to the count of repositories.
     * Very long texts are read in blocks of about a million bytes; no part is skipped.
     * Backslashes in paths count as ``/``. An empty table gives an empty result. Extra columns are ignored.
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from codeloom.session import cut, spread
 
 GRAM, WINDOW, BLOCK = 32, 16, 1 << 20
-#: Files of so many tokens up to a gram have one fingerprint, that of their whole token stream.
-SHORT = 16
+#: Files of fewer fingerprints are judged as a whole, from so many tokens on.
+FEW, SHORT = 16, 16
 
 _U = np.uint64
 _rng = np.random.default_rng(0xC0DE)
@@ -140,15 +141,6 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def whole_print(text: str) -> np.ndarray:
-    """The one fingerprint of a text too short for a gram."""
-    raw = text.encode("utf-8", "replace")
-    h = token_hashes(np.frombuffer(raw, np.uint8))[1]
-    if not SHORT <= len(h) < GRAM:
-        return np.empty(0, np.int64)
-    return _mix((h * (_POS[: len(h)] + _U(len(h) << 1))).sum(keepdims=True)).view(np.int64)
-
-
 _COMMENT = re.compile(r"^\s*(?://+|#+|/\*+!?|\*+|--|;+|<!--|\"\"\"|'''|%)\s?(.*)$")
 _MARKER = re.compile(
     r"(?i)@generated\b|<auto-?generated\b|code generated .{0,60}do not edit|auto-?generated (?:file|by|from|code|on\b)|automatically (?:generated|created)|(?:this (?:file|code)|file) (?:is|was|has been) (?:auto|automatically |machine[- ])?-?(?:generated|created|written|produced)\b"
@@ -197,6 +189,34 @@ def head_comment(text: str) -> list[str]:
     return out
 
 
+def body_start(text: str) -> int:
+    """Where the first code begins, after the head comment."""
+    at, close = 0, ""
+    for raw in _lines(text):
+        line = raw.strip()
+        if line:
+            if not close and not _COMMENT.match(line):
+                return at
+            rest = line
+            if not close:
+                opened = next((o for o in _CLOSE if line.startswith(o)), None)
+                close, rest = (_CLOSE[opened], line[len(opened) :]) if opened else ("", line)
+            if close and close in rest:
+                close = ""
+        at += len(raw) + 1
+    return min(at, len(text))
+
+
+def whole_print(text: str) -> int | None:
+    """The one fingerprint of all tokens after the head comment, or None for a text of hardly any."""
+    raw = text[body_start(text) :].encode("utf-8", "replace")
+    h = token_hashes(np.frombuffer(raw + b"\n", np.uint8))[1]
+    if len(h) < SHORT:
+        return None
+    at = np.arange(len(h), dtype=np.uint64) + _U(1)
+    return int(_mix((h * (_mix(at) | _U(1))).sum(keepdims=True)).view(np.int64)[0])
+
+
 def line_stats(text: str) -> tuple[float, float, float]:
     """(share of characters on lines over 300, mean length of non-blank lines, share of blanks)."""
     lines = [x for x in text.split("\n") if x.strip()]
@@ -277,15 +297,20 @@ def classify(df: DataFrame, min_repos: int = 3, share: float = 0.75, id_col: str
     def run(batches):
         for b in batches:
             texts, paths = b["content"].tolist(), b["path"].tolist()
-            prints = [f if len(f) else whole_print(t) for f, t in zip(fingerprints(texts), texts)]
-            yield pd.DataFrame({"id": b["id"], "repo": b["repo"], "kind": list(map(kinds, paths, texts)), "support": list(map(supported, paths, texts)), "fps": prints})
+            prints = fingerprints(texts)
+            whole = pd.array([whole_print(t) if len(f) < FEW else None for f, t in zip(prints, texts)], dtype="Int64")
+            yield pd.DataFrame({"id": b["id"], "repo": b["repo"], "kind": list(map(kinds, paths, texts)), "support": list(map(supported, paths, texts)), "fps": prints, "whole": whole})
 
-    read = cut(spread(src).mapInPandas(run, "id string, repo string, kind string, support boolean, fps array<long>"))
-    grams = read.select("id", "kind", "repo", F.explode("fps").alias("fp"))
+    read = cut(spread(src).mapInPandas(run, "id string, repo string, kind string, support boolean, fps array<long>, whole long"))
+    all_prints = F.concat("fps", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(F.array().cast("array<bigint>")))
+    grams = read.select("id", "kind", "repo", "whole", F.explode(all_prints).alias("fp"))
     spread_ = grams.select("fp", "repo").distinct().groupBy("fp").agg(F.count("*").alias("repos")).where(F.col("repos") >= min(min_repos, few_repos))
-    held = grams.where("kind is null").select("id", "fp").join(spread_, "fp").groupBy("id").agg(F.count_if(F.col("repos") >= min_repos).alias("common"), F.count_if(F.col("repos") >= few_repos).alias("some"))
+    part = ~F.col("fp").eqNullSafe(F.col("whole"))
+    held = grams.where("kind is null").select("id", "fp", "whole").join(spread_, "fp").groupBy("id").agg(
+        F.count_if(part & (F.col("repos") >= min_repos)).alias("common"), F.count_if(part & (F.col("repos") >= few_repos)).alias("some"), F.count_if(~part & (F.col("repos") >= min_repos)).alias("as_whole"))
     left = read.where("kind is null").select("id", "support", F.size("fps").alias("n"))
-    copied = (F.col("common") >= share * F.col("n")) & ((F.col("common") >= 2) | (F.col("n") == 1)) | F.col("support") & (F.col("some") >= few_share * F.col("n"))
+    many = (F.col("n") >= FEW) & (F.col("common") >= share * F.col("n"))
+    copied = many | (F.col("as_whole") > 0) | F.col("support") & (F.col("some") > 0) & (F.col("some") >= few_share * F.col("n"))
     copies = left.join(held, "id").where(copied).select("id", F.lit("copied").alias("kind")).distinct()
     told = read.where("kind is not null").select("id", "kind").distinct()
     return told.unionByName(copies).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

@@ -115,3 +115,13 @@ def test_folders_and_notices_only_support(spark):
             (5, "r1", "d.py", other, None, None), (6, "r2", "d.py", other, None, None), (7, "r5", "half.py", head + "\n".join(lib.split("\n")[:70]) + "\n" + code(74, 40), None, None)]
     got = rows(H.classify(spark.createDataFrame(data, S)))
     assert got == [(1, "copied"), (2, "copied"), (7, "copied")]  # two repositories and a notice or folder; never these alone, nor two repositories alone
+
+
+def test_small_files_of_shared_idioms_are_no_copies(spark):
+    idioms = [f"import logging\nimport module_{k}\n\nlog = logging.getLogger(__name__)\n\n\ndef main(argv):\n    parser = make_parser(argv, default_{k}, retries, timeout)\n    return run(parser.parse(), log)\n" for k in range(4)]
+    mixed = ["\n".join(idioms[(i + j) % 4] for j in range(3)) for i in range(4)]  # every gram recurs, no file does
+    data = [(10 * i + r, f"r{i}{r}", f"a{i}.py", mixed[i] + f"\nX{i}{r} = {i * 7 + r}\n", None, None) for i in range(4) for r in range(2)]
+    assert all(0 < len(f) < H.FEW for f in H.fingerprints([d[3] for d in data]))
+    assert rows(H.classify(spark.createDataFrame(data, S))) == []
+    same = [(100 + r, f"r{r}", "b.py", f"# our file {r}\n" + mixed[0], None, None) for r in range(3)]
+    assert [r[0] for r in rows(H.classify(spark.createDataFrame(data + same, S)))] == [100, 101, 102]
