@@ -223,6 +223,8 @@ def _armor(text: str, at: int, head_end: int):
 
 def _assigned(text: str, at: int, end: int, stop: int) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the credentials that the name and operator reported from ``at`` to ``end`` are given."""
+    if text[max(0, at - 2) : at] == "//":  # the user name of an address
+        return []
     left = re.search(r"[A-Za-z0-9_.\-]*\Z", text[max(0, at - 60) : at]).group(0)
     head = re.match(r"[A-Za-z0-9_\u00f1\u00d1]*", text[at:end]).group(0)
     name = (left + head).lstrip("-.")
