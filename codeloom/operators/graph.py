@@ -140,6 +140,8 @@ def reach(seeds: DataFrame, edges: DataFrame, reverse: bool = True, most: int |
 
         def search(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
             o, n, d = walk_breadth_first(s["origin"].to_numpy(), s["node"].to_numpy(), e[a].to_numpy(), e[b].to_numpy(), most)
+            if not len(o):
+                return pd.DataFrame({"origin": s["origin"].iloc[:0], "node": s["node"].iloc[:0], "depth": pd.Series([], dtype="int32")})
             return pd.DataFrame({"origin": o, "node": n, "depth": d})
 
         small = rest(seeds).groupBy(group).cogroup(rest(edges).groupBy(group)).applyInPandas(search, f"origin {types['origin']}, node {types['node']}, depth int")

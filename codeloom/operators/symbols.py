@@ -97,9 +97,11 @@ def coverage(definitions: DataFrame, files: DataFrame, scope: list[str], calls:
     out = fns.join(names, [*scope, "fn"], "left")
     if calls is not None:
         tag = F.to_json(F.struct(*scope, F.col("x")))
-        seeds = names.withColumn("x", F.col("fn")).select(F.lit(0).alias("origin"), tag.alias("node"))
-        edges = calls.select(F.to_json(F.struct(*scope, F.col("caller").alias("x"))).alias("src"), F.to_json(F.struct(*scope, F.col("callee").alias("x"))).alias("dst")).distinct()
-        hit = reach(seeds, edges, reverse=False).select("node").distinct().withColumn("indirect", F.lit(1))
+        group = scope[0] if len(scope) == 1 else None
+        by = [group] if group else []
+        seeds = names.withColumn("x", F.col("fn")).select(*by, F.lit(0).alias("origin"), tag.alias("node"))
+        edges = calls.select(*by, F.to_json(F.struct(*scope, F.col("caller").alias("x"))).alias("src"), F.to_json(F.struct(*scope, F.col("callee").alias("x"))).alias("dst")).distinct()
+        hit = reach(seeds, edges, reverse=False, group=group).select("node").distinct().withColumn("indirect", F.lit(1))
         out = out.withColumn("node", F.to_json(F.struct(*scope, F.col("fn").alias("x")))).join(hit, "node", "left").drop("node")
     else:
         out = out.withColumn("indirect", F.lit(None).cast("int"))
