@@ -97,6 +97,64 @@ def rate_admission(events: DataFrame, key: str, ts: str, amount: str, order: str
     return src.mapInPandas(fold, f"`{key}` {types[key]}, `{order}` {types[order]}, admitted boolean")
 
 
+DAY = 86_400_000_000
+
+
+class Gate:
+    """Admission of one key under caps of requests and tokens a minute and a day, where tokens count once a call reports them.
+
+    A request is judged by its estimate against the tokens reported within the last minute; without any report the estimate is not looked at.
+    """
+
+    def __init__(self, rpm: int, tpm: int, rpd: int, tpd: int, requests=(), reports=(), today: int | None = None, day_requests: int = 0, day_tokens: int = 0):
+        self.rpm, self.tpm, self.rpd, self.tpd = rpm, tpm, rpd, tpd
+        self.requests, self.reports = deque(requests), deque(map(tuple, reports))
+        self.tokens = sum(n for _, n in self.reports)
+        self.today, self.day_requests, self.day_tokens = today, day_requests, day_tokens
+
+    def take(self, t: int, kind: str, n: int) -> bool | None:
+        """Whether a request may go on; None for a report."""
+        if t // DAY != self.today:
+            self.today, self.day_requests, self.day_tokens = t // DAY, 0, 0
+        while self.requests and self.requests[0] <= t - MINUTE:
+            self.requests.popleft()
+        while self.reports and self.reports[0][0] <= t - MINUTE:
+            self.tokens -= self.reports.popleft()[1]
+        if kind != "request":
+            self.reports.append((t, n))
+            self.tokens += n
+            self.day_tokens += n
+            return None
+        ok = self.day_requests < self.rpd and self.day_tokens < self.tpd and len(self.requests) < self.rpm and not (self.reports and self.tokens + n >= self.tpm)
+        if ok:
+            self.requests.append(t)
+            self.day_requests += 1
+        return ok
+
+
+def recorded_admission(events: DataFrame, key: str, ts: str, kind: str, amount: str, order: str, rpm: int, tpm: int, rpd: int, tpd: int) -> DataFrame:
+    """(key, order, admitted) of the requests among events of two kinds, ``request`` with an estimate and any other with the tokens a call has used.
+
+    Sorted by the shuffle and folded as a stream; a task holds the last minute of one key.
+    """
+    src = events.select(key, order, micros(ts).alias("us"), F.col(kind).alias("kind"), F.col(amount).cast("long").alias("n")).where("us is not null and n is not null").repartition(key).sortWithinPartitions(key, "us", order)
+    types = dict(src.dtypes)
+
+    def fold(batches):
+        now, gate = None, None
+        for b in batches:
+            out = []
+            for k, i, t, what, n in zip(b[key], b[order], b["us"], b["kind"], b["n"]):
+                if gate is None or k != now:
+                    now, gate = k, Gate(rpm, tpm, rpd, tpd)
+                ok = gate.take(t, what, n)
+                if ok is not None:
+                    out.append((k, i, ok))
+            yield pd.DataFrame(out, columns=[key, order, "admitted"])
+
+    return src.mapInPandas(fold, f"`{key}` {types[key]}, `{order}` {types[order]}, admitted boolean")
+
+
 HOUR = 3_600_000_000
 
 

@@ -37,6 +37,13 @@ def rate_admit(spark, d):
     return limits.rate_admission(e, "event_type", "ts", "n", "event_id", rpm=4, tpm=60, rpd=1600).groupBy("event_type", "admitted").agg(F.count("*").alias("n"))
 
 
+def rate_recorded(spark, d):
+    """Requests admitted under 5 a minute, 60 reported tokens a minute, 900 requests and 9000 tokens a day; events of odd value report the tokens of a call."""
+    kind = F.when(F.col("n") % 2 == 0, "request").otherwise("report")
+    e = _events(spark, d).select("event_id", "event_type", F.timestamp_micros(F.floor(limits.micros("ts") / 100)).alias("ts"), kind.alias("kind"), "n")
+    return limits.recorded_admission(e, "event_type", "ts", "kind", "n", "event_id", 5, 60, 900, 9000).groupBy("event_type", "admitted").agg(F.count("*").alias("n"))
+
+
 def job_admit(spark, d):
     """Jobs started per event type taken as a host: at most 3 running and 5 an hour per client, on a clock twenty times as fast; a job takes a minute per unit of value."""
     e = _events(spark, d).select("event_type", "user_id", "event_id", F.timestamp_micros(F.floor(limits.micros("ts") / 20)).alias("ts"), (F.col("n") * 60_000_000).alias("took"))
@@ -105,7 +112,7 @@ def job_listing(spark, d):
     return table(spark, d, "events").withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("user_id", "rank", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (sliding_usage, sliding_usage_total, capacity_wait, rate_admit, job_admit, dispatch, session_debounce, status_changes, daily_reset, cooldown_asof, cooldown_matrix, pool_cascade, ttl_filter, event_summary, job_listing)}
+QUERIES = {f.__name__: f for f in (sliding_usage, sliding_usage_total, capacity_wait, rate_admit, rate_recorded, job_admit, dispatch, session_debounce, status_changes, daily_reset, cooldown_asof, cooldown_matrix, pool_cascade, ttl_filter, event_summary, job_listing)}
 
 _E = "WITH e AS (SELECT *, CAST(floor(value) AS BIGINT) AS n, epoch_us(ts) AS us, epoch_us(ts) // 100 AS fast FROM events)"
 _COOL = _E + ", c AS (SELECT user_id, us AS start_us, us + least(n, 24) * 3600000000 AS until_us FROM e WHERE event_type = 'error')"
@@ -137,6 +144,14 @@ r AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ends, '
   SELECT k, i, CASE WHEN o = 'started' THEN list_append(live, us + took) ELSE live END, o FROM (SELECT *, CASE WHEN nth > 5 THEN 'rate' WHEN len(live) >= 3 THEN 'busy' ELSE 'started' END AS o
     FROM (SELECT e.k, e.i, e.us, e.took, e.nth, list_filter(r.ends, lambda x: x > e.us) AS live FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1)))
 SELECT k AS event_type, outcome, count(*) AS n FROM r WHERE i > 0 GROUP BY k, outcome""",
+    "rate_recorded": """WITH RECURSIVE e AS (SELECT event_type AS k, epoch_us(ts) // 100 AS us, CAST(floor(value) AS BIGINT) AS n, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 100, event_id) AS i FROM events),
+r AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS reqs, CAST([] AS STRUCT(t BIGINT, n BIGINT)[]) AS reps, CAST(-1 AS BIGINT) AS day, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS spent, false AS ok, false AS asked FROM e
+  UNION ALL
+  SELECT k, i, CASE WHEN good THEN list_append(q, us) ELSE q END, CASE WHEN asks THEN p ELSE list_append(p, struct_pack(t := us, n := n)) END, today, used0 + CAST(good AS INT), spent0 + CASE WHEN asks THEN 0 ELSE n END, good, asks
+  FROM (SELECT *, asks AND used0 < 900 AND spent0 < 9000 AND len(q) < 5 AND NOT (len(p) > 0 AND list_sum(list_transform(p, lambda x: x.n)) + n >= 60) AS good
+    FROM (SELECT e.k, e.i, e.us, e.n, e.n % 2 = 0 AS asks, list_filter(r.reqs, lambda x: x > e.us - 60000000) AS q, list_filter(r.reps, lambda x: x.t > e.us - 60000000) AS p, e.us // 86400000000 AS today,
+        CASE WHEN r.day = e.us // 86400000000 THEN r.used ELSE 0 END AS used0, CASE WHEN r.day = e.us // 86400000000 THEN r.spent ELSE 0 END AS spent0 FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1)))
+SELECT k AS event_type, ok AS admitted, count(*) AS n FROM r WHERE asked GROUP BY k, ok""",
     "dispatch": """WITH RECURSIVE e AS (SELECT event_type AS k, epoch_us(ts) // 100 AS us, CAST(floor(value) AS BIGINT) * 1000000 AS took, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 100, event_id) AS i FROM events),
 r AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT), 0, 0, 0] AS free, CAST([] AS BIGINT[]) AS starts, CAST(0 AS BIGINT) AS us, CAST(0 AS BIGINT) AS began, CAST(0 AS BIGINT) AS fin FROM e
   UNION ALL

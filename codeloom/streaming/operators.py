@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import StructType
 
-from codeloom.operators.limits import MINUTE
+from codeloom.operators.limits import MINUTE, Gate
 
 WATERMARK = "10 minutes"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -80,6 +80,41 @@ def admission(events: DataFrame, key: str, ts: str = "ts", amount: str = "n", rp
     return src.groupBy("key").transformWithStateInPandas(Admission(rpm, tpm, rpd), f"key {kind}, event_id long, admitted boolean", "Append", "None")
 
 
+class Recorded(StatefulProcessor):
+    """The streaming form of ``limits.recorded_admission``: the state is the last minute's requests and reports and the day's counts of the key."""
+
+    def __init__(self, rpm: int, tpm: int, rpd: int, tpd: int):
+        self.caps = (rpm, tpm, rpd, tpd)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.requests = handle.getListState("requests", "us long")
+        self.reports = handle.getListState("reports", "us long, n long")
+        self.day = handle.getValueState("day", "day long, requests int, tokens long")
+
+    def handleInputRows(self, key, rows, timer_values):
+        day = self.day.get() if self.day.exists() else (None, 0, 0)
+        gate = Gate(*self.caps, [r[0] for r in self.requests.get()] if self.requests.exists() else (), [(r[0], r[1]) for r in self.reports.get()] if self.reports.exists() else (), *day)
+        batch = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
+        got = [(i, gate.take(t, k, n)) for i, t, k, n in zip(batch["event_id"].tolist(), batch["us"].tolist(), batch["kind"].tolist(), batch["n"].tolist())]
+        for state, held in ((self.requests, [(t,) for t in gate.requests]), (self.reports, list(gate.reports))):
+            if held:
+                state.put(held)
+            else:
+                state.clear()
+        self.day.update((gate.today, gate.day_requests, gate.day_tokens))
+        got = [x for x in got if x[1] is not None]
+        yield pd.DataFrame({"key": [key[0]] * len(got), "event_id": [x[0] for x in got], "admitted": [x[1] for x in got]})
+
+    def close(self) -> None:
+        pass
+
+
+def recorded(events: DataFrame, key: str, ts: str = "ts", kind: str = "kind", amount: str = "n", rpm: int = 5, tpm: int = 60, rpd: int = 900, tpd: int = 9000) -> DataFrame:
+    """(key, event_id, admitted) of the requests of a stream that also brings the tokens calls have used."""
+    src = events.select(F.col(key).alias("key"), F.col("event_id").cast("long"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(kind).alias("kind"), F.col(amount).cast("long").alias("n")).where("us is not null and n is not null")
+    return src.groupBy("key").transformWithStateInPandas(Recorded(rpm, tpm, rpd, tpd), f"key {dict(src.dtypes)['key']}, event_id long, admitted boolean", "Append", "None")
+
+
 class Changes(StatefulProcessor):
     """Emit a row when a key's status differs from its last one (A, B, A gives three rows); nothing after a terminal status."""
 

@@ -82,3 +82,26 @@ def test_exclusive_runs(spark, tmp_path):
     call = ST.exclusive(lambda df, i: (seen.append(i), call(df, 99)), str(tmp_path / "busy"))
     call(spark.range(1), 1)
     assert seen == [1] and not (tmp_path / "busy").exists()
+
+
+def test_stream_of_requests_and_reports_equals_batch(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    data, t = [[], []], 0
+    for i in range(80):
+        t += r.randrange(0, 14)
+        data[i >= 40].append(ev(i, t, r.randrange(1, 30), s=r.choice(["request", "request", "report"]), k=r.choice("kx")))
+    s = stream_of(spark, str(tmp_path / "in"), data, E)
+    got = rows(ST.run_once(ST.recorded(s, "key", kind="status", rpm=3, tpm=60, rpd=25, tpd=400), str(tmp_path / "ck"), "rec"), "key", "event_id", "admitted")
+    batch = limits.recorded_admission(spark.createDataFrame(sum(data, []), E), "key", "ts", "status", "n", "event_id", 3, 60, 25, 400)
+    assert got == rows(batch, "key", "event_id", "admitted") and {g[2] for g in got} == {True, False}
+    gate = limits.Gate(2, 50, 10, 10**6)
+    assert [gate.take(0, "request", 99), gate.take(1, "report", 40), gate.take(2, "request", 9), gate.take(3, "request", 1), gate.take(61_000_000, "request", 49)] == [True, None, True, False, True]
+
+
+def test_stream_daily_usage(spark, tmp_path):
+    day = 86_400
+    s = stream_of(spark, str(tmp_path / "in"), [[ev(0, 10, 5), ev(1, 20, 7)], [ev(2, day + 5, 1)], [ev(3, 3 * day, 1)]], E)
+    got = rows(ST.run_once(ST.daily_usage(s, "key"), str(tmp_path / "ck"), "daily"), "requests", "amount")
+    assert got == [(1, 1), (2, 12)]  # the third day is still open
