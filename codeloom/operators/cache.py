@@ -6,6 +6,7 @@ old one and moves the pointer last, so readers see the old or the new version wh
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,5 +53,16 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(spark.read.text(f"{path}/current").first()[0])
 
 
+def of_url(base: str, url: str) -> str:
+    """The folder of a repository's own cache, by a digest of its address."""
+    return f"{base.rstrip('/')}/{hashlib.sha256(url.encode()).hexdigest()[:16]}"
+
+
+def load_or(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A cache as it was saved, or an empty one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    return load(spark, path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else spark.createDataFrame([], schema)
+
+
 def expired(jobs: DataFrame, now: F.Column, hours: int = 48, created: str = "created_at") -> DataFrame:
     return jobs.where(F.col(created) < now - F.expr(f"INTERVAL {int(hours)} HOURS"))

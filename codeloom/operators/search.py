@@ -51,6 +51,16 @@ def embed(df: DataFrame, text: str, embedder: Embedder = hashed_words, batch: in
     return df.mapInPandas(run, schema)
 
 
+def save_index(documents: DataFrame, path: str) -> None:
+    """Keep embedded documents as a table."""
+    documents.write.mode("overwrite").parquet(path)
+
+
+def index_exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def semantic_search(documents: DataFrame, query: str, embedder: Embedder = hashed_words, k: int = 8, id_col: str = "id") -> DataFrame:
     """The k documents nearest to a query text; with no documents the result is empty."""
     return top_k(documents, embedder([query])[0], k, id_col=id_col)

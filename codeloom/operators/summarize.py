@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import scoring as S
-from codeloom.functions.text import strip_fences, strip_think
-from codeloom.operators.batching import chunks
+from codeloom.functions.paths import suffix
+from codeloom.functions.text import marked_blocks, strip_fences, strip_think
+from codeloom.operators.batching import chunks, greedy_batches
 
 Model = Callable[[str], str]
 #: Quality below this is asked once more; batch sizes; length and coverage thresholds.
@@ -121,6 +122,33 @@ def refactor(files: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return got.select(*keep, F.when(ok, new).otherwise(F.col("content")).alias("content"), ok.alias("changed"))
 
 
+def refactor_ways(files: DataFrame, batch_tokens: int = 2000) -> DataFrame:
+    """Files (path, content, functions, tokens) with the way to rewrite each: only its ``header`` (well documented), in a ``batch``, or ``alone`` (too large for one)."""
+    good = well_documented(suffix(F.col("path")), F.col("content"), F.col("functions"))
+    return files.withColumn("way", F.when(good, "header").when(F.col("tokens") <= batch_tokens, "batch").otherwise("alone"))
+
+
+def batch_prompts(files: DataFrame, group: list[str], batch_tokens: int = 2000) -> DataFrame:
+    """(group, batch, prompt): up to six small files a prompt, each between markers."""
+    part = F.concat(F.lit("[FILE: "), F.col("path"), F.lit("]\n"), F.col("content"), F.lit("\n[END]"))
+    rows = greedy_batches(files.select(*group, "path", "tokens", part.alias("part")), batch_tokens, group, ["path"])
+    one = rows.groupBy(*group, "batch").agg(F.sort_array(F.collect_list(F.struct("path", "part"))).alias("parts"))  # at most six
+    return one.select(*group, "batch", F.concat(F.lit("Improve these files:\n"), F.array_join(F.transform("parts", lambda p: p["part"]), "\n")).alias("prompt"))
+
+
+def refactor_fast(files: DataFrame, model: Model, group: list[str], batch_tokens: int = 2000) -> DataFrame:
+    """(group, path, content, changed, way): rewriting with few calls; what a batch's answer lacks or spoils stays as it was."""
+    f = refactor_ways(files, batch_tokens)
+    key = [*group, "path"]
+    ask = F.when(F.col("way") == "header", F.lit("Update only the header of this file:\n")).otherwise(F.lit("Improve this file:\n"))
+    single = call(f.where("way <> 'batch'").withColumn("prompt", F.concat(ask, "content")), model, key).select(*key, strip_fences(F.col("answer")).alias("new"))
+    answers = call(batch_prompts(f.where("way = 'batch'"), group, batch_tokens), model, [*group, "batch"])
+    blocks = answers.select(*group, F.explode(marked_blocks(F.col("answer"))).alias("b")).select(*group, F.col("b.name").alias("path"), strip_fences(F.col("b.body")).alias("new"))
+    new = single.unionByName(blocks).groupBy(*key).agg(F.max("new").alias("new"))
+    ok = accept(F.col("content"), F.col("new"))
+    return f.join(new, key, "left").select(*key, F.when(ok, F.col("new")).otherwise(F.col("content")).alias("content"), ok.alias("changed"), "way")
+
+
 def scaffold_prompts(gaps: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
     """(key..., prompt): one prompt per existing file with untested functions."""
     per = gaps.where("status = 'gap'").groupBy(*key).agg(F.sort_array(F.collect_list("fn")).alias("fns"))

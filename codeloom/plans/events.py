@@ -106,13 +106,19 @@ def event_summary(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
+def job_counts(spark, d):
+    """Jobs and running jobs per user; clicks stand for running ones."""
+    s = table(spark, d, "events").withColumn("status", F.when(F.col("event_type") == "click", "running").otherwise("done"))
+    return s.groupBy("user_id").agg(F.count("*").alias("jobs"), F.count_if(F.col("status") == "running").alias("running"))
+
+
 def job_listing(spark, d):
     """The ten latest events of each user, newest first."""
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
     return table(spark, d, "events").withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("user_id", "rank", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (sliding_usage, sliding_usage_total, capacity_wait, rate_admit, rate_recorded, job_admit, dispatch, session_debounce, status_changes, daily_reset, cooldown_asof, cooldown_matrix, pool_cascade, ttl_filter, event_summary, job_listing)}
+QUERIES = {f.__name__: f for f in (sliding_usage, sliding_usage_total, capacity_wait, rate_admit, rate_recorded, job_admit, dispatch, session_debounce, status_changes, daily_reset, cooldown_asof, cooldown_matrix, pool_cascade, ttl_filter, event_summary, job_counts, job_listing)}
 
 _E = "WITH e AS (SELECT *, CAST(floor(value) AS BIGINT) AS n, epoch_us(ts) AS us, epoch_us(ts) // 100 AS fast FROM events)"
 _COOL = _E + ", c AS (SELECT user_id, us AS start_us, us + least(n, 24) * 3600000000 AS until_us FROM e WHERE event_type = 'error')"
@@ -136,6 +142,7 @@ r AS (SELECT p, i, pool_pos, provider, model, row_number() OVER (PARTITION BY p,
 SELECT p AS "primary", row_number() OVER (PARTITION BY p ORDER BY i, pool_pos) - 1 AS pos, provider, model FROM r WHERE k = 1""",
     "ttl_filter": "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-08'",
     "event_summary": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, min(ts) AS \"first\", max(ts) AS \"last\" FROM events GROUP BY event_type",
+    "job_counts": "SELECT user_id, count(*) AS jobs, count(*) FILTER (WHERE event_type = 'click') AS running FROM events GROUP BY user_id",
     "job_listing": "SELECT user_id, rank, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank <= 10",
     "job_admit": """WITH RECURSIVE e AS (SELECT event_type AS k, epoch_us(ts) // 20 AS us, CAST(floor(value) AS BIGINT) * 60000000 AS took, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 20, event_id) AS i,
   row_number() OVER (PARTITION BY event_type, user_id, (epoch_us(ts) // 20) // 3600000000 ORDER BY epoch_us(ts) // 20, event_id) AS nth FROM events),

@@ -388,6 +388,13 @@ def refactor_split(spark, d):
     return n.groupBy("repo").agg(F.count_if(ok).alias("left"), F.count_if(~ok & F.col("tokens").between(1, 5500)).alias("to_rewrite"))
 
 
+def refactor_prompts(spark, d):
+    """Batch prompts of the files that are rewritten in batches, per repository."""
+    n = clean_nodes(table(spark, d, "nodes")).drop("tokens").join(_modules(spark, d).select("repo", "path", "content", "tokens"), ["repo", "path"])
+    ways = summarize.refactor_ways(n.where("tokens between 1 and 5500"))
+    return summarize.batch_prompts(ways.where("way = 'batch'"), ["repo"]).select("repo", "batch", F.length("prompt").alias("chars"))
+
+
 def audit_prompts(spark, d):
     p = security.audit_prompts(_texts(spark, d))
     return p.select("repo", "batch", "files", F.sha2("prompt", 256).alias("prompt_hash"))
@@ -447,5 +454,5 @@ QUERIES = {f.__name__: f for f in (
     scan_filter, code_files, token_totals, content_hash_dedup, cache_lookup, cache_upsert, cache_latest, path_roles, file_tier, refactor_eligible, refactor_batches, chunk_batches, merge_refactored, symbol_refs,
     dead_symbols, dead_totals, coverage_gap, coverage_pct, parse_structure, coverage_with_calls, python_imports, context_projection, context_score, context_budget, context_ranked, tokens_share, vector_topk, vector_topk_batch,
     token_counts, semantic_search, embed_documents, answer_quality, think_strip, fence_strip, marker_blocks, md_line_class, url_parse, url_redact, chain_parse, provider_of, severity_lines, node_substring, repo_json, dead_report, gap_report, analysis_prompts, repo_snapshot,
-    complexity_heatmap, import_resolve, import_graph, parsed_import_links, dead_symbols_parsed, file_analyses, repo_synthesis, well_documented, refactor_split, audit_prompts, change_scopes, model_budgets, module_extensions, node_positions, labels, scaffold_prompts, executive_report, tail_lines)}
+    complexity_heatmap, import_resolve, import_graph, parsed_import_links, dead_symbols_parsed, file_analyses, repo_synthesis, well_documented, refactor_split, refactor_prompts, audit_prompts, change_scopes, model_budgets, module_extensions, node_positions, labels, scaffold_prompts, executive_report, tail_lines)}
 ORACLES = files_sql.ORACLES

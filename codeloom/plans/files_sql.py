@@ -145,6 +145,12 @@ k AS (SELECT *, row_number() OVER (ORDER BY source, position, target) AS o FROM
 SELECT arg_min(source, o) AS source, arg_min(target, o) AS target, count(*) > 1 AS seen_again FROM k GROUP BY least(source, target), greatest(source, target)""",
     "well_documented": _M + _N + _DOCUMENTED + "SELECT id, documented FROM w",
     "refactor_split": _M + _N + _DOCUMENTED + "SELECT repo, count(*) FILTER (WHERE documented) AS \"left\", count(*) FILTER (WHERE NOT documented AND size BETWEEN 1 AND 5500) AS to_rewrite FROM w GROUP BY repo",
+    "refactor_prompts": (_M + _N + _DOCUMENTED).replace("WITH m", "WITH RECURSIVE m", 1) + """, o AS (SELECT m.repo, m.path, m.tokens, length(m.content) AS c, row_number() OVER (PARTITION BY m.repo ORDER BY m.path) AS i FROM w JOIN n ON n.id = w.id JOIN m ON m.repo = n.repo AND m.path = n.path
+  WHERE NOT documented AND m.tokens BETWEEN 1 AND 2000),
+r AS (SELECT repo, i, path, c, tokens AS used, 1 AS n, 0 AS batch FROM o WHERE i = 1
+  UNION ALL SELECT o.repo, o.i, o.path, o.c, CASE WHEN r.used + o.tokens > 2000 OR r.n >= 6 THEN o.tokens ELSE r.used + o.tokens END,
+    CASE WHEN r.used + o.tokens > 2000 OR r.n >= 6 THEN 1 ELSE r.n + 1 END, CASE WHEN r.used + o.tokens > 2000 OR r.n >= 6 THEN r.batch + 1 ELSE r.batch END FROM r JOIN o ON o.repo = r.repo AND o.i = r.i + 1)
+SELECT repo, batch, CAST(length('Improve these files:') + sum(1 + length('[FILE: ]') + length(path) + 1 + c + length('[END]') + 1) AS BIGINT) AS chars FROM r GROUP BY repo, batch""",
     "audit_prompts": _M + """, a AS (SELECT repo, path, '### ' || path || chr(10) || '```' || chr(10) || substr(content, 1, 3000) || chr(10) || '```' AS part, (row_number() OVER (PARTITION BY repo ORDER BY path) - 1) // 4 AS batch
   FROM m WHERE length(trim(content, ' ')) > 0 AND NOT (contains(path, 'test') OR contains(path, 'docs') OR contains(path, '_refactored') OR contains(path, 'tests_generated')))
 SELECT repo, batch, count(*) AS files, sha256(string_agg(part, chr(10) || chr(10) ORDER BY path)) AS prompt_hash FROM a GROUP BY 1, 2""",

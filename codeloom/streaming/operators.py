@@ -23,6 +23,11 @@ def events_stream(spark: SparkSession, path: str, schema: StructType, ts: str =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
 
 
+def change_stream(spark: SparkSession, folder: str, schema: str = "path string, kind string, ts timestamp", max_files: int = 100) -> DataFrame:
+    """The events that ``sources.watch`` writes, as a stream."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", "*.json").json(folder)
+
+
 def source_changes(events: DataFrame, path: str = "path") -> DataFrame:
     """Change events of source files outside generated folders."""
     return events.where(F.col(path).rlike(r"(?i)\.(py|js|ts|tsx|jsx|go|rs|java|rb)$") & ~F.col(path).rlike(r"(^|/)(docs|tests_generated)/"))

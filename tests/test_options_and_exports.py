@@ -129,3 +129,69 @@ def test_callbacks_of_file_events(spark, tmp_path):
     told = []
     ST.Progress(lambda b, n: told.append((b, n))).onQueryProgress(type("E", (), {"progress": type("P", (), {"batchId": 4, "numInputRows": 7})}))
     assert told == [(4, 7)]
+
+
+def test_fast_rewriting(spark):
+    from codeloom.operators import summarize as S
+
+    doc = '"""Doc."""\n\n\ndef f():\n    """Doc."""\n    return 1\n'
+    data = [("r", "a.py", "x = 1\n" * 3, [], 5), ("r", "b.py", "y = 2\n" * 3, [], 5), ("r", "c.py", doc, ["f"], 14), ("r", "d.py", "z = 3\n" * 900, [], 1350), ("r", "e.py", "lost = 1\n", [], 3)]
+    df = spark.createDataFrame(data, "repo string, path string, content string, functions array<string>, tokens int")
+
+    def model(prompt):
+        head, body = prompt.split("\n", 1)
+        if "[FILE:" in prompt:
+            import re
+
+            got = re.findall(r"\[FILE: ([^\]]+)\]\n(.*?)\n\[END\]", prompt, re.S)
+            return "noise\n" + "\n".join(f"[FILE: {p}]\n```python\n# better\n{t}\n```\n[END]" for p, t in got if p != "e.py")
+        return ("# header\n" if "header" in head else "# alone\n") + body
+
+    got = {r["path"]: r for r in S.refactor_fast(df, model, ["repo"], batch_tokens=100).collect()}
+    assert {p: (r["way"], r["changed"]) for p, r in got.items()} == {"a.py": ("batch", True), "b.py": ("batch", True), "c.py": ("header", True), "d.py": ("alone", True), "e.py": ("batch", False)}
+    assert got["a.py"]["content"].startswith("# better\nx = 1") and got["c.py"]["content"].startswith("# header\n") and got["e.py"]["content"] == "lost = 1\n"
+
+
+def test_caches_of_addresses_and_indexes(spark, tmp_path):
+    from codeloom.operators import cache
+
+    a, b = cache.of_url(str(tmp_path), "https://x/a"), cache.of_url(str(tmp_path) + "/", "https://x/b")
+    assert a != b and a == cache.of_url(str(tmp_path), "https://x/a")
+    schema = "file_path string, content_hash string, analysis string"
+    assert cache.load_or(spark, a, schema).count() == 0
+    cache.save(spark.createDataFrame([("p", "h", "t")], schema), a)
+    assert rows(cache.load_or(spark, a, schema)) == [("p", "h", "t")] and cache.load_or(spark, b, schema).count() == 0
+    path = str(tmp_path / "index")
+    assert not search.index_exists(spark, path)
+    search.save_index(search.embed(spark.createDataFrame([(1, "abc")], "id int, text string"), "text"), path)
+    assert search.index_exists(spark, path) and search.semantic_search(spark.read.parquet(path), "abc").first()["id"] == 1
+
+
+def test_watching_a_tree(spark, tmp_path):
+    import os
+    import threading
+
+    from codeloom.sources import watch as W
+
+    root, events = tmp_path / "tree", str(tmp_path / "events")
+    (root / "src").mkdir(parents=True)
+    (root / "src/a.py").write_text("1")
+    (root / "src/b.py").write_text("1")
+    before = W.look(str(root))
+    (root / "src/a.py").write_text("12")
+    (root / "c.md").write_text("x")
+    os.remove(root / "src/b.py")
+    (root / ".git").mkdir()
+    (root / ".git/x").write_text("x")
+    got = W.differences(before, W.look(str(root)))
+    assert got == [("c.md", "created"), ("src/a.py", "modified"), ("src/b.py", "deleted")]
+    W.write_events(got, events, 1_700_000_000.25)
+    assert W.write_events([], events, 0) is None
+    left = [2]
+    t = threading.Thread(target=W.watch, args=(str(root), events, lambda: left.__setitem__(0, left[0] - 1) or left[0] >= 0, 0.2))
+    t.start()
+    __import__("time").sleep(0.05)
+    (root / "new.rs").write_text("x")
+    t.join()
+    seen = ST.run_once(ST.source_changes(ST.change_stream(spark, events)), str(tmp_path / "ck"), "watched")
+    assert rows(seen, "path", "kind") == [("new.rs", "created"), ("src/a.py", "modified"), ("src/b.py", "deleted")]
