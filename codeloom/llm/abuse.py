@@ -193,6 +193,9 @@ _STRETCH = re.compile(r"(.)\1\1+")
 def match_word(word: str) -> tuple[str, str | None, bool] | None:
     """(lexicon word, its class, whether misspelled without a disguise), seeing through disguises, or None."""
     w = word.lower().strip("'`_-.!*") if "*" not in word.strip("*") else word.lower().strip("'`_-.!")
+    if re.fullmatch(r"[a-zA-Z]{1,3}\*{3}", word):  # masked to its end
+        got = TRIE.near(word.lower(), 0)
+        return (got[0], TERMS[got[0]], False) if got and got[0] in TERMS else None
     if w in WORDS:
         return w, WORDS[w], False
     if len(w) < 3 or len(w) > 40 and len(_STRETCH.sub(r"\1\1", w)) > 40 or w in ORDINARY:

@@ -29,7 +29,8 @@ CLASSES = {
     "body": "fingers|legs|neck|arms|bones|face|jaw|kneecaps|skull|nose|teeth|head",
     "group": "women|men|girls|gays|lesbians|immigrants|migrants|refugees|foreigners|muslims|jews|christians|hindus|blacks|asians|africans|mexicans|arabs|gypsies|homosexuals|cripples|transgenders|"
              "gay+people|trans+people|transgender+people|disabled+people|old+people|poor+people|fat+people|black+people|white+people|jewish+people|muslim+people|brown+people|"
-             "those+people|believers+of+that+faith|people+of+that+faith|people+of+that+race|people+of+that+religion|people+of+that+kind|people+like+that|"
+             "those+people|people+like+that|"
+             + "".join(f"{who}+of+{which}+{what}|" for who in ("people", "believers", "followers", "members") for which in ("that", "this", "their") for what in ("faith", "race", "religion", "kind", "sort", "origin", "color", "colour")) +
              "ausländer|flüchtlinge|frauen|juden|muslime|schwule|behinderte|extranjeros|inmigrantes|mujeres|refugiados|étrangers|immigrés|femmes|réfugiés",
     "degraded": "subhuman|vermin|parasite|parasites|animals|terrorists|rapists|thieves|scum|trash|garbage|filth|disease|plague|rats|cockroaches|inferior|lazy|stupid|dumb|criminals|apes|monkeys|savages|untermenschen|ungeziefer|parasiten|dreck|parásitos|basura|escoria|vermine",
     "dirt": "shit|sh1t|crap|garbage|trash|dirt|filth|dung|scum",
@@ -44,9 +45,9 @@ SEQUENCES = {
         kill|hang|off yourself|urself
         kill your self
         kys
-        go|just|please and? die|hang+yourself
-        drop dead
-        die already
+        go and? die|hang+yourself
+        just|please die already|in|slowly|<end>
+        drop dead <end>
         jump off|from ~1 bridge|roof|building|cliff|balcony
         nobody|no+one ~1 miss you|u
         better off dead
@@ -62,47 +63,47 @@ SEQUENCES = {
         crève
     """,
     "threat": """
-        i|we will|ll|gonna|would|should find|hurt|kill|beat|stab|shoot|strangle|murder|rape|destroy <you>
-        i|we am|m|are|re going to find|hurt|kill|beat|stab|shoot|strangle|murder|rape|destroy <you>
-        going to ~6 hurt|kill|beat|stab|shoot|strangle|murder|rape you
+        i|we will|ll|gonna|would|should hurt|kill|stab|shoot|strangle|murder|rape|destroy <you>
+        i|we am|m|are|re going to ~6 hurt|kill|stab|shoot|strangle|murder|rape|destroy <you>
+        i|we will|ll|gonna find|beat you and|up|senseless|<end>
+        i|we am|m|are|re going to find|beat you and|up|senseless|<end>
         break|smash|crack your <body>
-        you|u|they|he|she|people ~3 should be shot|hanged|killed|stabbed|beaten|raped|sterilized|executed
+        you|u|he|she|people ~3 should be shot|hanged|stabbed|beaten|raped|sterilized
         you|u|they|he|she|people deserve|deserves to ~1 die|suffer|rot|burn|bleed
         you|u|they|he|she|people deserve|deserves to be shot|hanged|killed|stabbed|beaten|raped
-        know where you|u live|sleep|work
-        make you|u pay|suffer|bleed|regret
+        i|we know where you|u live|sleep|work
+        i|we will|ll|gonna|shall make you|u pay|suffer|bleed|regret
         hope|wish that? you|u ~1 die|rot|choke|burn|bleed|suffer|drown|starve
         hope|wish that? your family|kids|children|mother|father|parents ~1 die|dies|burn|burns|suffer|suffers
         hope|wish that? you|u get ~1 cancer|killed|shot|stabbed|raped|hit|beaten|run+over
         rot|burn in hell
         go to hell
-        watch your back
+        watch your back <end>
         bring ich dich um
         voy a matarte
         je vais te tuer
         va a morire
     """,
     "contempt": """
-        fuck|f <you>|off|yourself
+        fuck <you>|off|yourself
         stfu
         shut the fuck|hell up
         eat shit
         suck it <end>
-        delete your account
         pathetic|sorry|poor excuse of|for a ~1 human|person|man|woman|developer|engineer|programmer
         que te jodan
         nique ta mère
         ta mère la pute
         leck mich am arsch
-        piece|sack|bag|pile of <dirt> <end>
         you|u ~4 piece|sack|bag|pile of <dirt>
         you|u are|re ~2 scum|trash|garbage|vermin|filth|dirt
         <degraded> ~1 and so are you|u
         <dirt> and so are you|u
         you|u|your ~2 brain damaged|dead
-        waste of air|oxygen|space|skin
+        you|u|he|she ~4 waste of air|oxygen|space|skin
+        waste of oxygen|skin
         get|stay|keep out of our|my|this project|repo|repository|country|team|company|community
-        nobody|no+one wants|likes you|u
+        nobody|no+one wants|likes you|u here|around|<end>
         world|place|team|project|everyone|everybody would|will be better ~1 without <you>
         halt|haltet ~2 fresse|klappe|maul|schnauze
         verpiss|verpisst dich|euch
@@ -128,19 +129,19 @@ SEQUENCES = {
         not|don't|dont|never want|need|hire <group>
         no <group> allowed
         <group> should|must never|not ~1 allowed|write|vote|code|work|hired
-        typical <group>
+        typical <group> ~2 lazy|stupid|dumb|worthless|useless|pathetic|brainless|braindead|filthy|disgusting|criminal|criminals|thieves|garbage|trash
         you|we|they let <group> <act>
         written|made|done|broken|touched by one? of? these|those|some <group>
-        send them|<group> all? back
-        get rid of ~4 them|<group>
-        deport|exterminate|gas|eradicate|lynch|kill|shoot|burn ~2 <group>
+        send <group> all? back
+        send them all? back to where|their
+        get rid of ~4 <group>
+        deport|exterminate|gas|eradicate|lynch|kill ~2 <group>
         deport|exterminate|gas|eradicate|lynch them
         hate ~1 <group>
-        all <group> must die|go|leave
+        all <group> must die|leave
         <group> ~4 ruin|destroy every|our|the|all
-        wonder|surprise <group>
         world|place|country|team|project|everyone would|will be better ~1 without <group>
-        they|these are vermin|subhuman|parasites|animals|cockroaches
+        they|these are ~1 vermin|subhuman|parasites|cockroaches
         ausländer raus
         gaskammer
     """,
@@ -166,10 +167,13 @@ SEQUENCES = {
 
 # Ordinary words within one edit of a term; they are never misspellings.
 ORDINARY = set(
-    "closer lower looser laser lover poser loner losers loses lose named baked naked node nodes rude mode dude nude moran close clone crown crows brown clowns idiom idioms stupor studio "
-    "port born pore pork corn torn worn horn horns thorny corny morn dump dumps numb thumb useful unless count hunt cut cult cant cent runt punt aunt batch pitch switch ditch witch patch botch birch "
-    "trick brick price pride prickly pack park pact paid that what swat twist hook look book cook took good goof like bike hike pike mike kite kick spin spit spec spice pic epic think chunk chunks chick clink china chin "
-    "mild milk mill mile file put pita puts data pasta past spat shot ship shut suit shirt sheet hit sit fit seit shift luck duck buck tuck puck stuck truck carp clap trap wrap crop cramp "
-    "retarget restart address undergo tommy granny tranche dill degenerated tanker banker wander wonder ranker basted custard mustard trotted subnormals debit mobile porous".split())
+    "aunt baked banker batch bigger bike birch blown book born botch brick buck cant carbon carp cent chap chick chin china chore chunk clap clink closer "
+    "clowns cont cook corn corny count crab cram cramp craw creed creek creepy crop crown cult cust deficient degenerated dill duck dude dudes dump dumper "
+    "epic file fit flown funk good goof granny hike hitch hook horn horns hunt idiom itch kite laser loner looser lose losers loses lover lower luck lumber "
+    "mike mild mile milk mill mode moon moran morn named node nodes numb number pack past patch pauta pick pike pita pitch pore pork port poser price puck "
+    "puma punt punta pura put puts ranker redo regard regarded regenerate reward rewarded rude runt sank seit setback shank shift shin ship shirt shore "
+    "slat slope slot slug slum slur smut spank spat spec spice spicy spin spit stank stuck subnormals sucked sucking suit swat tanker think thorny took "
+    "torn trap trick trotted tuck tucked tyranny wander what whole whose witch wore worn wrap "
+    "pero pelo peso puedo soit sait trois curt salut ligger pani cree frick ".split())
 # Function words; a sentence is looked at for a sequence only if it holds another of its words.
 COMMON = set("a am an and are at be by d do for from get go going got have i in into is it just let ll m made make me must my need no not of off on one or our out re run s send should so some such t take that the them they this those these to too u up us want was we who will with would you your ur near work".split())

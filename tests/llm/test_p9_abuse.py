@@ -117,10 +117,12 @@ def test_misspelled_terms_are_found_at_every_length():
 
 OTHERS = ["You absolute waste of space.", "I'm going to come to your house and hurt you.", "People like you should be shot.", "Nobody would miss you.", "She's a dumb whore.", "All Muslims are terrorists.", "You're such a pathetic creature.", "kill all the jews", "Shut the fuck up.",
           "eat shit, all of you", "You are dumber than a rock.", "Du dreckige Schlampe", "Nique ta mère", "she offered me a blow job", "just jump off a bridge", "you deserve to die slowly", "I hope your family dies", "What an utter imbecile wrote this?", "You are braindead", "get out of our country, foreigner scum", "you filthy degenerate",
-          "I will find you and kill you.", "go burn in hell, pedo", "I hate all immigrants", "the world would be better without you", "you wrothless idito", "stfu, clown", "Women are inferior", "this guy is a total jackass", "suck my balls"]
+          "I will find you and kill you.", "go burn in hell, pedo", "I hate all immigrants", "the world would be better without you", "you wrothless idito", "stfu, clown", "Women are inferior", "this guy is a total jackass", "suck my balls", "I will make you suffer", "we know where you sleep", "followers of this religion are vermin", "Typical migrants, lazy as ever"]
 OTHERS_FINE = ["This kills the process and shoots down the daemon.", "kill the child and then abort its parent", "The garbage collector is dumb but useful here.", "Stupid question: why does this hang?", "I hate this stupid bug.", "the parser chokes and dies on long lines", "Are you using dumb mode?", "The sex column of the adult dataset is a string.", "hang on, I will find it for you",
                "The worker must die before the master starts.", "Women and men are counted in separate columns.", "Immigrants table: rename the key.", "you should break your function into two", "I know where you live-edit the config", "nobody wants the old format, drop it", "Your useless import can go.", "What a mess, this trashes the cache.", "Throw away people's old sessions.",
-               "It is a pity that the tests are so brainless to write.", "get out of the loop early", "make you a maintainer of the project", "We hit the memory limit, the node was run over by batches.", "burn the image to the disk", "that hole in the wall of tests", "The explicit video codec flag is free.", "Shoot me a message when it is up."]
+               "It is a pity that the tests are so brainless to write.", "get out of the loop early", "make you a maintainer of the project", "We hit the memory limit, the node was run over by batches.", "burn the image to the disk", "drop dead code from the build", "the workers just die when memory runs out", "Let me know where you work from.", "We validate the rows and send them all back.", "These helpers are unused, get rid of all of them.", "This padding is a waste of space.", "This module is a piece of shit.",
+               "Delete your account in the settings.", "I will find you a free slot.", "this is going to hurt you later", "I will beat you to it", "The statements should be executed in order, they should be killed after an hour.", "nobody wants you to rewrite it", "they make you pay extra for it", "watch your back pressure", "all women must go through the same form", "for f you need a value", "shoot women and men in natural light",
+               "No wonder people of that kind of project use it.", "typical old people's font sizes", "send the batch back to their queue", "that hole in the wall of tests", "The explicit video codec flag is free.", "Shoot me a message when it is up."]
 
 
 def test_sentences_of_no_table():
