@@ -253,7 +253,7 @@ def clean(text: str) -> str:
 
 
 _SPLIT = re.compile(r"(?<=[.!?…])[\s\"”)]+|\n+")
-_LINE_HEAD = re.compile(r"^\s*(?:[>*\-#|]+\s*)*(?:\[\d\d?:\d\d\]\s*)?(?:dev\d+:\s*|@?\w+:\s+)?(?:@\w+\s+)*(?:(?:lol|lmao|tbh|seriously|honestly|wow|ugh|btw|fyi|re:)[,. ]+)*", re.I)
+_LINE_HEAD = re.compile(r"^\s*(?:[>*\-#|]+\s*)*(?:\[\d\d?:\d\d\]\s*)?(?:@?\w+:\s+)?(?:@\w+\s+)*(?:(?:lol|lmao|tbh|seriously|honestly|wow|ugh|btw|fyi|re:)[,. ]+)*", re.I)
 _MODERATION = re.compile(r"(?i)\b(?:filter\w*|block ?list\w*|deny ?list\w*|word ?list\w*|moderat\w*|classif\w*|flag(?:s|ged)? (?:the )?(?:message|comment)s?|reject(?:s|ed)?|detect\w*|report(?:s|ed)? (?:messages|comments)|insults and|such as|"
                          r"(?:words|terms|messages|phrases|comments) like|test (?:case|data|fixture)s?|regex\w*|toxicity|dataset|censor\w*|removed|abuse policy|code of conduct)\b")
 _SELF = re.compile(r"(?i)\b(?:my own|i am|i'm|am i|i was|i feel|me,? the|myself|stupid of me|silly me|my (?:stupid|dumb|silly|idiotic))\b")

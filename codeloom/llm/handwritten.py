@@ -144,8 +144,8 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
 _COMMENT = re.compile(r"^\s*(?://+|#+|/\*+!?|\*+|--|;+|<!--|\"\"\"|'''|%)\s?(.*)$")
 _MARKER = re.compile(
     r"(?i)@generated\b|<auto-?generated\b|code generated .{0,60}do not edit|auto-?generated (?:file|by|from|code|on\b)|automatically (?:generated|created)|(?:this (?:file|code)|file) (?:is|was|has been) (?:auto|automatically |machine[- ])?-?(?:generated|created|written|produced)\b"
-    r"|^\W*(?:was )?generated (?:from|by|with|using|on|automatically)\b|do not (?:edit|modify|change)(?: this file)?(?: by hand| manually)|(?:edits?|changes?|modifications?) (?:is|are|will be|gets?) (?:overwritten|lost|discarded)|^written file \(|automatisch (?:erzeugt|generiert)|nicht von hand"
-    r"|(?:généré|généré) automatiquement|ne pas modifier|generado autom[aá]ticamente|no (?:editar|modificar)"
+    r"|^\W*(?:was )?generated (?:from|by|with|using|on|automatically)\b|do not (?:edit|modify|change)(?: this file)?(?: by hand| manually)|(?:edits?|changes?|modifications?) (?:is|are|will be|gets?) (?:overwritten|lost|discarded)|(?:machine|tool|computer|auto|robot)[- ]?(?:written|generated|created|made|produced) (?:file|code|source)|automatisch (?:erzeugt|generiert)|nicht von hand"
+    r"|généré automatiquement|ne pas modifier|generado autom[aá]ticamente|no (?:editar|modificar)"
 )
 # What a notice of origin or licence at the head of a third-party file speaks of.
 _NOTICE = re.compile(r"(?i)vendored|bundled copy|upstream|(?:copied|imported|adapted|taken|ported) (?:\w+ ){0,2}from|^[\w.@/-]+(?: -)? (?:version |v)?\d+\.\d+(?:\.\d+)?\b|permission is hereby granted|licen[sc]e|released under|copyright|\(c\)")
