@@ -231,6 +231,29 @@ FROM agg a JOIN n ON n.id = a.origin JOIN deg ON deg.id = a.origin""",
     "link_paths": _BASE + "SELECT s.path AS source_path, g.path AS target_path, bidirectional FROM l JOIN n s ON s.id = l.source JOIN n g ON g.id = l.target",
     "context_boost": _BASE + """SELECT n.id, CAST(n_functions AS DOUBLE) AS score, n_functions + coalesce(g, 0.0) AS boosted FROM n
 LEFT JOIN (SELECT dst, sum(n_functions * 0.25) AS g FROM e JOIN n ON n.id = e.src WHERE n_functions > 1 GROUP BY dst) x ON x.dst = n.id""",
+    "context_boost_ordered": _BASE + """, f AS (SELECT repo, id, n_functions, row_number() OVER (PARTITION BY repo ORDER BY id) AS i FROM n),
+o AS (SELECT a.repo, a.i, list(b.i) AS tos FROM l JOIN f a ON a.id = l.source JOIN f b ON b.id = l.target AND b.repo = a.repo GROUP BY 1, 2),
+g AS (SELECT repo, list(CAST(n_functions AS DOUBLE) ORDER BY i) AS now FROM f GROUP BY repo),
+r AS (SELECT repo, CAST(0 AS BIGINT) AS i, now FROM g UNION ALL
+  SELECT r.repo, r.i + 1, CASE WHEN r.now[r.i + 1] > 1 AND o.tos IS NOT NULL THEN list_transform(r.now, lambda x, j: x + CASE WHEN list_contains(o.tos, j) THEN r.now[r.i + 1] * 0.25 ELSE 0.0 END) ELSE r.now END
+  FROM r LEFT JOIN o ON o.repo = r.repo AND o.i = r.i + 1 WHERE r.i < len(r.now))
+SELECT f.repo, f.id, r.now[f.i] AS boosted FROM f JOIN r ON r.repo = f.repo AND r.i = len(r.now)""",
+    "cycle_count_dfs": _BASE + """, f AS (SELECT repo, id, path, row_number() OVER (PARTITION BY repo ORDER BY id) AS i FROM n),
+dir AS (SELECT l.source AS a, l.target AS b, l.source AS k1, l.target AS k2 FROM l UNION ALL SELECT l.target, l.source, l.source, l.target FROM l WHERE bidirectional),
+o AS (SELECT x.repo, x.i, list(y.i ORDER BY k1, k2) AS tos FROM dir JOIN f x ON x.id = dir.a JOIN f y ON y.id = dir.b GROUP BY 1, 2),
+g AS (SELECT f.repo, list(coalesce(o.tos, []) ORDER BY f.i) AS adj, list(path ORDER BY f.i) AS names, count(*) AS size FROM f LEFT JOIN o ON o.repo = f.repo AND o.i = f.i GROUP BY f.repo),
+r AS (SELECT repo, CAST(0 AS BIGINT) AS step, CAST(1 AS BIGINT) AS root, CAST([] AS BIGINT[]) AS path, CAST([] AS BIGINT[]) AS ptr, list_transform(range(size), lambda x: CAST(0 AS BIGINT)) AS color, CAST(0 AS BIGINT) AS found, CAST([] AS VARCHAR[]) AS shown FROM g
+  UNION ALL
+  SELECT repo, step + 1, root + CAST(len(path) = 0 AS INT),
+    CASE WHEN push > 0 THEN list_append(path, push) WHEN back THEN path[1:len(path) - 1] ELSE path END,
+    CASE WHEN len(path) = 0 THEN CASE WHEN push > 0 THEN [CAST(1 AS BIGINT)] ELSE [] END WHEN back THEN ptr[1:len(ptr) - 1]
+      ELSE list_concat(ptr[1:len(ptr) - 1], [ptr[len(ptr)] + 1], CASE WHEN push > 0 THEN [CAST(1 AS BIGINT)] ELSE [] END) END,
+    CASE WHEN push > 0 THEN list_concat(color[1:push - 1], [CAST(1 AS BIGINT)], color[push + 1:]) WHEN back THEN list_concat(color[1:v - 1], [CAST(2 AS BIGINT)], color[v + 1:]) ELSE color END,
+    found + CAST(closes AS INT),
+    CASE WHEN closes AND len(shown) < 3 THEN list_append(shown, array_to_string(list_transform(list_append(path[list_position(path, w):], w), lambda x: names[x]), ' → ')) ELSE shown END
+  FROM (SELECT *, coalesce(w IS NOT NULL AND color[w] = 1, false) AS closes, CASE WHEN len(path) = 0 THEN CASE WHEN color[root] = 0 THEN root ELSE 0 END WHEN w IS NOT NULL AND color[w] = 0 THEN w ELSE 0 END AS push, len(path) > 0 AND w IS NULL AS back
+    FROM (SELECT r.*, g.names, path[len(path)] AS v, CASE WHEN len(path) > 0 THEN g.adj[path[len(path)]][ptr[len(ptr)]] END AS w FROM r JOIN g USING (repo) WHERE len(path) > 0 OR root <= size)))
+SELECT repo, arg_max(found, step) AS circular_count, arg_max(shown, step) AS examples FROM r GROUP BY repo""",
     "fuzzy_match": _BASE + "SELECT id, path FROM n WHERE contains(path, 'token') ORDER BY path <> 'token', id LIMIT 1",
     "node_projection": _BASE + """SELECT id, path, string_split(path, '/')[-1] AS name, CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE 'root' END AS top,
   len(string_split(path, '/')) - 1 AS depth, tokens, complexity FROM n""",
