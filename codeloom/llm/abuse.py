@@ -11,7 +11,7 @@ Defined cases
     * null and empty text scores 0 and is never a case. Very long texts are scored sentence by sentence.
     * Names with underscores, and words of digits for more than two thirds, stand for no term.
     * Words of up to three letters must match exactly, others within one edit (a swap of neighbours is one), unless they are ordinary
-      words; of terms of four letters the first must stay, and words of expressions that are no terms need six letters. Words with digits, signs or stretched letters in them are taken as disguised: one
+      words; of terms of four letters the first must stay, and words of expressions that are no terms need eight letters. Words with digits, signs or stretched letters in them are taken as disguised: one
       edit from five letters, two from nine. Misspelled terms under six letters weigh in full only where they are aimed at somebody.
     * Repeated rows are scored each. Sources are folded in spelling for the rates; a null source is ``unknown``.
     * Empty tables give empty results; extra columns are ignored.
@@ -182,7 +182,8 @@ class Sequences:
 SEQ = Sequences(SEQUENCES, CLASSES, COMMON)
 WORDS = {**dict.fromkeys(SEQ.words), **TERMS}
 TRIE = Trie(WORDS)
-_FIXED = {w for w in WORDS if len(w) < 4 or w not in TERMS and len(w) < 6}  # words that must match exactly
+_FIXED = {w for w in WORDS if len(w) < 4 or w not in TERMS and len(w) < 8}  # words that must match exactly
+LOOSE = Trie(w for w in WORDS if w not in _FIXED)  # the part of the trie that edits may lead to
 
 _WORDISH = re.compile(r"[^\W_](?:[^\s,;:?\"“”()\[\]{}<>|/\\]*[^\s,;:?!.\"“”()\[\]{}<>|/\\'])?\*{0,3}")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_*]|\*)(?:[ .\-_][^\W_]){2,}(?![^\W_])")
@@ -206,10 +207,10 @@ def match_word(word: str) -> tuple[str, str | None, bool] | None:
     leet = re.search(r"[0134578@$]", w) is not None and re.search(r"[a-z]", w) is not None
     star = "*" in w
     if not (stretched or leet or star):
-        if len(w) < 4 or not w.isalpha() or not TRIE.possible(w):
+        if len(w) < 4 or not w.isalpha() or not LOOSE.possible(w):
             return None
-        got = TRIE.near(w, 1)
-        if got is None or got[0] in _FIXED or len(got[0]) == 4 and got[0][0] != w[0]:
+        got = LOOSE.near(w, 1)
+        if got is None or len(got[0]) == 4 and got[0][0] != w[0]:
             return None
         return got[0], WORDS[got[0]], True
     if "_" in w or 3 * sum(map(str.isdigit, w)) > 2 * len(w):  # names, and numbers with a letter or two
@@ -228,11 +229,9 @@ def match_word(word: str) -> tuple[str, str | None, bool] | None:
         if star and len(plain) < 2:
             continue
         most = 0 if star or counted else most
-        got = TRIE.near(f, most) if star or most != 1 or TRIE.possible(f) else None
+        got = TRIE.near(f, 0) if most == 0 else LOOSE.near(f, most) if most > 1 or LOOSE.possible(f) else None
         if got is None and f.endswith("s"):
             got = TRIE.near(f[:-1], 0)
-        if got and got[0] in _FIXED and got[1]:
-            got = None
         if got:
             return got[0], WORDS[got[0]], False
     return None

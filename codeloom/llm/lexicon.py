@@ -174,6 +174,7 @@ ORDINARY = set(
     "puma punt punta pura put puts ranker redo regard regarded regenerate reward rewarded rude runt sank seit setback shank shift shin ship shirt shore "
     "slat slope slot slug slum slur smut spank spat spec spice spicy spin spit stank stuck subnormals sucked sucking suit swat tanker think thorny took "
     "torn trap trick trotted tuck tucked tyranny wander what whole whose witch wore worn wrap "
-    "pero pelo peso puedo soit sait trois curt salut ligger pani cree frick ".split())
+    "pero pelo peso puedo soit sait trois curt salut ligger pani cree frick breaching strangers thanking ".split())
 # Function words; a sentence is looked at for a sequence only if it holds another of its words.
-COMMON = set("a am an and are at be by d do for from get go going got have i in into is it just let ll m made make me must my need no not of off on one or our out re run s send should so some such t take that the them they this those these to too u up us want was we who will with would you your ur near work".split())
+COMMON = set("a am an and are at be by d do for from get go going got have i in into is it just let ll m made make me must my need no not of off on one or our out re run s send should so some such t take that the them they this those these to too u up us want was we who will with would you your ur near work "
+             "all back body break find fire free hand hit hole job keep kick live look one other people project report repo repository sleep throw waste watch where".split())

@@ -122,7 +122,7 @@ OTHERS_FINE = ["This kills the process and shoots down the daemon.", "kill the c
                "The worker must die before the master starts.", "Women and men are counted in separate columns.", "Immigrants table: rename the key.", "you should break your function into two", "I know where you live-edit the config", "nobody wants the old format, drop it", "Your useless import can go.", "What a mess, this trashes the cache.", "Throw away people's old sessions.",
                "It is a pity that the tests are so brainless to write.", "get out of the loop early", "make you a maintainer of the project", "We hit the memory limit, the node was run over by batches.", "burn the image to the disk", "drop dead code from the build", "the workers just die when memory runs out", "Let me know where you work from.", "We validate the rows and send them all back.", "These helpers are unused, get rid of all of them.", "This padding is a waste of space.", "This module is a piece of shit.",
                "Delete your account in the settings.", "I will find you a free slot.", "this is going to hurt you later", "I will beat you to it", "The statements should be executed in order, they should be killed after an hour.", "nobody wants you to rewrite it", "they make you pay extra for it", "watch your back pressure", "all women must go through the same form", "for f you need a value", "shoot women and men in natural light",
-               "No wonder people of that kind of project use it.", "typical old people's font sizes", "send the batch back to their queue", "that hole in the wall of tests", "The explicit video codec flag is free.", "Shoot me a message when it is up."]
+               "No wonder people of that kind of project use it.", "typical old people's font sizes", "send the batch back to their queue", "You think the field should be changed before it is handled.", "the report is a waste of paper", "stop breaching the limit", "the buffers have no trains", "blocks are inferior to lists here", "that hole in the wall of tests", "The explicit video codec flag is free.", "Shoot me a message when it is up."]
 
 
 def test_sentences_of_no_table():
