@@ -55,7 +55,8 @@ def dispatch(spark, d):
     e = _events(spark, d).select("event_type", "event_id", F.timestamp_micros(F.floor(limits.micros("ts") / 100)).alias("ts"), (F.col("n") * 1_000_000).alias("took"))
     t = limits.dispatch_times(e, "event_type", "ts", "took", "event_id", workers=4, rpm=5).join(e, ["event_type", "event_id"])
     wait = F.col("start_us") - limits.micros("ts")
-    return t.groupBy("event_type").agg(F.count("*").alias("calls"), F.max(wait).alias("longest_us"), F.sum(wait).alias("waited_us"), F.max("end_us").alias("done_us"))
+    waited = F.sum(wait.cast("decimal(28,0)"))  # of type decimal(38,0): a queue of about a million calls waits for longer than a long holds
+    return t.groupBy("event_type").agg(F.count("*").alias("calls"), F.max(wait).alias("longest_us"), waited.alias("waited_us"), F.max("end_us").alias("done_us"))
 
 
 def session_debounce(spark, d):

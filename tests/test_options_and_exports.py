@@ -95,6 +95,20 @@ def test_job_admission(spark):
     assert got == {1: "started", 2: "started", 3: "started", 4: "busy", 5: "started", 6: "started", 7: "started", 8: "started", 9: "rate", 10: "started", 11: "started"}
 
 
+def test_dispatch_sums_waits_beyond_a_long(spark, tmp_path):
+    import __spark_entry__ as E
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * i AS ts, i AS user_id, CASE WHEN i = 12 THEN 'view' ELSE 'click' END AS event_type, 2e12 AS value FROM range(13) t(i)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = {r["event_type"]: (r["calls"], r["longest_us"], int(r["waited_us"]), r["done_us"]) for r in E.queries()["dispatch"](spark, str(tmp_path)).collect()}
+    want = {k: v for k, *v in con.execute(f"SELECT event_type, calls, longest_us, waited_us, done_us FROM ({E.oracle_sql()['dispatch']})").fetchall()}
+    assert {k: list(v) for k, v in got.items()} == want
+    assert got["click"][2] > 2**63 and got["view"][2] == 0
+
+
 def test_cooldown_state(spark):
     have = spark.createDataFrame([("a", 5), ("b", 6)], "model string, cool_until long")
     new = spark.createDataFrame([("a", 3), ("c", 9)], "model string, cool_until long")
